@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import mixing, sharding
+from ledgerspark.llm import chat, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op4_mixing": mixing.op4_mixing,
     "op8_sharding": sharding.op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": chat.ORACLE_SQL,
+}
