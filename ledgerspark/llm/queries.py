@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import chat, mixing, quality, sharding
+from ledgerspark.llm import chat, license, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op4_mixing": mixing.op4_mixing,
     "op8_sharding": sharding.op8_sharding,
+    "op10_license_scan": license.op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
