@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import chat, license, mixing, quality, sharding, toxicity
+from ledgerspark.llm import chat, html, license, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_html_extraction": html.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op8_sharding": sharding.op8_sharding,
