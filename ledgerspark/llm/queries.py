@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import chat, html, license, mixing, quality, sharding, toxicity
+from ledgerspark.llm import chat, html, license, mixing, pieces, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": html.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op8_sharding": sharding.op8_sharding,
     "op10_license_scan": license.op10_license_scan,
 }
