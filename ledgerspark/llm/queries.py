@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import chat, html, license, minhash, mixing, pieces, quality, sharding, toxicity
+from ledgerspark.llm import chat, embeddings, html, license, minhash, mixing, pieces, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_minhash": minhash.op9_minhash,
     "op10_license_scan": license.op10_license_scan,
