@@ -260,7 +260,7 @@ def ai_stats(logs: DataFrame, records: DataFrame) -> DataFrame:
 
 def ai_issues(logs: DataFrame) -> DataFrame:
     """For each record that was ever corrected or flagged, its checks and the newest differences that are not null."""
-    return logs.groupBy("record_id").agg(n().alias("checks"), F.max_by("result", "log_id").alias("last_result"), F.max_by("diff_text", F.when(F.col("diff_text").isNotNull(), F.col("log_id"))).alias("last_diff"), n(F.col("result") != "pass").alias("issues")).where("issues > 0")
+    return logs.groupBy("record_id").agg(n().alias("checks"), F.max_by("result", F.struct("log_id", "result")).alias("last_result"), F.max_by("diff_text", F.when(F.col("diff_text").isNotNull(), F.struct("log_id", "diff_text"))).alias("last_diff"), n(F.col("result") != "pass").alias("issues")).where("issues > 0")
 
 
 def ai_usage(logs: DataFrame, price_per_million: int, threshold: int) -> DataFrame:

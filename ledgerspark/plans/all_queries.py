@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.plans import analytics
+from ledgerspark.plans import analytics, ledger, renewal
 
-FAMILIES = (analytics,)
+FAMILIES = (analytics, ledger, renewal)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -127,7 +127,7 @@ ORACLE_SQL = {
       (SELECT enterprise_id, count(*) AS checks, count(*) FILTER (result = 'pass') AS n_pass, count(*) FILTER (result = 'corrected') AS n_corrected, count(*) FILTER (result = 'flagged') AS n_flagged, CAST(sum(tokens) AS BIGINT) AS tokens FROM logs GROUP BY ROLLUP (enterprise_id)) m
       LEFT JOIN (SELECT enterprise_id, string_agg(field, ',' ORDER BY n DESC, field) AS top_fields FROM (SELECT *, row_number() OVER (PARTITION BY enterprise_id ORDER BY n DESC, field) AS k FROM (SELECT enterprise_id, field, count(*) AS n FROM (SELECT enterprise_id, unnest(string_split(diff_text, ',')) AS field FROM logs) GROUP BY GROUPING SETS ((enterprise_id, field), (field)))) WHERE k <= 3 GROUP BY 1) f ON f.enterprise_id IS NOT DISTINCT FROM m.enterprise_id
       LEFT JOIN (SELECT enterprise_id, count(*) AS records FROM records WHERE deleted = 0 GROUP BY ROLLUP (enterprise_id)) t ON t.enterprise_id IS NOT DISTINCT FROM m.enterprise_id""", logs=AI_LOGS),
-    "A22_ai_issues": sql("SELECT record_id, count(*) AS checks, max_by(result, log_id) AS last_result, max_by(diff_text, log_id) FILTER (diff_text IS NOT NULL) AS last_diff, count(*) FILTER (result <> 'pass') AS issues FROM logs GROUP BY 1 HAVING count(*) FILTER (result <> 'pass') > 0", logs=AI_LOGS),
+    "A22_ai_issues": sql("SELECT record_id, count(*) AS checks, (max({'i': log_id, 'r': result})).r AS last_result, (max({'i': log_id, 'r': diff_text}) FILTER (diff_text IS NOT NULL)).r AS last_diff, count(*) FILTER (result <> 'pass') AS issues FROM logs GROUP BY 1 HAVING count(*) FILTER (result <> 'pass') > 0", logs=AI_LOGS),
     "A22_ai_usage": sql("SELECT day, count(*) AS checks, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * 3 AS BIGINT) AS cost_micros, sum(tokens) > 100000 AS above FROM logs GROUP BY 1", logs=AI_LOGS),
     "A23_export_audit": sql("SELECT export_type, count(*) AS exports, count(*) FILTER (status = 'failed') AS failed, CAST(sum(row_count) AS BIGINT) AS \"rows\" FROM exports GROUP BY 1", exports=EXPORTS),
     "A24_sender_list": sql("SELECT sender, CAST(sum(n) AS BIGINT) AS n, coalesce((max({'a': name <> '', 'n': n, 'name': name})).name, '') AS name FROM (SELECT sender, name, count(*) AS n FROM senders GROUP BY 1, 2) GROUP BY 1", senders=SENDERS),
