@@ -1,6 +1,7 @@
 """Column helpers: blanks, plates, dates, amounts, product classes.  All are built-in expressions but ``chinese_amount``."""
 
-from __future__ import annotations
+import decimal
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -165,25 +166,28 @@ def _whole(part: str) -> int:
             group += (digit or (1 if CN_UNITS[ch] == 10 and not group else 0)) * CN_UNITS[ch]
             digit = 0
         elif ch in CN_GROUPS:
-            whole = (whole + group + digit) * CN_GROUPS[ch]
+            unit = CN_GROUPS[ch]
+            whole = whole + (group + digit) * unit if unit < 10**8 else (whole + group + digit) * unit
             group = digit = 0
     return whole + group + digit
 
 
-@F.pandas_udf("decimal(18,2)")
-def chinese_amount(texts: pd.Series) -> pd.Series:
-    """Amount in Chinese capitals; null where there is none or it is zero."""
-    import decimal
-    import re
+def _capitals(t: str | None) -> decimal.Decimal | None:
+    m = _CAPITALS.search(t or "")
+    if not m:
+        return None
+    small = {unit: CN_DIGITS[d] for d, unit in re.findall(r"(.)([角分])", m.group(2) or "") if d in CN_DIGITS}
+    total = _whole(m.group(1)) * 100 + small.get("角", 0) * 10 + small.get("分", 0)
+    return decimal.Decimal(total).scaleb(-2) if total else None
 
-    shape = re.compile(r"([一-鿿]+)元(?:整|([一-鿿]*[分角整]))?")
 
-    def one(t: str | None) -> decimal.Decimal | None:
-        m = shape.search(t or "")
-        if not m:
-            return None
-        small = {unit: CN_DIGITS[d] for d, unit in re.findall(r"(.)([角分])", m.group(2) or "") if d in CN_DIGITS}
-        total = _whole(m.group(1)) * 100 + small.get("角", 0) * 10 + small.get("分", 0)
-        return decimal.Decimal(total).scaleb(-2) if total else None
+_CAPITALS = re.compile(r"([一-鿿]+)元(?:整|([一-鿿]*[分角整]))?")
 
-    return texts.map(one).astype("object")
+
+def chinese_amount(c: Column) -> Column:
+    """Amount in Chinese capitals as decimal(18,2); null where there is none or it is zero."""
+
+    def amounts(texts: pd.Series) -> pd.Series:
+        return texts.map(_capitals).astype("object")
+
+    return F.pandas_udf(amounts, "decimal(18,2)")(c)
