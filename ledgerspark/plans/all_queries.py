@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.plans import analytics, ledger, messages, renewal, text
+from ledgerspark.plans import analytics, ledger, messages, renewal, rules, text
 
-FAMILIES = (analytics, ledger, messages, renewal, text)
+FAMILIES = (analytics, ledger, messages, renewal, rules, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
