@@ -102,7 +102,8 @@ def spans(packed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     pieces = packed.where("size > 0").withColumn("block_no", F.explode(blocks))
     start, end = F.col("block_no") * block, F.col("off") + F.col("size")
     taken = F.col("shard").isNotNull()
-    return pieces.join(slots, ["source_no", "block_no"], "left").withColumns({
+    # Slots come from few rows by explode, so the planner thinks them small; there are as many as pieces.
+    return pieces.join(slots.hint("merge"), ["source_no", "block_no"], "left").withColumns({
         "word_from": F.when(taken, F.greatest(start, F.col("off")) - F.col("off")),
         "word_to": F.when(taken, F.least(start + block, end) - F.col("off")),
     })
