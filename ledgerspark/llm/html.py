@@ -156,12 +156,20 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
 
 
 def region(page: Page, weights: Weights) -> tuple[int, int]:
-    """The best run, grown to the element that holds it: the article or main element around it, if there is one.
+    """The best run, grown to the element that holds it.
 
-    Otherwise it is the smallest element around the run, with its neighbours as long as they add a heading or
-    words that are no chrome; the region never stops inside a block.
+    Where the author marked articles, or else main elements, runs are sought inside these, and the one with the best
+    run is the region.  Otherwise it is the smallest element around the run, or the one around that whose
+    heading stands beside it; the region never stops inside a block.
     """
-    start, end = best_run(weights.scores(page))
+    scores = weights.scores(page)
+    marked = [e for e in page.elements if e.name in SECTIONS and not e.chrome]
+    marked = [e for e in marked if e.name == "article"] or marked
+    sums = [(float(scores[e.start : e.end][slice(*best_run(scores[e.start : e.end]))].sum()), -e.start, e) for e in marked]
+    if sums and max(sums, key=lambda s: s[:2])[0] > 0:
+        e = max(sums, key=lambda s: s[:2])[2]
+        return e.start, e.end
+    start, end = best_run(scores)
     if start == end:
         return 0, 0
     inside = [i for i in range(start, end) if page.kinds[i] == "text" and page.sizes[i]]
@@ -172,9 +180,6 @@ def region(page: Page, weights: Weights) -> tuple[int, int]:
         if e.start <= inside[0] and e.end > inside[-1]:
             chain.append(e)
         e = e.parent
-    for e in chain:
-        if e.name in SECTIONS:
-            return e.start, e.end
     holder = next((e for e in chain if e.name in BLOCKS or e.name == "#page"), chain[-1])
     if holder.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
         holder = next((e for e in chain if e.name in ("div", "section", "body", "html", "#page")), chain[-1])
