@@ -26,7 +26,10 @@ GROUPS = "SELECT 'r' || CAST(p_partkey % 30 AS STRING) AS roomid, CASE WHEN p_pa
 ENTERPRISES = "SELECT CAST(n_nationkey AS BIGINT) AS enterprise_id, CASE WHEN n_nationkey % 2 = 0 THEN 'TZ-' ELSE 'tz' END || CAST(n_nationkey AS STRING) AS enterprise_no FROM {nation}"
 TALK = "SELECT conv_id * 100 + turn AS message_id, 'r' || CAST(conv_id % 20 AS STRING) AS roomid, role AS sender, text FROM {conversations}"
 RULES = [{"target": "de", "keywords": ["de"], "value_type": "text"}, {"target": "the", "keywords": ["the", "The"], "value_type": "text"}, {"target": "off", "keywords": ["of"], "enabled": False}]
-CANDIDATE = (F.col("msgtype") == "file") | (F.col("value") > 150)
+
+
+def _candidate():
+    return (F.col("msgtype") == "file") | (F.col("value") > 150)
 
 
 def _named(s, d):
@@ -59,7 +62,7 @@ QUERIES = {
     "M18_apply_quotes": lambda s, d: m.apply_quotes(records(s, d), view(s, d, "SELECT o_orderkey AS message_id, 'r' || CAST(o_custkey % 20 AS STRING) AS roomid, '京A' || lpad(CAST(o_custkey AS STRING), 6, '0') AS plate, CAST(o_orderkey AS STRING) AS fields FROM {orders} WHERE o_orderkey % 3 = 0"), 2),
     "M19_commands": lambda s, d: m.ledger_commands(view(s, d, "SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN '发送台账 今天' WHEN 1 THEN '发送台账本月' WHEN 2 THEN '发送台账6月' || CAST(1 + event_id % 35 AS STRING) || '日' WHEN 3 THEN '发送台账6月1日到' || CAST(event_id % 33 AS STRING) || '日' WHEN 4 THEN '发送台账2023年12月25日到2024年1月' || CAST(1 + event_id % 9 AS STRING) || '日' WHEN 5 THEN '发送台账' || CAST(event_id % 20 AS STRING) || '-' || CAST(event_id % 31 AS STRING) || '日' ELSE '台账' END AS text FROM {events}"), "2024-01-17"),
     "M20_groups": lambda s, d: m.classify_groups(view(s, d, GROUPS), view(s, d, ENTERPRISES), view(s, d, CONFIGS)),
-    "M21_notices": lambda s, d: m.room_notices(messages(s, d), view(s, d, "SELECT 'r' || CAST(n_nationkey AS STRING) AS roomid FROM {nation} WHERE n_nationkey % 2 = 0"), CANDIDATE),
+    "M21_notices": lambda s, d: m.room_notices(messages(s, d), view(s, d, "SELECT 'r' || CAST(n_nationkey AS STRING) AS roomid FROM {nation} WHERE n_nationkey % 2 = 0"), _candidate()),
     "M22_directory": lambda s, d: m.directory(messages(s, d), view(s, d, ROOMS), view(s, d, CACHE)),
 }
 
