@@ -37,8 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text of the mix as piece ids (``piece_ids``), and decoded from them again (``piece_text``)."""
-    path = pieces.public_model()
-    return pieces.with_text(pieces.with_ids(docs, path), path)
+    return pieces.round_trip(docs, pieces.public_model())
 
 
 STAGES = [("toxicity", clean), ("quality", good), ("near_duplicates", unique), ("mixing", mixed), ("pieces", encoded)]

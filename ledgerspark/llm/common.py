@@ -29,6 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hash_sample(df: DataFrame, limit: int, *by: str) -> DataFrame:
+    """At most ``limit`` rows, the first in hash order of the columns ``by``; the same rows give the same sample.
+
+    Rows behind about twice the share that is wanted are left out before any are sorted, so what the last task of the
+    sort gets does not grow with the number of partitions.
+    """
+    n = df.count()
+    place = F.pmod(F.xxhash64(*by), F.lit(1 << 30))
+    bound = (1 << 30) if n <= 2 * limit else int((1 << 30) * 2 * limit / n) + 1
+    return df.withColumn("__place", place).where(F.col("__place") < bound).orderBy("__place", *by).limit(limit).drop("__place")
+
+
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """Let Python workers of this session take at most ``rows`` rows at a time, which bounds their memory for long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def word_count(text) -> "F.Column":
     """Number of words of a text column; null counts as no word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import table
+from ledgerspark.llm.common import small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: A word: marks of white space, then what follows up to the next mark; no piece goes on behind one.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Encoded words kept for a task at most, and code points encoded at once.
-CACHE, CHUNK = 400_000, 1 << 20
+CACHE, CHUNK = 150_000, 1 << 19
 
 codecs.register_error("piece-bytes", lambda e: ("�", e.start + 1))
 
@@ -192,7 +192,7 @@ def with_ids(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         found = model(path).encode([t or "" for t in texts])
         return pd.Series([np.frombuffer(b, dtype="<u4").astype(np.int32) for b in found])
 
-    return docs.withColumn("piece_ids", ids(F.col(text)))
+    return small_batches(docs).withColumn("piece_ids", ids(F.col(text)))
 
 
 def with_text(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
@@ -205,6 +205,18 @@ def with_text(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
     return rows.withColumn("piece_text", text(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add ``piece_ids`` and ``piece_text`` in one pass through Python."""
+
+    @F.pandas_udf("struct<piece_ids: array<int>, piece_text: string>")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        m = model(path)
+        found = m.encode([t or "" for t in texts])
+        return pd.DataFrame({"piece_ids": [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in found], "piece_text": [m.decode(b) for b in found]})
+
+    return small_batches(docs).withColumn("__both", both(F.col(text))).select(*docs.columns, "__both.*")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, number of ids, and SHA-256 of the ids and of the text decoded from them, for each document."""
 
@@ -217,7 +229,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(m.decode(b).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+    return small_batches(docs).select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
 
 
 def public_model() -> str:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import table
+from ledgerspark.llm.common import small_batches, table
 
 #: Labelled rows used at most, tokens with a score of their own at most, and the Dirichlet prior's share of the counts.
 MAX_LABELLED, MAX_TOKENS, PRIOR = 20_000, 20_000, 0.05
@@ -90,7 +90,7 @@ class ToxicityModel:
         for w in set(words).difference(found):
             found[w] = next((known[f] for f in features(w) if f in known), DRIFT)
         out = np.fromiter((found[w] for w in words), dtype=np.float64, count=len(words))
-        if len(found) > 200_000:
+        if len(found) > 100_000:
             found.clear()
         return out
 
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """
     some = labels.where("toxic is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = F.broadcast(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).alias("rest"))
+    rows = small_batches(docs).select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).alias("rest"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -242,7 +242,7 @@ def judge(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             out.append((m.score(words), [{"start": a, "end": b, "score": s, "expected": e} for a, b, s, e in m.passages(words)]))
         return pd.DataFrame(out, columns=["score", "passages"])
 
-    return docs.withColumn("toxicity", toxicity("text"))
+    return small_batches(docs).withColumn("toxicity", toxicity("text"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
