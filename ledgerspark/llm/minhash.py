@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import WORD, cut, table
+from ledgerspark.llm.common import WORD, cut, small_batches, table
 from ledgerspark.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of registers; at a similarity of 0.8 a pair misses all of them with probability 0.00005.
 BANDS, ROWS = 25, 5
 #: Documents of a bucket that are compared in one block, code points handled at once.
-BLOCK, CHUNK = 128, 1 << 21
+BLOCK, CHUNK = 192, 1 << 20
 _WORD = re.compile(WORD)
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +126,7 @@ def with_bands(docs: DataFrame, text: str = "text") -> DataFrame:
             out += [row if ok else row[:0] for row, ok in zip(found, some)]
         return pd.Series(out)
 
-    return docs.withColumn("bands", bands(F.col(text)))
+    return small_batches(docs).withColumn("bands", bands(F.col(text)))
 
 
 def with_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -144,7 +144,7 @@ def with_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
             out += [np.unique((h[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(ends[:-1], ends[1:])]
         return pd.Series(out, dtype="object")
 
-    return docs.withColumn("shingles", packed(F.col(text)))
+    return small_batches(docs).withColumn("shingles", packed(F.col(text)))
 
 
 def linked(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
@@ -181,9 +181,25 @@ def links(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (``a``, ``b``) that connect the similar documents of each group.
 
     ``members`` has the group's key ``g1``, ``g2``, ``g3``, ``doc_id`` and ``shingles``; groups are small and whole in a task.
+    A task joins the links of all its groups and returns one for each of its documents that has any.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in compared(batches):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        found = [(x, root(x)) for x in parent]
+        for at in range(0, len(found), 10_000):
+            yield pd.DataFrame([f for f in found[at : at + 10_000] if f[0] != f[1]], columns=["a", "b"]).astype("int64")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int]]:
         waiting: list[pd.DataFrame] = []
         for b in batches:
             whole = pd.concat([*waiting, b], ignore_index=True) if waiting else b.reset_index(drop=True)
@@ -195,13 +211,12 @@ def links(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if waiting:
             yield from joined(waiting[0].reset_index(drop=True), np.array([0, len(waiting[0])]))
 
-    def joined(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        ids, blobs, out = rows["doc_id"].to_numpy(), rows["shingles"].to_numpy(), []
+    def joined(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        ids, blobs = rows["doc_id"].to_numpy(), rows["shingles"].to_numpy()
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             order = np.argsort(ids[a:b]) + a
             label = linked([np.frombuffer(blobs[i], dtype="<u4") for i in order], least)
-            out += [(ids[order[i]], ids[order[r]]) for i, r in enumerate(label.tolist()) if i != r]
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            yield from ((int(ids[order[i]]), int(ids[order[r]])) for i, r in enumerate(label.tolist()) if i != r)
 
     # Groups are dealt by key and follow each other in a task, so that tiny groups cost little.
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
