@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut, table
+from ledgerspark.llm.common import cut, hash_sample, table
 from ledgerspark.llm.graph import components
 
 COSINE = 0.9
@@ -120,7 +120,7 @@ def fit(vectors: DataFrame, kind: str, least: float = COSINE, sample: int = SAMP
     trees, both bounded.
     """
     total = {r["n"]: r["count"] for r in vectors.groupBy("n").count().orderBy(F.desc("count")).limit(16).collect()}
-    rows = vectors.select("n", "raw", F.xxhash64("vec").alias("h"), "vec").orderBy("h", "vec").limit(sample).collect()
+    rows = hash_sample(vectors.select("n", "raw", "vec"), sample, "vec").collect()
     rng, trees, leaf = np.random.default_rng(SEED), {}, 0
     for n in sorted(total):
         part = [bytes(r["raw"]) for r in rows if r["n"] == n]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import table
+from ledgerspark.llm.common import hash_sample, table
 
 #: Labelled pages that the weights are learned from, at most.
 MAX_LABELLED = 2000
@@ -223,7 +223,7 @@ def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> Weights:
     inside, a tag at most ``TAG_WEIGHT`` / 4, lower the more it is found outside.  Without labelled pages the
     weights stay as they are before learning.
     """
-    some = pages.where("html is not null").select(F.xxhash64("page_id", "url").alias("h"), "html").orderBy("h", F.xxhash64("html")).limit(max_labelled)
+    some = hash_sample(pages.where("html is not null").select("page_id", "url", "html"), max_labelled, "page_id", "url", "html")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
