@@ -190,6 +190,20 @@ def test_html_articles(spark):
         assert r["text"].split() == entities.unescape(" ".join(truth(pages[r["page_id"]]))).split() and r["n_chars"] == len(r["text"])
 
 
+def test_html_scan_without_marks(spark):
+    """The scan alone finds the same texts: marks renamed or left out, and a short marked teaser beside a long plain body."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    learned = html.fit(pages)
+    for h in (r["html"] for r in pages.collect()):
+        want = html.extract(h, learned)
+        assert html.extract(re.sub(r"</?(?:article|main)\b[^>]*>", "", h), learned) == want
+        assert html.extract(re.sub(r"(</?)(?:article|main)\b", r"\1div", h), learned) == want
+    body = " ".join(["word"] * 80)
+    page = f"<body><div><article><p>Short teaser.</p></article></div><nav><a>a b</a></nav><div><div><p>{body}</p><p>{body}</p></div></div></body>"
+    for weights in (learned, html.Weights()):
+        assert html.extract(page, weights) == f"{body}\n{body}"
+
+
 def test_pieces_equal_library(spark):
     import sentencepiece
 
