@@ -32,6 +32,7 @@ CHROME_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*
 CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 SECTIONS = frozenset("article main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
+_RAW_END = {name: re.compile(rf"(?i)</{name}(?:[\s/][^>]*)?(?:>|$)") for name in RAW}
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[\s ]+")
 #: Weights before anything is learned: of words outside and inside links, and of tags.
@@ -81,17 +82,13 @@ def is_chrome(name: str, attributes: str, inside: Element | None) -> bool:
 def read_page(source: str | None) -> Page:
     """Read tags and text in one pass; unclosed elements end with the element around them."""
     page, stack, block = Page(), [], 0
-    raw: str | None = None
+    source, at_char = source or "", 0
     root = Element("#page", None, False, 0)
     page.elements.append(root)
     stack.append(root)
-    for m in _TOKEN.finditer(source or ""):
+    while m := _TOKEN.match(source, at_char):
+        at_char = m.end()
         close, name, attributes, text = m.group(1), m.group(2), m.group(3), m.group(4)
-        if raw is not None:
-            if name is not None and close and name.lower() == raw:
-                raw = None
-                stack.pop().end = len(page.kinds)
-            continue
         if name is None:
             if text is None and not m.group(0).startswith("<![CDATA["):
                 continue
@@ -103,7 +100,7 @@ def read_page(source: str | None) -> Page:
             page.blocks.append(block)
             page.holders.append(top)
             continue
-        name = name.lower()
+        name, raw = name.lower(), False
         if name in BLOCKS:
             block += 1
         if close:
@@ -123,13 +120,17 @@ def read_page(source: str | None) -> Page:
                 e = Element(name, stack[-1], is_chrome(name, attributes, stack[-1]), len(page.kinds))
                 page.elements.append(e)
                 stack.append(e)
-                if name in RAW and not (attributes or "").rstrip().endswith("/"):
-                    raw = name
+                raw = name in RAW and not (attributes or "").rstrip().endswith("/")
         page.kinds.append(f"<{name}>")
         page.sizes.append(0)
         page.texts.append("")
         page.blocks.append(block)
         page.holders.append(stack[-1])
+        if raw:  # what stands before its own end tag is neither tags nor comments
+            ending = _RAW_END[name].search(source, at_char)
+            at_char = ending.end() if ending else len(source)
+            if ending:
+                stack.pop().end = len(page.kinds)
     for e in stack:
         e.end = len(page.kinds)
     return page

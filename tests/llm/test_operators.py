@@ -190,6 +190,19 @@ def test_html_articles(spark):
         assert r["text"].split() == entities.unescape(" ".join(truth(pages[r["page_id"]]))).split() and r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f()}</script>", "<script>a='</p>';b=\"it's\";c='\"'</script>", "<SCRIPT>x<!-- y</Script\n>", "<style>a<b{content:'\"'}<!--</style>",
+        "<script>a<b</scripts>c</script >", "<script></script>", "<title>1 <n 2</title>", "<textarea><!--</textarea>", "<svg><style>a<b</style></svg>",
+    ],
+)
+def test_html_raw_content(raw):
+    for page in (f"<head>{raw}</head><body><article><p>One two three</p></article></body>", f"<article><p>One two three</p>{raw}</article><footer>c</footer>"):
+        assert html.extract(page, html.Weights()) == "One two three"
+    assert html.extract("<article><p>One two three</p><script>i<n", html.Weights()) == "One two three"
+
+
 def test_html_scan_without_marks(spark):
     """The scan alone finds the same texts: marks renamed or left out, and a short marked teaser beside a long plain body."""
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
