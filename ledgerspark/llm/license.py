@@ -1,9 +1,9 @@
 """Licence scan: a trained paragraph classifier with template comparison.
 
-Paragraphs are lines.  A multinomial logistic regression over word one- and two-grams tells licence
+Every paragraph between blank lines and every single line is scored.  A multinomial logistic regression over word one- and two-grams tells licence
 families from ordinary prose; it is trained on the corpus itself, on paragraphs that contain a family's
 known phrase and on paragraphs without any.  Predictions whose probability is below a calibrated threshold are
-``unknown``; the others are compared with the family's templates.  Scoring is a join of n-grams with weights.
+``unknown``; the others are compared with the family's templates.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ledgerspark.llm.common import cut, hash_sample, table
 
 #: Usual wordings of licence statements, by SPDX identifier of the family.
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This project is distributed under the Apache License 2.0.", "Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This project is distributed under the Apache License 2.0.", "Apache License 2.0", "Lizenziert unter der Apache-Lizenz, Version 2.0.", "Sous licence Apache, version 2.0.", "Bajo la licencia Apache, versión 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "MIT": ["MIT License", "Released under the MIT License.", "This software is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "GPL v3", "GPLv3", "GNU GPL 3.0", "SPDX-License-Identifier: GPL-3.0-only"],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
@@ -29,10 +29,13 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "Proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
+    "CC0-1.0": ["CC0 1.0 Universal", "Dedicated to the public domain.", "This work is dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
+    "EPL-2.0": ["EPL 2.0", "Provided under the terms of the EPL 2.0.", "Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "EUPL-1.2": ["EUPL 1.2", "Licensed under the EUPL.", "Provided under the terms of the EUPL.", "European Union Public Licence 1.2", "SPDX-License-Identifier: EUPL-1.2"],
+    "Proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Tous droits reserves.", "Todos los derechos reservados."],
 }
-#: Words that statements of the families above have; only lines with one of them are scored.
-CUES = ("licen", "copyright", "rights reserved", "permission", "redistribut", "creative commons", "free software", "warrant", "spdx", "apache", "gnu ", "gpl", "mozilla", "bsd", "cc by", "cc-by", "cc0")
+#: Each template has one of these, so training need not look for templates in lines without any.  Scoring leaves no line out.
+CUES = ("lizen", "rechte vorbehalten", "droits r", "derechos reservados", "public domain", "epl", "eupl", "licen", "copyright", "rights reserved", "permission", "redistribut", "creative commons", "free software", "warrant", "spdx", "apache", "gnu ", "gpl", "mozilla", "bsd", "cc by", "cc-by", "cc0")
 NONE, UNKNOWN = "none", "unknown"
 #: Bounds of the training sample and of the vocabulary, and the least similarity that confirms a prediction.
 MAX_PER_CLASS, MAX_NONE, VOCABULARY, CONFIRM = 200, 4000, 4096, 0.5
@@ -49,18 +52,31 @@ def has_cue(text: Column) -> Column:
 
 def with_grams(rows: DataFrame) -> DataFrame:
     """Add ``grams``: distinct one- and two-grams of the lower-case words of column ``line``."""
-    words = F.transform(F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}.+-]*"), F.lit(0)), lambda w: F.rtrim(w, F.lit(".")))
+    words = F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{N}](?:[\p{L}\p{N}.+-]*[\p{L}\p{N}+-])?"), F.lit(0))
     n = F.greatest(F.size("__words") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("__words", F.lit(1), n), F.slice("__words", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     return rows.withColumn("__words", words).withColumn("grams", F.array_distinct(F.concat("__words", pairs))).drop("__words")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Lines with a cue: ``doc_id``, ``paragraph`` (from 0) and ``line``.  Null and empty texts have none."""
-    split = docs.where(has_cue(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+def cued_lines(docs: DataFrame) -> DataFrame:
+    """Lines with a cue, as ``line``.  Null and empty texts have none."""
+    split = docs.where(has_cue(F.col("text"))).select(F.explode(F.split("text", "\n")).alias("line"))
     return split.where(has_cue(F.col("line")))
 
 
+def units(docs: DataFrame) -> DataFrame:
+    """All that is scored: ``doc_id``, ``unit``, ``paragraph`` and ``line``.  Null and empty texts have none.
+
+    ``unit`` is ``line`` or ``paragraph``; ``paragraph`` is the number (from 0) of the line, or of the paragraph between blank
+    lines.  A paragraph of one line is scored as a line only.
+    """
+    parts = lambda unit, c: F.transform(c, lambda x, i: F.struct(F.lit(unit).alias("unit"), i.alias("paragraph"), x.alias("line")))
+    text = F.col("text")
+    both = F.concat(parts("line", F.split(text, "\n")), parts("paragraph", F.split(text, r"\n(?:[ \t\r]*\n)+")))
+    split = docs.select("doc_id", F.inline(both))
+    return split.where(F.rlike("line", F.lit(r"[\p{L}\p{N}]")) & ((F.col("unit") == "line") | F.rlike("line", F.lit(r"\S[ \t\r]*\n\s*\S"))))
+
+
 @dataclass
 class LicenceModel:
     classes: list[str]
@@ -79,7 +95,8 @@ def train(docs: DataFrame) -> LicenceModel:
     """Fit the classifier on a bounded sample of paragraphs of ``docs`` and on the templates.
 
     Positives are distinct lines that contain a whole template, at most ``MAX_PER_CLASS`` a family, and the
-    templates themselves; classes weigh alike in the fit, prose four times.  Negatives are the lines of the first documents in hash order, at most ``MAX_NONE``.
+    templates themselves; classes weigh alike in the fit, prose four times.  Negatives are the lines and paragraphs without a template of
+    the first documents in hash order, at most ``MAX_NONE``.
     The threshold is the quantile of the negatives' best family probability that lets through
     ``NEGATIVES_THROUGH`` of them, one half at least.
     """
@@ -89,10 +106,10 @@ def train(docs: DataFrame) -> LicenceModel:
     for family, texts in TEMPLATES.items():
         for text in texts:
             label = F.when(F.contains(F.lower("line"), F.lit(text.lower().rstrip("."))), F.lit(family)).otherwise(label)
-    positive = lines(docs).select("line").distinct().withColumn("family", label).where("family is not null and length(line) < 2000")
+    positive = cued_lines(docs).distinct().withColumn("family", label).where("family is not null and length(line) < 2000")
     positive = positive.groupBy("family").agg(F.slice(F.sort_array(F.collect_set("line")), 1, MAX_PER_CLASS).alias("some")).select("family", F.explode("some").alias("line"))
     first = hash_sample(docs.where("text is not null").select("doc_id", "text"), MAX_NONE // 8, "doc_id", "text")
-    negative = first.select(F.explode(F.split("text", "\n")).alias("line")).distinct().withColumn("is_licence", label).where("is_licence is null and line != ''").orderBy(F.xxhash64("line")).limit(MAX_NONE).select(F.lit(NONE).alias("family"), "line")
+    negative = units(first).select("line").distinct().withColumn("is_licence", label).where("is_licence is null and line != ''").orderBy(F.xxhash64("line")).limit(MAX_NONE).select(F.lit(NONE).alias("family"), "line")
     own = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")
     both = positive.unionByName(own).unionByName(negative)
     counts = both.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
@@ -108,13 +125,13 @@ def train(docs: DataFrame) -> LicenceModel:
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """Licence paragraphs of whole texts: ``doc_id``, ``paragraph``, ``family``, ``probability``, ``similarity``, ``confirmed``, ``line``.
+    """Licence paragraphs of whole texts: ``doc_id``, ``unit``, ``paragraph``, ``family``, ``probability``, ``similarity``, ``confirmed``, ``line``.
 
     ``family`` is ``unknown`` where the likeliest family stays below the threshold.  ``similarity`` is the greatest Jaccard
     similarity of n-grams with a template of the predicted family; ``confirmed`` says whether it reaches ``CONFIRM``.
-    Lines that the classifier rather takes for prose are left out.
+    Lines and paragraphs that the classifier rather takes for prose are left out.
     """
-    scored = model.regression.transform(model.vocabulary.transform(with_grams(lines(docs)))).withColumn("p", vector_to_array("probability"))
+    scored = model.regression.transform(model.vocabulary.transform(with_grams(units(docs)))).withColumn("p", vector_to_array("probability"))
     scored = scored.withColumn("best", F.array_max(F.slice("p", 2, len(model.classes) - 1)))
     scored = scored.withColumn("guess", F.element_at(F.array(*map(F.lit, model.classes[1:])), F.array_position(F.slice("p", 2, len(model.classes) - 1), F.col("best")).cast("int")))
     by_family: dict[str, list[Column]] = {}
@@ -126,10 +143,10 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
         similarity = F.when(F.col("guess") == family, F.greatest(F.lit(0.0), *each)).otherwise(similarity)
     found = scored.where(F.get("p", F.lit(0)) < 0.5).withColumn("similarity", similarity)
     sure = F.col("best") >= model.threshold
-    return found.select("doc_id", "paragraph", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("best", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (sure & (F.col("similarity") >= CONFIRM)).alias("confirmed"), "line")
+    return found.select("doc_id", "unit", "paragraph", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("best", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (sure & (F.col("similarity") >= CONFIRM)).alias("confirmed"), "line")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence paragraphs of all documents.  Repeated rows are all scanned; an empty table gives no rows."""
+    """Licence lines and paragraphs of all documents.  Repeated rows are all scanned; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs, train(docs))

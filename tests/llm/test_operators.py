@@ -322,3 +322,18 @@ def test_licences(spark):
     assert want and want <= set(found) and all(found[k]["family"] == known[k[1]] and found[k]["confirmed"] for k in want)
     clean = spark.createDataFrame([(1, "It was permitted to walk.\nMy driver's licence is old."), (2, None), (3, "")], "doc_id long, text string")
     assert license.scan(clean, model).where("confirmed").count() == 0
+
+
+def test_licences_without_cue(spark):
+    """Lines and hard-wrapped paragraphs without any word of the former filter; every template has a cue of the training."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = license.train(docs)
+    statements = {1: "Alle Rechte vorbehalten", 2: "Tous droits reserves", 3: "This work is dedicated to the public domain.", 4: "Provided under the terms of the EPL 2.0", 5: "Todos los derechos reservados."}
+    wrapped = "Permission is hereby granted, free of charge,\nto any person obtaining\na copy of this software"
+    rows = [*statements.items(), (6, f"Prose of a day.\n\n{wrapped}\n \nMore prose."), (7, "One.\n\nTwo.")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["unit"], r["paragraph"]): r for r in license.scan(texts, model).collect()}
+    assert all(got[i, "line", 0]["family"] == f and got[i, "line", 0]["confirmed"] for i, f in zip(statements, ("Proprietary", "Proprietary", "CC0-1.0", "EPL-2.0", "Proprietary")))
+    assert (got[6, "paragraph", 1]["family"], got[6, "paragraph", 1]["similarity"], got[6, "paragraph", 1]["line"]) == ("MIT", 1.0, wrapped)
+    assert [(r["unit"], r["paragraph"]) for r in license.units(texts).where("doc_id = 7").collect()] == [("line", 0), ("line", 2)]
+    assert all(any(c in t.lower() for c in license.CUES) for ts in license.TEMPLATES.values() for t in ts)
