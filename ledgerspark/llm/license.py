@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import cut, hash_sample, table
@@ -91,10 +91,25 @@ def template_grams(spark: SparkSession) -> list[tuple[str, str, list[str]]]:
     return sorted(tuple(r) for r in with_grams(rows).select("family", "line", "grams").collect())
 
 
+def near_bound(labelled: DataFrame, limit: int) -> DataFrame:
+    """Of each family, the rows in the hash share that holds about twice ``limit`` of them, with their ``place``; all of a small one."""
+    n = labelled.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.lit(1 << 30).cast("long")
+    bound = F.when(F.col("n") <= 2 * limit, whole).otherwise(F.ceil(F.lit(float((1 << 30) * 2 * limit)) / F.col("n")))
+    placed = labelled.withColumn("place", F.pmod(F.xxhash64("line"), whole))
+    return placed.join(F.broadcast(n.select("family", bound.alias("bound"))), "family").where("place < bound").drop("bound")
+
+
+def family_sample(labelled: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` lines of each family, the first in hash order; no task holds more than about twice that of a family."""
+    order = Window.partitionBy("family").orderBy("place", "line")
+    return near_bound(labelled, limit).withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).select("family", "line")
+
+
 def train(docs: DataFrame) -> LicenceModel:
     """Fit the classifier on a bounded sample of paragraphs of ``docs`` and on the templates.
 
-    Positives are distinct lines that contain a whole template, at most ``MAX_PER_CLASS`` a family, and the
+    Positives are distinct lines that contain a whole template, at most ``MAX_PER_CLASS`` a family in hash order, and the
     templates themselves; classes weigh alike in the fit, prose four times.  Negatives are the lines and paragraphs without a template of
     the first documents in hash order, at most ``MAX_NONE``.
     The threshold is the quantile of the negatives' best family probability that lets through
@@ -107,7 +122,7 @@ def train(docs: DataFrame) -> LicenceModel:
         for text in texts:
             label = F.when(F.contains(F.lower("line"), F.lit(text.lower().rstrip("."))), F.lit(family)).otherwise(label)
     positive = cued_lines(docs).distinct().withColumn("family", label).where("family is not null and length(line) < 2000")
-    positive = positive.groupBy("family").agg(F.slice(F.sort_array(F.collect_set("line")), 1, MAX_PER_CLASS).alias("some")).select("family", F.explode("some").alias("line"))
+    positive = family_sample(cut(positive), MAX_PER_CLASS)
     first = hash_sample(docs.where("text is not null").select("doc_id", "text"), MAX_NONE // 8, "doc_id", "text")
     negative = units(first).select("line").distinct().withColumn("is_licence", label).where("is_licence is null and line != ''").orderBy(F.xxhash64("line")).limit(MAX_NONE).select(F.lit(NONE).alias("family"), "line")
     own = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")

@@ -337,3 +337,14 @@ def test_licences_without_cue(spark):
     assert (got[6, "paragraph", 1]["family"], got[6, "paragraph", 1]["similarity"], got[6, "paragraph", 1]["line"]) == ("MIT", 1.0, wrapped)
     assert [(r["unit"], r["paragraph"]) for r in license.units(texts).where("doc_id = 7").collect()] == [("line", 0), ("line", 2)]
     assert all(any(c in t.lower() for c in license.CUES) for ts in license.TEMPLATES.values() for t in ts)
+
+
+def test_licence_sample(spark):
+    """Families of many distinct lines are cut by hash before they are ranked; small ones are taken whole."""
+    many = spark.range(20_000).selectExpr("'MIT' as family", "concat('Copyright ', id, '. MIT License') as line")
+    few = spark.range(150).selectExpr("'EPL-2.0' as family", "concat('EPL 2.0 ', id) as line")
+    ranked = {r["family"]: r["count"] for r in license.near_bound(many.union(few), 200).groupBy("family").count().collect()}
+    assert ranked["EPL-2.0"] == 150 and 200 <= ranked["MIT"] < 600
+    sample = license.family_sample(many.union(few), 200)
+    assert {r["family"]: r["count"] for r in sample.groupBy("family").count().collect()} == {"MIT": 200, "EPL-2.0": 150}
+    assert sorted(sample.collect()) == sorted(license.family_sample(many.union(few).repartition(7), 200).collect())
