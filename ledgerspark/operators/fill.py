@@ -148,18 +148,31 @@ def siblings(records: DataFrame, index: str = "policy_index") -> DataFrame:
     return own.join(each, "file_md5").where((F.col("sibling_id") != F.col("id")) & (F.col("slot") != F.col("own_slot"))).groupBy("id").agg(F.array_sort(F.collect_list("sibling_id")).alias("sibling_ids"))
 
 
-def related(records: DataFrame, other_class: str, days: int, keys: tuple[str, ...] = ("plate", "vin")) -> DataFrame:
-    """whether another policy of a class exists for the same car, starting within ``days`` of this one.
+#: Keys and day by which the source relates policies.
+RELATED_BY = ("plate", "vin", "applicant")
 
+
+def policy_day() -> Column:
+    """Sign date, else start date, else day of creation."""
+    return F.coalesce("sign_date", "start_date", "created_day")
+
+
+def related(records: DataFrame, other_class: str, days: int, keys: tuple[str, ...] = ("plate", "vin"), day: Column | None = None) -> DataFrame:
+    """whether another policy of a class exists for the same car or applicant, dated within ``days`` of this one.
+
+    ``keys`` are some of ``RELATED_BY``, others are refused.  ``day`` is the start date unless given; the source takes ``policy_day()``.
     A missing date fits.  For each key, records of the class are summed up by day, each record is compared with its key's days
-    through buckets of ``days`` width, so a key with very many policies does not meet itself; plate and frame number are two equi-joins.
+    through buckets of ``days`` width, so a key with very many policies does not meet itself; each key is an equi-join of its own.
     """
-    day = F.col("start_date")
+    unknown = sorted(set(keys) - set(RELATED_BY))
+    if unknown:
+        raise ValueError(f"unknown keys: {unknown}")
+    by = {"plate": plate_key(F.col("plate_no")), "vin": vin_key(F.col("vin")), "applicant": blank_to_null(F.col("applicant"))}
+    day = F.col("start_date") if day is None else day
     out = records.select("id").withColumn("related", F.lit(False))
     hits = None
     for name in keys:
-        key = plate_key(F.col("plate_no")) if name == "plate" else vin_key(F.col("vin"))
-        rows = records.where("deleted = 0").select("id", key.alias("k"), day.alias("d"), (product_class(F.col("policy_type")) == other_class).alias("fits")).where("k is not null")
+        rows = records.where("deleted = 0").select("id", by[name].alias("k"), day.alias("d"), (product_class(F.col("policy_type")) == other_class).alias("fits")).where("k is not null")
         width = max(1, days)
         bucket = F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / width)
         lend = rows.where("fits").groupBy("k", "d").agg(F.min("id").alias("low"), F.max("id").alias("high"))

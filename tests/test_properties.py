@@ -1,5 +1,8 @@
 """Laws of the ledger jobs on the driver's tables and on small frames."""
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.columns import cents
@@ -53,3 +56,20 @@ def test_fill_limits(spark):
 def test_priority(spark):
     df = spark.createDataFrame([(d,) for d in ("2026-06-01", "2026-06-24", "2026-06-25", "2026-07-17", "2026-07-18")], "d string").select(renewal.priority(F.col("d").cast("date"), "2026-06-17"))
     assert [r[0] for r in df.collect()] == [2, 2, 1, 1, 0]
+
+
+def test_related_by_applicant(spark):
+    """Policies that share an applicant only, dated by sign date, else start date, else creation."""
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    rows = [
+        (1, "A", day(0), day(300), day(300), "家财险"), (2, "A", day(20), day(0), day(0), "机动车商业保险"),
+        (3, "B", None, day(0), day(300), "家财险"), (4, "B", None, None, day(25), "机动车商业保险"),
+        (5, "C", day(0), day(0), day(0), "家财险"), (6, "C", day(90), day(0), day(0), "机动车商业保险"),
+        (7, "", day(0), day(0), day(0), "家财险"), (8, "", day(0), day(0), day(0), "机动车商业保险"),
+    ]
+    df = spark.createDataFrame(rows, "id long, applicant string, sign_date date, start_date date, created_day date, policy_type string")
+    df = df.withColumns({"plate_no": F.lit(""), "vin": F.lit(""), "deleted": F.lit(0)})
+    got = {r["id"] for r in fill.related(df, "commercial", 30, fill.RELATED_BY, fill.policy_day()).where("related").collect()}
+    assert got == {1, 3}
+    with pytest.raises(ValueError):
+        fill.related(df, "commercial", 30, ("owner",))
