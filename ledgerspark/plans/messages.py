@@ -25,6 +25,7 @@ CONFIGS = """SELECT CAST(n_nationkey AS BIGINT) AS config_id, CAST(CAST(floor(n_
 GROUPS = "SELECT 'r' || CAST(p_partkey % 30 AS STRING) AS roomid, CASE WHEN p_partkey % 3 = 0 THEN '出单 tz-' || CAST(p_partkey % 40 AS STRING) WHEN p_partkey % 3 = 1 THEN '出单TZ0' || CAST(p_partkey % 40 AS STRING) ELSE p_name END AS name FROM {part}"
 ENTERPRISES = "SELECT CAST(n_nationkey AS BIGINT) AS enterprise_id, CASE WHEN n_nationkey % 2 = 0 THEN 'TZ-' ELSE 'tz' END || CAST(n_nationkey AS STRING) AS enterprise_no FROM {nation}"
 TALK = "SELECT conv_id * 100 + turn AS message_id, 'r' || CAST(conv_id % 20 AS STRING) AS roomid, role AS sender, text FROM {conversations}"
+COMMANDS = "SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN '发送台账 今天' WHEN 1 THEN '发送台账本月' WHEN 2 THEN '发送台账6月' || CAST(1 + event_id % 35 AS STRING) || '日' WHEN 3 THEN '发送台账6月1日到' || CAST(event_id % 33 AS STRING) || '日' WHEN 4 THEN '发送台账2023年12月25日到2024年1月' || CAST(1 + event_id % 9 AS STRING) || '日' WHEN 5 THEN '发送台账' || CAST(event_id % 20 AS STRING) || '-' || CAST(event_id % 31 AS STRING) || '日' ELSE '台账' END AS text FROM {events}"
 RULES = [{"target": "de", "keywords": ["de"], "value_type": "text"}, {"target": "the", "keywords": ["the", "The"], "value_type": "text"}, {"target": "off", "keywords": ["of"], "enabled": False}]
 
 
@@ -44,6 +45,7 @@ QUERIES = {
     "M1_envelopes": lambda s, d: m.parse_envelopes(view(s, d, ENVELOPES)).select("id", "msgid", "action", "sender", "roomid", "msgtype", "type_name", "summary", F.element_at("content", F.lit("filename")).alias("filename")),
     "M2_first_of_sequence": lambda s, d: m.first_of_sequence(messages(s, d)).select("id", "corpid", "seq"),
     "M3_conversations": lambda s, d: m.conversations(messages(s, d)),
+    "M3_by_keyword": lambda s, d: m.conversations(messages(s, d), "u1", view(s, d, ROOMS)).unionByName(m.conversations(messages(s, d), "R", view(s, d, ROOMS))).select("conversation", "n").distinct(),
     "M4_search": lambda s, d: m.search(messages(s, d), kinds=["text", "file"], room="r3", keyword='"k": 8', page=1, size=20).select("id", "msgtype", "roomid"),
     "M5_type_counts": lambda s, d: m.type_counts(messages(s, d)),
     "M6_recent": lambda s, d: m.recent(messages(s, d), 25).select("id", "msgtype"),
@@ -59,14 +61,15 @@ QUERIES = {
     "M15_quotes": lambda s, d: m.parse_quotes(view(s, d, "SELECT o_orderkey AS id, '京A-' || lpad(CAST(o_custkey AS STRING), 5, '0') || CASE WHEN o_orderkey % 2 = 0 THEN ' 商业' || CAST(o_orderkey % 30 AS STRING) || ' 交强：4' ELSE ' hello' END || CASE WHEN o_orderkey % 3 = 0 THEN ' 13480707210 小张' ELSE '' END AS text FROM {orders}")).select("id", "plate", *[F.element_at("fields", F.lit(k)).alias(a) for k, a in (("政策商业险", "commercial"), ("政策强险", "compulsory"), ("电话", "phone"), ("业务渠道", "channel"))]),
     "M16_rules": lambda s, d: m.parse_with_rules(view(s, d, TALK), RULES, F.col("roomid")).select("message_id", "plate", F.element_at("fields", F.lit("de")).alias("de"), F.element_at("fields", F.lit("the")).alias("the")),
     "M17_plates": lambda s, d: view(s, d, "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'x 京 A-' || lpad(CAST(o_custkey AS STRING), 5, '0') || ' y' WHEN 1 THEN '车牌号: AB ' || CAST(o_custkey AS STRING) || ' 123456789' WHEN 2 THEN '车牌号是多少' ELSE 'none' END AS text FROM {orders}").select("id", m.extract_plate(F.col("text")).alias("plate")),
-    "M18_apply_quotes": lambda s, d: m.apply_quotes(records(s, d), view(s, d, "SELECT o_orderkey AS message_id, 'r' || CAST(o_custkey % 20 AS STRING) AS roomid, '京A' || lpad(CAST(o_custkey AS STRING), 6, '0') AS plate, CAST(o_orderkey AS STRING) AS fields FROM {orders} WHERE o_orderkey % 3 = 0"), 2),
-    "M19_commands": lambda s, d: m.ledger_commands(view(s, d, "SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN '发送台账 今天' WHEN 1 THEN '发送台账本月' WHEN 2 THEN '发送台账6月' || CAST(1 + event_id % 35 AS STRING) || '日' WHEN 3 THEN '发送台账6月1日到' || CAST(event_id % 33 AS STRING) || '日' WHEN 4 THEN '发送台账2023年12月25日到2024年1月' || CAST(1 + event_id % 9 AS STRING) || '日' WHEN 5 THEN '发送台账' || CAST(event_id % 20 AS STRING) || '-' || CAST(event_id % 31 AS STRING) || '日' ELSE '台账' END AS text FROM {events}"), "2024-01-17"),
+    "M18_apply_quotes": lambda s, d: m.apply_quotes(records(s, d), view(s, d, "SELECT o_orderkey AS message_id, 'r' || CAST(o_custkey % 20 AS STRING) AS roomid, '京A' || lpad(CAST(o_custkey AS STRING), 6, '0') AS plate, CAST(o_orderkey AS STRING) AS fields FROM {orders} WHERE o_orderkey % 3 = 0")),
+    "M19_commands": lambda s, d: m.ledger_commands(view(s, d, COMMANDS), "2024-01-17"),
     "M20_groups": lambda s, d: m.classify_groups(view(s, d, GROUPS), view(s, d, ENTERPRISES), view(s, d, CONFIGS)),
     "M21_notices": lambda s, d: m.room_notices(messages(s, d), view(s, d, "SELECT 'r' || CAST(n_nationkey AS STRING) AS roomid FROM {nation} WHERE n_nationkey % 2 = 0"), _candidate()),
     "M22_directory": lambda s, d: m.directory(messages(s, d), view(s, d, ROOMS), view(s, d, CACHE)),
 }
 
 _CONV = "CASE WHEN roomid <> '' THEN roomid ELSE least(sender, receiver) || '|' || greatest(sender, receiver) END"
+_PEERS = "min(CASE WHEN coalesce(roomid, '') = '' THEN least(sender, receiver) || ',' || greatest(sender, receiver) END)"
 _SCOPE = "SELECT id, CAST(config_id AS BIGINT) AS config_id FROM messages m JOIN (SELECT n_nationkey AS config_id, 'r' || n_nationkey AS roomid FROM nation WHERE n_nationkey % 6 <> 0 UNION SELECT n_nationkey, 'r' || (n_nationkey % 4) FROM nation WHERE n_nationkey % 6 <> 0) USING (roomid) UNION ALL SELECT id, n_nationkey FROM messages JOIN nation ON sender = 'u' || n_nationkey WHERE roomid = '' AND n_nationkey % 6 <> 0"
 
 ORACLE_SQL = {
@@ -74,7 +77,8 @@ ORACLE_SQL = {
       CASE event_type WHEN 'click' THEN 'text' WHEN 'purchase' THEN 'text' WHEN 'view' THEN 'file' WHEN 'signup' THEN 'voice' ELSE 'todo' END AS msgtype, CASE event_type WHEN 'click' THEN '文本' WHEN 'purchase' THEN '文本' WHEN 'view' THEN '文件' WHEN 'signup' THEN '语音' ELSE '待办' END AS type_name,
       CASE event_type WHEN 'click' THEN substr('text of ' || event_id || ' goes on and on and on and on and on and on and on', 1, 50) WHEN 'purchase' THEN '撤回了一条消息' WHEN 'view' THEN '[文件] f' || event_id || '.pdf' WHEN 'signup' THEN '[语音 ' || (event_id % 60) || '秒]' ELSE '[待办]' END AS summary, CASE WHEN event_type = 'view' THEN 'f' || event_id || '.pdf' END AS filename FROM events"""),
     "M2_first_of_sequence": sql("SELECT min(id) AS id, corpid, seq FROM messages GROUP BY corpid, seq"),
-    "M3_conversations": sql(f"SELECT {_CONV} AS conversation, count(*) AS n, max(sent_at) AS last_at, arg_max(msgtype, id) AS last_type, max(id) AS last_id, count(DISTINCT sender) AS senders FROM messages GROUP BY 1"),
+    "M3_conversations": sql(f"SELECT {_CONV} AS conversation, count(*) AS n, max(sent_at) AS last_at, arg_max(msgtype, id) AS last_type, max(id) AS last_id, count(DISTINCT sender) AS senders, {_PEERS} AS peers FROM messages GROUP BY 1"),
+    "M3_by_keyword": sql(f"SELECT conversation, n FROM (SELECT {_CONV} AS conversation, count(*) AS n FROM messages GROUP BY 1) LEFT JOIN rooms ON roomid = conversation WHERE contains(conversation, 'u1') OR contains(coalesce(room_name, ''), 'R')", rooms=ROOMS),
     "M4_search": sql("SELECT id, msgtype, roomid FROM messages WHERE msgtype IN ('text', 'file') AND roomid = 'r3' AND contains(props, '\"k\": 8') ORDER BY id DESC LIMIT 20"),
     "M5_type_counts": sql("SELECT corpid, msgtype, count(*) AS n FROM messages GROUP BY ROLLUP (corpid, msgtype)"),
     "M6_recent": sql("SELECT id, msgtype FROM messages ORDER BY id DESC LIMIT 25"),
@@ -89,7 +93,12 @@ ORACLE_SQL = {
     "M14_eligible": sql("SELECT message_id FROM talk WHERE NOT (contains(text, 'stupid') OR contains(text, 'worthless') OR contains(text, 'the a') OR text LIKE 'The%' OR sender LIKE 'assist%')", talk=TALK),
     "M15_quotes": sql("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '京A' || lpad(CAST(o_custkey AS VARCHAR), 5, '0') END AS plate, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 30 AS VARCHAR) END AS commercial, CASE WHEN o_orderkey % 2 = 0 THEN '4' END AS compulsory, CASE WHEN o_orderkey % 6 = 0 THEN '13480707210' END AS phone, CASE WHEN o_orderkey % 6 = 0 THEN '小张' END AS channel FROM orders"),
     "M17_plates": sql("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '京A' || lpad(CAST(o_custkey AS VARCHAR), 5, '0') WHEN 1 THEN 'AB' || CAST(o_custkey AS VARCHAR) END AS plate FROM orders"),
-    "M18_apply_quotes": sql("SELECT id, r.roomid, r.k, fields FROM (SELECT *, row_number() OVER (PARTITION BY roomid, k ORDER BY id DESC) AS place FROM (SELECT *, CASE WHEN plate_no IN ('', '新车') THEN NULL ELSE replace(plate_no, '-', '') END AS k FROM records WHERE deleted = 0 AND status IN ('done', 'success') AND roomid <> '') WHERE k IS NOT NULL) r JOIN (SELECT 'r' || (o_custkey % 20) AS roomid, '京A' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS k, CAST(max(o_orderkey) AS VARCHAR) AS fields FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2) q USING (roomid, k) WHERE place <= 2"),
+    "M18_apply_quotes": sql("SELECT id, r.roomid, r.k, fields FROM (SELECT *, row_number() OVER (PARTITION BY roomid, k ORDER BY id DESC) AS place FROM (SELECT *, CASE WHEN plate_no IN ('', '新车') THEN NULL ELSE replace(plate_no, '-', '') END AS k FROM records WHERE deleted = 0 AND status IN ('done', 'success') AND roomid <> '') WHERE k IS NOT NULL) r JOIN (SELECT 'r' || (o_custkey % 20) AS roomid, '京A' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS k, CAST(max(o_orderkey) AS VARCHAR) AS fields FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2) q USING (roomid, k) WHERE place <= 10"),
+    "M19_commands": sql("""SELECT id, CASE WHEN ok THEN label END AS label, CASE WHEN ok THEN first_day END AS first_day, CASE WHEN ok THEN last_day + 1 END AS end_day, text FROM (SELECT *, coalesce(last_day >= first_day, false) AS ok FROM (
+      SELECT id, text, CASE k WHEN 0 THEN '今日' WHEN 1 THEN '本月' WHEN 2 THEN '6月' || (1 + id % 35) || '日' WHEN 3 THEN '6月1日-' || (id % 33) || '日' WHEN 4 THEN '12月25日-1月' || (1 + id % 9) || '日' WHEN 5 THEN '1月' || (id % 20) || '日-' || (id % 31) || '日' END AS label,
+      CASE k WHEN 0 THEN DATE '2024-01-17' WHEN 1 THEN DATE '2024-01-01' WHEN 2 THEN CASE WHEN id % 35 < 30 THEN DATE '2024-06-01' + CAST(id % 35 AS INT) END WHEN 3 THEN DATE '2024-06-01' WHEN 4 THEN DATE '2023-12-25' WHEN 5 THEN CASE WHEN id % 20 > 0 THEN DATE '2023-12-31' + CAST(id % 20 AS INT) END END AS first_day,
+      CASE k WHEN 0 THEN DATE '2024-01-17' WHEN 1 THEN DATE '2024-01-31' WHEN 2 THEN CASE WHEN id % 35 < 30 THEN DATE '2024-06-01' + CAST(id % 35 AS INT) END WHEN 3 THEN CASE WHEN id % 33 BETWEEN 1 AND 30 THEN DATE '2024-05-31' + CAST(id % 33 AS INT) END WHEN 4 THEN DATE '2024-01-01' + CAST(id % 9 AS INT) WHEN 5 THEN CASE WHEN id % 31 > 0 THEN DATE '2023-12-31' + CAST(id % 31 AS INT) END END AS last_day
+      FROM (SELECT *, id % 7 AS k FROM c)))""", c=COMMANDS),
     "M20_groups": sql("""SELECT roomid, name, g.code, t.enterprise_id, config_id, CASE WHEN g.code IS NULL THEN 'none' WHEN t.enterprise_id IS NULL THEN 'no_enterprise' WHEN roomid = 'r' || config_id THEN 'already' ELSE 'will_add' END AS outcome
       FROM (SELECT *, CASE WHEN dig <> '' AND contains(name, '出单') THEN 'TZ' || CASE WHEN length(dig) < 3 THEN lpad(dig, 3, '0') ELSE dig END END AS code FROM (SELECT *, regexp_extract(name, '(?i)TZ-?(\\d+)', 1) AS dig FROM groups)) g
       LEFT JOIN (SELECT 'TZ' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS code, CAST(n_nationkey AS BIGINT) AS enterprise_id FROM nation) t ON t.code = g.code LEFT JOIN (SELECT CAST(n_nationkey // 2 AS BIGINT) AS enterprise_id, CAST(max(n_nationkey) AS BIGINT) AS config_id FROM nation WHERE n_nationkey % 6 <> 0 GROUP BY 1) c ON c.enterprise_id = t.enterprise_id""", groups=GROUPS),
