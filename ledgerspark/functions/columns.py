@@ -36,8 +36,8 @@ def normalize_plate(c: Column) -> Column:
 
 def plate_key(c: Column) -> Column:
     """A plate to match by: normalized, null for blanks and placeholders, so that those never form one huge key."""
-    plate = blank_to_null(normalize_plate(c))
-    return F.when(~plate.isin("*", "**", *[p.replace("-", "") for p in PLATE_PLACEHOLDERS]), plate)
+    plate = normalize_plate(c)
+    return F.when(~plate.isin("", "*", "**", *[p.replace("-", "") for p in PLATE_PLACEHOLDERS]), plate)
 
 
 def vin_key(c: Column) -> Column:

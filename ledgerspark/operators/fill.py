@@ -25,17 +25,29 @@ def newest(c: Column, order: str = "id") -> Column:
     return F.max_by(blank_to_null(c), F.when(blank_to_null(c).isNotNull(), F.col(order)))
 
 
-def fill_same_file(records: DataFrame, fields: list[str], names: list[str]) -> DataFrame:
-    """blanks take the first non-blank value of the same file hash; names the longest valid one.
+#: Fixed value: an insurer that readers take compulsory policies for by mistake.
+SUSPECT_INSURER = "平安"
 
+
+def fill_same_file(records: DataFrame, fields: list[str], names: list[str], suspect: str = SUSPECT_INSURER) -> DataFrame:
+    """blanks take the first non-blank value of the same file hash; names the longest valid one, which also replaces shorter ones.
+
+    A compulsory policy of the ``suspect`` insurer takes the insurer of the file's first policy of another one.
     Values are summed up by hash first and joined back; a blank hash fills nothing.
     """
     key = blank_to_null(F.col("file_md5"))
     aggs = [F.min_by(blank_to_null(F.col(c)), F.when(blank_to_null(F.col(c)).isNotNull(), F.col("id"))).alias(f"f_{c}") for c in fields]
     longest = [F.max_by(F.col(c), F.when(valid_name(F.col(c)), F.struct(F.length(c), -F.col("id")))).alias(f"f_{c}") for c in names]
-    pool = records.where(key.isNotNull()).groupBy(key.alias("f_key")).agg(*aggs, *longest)
+    company = blank_to_null(F.col("company_short"))
+    other = F.min_by(company, F.when(company.isNotNull() & ~F.contains(company, F.lit(suspect)), F.col("id"))).alias("f_company")
+    pool = records.where(key.isNotNull()).groupBy(key.alias("f_key")).agg(*aggs, *longest, other)
     joined = records.join(pool, key == F.col("f_key"), "left")
-    return joined.withColumns({c: F.coalesce(blank_to_null(F.col(c)), F.col(f"f_{c}")) for c in [*fields, *names]}).drop("f_key", *[f"f_{c}" for c in [*fields, *names]])
+    shorter = lambda c: F.length(F.col(f"f_{c}")) > F.length(F.coalesce(F.col(c), F.lit("")))
+    doubtful = (product_class(F.col("policy_type")) == "compulsory") & F.contains("company_short", F.lit(suspect)) & F.col("f_company").isNotNull()
+    new = {c: F.coalesce(blank_to_null(F.col(c)), F.col(f"f_{c}")) for c in fields}
+    new |= {c: F.when(shorter(c), F.col(f"f_{c}")).otherwise(blank_to_null(F.col(c))) for c in names}
+    new["company_short"] = F.when(doubtful, F.col("f_company")).otherwise(F.col("company_short"))
+    return joined.withColumns(new).drop("f_key", "f_company", *[f"f_{c}" for c in [*fields, *names]])
 
 
 def fill_by_key(records: DataFrame, key: Column, fields: list[str], guard: Column | None = None, candidates: int = CANDIDATES) -> DataFrame:
@@ -70,39 +82,53 @@ def fill_same_vin(records: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def fill_by_person(records: DataFrame, fields: list[str]) -> DataFrame:
-    """from records that share a person: motor policies first, the newest ``PERSON_CANDIDATES`` of each person.
+    """from the newest ``PERSON_CANDIDATES`` records that share a person with it, motor policies first.
 
-    People are exploded, so the nine comparisons of two records are one equi-join; lenders are ranked within the person first.
+    People are exploded, so the nine comparisons of two records are one equi-join; lenders are ranked within the person first, which
+    leaves all that can be among a record's newest, and then within the record.
     """
     people = F.array_distinct(F.filter(F.array(*[blank_to_null(F.col(c)) for c in ("insured", "applicant", "owner")]), lambda v: v.isNotNull()))
     motor = product_class(F.col("policy_type")).isin("compulsory", "commercial")
     named = records.select("id", "deleted", "status", motor.alias("motor"), *fields, F.explode(people).alias("person"))
     order = Window.partitionBy("person").orderBy(F.desc("motor"), F.desc("id"))
     lend = named.where("deleted = 0 and status in ('done', 'success')").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PERSON_CANDIDATES + 1)
-    pairs = named.select("id", "person").join(lend.withColumnRenamed("id", "from_id"), "person").where("id != from_id")
+    met = named.select("id", "person").join(lend.withColumnRenamed("id", "from_id"), "person").where("id != from_id").dropDuplicates(["id", "from_id"])
+    newest_first = Window.partitionBy("id").orderBy(F.desc("motor"), F.desc("from_id"))
+    pairs = met.withColumn("nth", F.row_number().over(newest_first)).where(F.col("nth") <= PERSON_CANDIDATES)
     rank = lambda c: F.when(blank_to_null(F.col(c)).isNotNull(), F.struct(F.col("motor"), F.col("from_id")))
     pool = pairs.groupBy("id").agg(*[F.max_by(blank_to_null(F.col(c)), rank(c)).alias(f"f_{c}") for c in fields])
     joined = records.join(pool, "id", "left")
     return joined.withColumns({c: F.coalesce(blank_to_null(F.col(c)), F.col(f"f_{c}")) for c in fields}).drop(*[f"f_{c}" for c in fields])
 
 
-def correct_parties(records: DataFrame) -> DataFrame:
-    """within a plate, motor policies take the longest valid insured name of motor policies; others take the newest motor one."""
+PARTIES = ("insured", "applicant", "owner")
+
+
+def correct_parties(records: DataFrame, parties: tuple[str, ...] = PARTIES, manual: str | None = None) -> DataFrame:
+    """within a plate, each party of motor policies takes the longest valid name that motor policies have for it, if that is
+    longer; others take the newest valid one of motor policies.  Fields edited by hand (``manual``) stay.
+    """
     key, motor = plate_key(F.col("plate_no")), product_class(F.col("policy_type")).isin("compulsory", "commercial")
     keyed = records.withColumns({"k": key, "motor": motor})
-    ok = F.col("motor") & valid_name(F.col("insured"))
-    pool = keyed.where("k is not null and deleted = 0").groupBy("k").agg(F.max_by("insured", F.when(ok, F.struct(F.length("insured"), "id"))).alias("longest"), F.max_by("insured", F.when(ok, F.col("id"))).alias("newest"))
-    better = F.when(F.col("motor"), F.when(F.length("longest") > F.length(F.coalesce("insured", F.lit(""))), F.col("longest"))).otherwise(F.col("newest"))
-    return keyed.join(pool, "k", "left").withColumn("insured", F.coalesce(better, "insured")).drop("k", "motor", "longest", "newest")
+    pool = []
+    for c in parties:
+        ok = F.col("motor") & valid_name(F.col(c))
+        pool += [F.max_by(c, F.when(ok, F.struct(F.length(c), "id"))).alias(f"l_{c}"), F.max_by(c, F.when(ok, F.col("id"))).alias(f"n_{c}")]
+    joined = keyed.join(keyed.where("k is not null and deleted = 0").groupBy("k").agg(*pool), "k", "left")
+    free = lambda c: ~F.array_contains(F.coalesce(F.col(manual), F.array().cast("array<string>")), c) if manual else F.lit(True)
+    better = lambda c: F.when(F.col("motor"), F.when(F.length(f"l_{c}") > F.length(F.coalesce(c, F.lit(""))), F.col(f"l_{c}"))).otherwise(F.col(f"n_{c}"))
+    return joined.withColumns({c: F.coalesce(F.when(free(c), better(c)), F.col(c)) for c in parties}).drop("k", "motor", *[f"{x}_{c}" for c in parties for x in "ln"])
 
 
-def reverse_fill(records: DataFrame, fields: list[str], manual: str = "manual_fields") -> DataFrame:
+def reverse_fill(records: DataFrame, fields: list[str], manual: str = "manual_fields", parties: tuple[str, ...] = PARTIES) -> DataFrame:
     """every blank takes the newest non-blank value of other records of the plate, older or newer, but not in hand-edited fields.
 
-    Filling on arrival depends on the order of arrival; this rule does not.  A blank field never has its own value in the pool.
+    Parties take valid names only; ``correct_parties`` with the same ``manual`` then puts shorter names right.  Filling on arrival depends on
+    the order of arrival; this rule does not.  A blank field never has its own value in the pool.
     """
     key = plate_key(F.col("plate_no"))
-    pool = records.where(key.isNotNull() & (F.col("deleted") == 0)).groupBy(key.alias("k")).agg(*[newest(F.col(c)).alias(f"f_{c}") for c in fields])
+    lent = lambda c: F.when(valid_name(F.col(c)), F.col(c)) if c in parties else F.col(c)
+    pool = records.where(key.isNotNull() & (F.col("deleted") == 0)).groupBy(key.alias("k")).agg(*[newest(lent(c)).alias(f"f_{c}") for c in fields])
     joined = records.join(pool, key == F.col("k"), "left")
     free = lambda c: ~F.array_contains(F.coalesce(F.col(manual), F.array().cast("array<string>")), c)
     return joined.withColumns({c: F.coalesce(blank_to_null(F.col(c)), F.when(free(c), F.col(f"f_{c}"))) for c in fields}).drop("k", *[f"f_{c}" for c in fields])
@@ -148,6 +174,8 @@ def siblings(records: DataFrame, index: str = "policy_index") -> DataFrame:
     return own.join(each, "file_md5").where((F.col("sibling_id") != F.col("id")) & (F.col("slot") != F.col("own_slot"))).groupBy("id").agg(F.array_sort(F.collect_list("sibling_id")).alias("sibling_ids"))
 
 
+#: Buckets of policies without a date, and of all policies of a key.
+_UNDATED, _ANY = -(1 << 40), -(1 << 41)
 #: Keys and day by which the source relates policies.
 RELATED_BY = ("plate", "vin", "applicant")
 
@@ -161,25 +189,23 @@ def related(records: DataFrame, other_class: str, days: int, keys: tuple[str, ..
     """whether another policy of a class exists for the same car or applicant, dated within ``days`` of this one.
 
     ``keys`` are some of ``RELATED_BY``, others are refused.  ``day`` is the start date unless given; the source takes ``policy_day()``.
-    A missing date fits.  For each key, records of the class are summed up by day, each record is compared with its key's days
-    through buckets of ``days`` width, so a key with very many policies does not meet itself; each key is an equi-join of its own.
+    A missing date fits.  Records of the class are summed up by key and day, each record is compared with its keys' days
+    through buckets of ``days`` width, so a key with very many policies does not meet itself; all keys go through one equi-join.
     """
     unknown = sorted(set(keys) - set(RELATED_BY))
     if unknown:
         raise ValueError(f"unknown keys: {unknown}")
     by = {"plate": plate_key(F.col("plate_no")), "vin": vin_key(F.col("vin")), "applicant": blank_to_null(F.col("applicant"))}
     day = F.col("start_date") if day is None else day
-    out = records.select("id").withColumn("related", F.lit(False))
-    hits = None
-    for name in keys:
-        rows = records.where("deleted = 0").select("id", by[name].alias("k"), day.alias("d"), (product_class(F.col("policy_type")) == other_class).alias("fits")).where("k is not null")
-        width = max(1, days)
-        bucket = F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / width)
-        lend = rows.where("fits").groupBy("k", "d").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        near = lend.where("d is not null").select(F.col("k").alias("lk"), F.col("d").alias("ld"), "low", "high", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("lb"))
-        dated = rows.where("d is not null").withColumn("b", bucket).join(near, (F.col("k") == F.col("lk")) & (F.col("b") == F.col("lb")) & (F.abs(F.datediff("d", "ld")) <= days)).where("low != id or high != id").select("id")
-        span = lend.groupBy(F.col("k").alias("lk")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.when(F.col("d").isNull(), F.col("low"))).alias("nl"), F.max(F.when(F.col("d").isNull(), F.col("high"))).alias("nh"))
-        missing = rows.join(span, F.col("k") == F.col("lk")).where("(d is null and (low != id or high != id)) or (nl is not null and (nl != id or nh != id))").select("id")
-        found = dated.unionByName(missing)
-        hits = found if hits is None else hits.unionByName(found)
-    return records.select("id").join(hits.distinct().withColumn("related", F.lit(True)), "id", "left").select("id", F.coalesce("related", F.lit(False)).alias("related")) if hits is not None else out
+    width = max(1, days)
+    taken = records.where("deleted = 0").select("id", *[by[name].alias(name) for name in keys], day.alias("d"), (product_class(F.col("policy_type")) == other_class).alias("fits"))
+    # Every key of a record is a row of one table, so all keys go through one join; keys of a kind begin alike.
+    named = F.array_compact(F.array(*[F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(name))) for name in keys]))
+    rows = taken.select("id", "d", "fits", F.explode(named).alias("k"), F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / width).alias("b"))
+    lend = rows.where("fits").groupBy("k", "d", "b").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    near = lend.select(F.col("k").alias("lk"), F.col("d").alias("ld"), "low", "high", F.explode(F.when(F.col("b").isNull(), F.array(F.lit(_UNDATED), F.lit(_ANY))).otherwise(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1, F.lit(_ANY)))).alias("lb"))
+    near = near.groupBy("lk", "lb", F.when(F.col("lb") != _ANY, F.col("ld")).alias("ld")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = rows.select("id", "k", "d", F.explode(F.when(F.col("b").isNull(), F.array(F.lit(_ANY))).otherwise(F.array(F.col("b"), F.lit(_UNDATED)))).alias("b"))
+    fits = F.col("d").isNull() | F.col("ld").isNull() | (F.abs(F.datediff("d", "ld")) <= days)
+    hits = asked.join(near, (F.col("k") == F.col("lk")) & (F.col("b") == F.col("lb")) & fits).where("low != id or high != id").select("id").distinct()
+    return records.select("id").join(hits.withColumn("related", F.lit(True)), "id", "left").select("id", F.coalesce("related", F.lit(False)).alias("related"))

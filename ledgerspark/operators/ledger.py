@@ -11,47 +11,70 @@ from ledgerspark.operators.analytics import POLICY, n
 STATUS_FOLDS = {"success": ("done", "success"), "done": ("done", "success")}
 
 
+#: Statuses of records that have no outcome yet or repeat another file.
+UNSETTLED = ("processing", "pending", "duplicate")
+#: Columns of ``predicates`` by the argument that seeks a part of them.
+PARTS = {
+    "company": "company_short", "policy_no": "policy_no", "product": "policy_type", "room": "roomid", "applicant": "applicant", "insured": "insured",
+    "owner": "owner", "vin": "vin", "filename": "filename",
+}
+#: Columns by the argument with their exact value, and by the argument with their span of days.
+EXACT = {"source": "source", "category": "doc_category", "engine": "ocr_engine", "enterprise_id": "enterprise_id", "short_name": "company_short", "sender": "sender"}
+SPANS = {"created": "created_day", "signed": "sign_date", "starts": "start_date", "ends": "end_date", "updated": "updated_day"}
+#: Columns that a keyword is sought in.
+KEYWORD = ("policy_no", "insured", "applicant", "plate_no", "filename", "company_short")
+
+
 def predicates(
     *,
-    source: str | None = None,
     status: str | None = None,
     keyword: str | None = None,
-    category: str | None = None,
+    keyword_in: tuple[str, ...] = KEYWORD,
     not_category: str | None = None,
-    company: str | None = None,
+    only_policies: bool = False,
     plate: str | None = None,
-    policy_no: str | None = None,
-    product: str | None = None,
+    salesperson: str | None = None,
+    salesperson_in: tuple[str, ...] = ("salesperson",),
     sort_class_is: str | None = None,
-    room: str | None = None,
+    where_from: str | None = None,
     senders: list[str] | None = None,
     user_ids: list[int] | None = None,
-    enterprise_id: int | None = None,
     abnormal: bool | None = None,
-    engine: str | None = None,
-    created: tuple[str, str] | None = None,
-    signed: tuple[str, str] | None = None,
-    ends: tuple[str, str] | None = None,
+    settled: bool = False,
+    **others: object,
 ) -> Column:
-    """L1: all given conditions, as one predicate on the records; date ranges take their first day and not their last."""
+    """L1: all given conditions, as one predicate on the records.
+
+    Besides those named here: parts of columns (``PARTS``), exact values (``EXACT``) and spans of days (``SPANS``), which take their
+    first day and not their last.  ``where_from`` is ``room`` or ``user`` (private messages).  ``settled`` leaves out records without an
+    outcome, and repeated files.  ``only_policies`` keeps blank categories too.  An empty list of senders or users finds nothing.
+    """
+    unknown = sorted(set(others) - set(PARTS) - set(EXACT) - set(SPANS))
+    if unknown:
+        raise ValueError(f"unknown conditions: {unknown}")
     out: list[Column] = [F.col("deleted") == 0]
-    like = lambda c, v: F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(v))
-    if source:
-        out.append(F.col("source") == source)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+
+    def in_any(names: tuple[str, ...], part: str) -> Column:
+        hit = F.lit(False)
+        for c in names:
+            hit = hit | F.contains(text(c), F.lit(part))
+        return hit
+
+    if settled:
+        out.append(~F.col("status").isin(*UNSETTLED))
     if status:
         out.append(F.col("status").isin(*STATUS_FOLDS.get(status, (status,))))
     if keyword:
-        hit = F.lit(False)
-        for c in ("policy_no", "insured", "applicant", "plate_no", "filename", "company_short"):
-            hit = hit | like(c, keyword)
-        out.append(hit)
-    if category:
-        out.append(F.col("doc_category") == category)
+        out.append(in_any(keyword_in, keyword))
+    if salesperson:
+        out.append(in_any(salesperson_in, salesperson))
     if not_category:
-        out.append(F.coalesce(F.col("doc_category"), F.lit("")) != not_category)
-    for c, v in (("company_short", company), ("policy_no", policy_no), ("policy_type", product), ("roomid", room)):
-        if v:
-            out.append(like(c, v))
+        out.append(text("doc_category") != not_category)
+    if only_policies:
+        out.append(text("doc_category").isin(POLICY, ""))
+    if where_from:
+        out.append((text("roomid") != "") == (where_from == "room"))
     if plate:
         out.append(F.contains(F.coalesce(normalize_plate(F.col("plate_no")), F.lit("")), normalize_plate(F.lit(plate))))
     if sort_class_is:
@@ -60,15 +83,18 @@ def predicates(
         out.append(F.col("sender").isin(senders))
     if user_ids is not None:
         out.append(F.col("user_id").isin(user_ids))
-    if enterprise_id is not None:
-        out.append(F.col("enterprise_id") == enterprise_id)
     if abnormal is not None:
         out.append(F.col("is_abnormal") == int(abnormal))
-    if engine:
-        out.append(F.col("ocr_engine") == engine)
-    for c, span in (("created_day", created), ("sign_date", signed), ("end_date", ends)):
-        if span:
-            out.append((F.col(c) >= F.lit(span[0]).cast("date")) & (F.col(c) < F.lit(span[1]).cast("date")))
+    for name, value in others.items():
+        if value is None or value == "":
+            continue
+        if name in PARTS:
+            out.append(F.contains(text(PARTS[name]), F.lit(value)))
+        elif name in EXACT:
+            out.append(F.col(EXACT[name]) == value)
+        else:
+            first, end = value
+            out.append((F.col(SPANS[name]) >= F.lit(first).cast("date")) & (F.col(SPANS[name]) < F.lit(end).cast("date")))
     both = out[0]
     for p in out[1:]:
         both = both & p
@@ -80,6 +106,12 @@ def search(records: DataFrame, **conditions) -> DataFrame:
     return records.where(predicates(**conditions))
 
 
+def reviewed(records: DataFrame, notes: DataFrame, today: str, done: bool = True) -> DataFrame:
+    """L1: records that have (or have not) an internal note of today."""
+    noted = notes.where(F.col("created_day") == F.lit(today).cast("date")).select(F.col("record_id").alias("id")).distinct()
+    return records.join(noted, "id", "left_semi" if done else "left_anti")
+
+
 def deduplicate(records: DataFrame) -> DataFrame:
     """L2: of policies with a number, the newest for each number and day; all other records stay.
 
@@ -141,28 +173,32 @@ def top_rooms(records: DataFrame, limit: int = 50) -> DataFrame:
 SHARED = ["company_short", "plate_no", "applicant", "insured", "owner", "salesperson"]
 
 
-def merge_by_car(records: DataFrame, order: str = "id", shared: list[str] | None = None) -> DataFrame:
+def merge_by_car(records: DataFrame, order: str = "id", shared: list[str] | None = None, own: dict[str, list[str]] | None = None) -> DataFrame:
     """One row a car: by plate, without one by frame number, without that by record.
 
     Shared fields are the first non-blank in input order; premiums add up by class, each policy number once (blank numbers
-    each time); policy numbers are the first by class.  The first record of a number is found by a partial minimum, so nothing is gathered.
+    each time); policy numbers are the first by class.  ``own`` has, by class label, further fields that are kept by class, the first
+    non-blank each, as ``<class>_<field>``.  Records are summed up by car and number first, then by car, so the table is read once and
+    a car with very many records is reduced before it is put together; only its ids are gathered.
     """
+    names = {"商业险": "commercial", "交强险": "compulsory", "非车险": "other"}
     key = F.coalesce(plate_key(F.col("plate_no")), F.concat(F.lit("vin:"), vin_key(F.col("vin"))), F.concat(F.lit("#"), F.col("id").cast("string")))
     label = F.lit(None).cast("string")
     for kind, name in CLASS_LABELS.items():
-        label = F.when(product_class(F.col("policy_type")) == kind, name).otherwise(label)
-    keyed = records.withColumns({"car": key, "label": label, "number": F.coalesce(blank_to_null(F.col("policy_no")), F.concat(F.lit("#"), F.col("id").cast("string")))})
-    once = keyed.groupBy("car", "number").agg(F.min_by(F.struct("label", cents(F.col("total_premium")).alias("cents")), order).alias("first"))
-    names = {"商业险": "commercial", "交强险": "compulsory", "非车险": "other"}
-    sums = once.groupBy("car").agg(*[F.coalesce(F.sum(F.when(F.col("first.label") == k, F.col("first.cents"))), F.lit(0)).alias(f"{v}_cents") for k, v in names.items()])
-
-    def first(c: Column) -> Column:
-        return F.min_by(c, F.when(c.isNotNull(), F.col(order)))
-
-    fields = [first(blank_to_null(F.col(c))).alias(c) for c in (shared or SHARED)]
-    numbers = [first(F.when(F.col("label") == k, blank_to_null(F.col("policy_no")))).alias(f"{v}_policy_no") for k, v in names.items()]
-    rest = keyed.groupBy("car").agg(*fields, *numbers, F.min("id").alias("first_id"), n().alias("n_records"), F.array_sort(F.collect_list("id")).alias("record_ids"))
-    return rest.join(sums, "car")
+        label = F.when(F.col("__class") == kind, name).otherwise(label)
+    number = F.coalesce(blank_to_null(F.col("policy_no")), F.concat(F.lit("#"), F.col("id").cast("string")))
+    keyed = records.withColumn("__class", product_class(F.col("policy_type"))).withColumns({"car": key, "label": label, "number": number})
+    taken = {c: blank_to_null(F.col(c)) for c in (shared or SHARED)}
+    taken |= {f"{v}_policy_no": F.when(F.col("label") == k, blank_to_null(F.col("policy_no"))) for k, v in names.items()}
+    taken |= {f"{names[k]}_{c}": F.when(F.col("label") == k, blank_to_null(F.col(c))) for k, cs in (own or {}).items() for c in cs}
+    first = lambda c: F.min(F.when(c.isNotNull(), F.struct(F.col(order).alias("o"), c.alias("v"))))
+    each = keyed.groupBy("car", "number").agg(
+        F.min(F.struct(F.col(order).alias("o"), "label", cents(F.col("total_premium")).alias("cents"))).alias("__first"),
+        *[first(c).alias(name) for name, c in taken.items()], F.min("id").alias("first_id"), n().alias("n_records"), F.collect_list("id").alias("ids"),
+    )
+    sums = [F.coalesce(F.sum(F.when(F.col("__first.label") == k, F.col("__first.cents"))), F.lit(0)).alias(f"{v}_cents") for k, v in names.items()]
+    whole = each.groupBy("car").agg(*[F.min(c).alias(c) for c in taken], F.min("first_id").alias("first_id"), F.sum("n_records").alias("n_records"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("record_ids"), *sums)
+    return whole.withColumns({c: F.col(c)["v"] for c in taken})
 
 
 def plain_order(records: DataFrame) -> DataFrame:
@@ -175,7 +211,8 @@ def companies(records: DataFrame, **visible) -> DataFrame:
     return search(records, **visible).where("company_short != ''").select("company_short").distinct()
 
 
-CORPORATE = "公司|企业|厂|店|中心|合作社|Customer#0000000"
+# Words of corporate names.
+CORPORATE = "公司|企业|厂|店|中心|合作社"
 
 
 def seal_groups(records: DataFrame, merging: list[int], pattern: str = CORPORATE) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import fill, ledger
 from ledgerspark.plans.analytics import CENTS, CLASS, USERS, sql
-from ledgerspark.plans.proxies import records, view
+from ledgerspark.plans.proxies import TODAY, records, view
 
 PLATE = "CASE WHEN plate_no IN ('', '新车') THEN NULL ELSE upper(replace(plate_no, '-', '')) END"
 VIN = "CASE WHEN length(vin) >= 10 THEN upper(vin) END"
@@ -16,17 +16,28 @@ NUMBERED = "(coalesce(doc_category, '') = '保单' AND coalesce(policy_no, '') <
 BUCKET = "CASE WHEN status = 'failed' THEN 'failed' WHEN status NOT IN ('done', 'success') THEN 'other' WHEN coalesce(doc_category, '') NOT IN ('', '保单') THEN 'non_policy' WHEN is_abnormal = 1 THEN 'abnormal' ELSE 'success' END"
 VALID = "(length({0}) BETWEEN 2 AND 40 AND NOT regexp_matches({0}, '^[0-9\\s]|[:：;；,，。]|(?:地址|电话|证件|号码|日期)'))"
 ROOMS = "SELECT 'r' || CAST(n_nationkey AS STRING) AS roomid, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS room_name FROM {nation}"
+NOTES = "SELECT l_orderkey AS record_id, CAST('2001-07-26' AS DATE) + l_linenumber AS created_day FROM {lineitem}"
 CHECKS = "SELECT l_orderkey AS record_id FROM {lineitem} WHERE l_returnflag = 'R'"
 BINDINGS = "SELECT 's' || CAST(s_suppkey % 45 AS STRING) AS sender, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(s_nationkey AS BIGINT) END AS enterprise_id, CASE WHEN s_suppkey % 2 = 0 THEN 'alias' || CAST(s_suppkey AS STRING) ELSE '' END AS alias, s_suppkey AS user_id FROM {supplier}"
 FIELDS = ["owner", "id_number", "salesperson"]
 
 
+#: Customers of two market segments are companies in the queries of stamp tasks.
+CORPORATE = "insured <> '' AND policy_type IN ('家财险', '机动车商业保险')"
+
+
+def corporate(s, d):
+    return records(s, d).withColumn("insured", F.when(F.expr(CORPORATE), F.concat("insured", F.lit("公司"))).otherwise(F.col("insured")))
+
+
 def _manual(df):
     return df.withColumn("manual_fields", F.when(F.col("id") % 4 == 0, F.array(F.lit("owner"))))
 
 
 QUERIES = {
     "L1_search": lambda s, d: ledger.search(records(s, d), status="done", keyword="Customer#00000", not_category="批单", plate="京a-0000", signed=("1998-01-01", "1999-01-01"), abnormal=False).select("id", "policy_no", "plate_no"),
+    "L1_visible": lambda s, d: ledger.search(records(s, d).withColumn("updated_day", F.date_add("created_day", 3)), settled=True, only_policies=True, applicant="Customer", insured="01", salesperson="S1", where_from="room", starts=("1996-01-01", "2001-01-01"), updated=("1996-06-01", "2000-06-01"), user_ids=list(range(30)), vin="lsva").select("id"),
+    "L1_reviewed": lambda s, d: ledger.reviewed(records(s, d), view(s, d, NOTES), TODAY, False).select("id"),
     "L2_deduplicate": lambda s, d: ledger.deduplicate(records(s, d)).select("id", "policy_no", "created_day"),
     "L3_sort_by_anchor": lambda s, d: ledger.sort_by_anchor(records(s, d)).select("id", "anchor", "plate_no"),
     "L4_enrich": lambda s, d: ledger.enrich(records(s, d), view(s, d, ROOMS), view(s, d, CHECKS), view(s, d, USERS)).select("id", "room_name", "checked", "user_name"),
@@ -36,15 +47,16 @@ QUERIES = {
     "L7_engines": lambda s, d: ledger.engine_counts(records(s, d)),
     "L7_rooms": lambda s, d: ledger.top_rooms(records(s, d)),
     "L8_merge_by_car": lambda s, d: ledger.merge_by_car(records(s, d).where("deleted = 0")).withColumn("record_ids", F.concat_ws(",", "record_ids")),
+    "L8_merge_own": lambda s, d: ledger.merge_by_car(records(s, d).where("deleted = 0"), own={"商业险": ["insured"], "非车险": ["company_short", "vin"]}).select("car", "n_records", "commercial_insured", "other_company_short", "other_vin"),
     "L9_plain_order": lambda s, d: ledger.plain_order(records(s, d)).select("id", "plate_no", "policy_type"),
     "L10_companies": lambda s, d: ledger.companies(records(s, d), enterprise_id=7),
-    "L11_seal_groups": lambda s, d: ledger.seal_groups(records(s, d), list(range(12))),
+    "L11_seal_groups": lambda s, d: ledger.seal_groups(corporate(s, d), list(range(12))),
     "L12_sender_names": lambda s, d: ledger.sender_names(records(s, d), view(s, d, BINDINGS), view(s, d, USERS)).select("id", "sender", "sender_name"),
-    "F1_same_file": lambda s, d: fill.fill_same_file(records(s, d), ["id_number", "salesperson"], ["insured", "owner"]).select("id", "id_number", "salesperson", "insured", "owner"),
+    "F1_same_file": lambda s, d: fill.fill_same_file(records(s, d), ["id_number", "salesperson"], ["insured", "owner"], "URGENT").select("id", "id_number", "salesperson", "insured", "owner", "company_short"),
     "F2_same_plate": lambda s, d: fill.fill_same_plate(records(s, d), FIELDS).select("id", *FIELDS),
     "F3_same_vin": lambda s, d: fill.fill_same_vin(records(s, d), ["plate_no", *FIELDS]).select("id", "plate_no", *FIELDS),
     "F4_by_person": lambda s, d: fill.fill_by_person(records(s, d), ["id_number", "salesperson"]).select("id", "id_number", "salesperson"),
-    "F5_correct_parties": lambda s, d: fill.correct_parties(records(s, d)).select("id", "insured"),
+    "F5_correct_parties": lambda s, d: fill.correct_parties(_manual(records(s, d)), manual="manual_fields").select("id", *fill.PARTIES),
     "F6_reverse_fill": lambda s, d: fill.reverse_fill(_manual(records(s, d)), FIELDS).select("id", *FIELDS),
     "F7_plate_pool": lambda s, d: fill.plate_pool(records(s, d), FIELDS),
     "F8_vin_pool": lambda s, d: fill.vin_pool(records(s, d)),
@@ -71,6 +83,8 @@ def _pool(key: str, fields: list[str], guard: str) -> str:
 
 ORACLE_SQL = {
     "L1_search": sql("SELECT id, policy_no, plate_no FROM records WHERE deleted = 0 AND status IN ('done', 'success') AND coalesce(doc_category, '') <> '批单' AND (policy_no || '|' || insured || '|' || applicant || '|' || plate_no || '|' || filename || '|' || company_short) LIKE '%Customer#00000%' AND replace(plate_no, '-', '') LIKE '%京A0000%' AND sign_date >= DATE '1998-01-01' AND sign_date < DATE '1999-01-01' AND is_abnormal = 0"),
+    "L1_visible": sql("SELECT id FROM records WHERE deleted = 0 AND status NOT IN ('processing', 'pending', 'duplicate') AND coalesce(doc_category, '') IN ('', '保单') AND contains(applicant, 'Customer') AND contains(insured, '01') AND contains(salesperson, 'S1') AND roomid <> '' AND start_date >= DATE '1996-01-01' AND start_date < DATE '2001-01-01' AND created_day + 3 >= DATE '1996-06-01' AND created_day + 3 < DATE '2000-06-01' AND user_id < 30 AND contains(vin, 'lsva')"),
+    "L1_reviewed": sql(f"SELECT id FROM records WHERE id NOT IN (SELECT record_id FROM notes WHERE created_day = DATE '{TODAY}')", notes=NOTES),
     "L2_deduplicate": sql(f"SELECT id, policy_no, created_day FROM (SELECT *, row_number() OVER (PARTITION BY policy_no, created_day ORDER BY id DESC) AS k FROM records WHERE {NUMBERED}) WHERE k = 1 UNION ALL SELECT id, policy_no, created_day FROM records WHERE NOT {NUMBERED}"),
     "L3_sort_by_anchor": sql(f"SELECT id, max(created_day) OVER (PARTITION BY coalesce({PLATE}, '#' || CAST(id AS VARCHAR))) AS anchor, plate_no FROM records"),
     "L4_enrich": sql("SELECT id, coalesce(NULLIF(room_name, ''), r.roomid) AS room_name, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = r.id AND l_returnflag = 'R') AS checked, user_name FROM records r LEFT JOIN rooms USING (roomid) LEFT JOIN users u ON u.user_id = r.user_id", rooms=ROOMS, users=USERS),
@@ -81,17 +95,18 @@ ORACLE_SQL = {
     "L7_rooms": sql("SELECT roomid, count(*) AS n FROM records WHERE deleted = 0 AND roomid <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"),
     "L8_merge_by_car": sql(f"""SELECT a.*, commercial_cents, compulsory_cents, other_cents FROM (SELECT car, {", ".join(f"{_FIRST(c)} AS {c}" for c in ledger.SHARED)}, {", ".join(f"arg_min(NULLIF(policy_no, ''), id) FILTER (policy_no <> '' AND label = '{k}') AS {v}_policy_no" for k, v in (("商业险", "commercial"), ("交强险", "compulsory"), ("非车险", "other")))}, min(id) AS first_id, count(*) AS n_records, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS record_ids FROM keyed GROUP BY car) a
       JOIN (SELECT car, {", ".join(f"CAST(coalesce(sum(cents) FILTER (label = '{k}'), 0) AS BIGINT) AS {v}_cents" for k, v in (("商业险", "commercial"), ("交强险", "compulsory"), ("非车险", "other")))} FROM (SELECT *, row_number() OVER (PARTITION BY car, number ORDER BY id) AS k FROM keyed) WHERE k = 1 GROUP BY car) b USING (car)""", keyed=f"SELECT *, coalesce({PLATE}, 'vin:' || ({VIN}), '#' || CAST(id AS VARCHAR)) AS car, {LABEL} AS label, coalesce(NULLIF(policy_no, ''), '#' || CAST(id AS VARCHAR)) AS number, {CENTS} AS cents FROM records WHERE deleted = 0"),
+    "L8_merge_own": sql(f"SELECT car, count(*) AS n_records, arg_min(insured, id) FILTER (label = '商业险' AND insured <> '') AS commercial_insured, arg_min(company_short, id) FILTER (label = '非车险' AND company_short <> '') AS other_company_short, arg_min(vin, id) FILTER (label = '非车险' AND vin <> '') AS other_vin FROM (SELECT *, coalesce({PLATE}, 'vin:' || ({VIN}), '#' || CAST(id AS VARCHAR)) AS car, {LABEL} AS label FROM records WHERE deleted = 0) GROUP BY car"),
     "L9_plain_order": sql("SELECT id, plate_no, policy_type FROM records"),
     "L10_companies": sql("SELECT DISTINCT company_short FROM records WHERE deleted = 0 AND enterprise_id = 7 AND company_short <> ''"),
-    "L11_seal_groups": sql(f"SELECT enterprise_id, seal_key, coalesce(array_to_string(list_sort(list_distinct(list(policy_type) FILTER (policy_type <> ''))), '、'), '') AS products, coalesce(array_to_string(list_sort(list_distinct(list(company_short) FILTER (company_short <> ''))), '、'), '') AS insurers, bool_and(seal_paid = 1) AS paid, count(*) AS children, min(id) AS first_id, coalesce(CAST(CAST(sum({CENTS}) AS BIGINT) AS VARCHAR), min(total_premium)) AS premium FROM (SELECT *, CASE WHEN enterprise_id < 12 THEN coalesce({PLATE}, {VIN}, CAST(id AS VARCHAR)) || '|' || coalesce(CAST(sign_date AS VARCHAR), '') ELSE '#' || CAST(id AS VARCHAR) END AS seal_key FROM records WHERE insured LIKE '%Customer#0000000%' AND deleted = 0 AND status = 'done') GROUP BY 1, 2"),
+    "L11_seal_groups": sql(f"SELECT enterprise_id, seal_key, coalesce(array_to_string(list_sort(list_distinct(list(policy_type) FILTER (policy_type <> ''))), '、'), '') AS products, coalesce(array_to_string(list_sort(list_distinct(list(company_short) FILTER (company_short <> ''))), '、'), '') AS insurers, bool_and(seal_paid = 1) AS paid, count(*) AS children, min(id) AS first_id, coalesce(CAST(CAST(sum({CENTS}) AS BIGINT) AS VARCHAR), min(total_premium)) AS premium FROM (SELECT *, CASE WHEN enterprise_id < 12 THEN coalesce({PLATE}, {VIN}, CAST(id AS VARCHAR)) || '|' || coalesce(CAST(sign_date AS VARCHAR), '') ELSE '#' || CAST(id AS VARCHAR) END AS seal_key FROM records WHERE {CORPORATE} AND deleted = 0 AND status = 'done') GROUP BY 1, 2"),
     "L12_sender_names": sql("SELECT id, r.sender, coalesce(o.v, e.v, r.sender) AS sender_name FROM records r LEFT JOIN (SELECT sender, enterprise_id, min(v) AS v FROM named WHERE enterprise_id IS NOT NULL GROUP BY 1, 2) o ON o.sender = r.sender AND o.enterprise_id = r.enterprise_id LEFT JOIN (SELECT sender, min(v) AS v FROM named WHERE enterprise_id IS NULL GROUP BY 1) e ON e.sender = r.sender", named="SELECT b.sender, b.enterprise_id, coalesce(NULLIF(alias, ''), NULLIF(user_name, '')) AS v FROM (" + BINDINGS + ") b LEFT JOIN (" + USERS + ") u ON u.user_id = b.user_id"),
-    "F1_same_file": sql(f"SELECT id, coalesce(NULLIF(id_number, ''), a) AS id_number, coalesce(NULLIF(salesperson, ''), b) AS salesperson, coalesce(NULLIF(insured, ''), c) AS insured, coalesce(NULLIF(owner, ''), d) AS owner FROM records LEFT JOIN (SELECT file_md5, {_FIRST('id_number')} AS a, {_FIRST('salesperson')} AS b, {_LONGEST('insured')} AS c, {_LONGEST('owner')} AS d FROM records WHERE file_md5 <> '' GROUP BY 1) p USING (file_md5)"),
+    "F1_same_file": sql(f"SELECT id, coalesce(NULLIF(id_number, ''), a) AS id_number, coalesce(NULLIF(salesperson, ''), b) AS salesperson, CASE WHEN length(c) > length(insured) THEN c ELSE NULLIF(insured, '') END AS insured, CASE WHEN length(d) > length(owner) THEN d ELSE NULLIF(owner, '') END AS owner, CASE WHEN {CLASS} = 'compulsory' AND contains(company_short, 'URGENT') AND e IS NOT NULL THEN e ELSE company_short END AS company_short FROM records LEFT JOIN (SELECT file_md5, arg_min(company_short, id) FILTER (company_short <> '' AND NOT contains(company_short, 'URGENT')) AS e, {_FIRST('id_number')} AS a, {_FIRST('salesperson')} AS b, {_LONGEST('insured')} AS c, {_LONGEST('owner')} AS d FROM records WHERE file_md5 <> '' GROUP BY 1) p USING (file_md5)"),
     "F2_same_plate": sql(_pool(PLATE, FIELDS, "(p.g IS NULL OR r.g IS NULL OR p.g = r.g)")),
     "F3_same_vin": sql(_pool(VIN, ["plate_no", *FIELDS], "true")),
     "F4_by_person": sql("""SELECT r.id, coalesce(NULLIF(any_value(r.id_number), ''), (max({'m': p.motor, 'i': p.id, 'v': p.id_number}) FILTER (p.id_number <> '')).v) AS id_number, coalesce(NULLIF(any_value(r.salesperson), ''), (max({'m': p.motor, 'i': p.id, 'v': p.salesperson}) FILTER (p.salesperson <> '')).v) AS salesperson
-      FROM records r LEFT JOIN named a ON a.id = r.id LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY person ORDER BY motor DESC, id DESC) AS place FROM named WHERE deleted = 0 AND status IN ('done', 'success')) p ON p.person = a.person AND p.id <> r.id AND p.place <= 21 GROUP BY r.id""", named=f"SELECT id, deleted, status, motor, id_number, salesperson, unnest(list_distinct(list_filter([insured, applicant, owner], lambda x: x <> ''))) AS person FROM (SELECT *, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records) t"),
-    "F5_correct_parties": sql(f"SELECT id, coalesce(CASE WHEN motor THEN CASE WHEN length(longest) > length(coalesce(insured, '')) THEN longest END ELSE newest END, insured) AS insured FROM (SELECT *, {PLATE} AS k, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records) r LEFT JOIN (SELECT k, (max({{'l': length(insured), 'i': id, 'v': insured}}) FILTER (ok)).v AS longest, arg_max(insured, id) FILTER (ok) AS newest FROM (SELECT *, {PLATE} AS k, {CLASS} IN ('compulsory', 'commercial') AND {VALID.format('insured')} AS ok FROM records WHERE deleted = 0) WHERE k IS NOT NULL GROUP BY 1) p USING (k)"),
-    "F6_reverse_fill": sql(f"SELECT id, coalesce(NULLIF(owner, ''), CASE WHEN id % 4 <> 0 THEN f_owner END) AS owner, coalesce(NULLIF(id_number, ''), f_id_number) AS id_number, coalesce(NULLIF(salesperson, ''), f_salesperson) AS salesperson FROM (SELECT *, {PLATE} AS k FROM records) r LEFT JOIN (SELECT {PLATE} AS k, {', '.join(f'{_NEW(c)} AS f_{c}' for c in FIELDS)} FROM records WHERE deleted = 0 GROUP BY 1) p USING (k)"),
+      FROM records r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY motor DESC, id DESC) AS nth FROM (SELECT DISTINCT a.id AS rid, p.id, p.motor, p.id_number, p.salesperson FROM named a JOIN named p ON p.person = a.person AND p.id <> a.id AND p.deleted = 0 AND p.status IN ('done', 'success'))) p ON p.rid = r.id AND p.nth <= 20 GROUP BY r.id""", named=f"SELECT id, deleted, status, motor, id_number, salesperson, unnest(list_distinct(list_filter([insured, applicant, owner], lambda x: x <> ''))) AS person FROM (SELECT *, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records) t"),
+    "F5_correct_parties": sql("SELECT id, " + ", ".join(f"coalesce({'CASE WHEN id % 4 = 0 THEN NULL ELSE ' if c == 'owner' else ''}CASE WHEN motor THEN CASE WHEN length(l_{c}) > length({c}) THEN l_{c} END ELSE n_{c} END{' END' if c == 'owner' else ''}, {c}) AS {c}" for c in fill.PARTIES) + f" FROM (SELECT *, {PLATE} AS k, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records) r LEFT JOIN (SELECT k, " + ", ".join(f"(max({{'l': length({c}), 'i': id, 'v': {c}}}) FILTER (motor AND {VALID.format(c)})).v AS l_{c}, arg_max({c}, id) FILTER (motor AND {VALID.format(c)}) AS n_{c}" for c in fill.PARTIES) + f" FROM (SELECT *, {PLATE} AS k, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records WHERE deleted = 0) WHERE k IS NOT NULL GROUP BY 1) p USING (k)"),
+    "F6_reverse_fill": sql(f"SELECT id, coalesce(NULLIF(owner, ''), CASE WHEN id % 4 <> 0 THEN f_owner END) AS owner, coalesce(NULLIF(id_number, ''), f_id_number) AS id_number, coalesce(NULLIF(salesperson, ''), f_salesperson) AS salesperson FROM (SELECT *, {PLATE} AS k FROM records) r LEFT JOIN (SELECT {PLATE} AS k, {', '.join(f'{_NEW(c)} AS f_{c}' for c in FIELDS)} FROM (SELECT * REPLACE (CASE WHEN " + VALID.format('owner') + " THEN owner END AS owner) FROM records) WHERE deleted = 0 GROUP BY 1) p USING (k)"),
     "F7_plate_pool": sql(f"SELECT {PLATE} AS plate, {', '.join(f'{_NEW(c)} AS {c}' for c in FIELDS)} FROM records WHERE deleted = 0 AND {PLATE} IS NOT NULL GROUP BY 1"),
     "F8_vin_pool": sql(f"SELECT {VIN} AS vin, arg_max({PLATE}, id) FILTER ({PLATE} IS NOT NULL) AS plate, {_NEW('owner')} AS owner, {_NEW('id_number')} AS id_number FROM records WHERE deleted = 0 AND {VIN} IS NOT NULL GROUP BY 1"),
     "F9_compulsory_end": sql(f"SELECT {PLATE} AS plate, max(end_date) AS end_date, (max({{'d': end_date, 'i': id}})).i AS record_id FROM records WHERE deleted = 0 AND {CLASS} = 'compulsory' AND {PLATE} IS NOT NULL GROUP BY 1"),

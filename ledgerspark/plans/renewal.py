@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import ledger, renewal
 from ledgerspark.plans.analytics import CENTS, sql
-from ledgerspark.plans.ledger import BINDINGS, PLATE, VIN
+from ledgerspark.plans.ledger import BINDINGS, CORPORATE, PLATE, VIN, corporate
 from ledgerspark.plans.proxies import TODAY, records, view
 
 NOW = "2000-06-15"
@@ -17,8 +17,8 @@ TASKS = """SELECT task_id, customer_key, policy_type, enterprise_id, end_date, p
   CASE c_custkey % 5 WHEN 0 THEN 'renewed' WHEN 1 THEN 'lost' WHEN 2 THEN 'following' ELSE 'pending' END AS status, CAST('2000-06-15' AS DATE) - CAST(c_custkey % 40 AS INT) AS updated_day FROM {customer} WHERE c_custkey % 2 = 0) t"""
 USERS_OPT = "SELECT s_suppkey - 1 AS user_id, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END AS renewal_enabled FROM {supplier}"
 LOG = "SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST('2000-06-15' AS DATE) ELSE CAST('2000-06-14' AS DATE) END AS remind_date FROM {orders} WHERE o_orderkey % 7 = 1"
-FOLLOWUPS = "SELECT l_orderkey * 10 + l_linenumber AS followup_id, l_partkey AS task_id, l_returnflag || CAST(l_orderkey AS STRING) AS content, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS next_remind_at FROM {lineitem} WHERE l_orderkey % 10 = 0"
-TENANT_NOTES = """SELECT CAST(n_nationkey AS BIGINT) AS enterprise_id, CASE WHEN n_nationkey % 3 = 0 THEN '[{{"date":"2000-06-14","text":"old"}},{{"date":"2000-06-15","text":"' || n_name || '"}},{{"date":"2000-06-15","text":"later"}}]' WHEN n_nationkey % 3 = 1 THEN '[{{"date":"2000-06-13","text":"x"}}]' END AS remark FROM {nation}"""
+FOLLOWUPS = "SELECT l_orderkey * 10 + l_linenumber AS followup_id, l_partkey AS task_id, l_returnflag || CAST(l_orderkey AS STRING) AS content, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS next_remind_at FROM {lineitem}"
+TENANT_NOTES = """SELECT c_custkey AS enterprise_id, CASE WHEN c_custkey % 3 = 0 THEN '[{{"date":"2000-06-14","text":"old"}},{{"date":"2000-06-15","text":"' || c_name || '"}},{{"date":"2000-06-15","text":"later"}}]' WHEN c_custkey % 3 = 1 THEN '[{{"date":"2000-06-13","text":"x"}}]' END AS remark FROM {customer}"""
 
 POLICIES = "deleted = 0 AND status IN ('done', 'success') AND doc_category = '保单'"
 KEY = f"coalesce({PLATE}, {VIN})"
@@ -34,7 +34,7 @@ def _found(s, d):
 
 
 def _seal(s, d):
-    return ledger.seal_groups(records(s, d), list(range(12)))
+    return ledger.seal_groups(corporate(s, d), list(range(12)))
 
 
 def _merged(s, d):
@@ -75,9 +75,9 @@ ORACLE_SQL = {
     "R8_reminders": sql(f"SELECT id, policy_no, plate_no FROM ({REMIND})", tasks=TASKS, log=LOG),
     "R9_digest": sql(f"""SELECT enterprise_id, sender, CAST(sum(n) AS BIGINT) AS n_policies, string_agg(t, chr(10) ORDER BY s) AS text FROM (SELECT enterprise_id, sender, s, count(*) AS n, '[' || ['overdue', 'soon', 'later'][s + 1] || ']' || chr(10) || string_agg(coalesce(NULLIF(plate_no, ''), '-') || ' ' || policy_no || ' ' || CAST(end_date AS VARCHAR), chr(10) ORDER BY end_date, policy_no, id) AS t
       FROM (SELECT *, CASE WHEN end_date < DATE '{NOW}' THEN 0 WHEN end_date - DATE '{NOW}' <= 7 THEN 1 ELSE 2 END AS s FROM ({REMIND})) GROUP BY 1, 2, 3) GROUP BY 1, 2""", tasks=TASKS, log=LOG),
-    "R10_seal_digest": sql(f"SELECT enterprise_id, coalesce(string_agg(seal_key || ' ' || premium, chr(10) ORDER BY first_id) FILTER (k <= 10), '') AS text, greatest(count(*) - 10, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY enterprise_id ORDER BY first_id) AS k FROM (SELECT enterprise_id, seal_key, bool_and(seal_paid = 1) AS paid, min(id) AS first_id, coalesce(CAST(CAST(sum({CENTS}) AS BIGINT) AS VARCHAR), min(total_premium)) AS premium FROM (SELECT *, CASE WHEN enterprise_id < 12 THEN coalesce({PLATE}, {VIN}, CAST(id AS VARCHAR)) || '|' || coalesce(CAST(sign_date AS VARCHAR), '') ELSE '#' || CAST(id AS VARCHAR) END AS seal_key FROM records WHERE insured LIKE '%Customer#0000000%' AND deleted = 0 AND status = 'done') GROUP BY 1, 2) WHERE NOT paid) GROUP BY 1"),
+    "R10_seal_digest": sql(f"SELECT enterprise_id, coalesce(string_agg(seal_key || ' ' || premium, chr(10) ORDER BY first_id) FILTER (k <= 10), '') AS text, greatest(count(*) - 10, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY enterprise_id ORDER BY first_id) AS k FROM (SELECT enterprise_id, seal_key, bool_and(seal_paid = 1) AS paid, min(id) AS first_id, coalesce(CAST(CAST(sum({CENTS}) AS BIGINT) AS VARCHAR), min(total_premium)) AS premium FROM (SELECT *, CASE WHEN enterprise_id < 12 THEN coalesce({PLATE}, {VIN}, CAST(id AS VARCHAR)) || '|' || coalesce(CAST(sign_date AS VARCHAR), '') ELSE '#' || CAST(id AS VARCHAR) END AS seal_key FROM records WHERE {CORPORATE} AND deleted = 0 AND status = 'done') GROUP BY 1, 2) WHERE NOT paid) GROUP BY 1"),
     "R11_history": sql(f"SELECT id, end_date FROM records WHERE deleted = 0 AND ({PLATE} = '京A000100' OR {VIN} = 'LSVA0000000700')"),
     "R11_next_reminder": sql("SELECT t.task_id, coalesce(n, 0) AS followups, last_content, remind_at FROM tasks t LEFT JOIN (SELECT task_id, count(*) AS n, arg_max(content, followup_id) AS last_content, arg_max(next_remind_at, followup_id) FILTER (next_remind_at IS NOT NULL) AS remind_at FROM f GROUP BY 1) x ON x.task_id = t.task_id", tasks=TASKS, f=FOLLOWUPS),
-    "R12_followup_digest": sql(f"SELECT enterprise_id, '{NOW}' AS date, n_name AS text FROM (SELECT CAST(n_nationkey AS BIGINT) AS enterprise_id, n_name FROM nation WHERE n_nationkey % 3 = 0)"),
+    "R12_followup_digest": sql(f"SELECT c_custkey AS enterprise_id, '{NOW}' AS date, c_name AS text FROM customer WHERE c_custkey % 3 = 0"),
     "R13_refresh": sql(_MERGE.replace("@", f" SEMI JOIN (SELECT DISTINCT {KEY} AS customer_key, enterprise_id FROM records WHERE id % 5 = 0) ch USING (customer_key, enterprise_id)"), tasks=TASKS),
 }

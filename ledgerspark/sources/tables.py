@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.columns import blank_to_null, parse_date
-from ledgerspark.operators import ledger
+from ledgerspark.operators import fill, ledger
 
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
@@ -51,24 +53,46 @@ def replace_latest(source: DataFrame, target: DataFrame, key: str, order: str) -
     return latest.where("place = 1").drop("place", "side")
 
 
-def export_ledger(records: DataFrame, enterprise_id: int, first: str, end: str, merge: bool = False) -> DataFrame:
-    """The ledger of a tenant and period: finished, normal, policies only, without repetition; on request by car."""
+def export_ledger(
+    records: DataFrame, enterprise_id: int, first: str, end: str, merge: bool = False, complete: Callable[[DataFrame, DataFrame], DataFrame] | None = None, columns: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The ledger of a tenant and period: finished, normal, policies only, without repetition; on request by car.
+
+    ``complete`` gets the ledger's rows and all records of the tenant and returns the rows with their blanks filled (F1 to F11);
+    ``columns`` adds configured columns (C1 to C9); both come before rows are merged by car.
+    """
     rows = ledger.deduplicate(ledger.search(records, enterprise_id=enterprise_id, status="done", abnormal=False, category="保单", created=(first, end)))
+    rows = complete(rows, ledger.search(records, enterprise_id=enterprise_id)) if complete else rows
+    rows = columns(rows) if columns else rows
     return ledger.merge_by_car(rows) if merge else ledger.plain_order(rows)
 
 
+def completed(fields: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A completion for ``export_ledger``: blanks by file, plate, frame number and person, in this order, from all records."""
+
+    def complete(rows: DataFrame, everything: DataFrame) -> DataFrame:
+        filled = fill.fill_same_file(everything, [c for c in fields if c not in fill.PARTIES], [c for c in fields if c in fill.PARTIES])
+        for step in (fill.fill_same_plate, fill.fill_same_vin, fill.fill_by_person):
+            filled = step(filled, fields)
+        return filled.join(rows.select("id"), "id", "left_semi")
+
+    return complete
+
+
 def write_ledger(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write by tenant."""
     rows.write.mode("overwrite").partitionBy("enterprise_id").format(kind).save(path)
 
 
-def upsert(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+def upsert(target: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """The target after an upsert by a trimmed key: filled incoming values win, unknown keys are added.
 
-    Of incoming rows with one key the last filled value of each column (by the row's text) wins; rows with a blank key are not taken.
+    Of incoming rows with one key the filled value of the greatest ``order`` wins in each column (ties, and without an order: the greatest
+    value); rows with a blank key are not taken.
     """
+    last = lambda c: F.max(blank_to_null(F.col(c))) if order is None else F.max(F.when(blank_to_null(F.col(c)).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"]
     columns = [c for c in target.columns if c != key]
-    fresh = incoming.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").groupBy(F.trim(key).alias("__k")).agg(*[F.max(blank_to_null(F.col(c))).alias(f"n_{c}") for c in columns if c in incoming.columns], F.lit(1).alias("is_new"))
+    fresh = incoming.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").groupBy(F.trim(key).alias("__k")).agg(*[last(c).alias(f"n_{c}") for c in columns if c in incoming.columns], F.lit(1).alias("is_new"))
     t = target.withColumn("is_old", F.lit(1))
     j = t.join(fresh, F.trim(t[key]) == F.col("__k"), "full")
     outcome = F.when(F.col("is_old").isNull(), "inserted").when(F.col("is_new").isNull(), "kept").otherwise("updated")
