@@ -113,6 +113,13 @@ def hourly(messages: DataFrame) -> DataFrame:
     return hours.join(messages.groupBy(F.hour("sent_at").alias("hour")).agg(n().alias("n")), "hour", "left").na.fill(0)
 
 
+def daily(rows: DataFrame, first: str, last: str, day: str = "sent_day") -> DataFrame:
+    """A10: rows for each day of a span, without gaps."""
+    days = rows.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    found = rows.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date"))).groupBy(F.col(day).alias("day")).agg(n().alias("n"))
+    return days.join(found, "day", "left").na.fill(0, ["n"])
+
+
 def source_split(records: DataFrame) -> DataFrame:
     """Overlapping counters by where records come from."""
     return live(records).agg(n(F.col("source") == "upload").alias("uploads"), n(F.col("roomid") != "").alias("rooms"), n((F.col("source") == "chat") & (F.col("roomid") == "")).alias("private"), n(F.col("ocr_engine") == "scan").alias("scans"))
@@ -263,6 +270,20 @@ def ai_issues(logs: DataFrame) -> DataFrame:
     return logs.groupBy("record_id").agg(n().alias("checks"), F.max_by("result", F.struct("log_id", "result")).alias("last_result"), F.max_by("diff_text", F.when(F.col("diff_text").isNotNull(), F.struct("log_id", "diff_text"))).alias("last_diff"), n(F.col("result") != "pass").alias("issues")).where("issues > 0")
 
 
+def ai_logs(logs: DataFrame, number: int, size: int, enterprise_id: int | None = None, result: str | None = None) -> DataFrame:
+    """A page of checks, newest first, with the number of all and their tokens beside each."""
+    rows = logs if enterprise_id is None else logs.where(F.col("enterprise_id") == enterprise_id)
+    rows = rows if result is None else rows.where(F.col("result") == result)
+    totals = rows.agg(n().alias("total"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
+    return rows.orderBy(F.desc("log_id")).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(totals))
+
+
+def ai_pending(records: DataFrame, logs: DataFrame) -> DataFrame:
+    """By tenant, finished policies that no check has seen."""
+    done = live(records).where(F.col("status").isin("done", "success") & (F.col("doc_category") == POLICY))
+    return done.join(logs.select(F.col("record_id").alias("id")).distinct(), "id", "left_anti").groupBy("enterprise_id").agg(n().alias("pending"))
+
+
 def ai_usage(logs: DataFrame, price_per_million: int, threshold: int) -> DataFrame:
     """Tokens a day, their cost in micro-units of money, and whether the day is above the threshold."""
     return logs.groupBy("day").agg(n().alias("checks"), F.sum("tokens").alias("tokens")).withColumns({"cost_micros": F.col("tokens") * price_per_million, "above": F.col("tokens") > threshold})
@@ -273,6 +294,13 @@ def export_audit(exports: DataFrame) -> DataFrame:
     return exports.groupBy("export_type").agg(n().alias("exports"), n(F.col("status") == "failed").alias("failed"), F.sum("row_count").alias("rows"))
 
 
+def export_page(exports: DataFrame, number: int, size: int, kind: str | None = None, status: str | None = None) -> DataFrame:
+    """A page of exports, newest first, with the number of all beside each."""
+    rows = exports if kind is None else exports.where(F.col("export_type") == kind)
+    rows = rows if status is None else rows.where(F.col("status") == status)
+    return rows.orderBy(F.desc("export_id")).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(rows.agg(n().alias("total"))))
+
+
 def sender_list(messages: DataFrame) -> DataFrame:
     """Messages of each sender over all names, with the most used name that is not empty (ties by name)."""
     names = messages.groupBy("sender", "name").agg(n().alias("n"))
@@ -314,6 +342,26 @@ def users_with_senders(users: DataFrame, bindings: DataFrame) -> DataFrame:
     return users.join(bound, "user_id", "left").select("user_id", "user_name", mask_phone(F.col("phone")).alias("phone"), F.coalesce("senders", F.lit("")).alias("senders"), F.coalesce("n_senders", F.lit(0)).alias("n_senders"))
 
 
+def referrals(users: DataFrame) -> DataFrame:
+    """The users that each referrer brought in: number, and each one's name and masked phone in order of id."""
+    line = F.concat_ws(" ", F.col("user_name"), mask_phone(F.col("phone")))
+    brought = users.where("referrer_id is not null").groupBy("referrer_id").agg(n().alias("n"), F.array_sort(F.collect_list(F.struct("user_id", line.alias("line")))).alias("all"))
+    return brought.select("referrer_id", "n", F.array_join(F.transform("all", lambda x: x["line"]), ";").alias("people"))
+
+
+def option_lookup(options: DataFrame, text: str) -> DataFrame:
+    """The option with exactly this text; without one, all options that contain it; by first id."""
+    pool = option_pool(options, text).withColumn("exact", F.col("option") == text)
+    best = pool.agg(F.max("exact").alias("best"))
+    return pool.crossJoin(F.broadcast(best)).where("exact = best").drop("exact", "best").orderBy("first_id")
+
+
+def option_import(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming options that are not blank and not there yet, each once, with the number of times it came."""
+    fresh = incoming.select(F.trim("option").alias("option")).where("option != ''").groupBy("option").agg(n().alias("times"))
+    return fresh.join(existing.select(F.trim("option").alias("option")).distinct(), "option", "left_anti")
+
+
 def option_pool(options: DataFrame, keyword: str = "") -> DataFrame:
     """Distinct options that contain a keyword, with the first id and the number of imports."""
     found = options.where(F.contains("option", F.lit(keyword)) & (F.trim("option") != ""))

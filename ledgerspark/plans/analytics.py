@@ -17,9 +17,10 @@ FROM {lineitem}
 USERS = "SELECT s_suppkey AS user_id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END AS user_name, '138' || lpad(CAST(s_suppkey AS STRING), 8, '0') AS phone, CAST(s_nationkey AS BIGINT) AS enterprise_id FROM {supplier}"
 TENANTS = "SELECT CAST(n_nationkey AS BIGINT) AS enterprise_id, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'unlimited' WHEN n_nationkey % 5 = 1 THEN 'trial' ELSE 'basic' END AS plan_type, CAST(3 + n_nationkey AS INT) AS plan_months, CAST('2000-06-15' AS DATE) + n_nationkey * 17 AS plan_start FROM {nation}"
 PACKS = "SELECT CAST(s_nationkey AS BIGINT) AS enterprise_id, s_suppkey % 7 * 10 AS total_count, s_suppkey % 5 * 10 AS used_count, CAST('2001-07-15' AS DATE) + CAST(s_suppkey % 60 AS INT) AS expires FROM {supplier}"
-EXPORTS = "SELECT l_shipmode_like AS export_type, status, row_count FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'ledger' ELSE 'renewal' END AS l_shipmode_like, CASE WHEN l_orderkey % 10 = 0 THEN 'failed' ELSE 'done' END AS status, CAST(l_quantity AS BIGINT) AS row_count FROM {lineitem}) t"
+EXPORTS = "SELECT export_id, l_shipmode_like AS export_type, status, row_count FROM (SELECT l_orderkey * 10 + l_linenumber AS export_id, CASE WHEN l_linenumber % 2 = 0 THEN 'ledger' ELSE 'renewal' END AS l_shipmode_like, CASE WHEN l_orderkey % 10 = 0 THEN 'failed' ELSE 'done' END AS status, CAST(l_quantity AS BIGINT) AS row_count FROM {lineitem}) t"
 SENDERS = "SELECT sender, CASE WHEN event_day % 3 = 0 THEN '' ELSE 'n' || CAST(event_day % 4 AS STRING) END AS name FROM (SELECT 'u' || CAST(user_id AS STRING) AS sender, event_id % 11 AS event_day FROM {events}) t"
 BINDINGS = "SELECT c_custkey % 100 + 1 AS user_id, 's' || CAST(c_custkey % 350 AS STRING) AS sender FROM {customer}"
+REFERRED = "SELECT c_custkey AS user_id, c_name AS user_name, '139' || lpad(CAST(c_custkey AS STRING), 8, '0') AS phone, CASE WHEN c_custkey % 3 = 0 THEN CAST(floor(c_custkey / 10) AS BIGINT) END AS referrer_id FROM {customer}"
 OPTIONS = "SELECT p_partkey AS option_id, p_type AS option, p_size AS batch FROM {part}"
 PLANS = "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'basic' WHEN o_orderkey % 3 = 1 THEN 'pro' ELSE 'trial' END AS plan_type, CAST(1 + o_orderkey % 36 AS INT) AS months FROM {orders}"
 TRANSACTIONS = "SELECT o_orderkey AS tx_id, o_custkey AS user_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CASE WHEN o_orderkey % 3 = 0 THEN 'withdraw' ELSE 'commission' END AS type, CASE WHEN o_orderkey % 4 = 0 THEN 'rejected' ELSE 'done' END AS status FROM {orders}"
@@ -71,6 +72,10 @@ QUERIES = {
     "A8_failure_list": lambda s, d: a.failure_list(records(s, d)),
     "A9_overview": lambda s, d: a.overview(records(s, d), TODAY, 30),
     "A10_hourly": lambda s, d: a.hourly(messages(s, d)),
+    "A10_daily": lambda s, d: a.daily(messages(s, d), "2023-12-25", "2024-02-05"),
+    "A11_top_insurers": lambda s, d: a.counts_by(records(s, d), "company_short", 10),
+    "A11_top_products": lambda s, d: a.counts_by(records(s, d), "policy_type", 10),
+    "A11_top_engines": lambda s, d: a.counts_by(records(s, d), "ocr_engine", 10),
     "A11_top_tenants": lambda s, d: a.counts_by(records(s, d), "enterprise_id", 10),
     "A12_source_split": lambda s, d: a.source_split(records(s, d)),
     "A13_tenant_series": lambda s, d: a.tenant_series(records(s, d), TODAY),
@@ -83,12 +88,18 @@ QUERIES = {
     "A20_salespeople": lambda s, d: a.base_set(records(s, d), FIRST, LAST).select(a.blank_to_null(F.col("salesperson")).alias("name")).where("name is not null").distinct(),
     "A21_ai_stats": lambda s, d: a.ai_stats(_ai(s, d), records(s, d)),
     "A22_ai_issues": lambda s, d: a.ai_issues(view(s, d, AI_LOGS)),
+    "A22_ai_logs": lambda s, d: a.ai_logs(view(s, d, AI_LOGS), 2, 20, enterprise_id=7, result="flagged").select("log_id", "record_id", "total", "total_tokens"),
+    "A22_ai_pending": lambda s, d: a.ai_pending(records(s, d), view(s, d, AI_LOGS).where("tokens > 3000")),
     "A22_ai_usage": lambda s, d: a.ai_usage(view(s, d, AI_LOGS), 3, 100000),
     "A23_export_audit": lambda s, d: a.export_audit(view(s, d, EXPORTS)),
+    "A23_export_page": lambda s, d: a.export_page(view(s, d, EXPORTS), 3, 25, "ledger", "done").select("export_id", "row_count", "total"),
     "A24_sender_list": lambda s, d: a.sender_list(view(s, d, SENDERS)),
     "A25_tenant_overview": lambda s, d: a.tenant_overview(view(s, d, TENANTS).select("enterprise_id", "name"), records(s, d), view(s, d, USERS), TODAY),
     "A26_quota": lambda s, d: a.quota(view(s, d, TENANTS), records(s, d).where("created_day >= DATE'2001-07-01'").groupBy("enterprise_id").agg(a.n().alias("n")), view(s, d, PACKS), TODAY, 12),
     "A27_users_with_senders": lambda s, d: a.users_with_senders(view(s, d, USERS), view(s, d, BINDINGS)),
+    "A27_referrals": lambda s, d: a.referrals(view(s, d, REFERRED)),
+    "A28_option_lookup": lambda s, d: a.option_lookup(view(s, d, OPTIONS), "PROMO BURNISHED COPPER").unionByName(a.option_lookup(view(s, d, OPTIONS), "COPPER")),
+    "A28_option_import": lambda s, d: a.option_import(view(s, d, OPTIONS).where("batch > 10"), view(s, d, OPTIONS).where("batch <= 10")),
     "A28_option_pool": lambda s, d: a.option_pool(view(s, d, OPTIONS), "E"),
     "A29_commission": lambda s, d: a.commission(view(s, d, PLANS)),
     "A30_wallet": lambda s, d: a.wallet(view(s, d, TRANSACTIONS)),
@@ -113,6 +124,10 @@ ORACLE_SQL = {
     "A8_failure_list": sql(f"SELECT id, enterprise_id, error_message, CASE WHEN {FILE} THEN 'file' ELSE 'system' END AS kind, created_day FROM ({UNRECOVERED}) ORDER BY created_day DESC, id DESC LIMIT 200"),
     "A9_overview": sql("SELECT count(*) FILTER (w) AS total, " + ", ".join(f"count(*) FILTER (w AND status = '{s}') AS n_{s}" for s in ("done", "failed", "pending", "success")) + f", count(*) FILTER (created_day = DATE '{TODAY}') AS today, count(*) FILTER (created_day BETWEEN DATE '{TODAY}' - 7 AND DATE '{TODAY}') AS last_7_days FROM (SELECT *, created_day > DATE '{TODAY}' - 30 AS w FROM records WHERE deleted = 0)"),
     "A10_hourly": sql("SELECT CAST(h AS INT) AS hour, coalesce(n, 0) AS n FROM (SELECT unnest(range(24)) AS h) LEFT JOIN (SELECT hour(sent_at) AS hh, count(*) AS n FROM messages GROUP BY 1) ON h = hh"),
+    "A10_daily": sql("SELECT day, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN (SELECT sent_day, count(*) AS n FROM messages GROUP BY 1) ON sent_day = day"),
+    "A11_top_insurers": sql("SELECT company_short, count(*) AS n FROM records WHERE deleted = 0 AND company_short <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"),
+    "A11_top_products": sql("SELECT policy_type, count(*) AS n FROM records WHERE deleted = 0 AND policy_type <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"),
+    "A11_top_engines": sql("SELECT ocr_engine, count(*) AS n FROM records WHERE deleted = 0 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"),
     "A11_top_tenants": sql("SELECT enterprise_id, count(*) AS n FROM records WHERE deleted = 0 GROUP BY 1 ORDER BY n DESC, enterprise_id LIMIT 10"),
     "A12_source_split": sql("SELECT count(*) FILTER (source = 'upload') AS uploads, count(*) FILTER (roomid <> '') AS rooms, count(*) FILTER (source = 'chat' AND roomid = '') AS private, count(*) FILTER (ocr_engine = 'scan') AS scans FROM records WHERE deleted = 0"),
     "A13_tenant_series": sql(f"SELECT b.enterprise_id, c.day, total, coalesce(n, 0) AS n FROM (SELECT enterprise_id, count(*) AS total FROM records WHERE deleted = 0 AND created_day BETWEEN DATE '{TODAY}' - 6 AND DATE '{TODAY}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) b CROSS JOIN (SELECT DATE '{TODAY}' - CAST(unnest(range(7)) AS INT) AS day) c LEFT JOIN (SELECT enterprise_id, created_day, count(*) AS n FROM records WHERE deleted = 0 GROUP BY 1, 2) r ON r.enterprise_id = b.enterprise_id AND r.created_day = c.day"),
@@ -128,13 +143,19 @@ ORACLE_SQL = {
       LEFT JOIN (SELECT enterprise_id, string_agg(field, ',' ORDER BY n DESC, field) AS top_fields FROM (SELECT *, row_number() OVER (PARTITION BY enterprise_id ORDER BY n DESC, field) AS k FROM (SELECT enterprise_id, field, count(*) AS n FROM (SELECT enterprise_id, unnest(string_split(diff_text, ',')) AS field FROM logs) GROUP BY GROUPING SETS ((enterprise_id, field), (field)))) WHERE k <= 3 GROUP BY 1) f ON f.enterprise_id IS NOT DISTINCT FROM m.enterprise_id
       LEFT JOIN (SELECT enterprise_id, count(*) AS records FROM records WHERE deleted = 0 GROUP BY ROLLUP (enterprise_id)) t ON t.enterprise_id IS NOT DISTINCT FROM m.enterprise_id""", logs=AI_LOGS),
     "A22_ai_issues": sql("SELECT record_id, count(*) AS checks, (max({'i': log_id, 'r': result})).r AS last_result, (max({'i': log_id, 'r': diff_text}) FILTER (diff_text IS NOT NULL)).r AS last_diff, count(*) FILTER (result <> 'pass') AS issues FROM logs GROUP BY 1 HAVING count(*) FILTER (result <> 'pass') > 0", logs=AI_LOGS),
+    "A22_ai_logs": sql("SELECT log_id, record_id, total, total_tokens FROM (SELECT *, count(*) OVER () AS total, CAST(sum(tokens) OVER () AS BIGINT) AS total_tokens FROM logs WHERE enterprise_id = 7 AND result = 'flagged') ORDER BY log_id DESC LIMIT 20 OFFSET 20", logs=AI_LOGS),
+    "A22_ai_pending": sql("SELECT enterprise_id, count(*) AS pending FROM records WHERE deleted = 0 AND status IN ('done', 'success') AND doc_category = '保单' AND id NOT IN (SELECT record_id FROM logs WHERE tokens > 3000) GROUP BY 1", logs=AI_LOGS),
     "A22_ai_usage": sql("SELECT day, count(*) AS checks, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * 3 AS BIGINT) AS cost_micros, sum(tokens) > 100000 AS above FROM logs GROUP BY 1", logs=AI_LOGS),
     "A23_export_audit": sql("SELECT export_type, count(*) AS exports, count(*) FILTER (status = 'failed') AS failed, CAST(sum(row_count) AS BIGINT) AS \"rows\" FROM exports GROUP BY 1", exports=EXPORTS),
+    "A23_export_page": sql("SELECT export_id, row_count, total FROM (SELECT *, count(*) OVER () AS total FROM exports WHERE export_type = 'ledger' AND status = 'done') ORDER BY export_id DESC LIMIT 25 OFFSET 50", exports=EXPORTS),
     "A24_sender_list": sql("SELECT sender, CAST(sum(n) AS BIGINT) AS n, coalesce((max({'a': name <> '', 'n': n, 'name': name})).name, '') AS name FROM (SELECT sender, name, count(*) AS n FROM senders GROUP BY 1, 2) GROUP BY 1", senders=SENDERS),
     "A25_tenant_overview": sql(f"SELECT t.enterprise_id, t.name, coalesce(this_month, 0) AS this_month, coalesce(rooms, 0) AS rooms, coalesce(members, 0) AS members FROM tenants t LEFT JOIN (SELECT enterprise_id, count(*) FILTER (created_day BETWEEN DATE '2001-08-01' AND DATE '{TODAY}') AS this_month, count(DISTINCT NULLIF(roomid, '')) AS rooms FROM records WHERE deleted = 0 GROUP BY 1) r ON r.enterprise_id = t.enterprise_id LEFT JOIN (SELECT enterprise_id, count(*) AS members FROM users GROUP BY 1) u ON u.enterprise_id = t.enterprise_id", tenants=TENANTS, users=USERS),
     "A26_quota": sql(f"""SELECT enterprise_id, ends AS plan_ends, used, boost, boost_expires, state, state IN ('unlimited', 'within', 'boost') AS allowed FROM (SELECT t.enterprise_id, ends, coalesce(n, 0) AS used, coalesce(boost, 0) AS boost, boost_expires, CASE WHEN plan_start > DATE '{TODAY}' THEN 'queued' WHEN ends <= DATE '{TODAY}' THEN 'expired' WHEN plan_type = 'unlimited' THEN 'unlimited' WHEN coalesce(n, 0) < 12 THEN 'within' WHEN coalesce(boost, 0) > 0 THEN 'boost' ELSE 'exhausted' END AS state
       FROM (SELECT *, CAST(plan_start + to_months(plan_months) AS DATE) AS ends FROM tenants) t LEFT JOIN (SELECT enterprise_id, count(*) AS n FROM records WHERE created_day >= DATE '2001-07-01' GROUP BY 1) r ON r.enterprise_id = t.enterprise_id LEFT JOIN (SELECT enterprise_id, CAST(sum(total_count - used_count) AS BIGINT) AS boost, min(expires) AS boost_expires FROM packs WHERE expires >= DATE '{TODAY}' AND total_count > used_count GROUP BY 1) p ON p.enterprise_id = t.enterprise_id)""", tenants=TENANTS, packs=PACKS),
     "A27_users_with_senders": sql("SELECT u.user_id, user_name, substr(phone, 1, 3) || '****' || right(phone, 4) AS phone, coalesce(senders, '') AS senders, coalesce(n_senders, 0) AS n_senders FROM users u LEFT JOIN (SELECT user_id, string_agg(DISTINCT sender, ',' ORDER BY sender) AS senders, count(DISTINCT sender) AS n_senders FROM bindings GROUP BY 1) b ON b.user_id = u.user_id", users=USERS, bindings=BINDINGS),
+    "A27_referrals": sql("SELECT referrer_id, count(*) AS n, string_agg(user_name || ' ' || substr(phone, 1, 3) || '****' || right(phone, 4), ';' ORDER BY user_id) AS people FROM users WHERE referrer_id IS NOT NULL GROUP BY 1", users=REFERRED),
+    "A28_option_lookup": sql("SELECT option, min(option_id) AS first_id, count(*) AS imports, count(DISTINCT batch) AS batches FROM options WHERE CASE WHEN EXISTS (SELECT 1 FROM options WHERE option = 'PROMO BURNISHED COPPER') THEN option = 'PROMO BURNISHED COPPER' ELSE contains(option, 'PROMO BURNISHED COPPER') END GROUP BY 1 UNION ALL SELECT option, min(option_id), count(*), count(DISTINCT batch) FROM options WHERE CASE WHEN EXISTS (SELECT 1 FROM options WHERE option = 'COPPER') THEN option = 'COPPER' ELSE contains(option, 'COPPER') END GROUP BY 1", options=OPTIONS),
+    "A28_option_import": sql("SELECT option, count(*) AS times FROM options WHERE batch <= 10 AND option NOT IN (SELECT option FROM options WHERE batch > 10) GROUP BY 1", options=OPTIONS),
     "A28_option_pool": sql("SELECT option, min(option_id) AS first_id, count(*) AS imports, count(DISTINCT batch) AS batches FROM options WHERE option LIKE '%E%' GROUP BY 1", options=OPTIONS),
     "A29_commission": sql("SELECT order_id, plan_type, months, CAST(20 * CASE plan_type WHEN 'basic' THEN CASE WHEN months % 12 = 0 THEN 990 * (months // 12) ELSE 99 * months END WHEN 'pro' THEN CASE WHEN months % 12 = 0 THEN 2990 * (months // 12) ELSE 299 * months END ELSE 0 END AS BIGINT) AS commission_cents FROM plans", plans=PLANS),
     "A30_wallet": sql(f"SELECT user_id, CAST(sum({_SIGNED}) AS BIGINT) AS balance_cents, count(*) AS transactions FROM tx GROUP BY 1", tx=TRANSACTIONS),
