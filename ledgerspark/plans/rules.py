@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import rules as r
 from ledgerspark.plans.analytics import CENTS, CLASS, sql
+from ledgerspark.plans.ledger import LABEL, PLATE, VIN
 from ledgerspark.plans.proxies import MESSAGES, base, messages, records, view
 from ledgerspark.sources import tables as src
 from ledgerspark.streaming import jobs
@@ -24,7 +26,7 @@ RATIOS = [
     {"target": "比例", "company": "HIGH", "branches": [{"conditions": [{"field": "policy_type", "op": "contains", "value": "商业"}, {"field": "total_premium", "op": "ge", "value": 2000}], "value": 0.2}, {"conditions": [{"type": "related", "column": "related", "op": "exists"}], "value": 0.15}], "default": 0.1},
     {"target": "比例", "product": "家财险", "branches": [], "default": 0.3},
 ]
-CONFIGS = "SELECT o_orderkey AS config_id, 'k' || CAST(o_custkey % 20 AS STRING) AS config_key, CASE o_orderkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'enterprise' WHEN 2 THEN 'global' ELSE 'other' END AS scope, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS active, CAST(o_orderkey AS STRING) AS value FROM {orders} WHERE o_orderkey % 50 = 0"
+CONFIGS = "SELECT o_orderkey AS config_id, 'k' || CAST(o_custkey % 20 AS STRING) AS config_key, CASE o_orderkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'enterprise' WHEN 2 THEN 'global' ELSE 'other' END AS scope, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS active, CAST(o_orderkey AS STRING) AS value FROM {orders}"
 TARGET = "SELECT 'C' || CAST(c_custkey AS STRING) AS k, c_name AS name, CAST(c_nationkey AS STRING) AS city FROM {customer} WHERE c_custkey % 3 = 0"
 INCOMING = "SELECT ' C' || CAST(c_custkey AS STRING) || ' ' AS k, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'new' || c_name END AS name, CAST(NULL AS STRING) AS city FROM {customer} WHERE c_custkey % 2 = 0"
 TYPED = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '1,234.50元' WHEN 1 THEN '¥7' WHEN 2 THEN 'abc' ELSE '-5.25' END AS a, CASE o_orderkey % 3 WHEN 0 THEN '2026/6/3' WHEN 1 THEN 'none' ELSE '2026年12月31日' END AS d, CASE o_orderkey % 3 WHEN 0 THEN '12.5%' WHEN 1 THEN '3' ELSE '100%' END AS p FROM {orders}"
@@ -52,7 +54,10 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run(df: DataFrame) -> DataFrame:
     """Run a stream over what there is, into a folder of the cluster's shared checkpoint folder, and read the result."""
     spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-stream-")
     out = f"{shared}/stream-{uuid.uuid4().hex}"
     df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
@@ -62,6 +67,10 @@ def _devices(s, d):
     return messages(s, d).select(F.col("sender").alias("device"), F.when(F.col("msgtype") == "other", "offline").otherwise("online").alias("kind"), F.col("sent_at").alias("at"))
 
 
+def _talk(s, d):
+    return stream(s, d).where("roomid != '' and msgtype in ('text', 'file')").select("roomid", F.col("sender").alias("plate"), F.when(F.col("msgtype") == "file", "policy").otherwise("text").alias("kind"), F.col("sent_at").alias("at"), F.create_map(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).alias("fields"))
+
+
 QUERIES = {
     "C1_scopes": lambda s, d: r.resolve_scope(view(s, d, CONFIGS), ["own", "enterprise", "global"], active="active").select("config_key", "config_id", "scope"),
     "C2_aliases": lambda s, d: r.apply_aliases(records(s, d).withColumn("manual_fields", F.when(F.col("id") % 10 == 0, F.array(F.lit("company_short")))), ALIASES, "manual_fields").select("id", "company_short", r.quick_class(F.col("policy_type")).alias("label")),
@@ -72,7 +81,7 @@ QUERIES = {
     "C7_formulas": lambda s, d: _formula_rows(s, d).select("id", F.col("净额").alias("net"), F.col("合计").alias("total"), F.col("净率").alias("rate")),
     "C8_split_premium": lambda s, d: r.split_premium(records(s, d)).select("id", F.col("交强险保费").alias("compulsory"), F.col("商业险保费").alias("commercial"), F.col("非车险保费").alias("other")),
     "C9_finish": lambda s, d: r.finish(records(s, d), "URGENT").select("id", "plate_no", "applicant"),
-    "S1_read": lambda s, d: src.read(s, f"{d}/nation.parquet"),
+    "S1_read": lambda s, d: src.read(s, f"{d}/customer.parquet"),
     "S2_pull": lambda s, d: src.pull(messages(s, d), 500, 300, "id")[0].select("id", "seq"),
     "S2_cursor": lambda s, d: src.pull_all(messages(s, d), 500, "id").agg(src.pull(messages(s, d), 500, 300, "id")[1].alias("cursor"), F.count(F.lit(1)).alias("n")),
     "S3_copy_new": lambda s, d: src.copy_new(messages(s, d), messages(s, d).where("id % 10 = 0"), ["corpid", "seq"], "id").select("id", "corpid", "seq"),
@@ -86,6 +95,9 @@ QUERIES = {
     "ST1_ingest": lambda s, d: run(jobs.ingest(stream(s, d)).select("id", "corpid", "seq")).select("corpid", "seq"),
     "ST2_match_pending": lambda s, d: run(jobs.match_pending(stream(s, d).where("msgtype = 'text' and roomid != ''").select("roomid", F.col("sender").alias("plate"), F.col("sent_at").alias("text_at"), F.col("id").alias("text_id")), stream(s, d).where("msgtype = 'file' and roomid != ''").select("roomid", F.col("sender").alias("plate"), F.col("sent_at").alias("policy_at"), F.col("id").alias("record_id")))).select("text_id", "record_id"),
     "ST5_first_notice": lambda s, d: run(jobs.first_notice(stream(s, d), F.col("msgtype") == "file").select("roomid", F.to_date("sent_at").alias("sent_day"))),
+    "ST3_miss_alerts": lambda s, d: run(jobs.miss_alerts(_talk(s, d))),
+    "ST4_assemble": lambda s, d: run(jobs.assemble(stream(s, d).select(F.coalesce("roomid", F.lit("")).alias("roomid"), "sender", F.element_at(F.create_map(*[F.lit(x) for x in ("text", "licence", "file", "id_front", "image", "id_back", "voice", "text", "other", "text")]), F.col("msgtype")).alias("kind"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("n"), (F.col("id") % 4).cast("string"))).alias("owner"), F.col("sent_at").alias("at")), wait_s=6 * 3600)),
+    "ST6_offline_alerts": lambda s, d: run(jobs.offline_alerts(stream(s, d).select(F.col("sender").alias("device"), F.when(F.col("msgtype") == "other", "offline").otherwise("online").alias("kind"), F.col("sent_at").alias("at")))),
     "ST6_offline_spans": lambda s, d: jobs.offline_spans(_devices(s, d)).select("device", "away_at", "seconds"),
     "ST7_hourly_counts": lambda s, d: run(jobs.hourly_counts(stream(s, d))).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "msgtype", "n"),
 }
@@ -99,24 +111,32 @@ ORACLE_SQL = {
     "C2_aliases": sql(f"SELECT id, CASE WHEN id % 10 = 0 THEN company_short WHEN company_short = '1-URGENT' THEN '甲' WHEN contains(company_short, 'NOT SPECIFIED') THEN '丁' WHEN contains(company_short, 'URGENT') THEN 'x' WHEN contains(company_short, 'MEDIUM') THEN '乙' WHEN contains(company_short, 'NOT') THEN '丙' ELSE company_short END AS company_short, CASE {CLASS} WHEN 'compulsory' THEN '交强险' WHEN 'commercial' THEN '商业险' ELSE '非车险' END AS label FROM records"),
     "C3_dates": sql("SELECT id, year(start_date) || '/' || month(start_date) || '/' || day(start_date) AS short, CAST(start_date AS VARCHAR) || ' 11:16' AS long, 'none' AS bad FROM records"),
     "C4_fixed": sql("SELECT id, coalesce(NULLIF(salesperson, ''), '无') AS salesperson, coalesce(NULLIF(insured, ''), '?') AS insured FROM records"),
+    "C5_percents": sql("SELECT id, round((id % 400) / 400.0::DOUBLE, 6) AS number, regexp_replace(regexp_replace(printf('%.4f', (id % 400) / 4.0::DOUBLE), '0+$', ''), '\\.$', '') || '%' AS percent FROM records"),
     "C6_ratios": sql(f"SELECT id, CASE WHEN policy_type IN ('家财险', '') THEN '0.3' WHEN company_short = '' OR contains(company_short, 'HIGH') THEN CASE WHEN policy_type LIKE '%商业%' AND coalesce({CENTS}, 0) >= 200000 THEN '0.2' WHEN id % 3 = 0 THEN '0.15' ELSE '0.1' END END AS ratio FROM records"),
     "C7_formulas": sql(f"""SELECT id, {_TXT.format('net')} AS net, CASE WHEN company_short = '' OR contains(company_short, 'URGENT') THEN {_TXT.format('total')} END AS total, CASE WHEN policy_type IN ('', '机动车商业保险') THEN '4.75' END AS rate
       FROM (SELECT *, CASE WHEN id % 4 <> 0 THEN floor((({_N.format(_TXT.format('net'))} + {_N.format('total_premium')}) / (id % 4)) * 100) / 100 END AS total FROM (SELECT *, {_NET} AS net FROM (SELECT *, CASE WHEN id % 5 = 0 THEN 0 ELSE id % 100 END AS fee FROM records)))"""),
     "C8_split_premium": sql(f"SELECT id, " + ", ".join(f"CASE WHEN {CLASS} IN ({k}) THEN total_premium ELSE '0' END AS {v}" for k, v in (("'compulsory'", "compulsory"), ("'commercial'", "commercial"), ("'accident', 'non_vehicle'", "other"))) + " FROM records"),
     "C9_finish": sql("SELECT id, plate_no, coalesce(NULLIF(applicant, ''), insured) AS applicant FROM (SELECT id, applicant, insured, CASE WHEN contains(company_short, 'URGENT') AND plate_no LIKE '京A%' THEN '京A-' || substr(replace(plate_no, '-', ''), 3) ELSE plate_no END AS plate_no FROM records)"),
-    "S1_read": sql("SELECT * FROM nation"),
+    "S1_read": sql("SELECT * FROM customer"),
     "S2_pull": sql("SELECT id, seq FROM messages WHERE id > 500 ORDER BY id LIMIT 300"),
     "S2_cursor": sql("SELECT max(id) AS cursor, count(*) AS n FROM messages WHERE id > 500"),
     "S3_copy_new": sql("SELECT min(id) AS id, corpid, seq FROM messages m WHERE NOT EXISTS (SELECT 1 FROM messages t WHERE t.id % 10 = 0 AND t.corpid = m.corpid AND t.seq = m.seq) GROUP BY corpid, seq"),
     "S3_copy_counts": sql("SELECT CAST(total AS BIGINT) AS total, CAST(ins AS BIGINT) AS inserted, CAST(total - ins AS BIGINT) AS skipped FROM (SELECT (SELECT count(*) FROM messages) AS total, (SELECT count(*) FROM (SELECT DISTINCT corpid, seq FROM messages EXCEPT SELECT DISTINCT corpid, seq FROM messages WHERE id % 10 = 0)) AS ins)"),
     "S3_replace_latest": sql("SELECT sender, id, msgtype FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY id % 2, id DESC) AS k FROM messages) WHERE k = 1"),
     "S4_export": sql("SELECT id, policy_no, plate_no FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN policy_no <> '' THEN policy_no ELSE '#' || id END, created_day ORDER BY id DESC) AS k FROM records WHERE deleted = 0 AND enterprise_id = 7 AND status IN ('done', 'success') AND is_abnormal = 0 AND doc_category = '保单' AND created_day >= DATE '1999-01-01' AND created_day < DATE '2000-01-01') WHERE k = 1"),
+    "S4_export_merged": sql(f"""SELECT car, count(*) AS n_records, {", ".join(f"CAST(coalesce(sum(cents) FILTER (k2 = 1 AND label = '{k}'), 0) AS BIGINT) AS {v}_cents" for k, v in (("商业险", "commercial"), ("交强险", "compulsory"), ("非车险", "other")))} FROM (SELECT *, row_number() OVER (PARTITION BY car, coalesce(NULLIF(policy_no, ''), '#' || id) ORDER BY id) AS k2 FROM (
+      SELECT *, coalesce({PLATE}, 'vin:' || ({VIN}), '#' || CAST(id AS VARCHAR)) AS car, {LABEL} AS label, {CENTS} AS cents FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN policy_no <> '' THEN policy_no ELSE '#' || id END, created_day ORDER BY id DESC) AS k FROM records WHERE deleted = 0 AND enterprise_id = 7 AND status IN ('done', 'success') AND is_abnormal = 0 AND doc_category = '保单' AND created_day >= DATE '1999-01-01' AND created_day < DATE '2000-01-01') WHERE k = 1)) GROUP BY car"""),
     "S5_upsert": sql("SELECT coalesce(t.k, i.k) AS k, coalesce(i.name, t.name) AS name, t.city AS city, CASE WHEN t.k IS NULL THEN 'inserted' WHEN i.k IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM t FULL JOIN (SELECT trim(k) AS k, NULLIF(name, '') AS name FROM i) i ON i.k = t.k", t=TARGET, i=INCOMING),
     "S6_known_keys": sql("SELECT trim(k) AS k FROM i WHERE trim(k) IN (SELECT k FROM t)", t=TARGET, i=INCOMING),
     "S7_restore_types": sql("SELECT o_orderkey AS id, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1234.5 WHEN 1 THEN 7 WHEN 3 THEN -5.25 END AS DOUBLE) AS a, CASE o_orderkey % 3 WHEN 0 THEN DATE '2026-06-03' WHEN 2 THEN DATE '2026-12-31' END AS d, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.125 WHEN 2 THEN 1 END AS DOUBLE) AS p FROM orders"),
     "ST1_ingest": sql("SELECT DISTINCT corpid, seq FROM messages"),
     "ST2_match_pending": sql("SELECT t.id AS text_id, p.id AS record_id FROM messages t JOIN messages p ON t.msgtype = 'text' AND p.msgtype = 'file' AND t.roomid <> '' AND p.roomid = t.roomid AND p.sender = t.sender AND p.sent_at BETWEEN t.sent_at - INTERVAL 48 HOURS AND t.sent_at + INTERVAL 48 HOURS"),
     "ST5_first_notice": sql("SELECT DISTINCT roomid, sent_day FROM messages WHERE msgtype = 'file' AND roomid <> ''"),
+    "ST6_offline_alerts": sql(
+        """SELECT device, 'offline' AS outcome, CAST(300 AS BIGINT) AS seconds FROM spans WHERE coalesce(epoch_ms(back) - epoch_ms(t) >= 300000, epoch_ms(t) + 300000 < (SELECT epoch_ms(max(sent_at)) - 1000 FROM messages))
+      UNION ALL SELECT device, 'recovered', (epoch_ms(back) - epoch_ms(t)) // 1000 FROM spans WHERE epoch_ms(back) - epoch_ms(t) >= 300000""",
+        spans="SELECT * FROM (SELECT *, lead(t) OVER (PARTITION BY device ORDER BY t, id) AS back FROM (SELECT *, lag(kind) OVER (PARTITION BY device ORDER BY t, id) AS prior FROM (SELECT id, sender AS device, CASE WHEN msgtype = 'other' THEN 'offline' ELSE 'online' END AS kind, sent_at AS t FROM messages)) WHERE kind = 'online' OR prior IS NULL OR prior = 'online') WHERE kind = 'offline'",
+    ),
     "ST6_offline_spans": sql("SELECT device, t AS away_at, seconds FROM (SELECT *, CAST(floor(epoch(lead(t) OVER (PARTITION BY device ORDER BY t, kind))) - floor(epoch(t)) AS BIGINT) AS seconds FROM (SELECT *, lag(kind) OVER (PARTITION BY device ORDER BY t, kind) AS prior FROM (SELECT sender AS device, CASE WHEN msgtype = 'other' THEN 'offline' ELSE 'online' END AS kind, sent_at AS t FROM messages)) WHERE kind = 'online' OR prior IS NULL OR prior = 'online') WHERE kind = 'offline' AND (seconds IS NULL OR seconds >= 300)"),
     "ST7_hourly_counts": sql("SELECT strftime(date_trunc('hour', sent_at), '%Y-%m-%d %H') AS hour, msgtype, count(*) AS n FROM messages WHERE date_trunc('hour', sent_at) + INTERVAL 1 HOUR <= (SELECT max(sent_at) - INTERVAL 2 HOURS FROM messages) GROUP BY 1, 2"),
 }

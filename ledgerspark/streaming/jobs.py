@@ -5,11 +5,12 @@ The first, second, fifth and seventh are built-in operators.  The others keep a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,79 +31,134 @@ def match_pending(texts: DataFrame, policies: DataFrame, delay: str = "10 minute
     return t.join(p, (F.col("t.roomid") == F.col("p.roomid")) & (F.col("t.plate") == F.col("p.plate")) & near).select("t.roomid", "t.plate", "t.text_id", "p.record_id", "t.text_at", "p.policy_at")
 
 
+def within_grace(pairs: DataFrame, grace: str = "10 minutes") -> DataFrame:
+    """ST2: of the pairs of ``match_pending`` (written out), those of each text's first policy and of policies at most ``grace`` behind it."""
+    first = pairs.groupBy("text_id").agg(F.min("policy_at").alias("first_at"))
+    return pairs.join(first, "text_id").where(F.col("policy_at") <= F.col("first_at") + F.expr(f"INTERVAL {grace}")).drop("first_at")
+
+
+def millis(at: pd.Timestamp) -> int:
+    return int(at.value // 1_000_000)
+
+
 def miss_alerts(events: DataFrame, notify_s: int = 600, expire_s: int = 48 * 3600, delay: str = "1 minute") -> DataFrame:
     """ST3: texts that no policy has met: ``alert`` after ten minutes, ``expired`` after 48 hours; ``matched`` when one comes.
 
-    ``events``: ``roomid``, ``plate``, ``kind`` (text or policy), ``at``.  A repeated text does not move the deadline; after a match, texts of
-    the next ten minutes count as matched too.
+    ``events``: ``roomid``, ``plate``, ``kind`` (text or policy), ``at``, and, if there is any, ``fields`` (a map of texts).  A repeated
+    text does not move the deadline; its fields are laid over the earlier ones (``fields`` of the result, as ``key=value`` in order of
+    keys).  After a match, texts of the next ten minutes count as matched too.  Events of a batch are taken in order of time, and
+    deadlines between them are seen to, so results do not depend on how events fall into batches.
     """
-    schema = "roomid string, plate string, outcome string, texts long"
+    schema = "roomid string, plate string, outcome string, texts long, fields string"
+    with_fields = "fields" in events.columns
+
+    class Key:
+        """What is known of one room and plate."""
+
+        def __init__(self, first: int, texts: int, told: int, matched: int, fields: str) -> None:
+            self.first, self.texts, self.told, self.matched, self.fields = first, texts, told, matched, json.loads(fields)
+            self.out: list[tuple[str, int, str]] = []
+
+        def say(self, outcome: str) -> None:
+            self.out.append((outcome, self.texts, ",".join(f"{k}={self.fields[k]}" for k in sorted(self.fields))))
+
+        def reset(self) -> None:
+            self.first = self.texts = self.told = self.matched = 0
+            self.fields = {}
+
+        def deadline(self) -> int:
+            return self.matched + notify_s * 1000 if self.matched else self.first + (expire_s if self.told else notify_s) * 1000
+
+        def until(self, now: int) -> None:
+            """See to the deadlines before ``now``."""
+            while (self.matched or self.texts) and self.deadline() < now:
+                if self.matched:
+                    self.reset()
+                elif self.told:
+                    self.say("expired")
+                    self.reset()
+                else:
+                    self.say("alert")
+                    self.told = 1
+
+        def take(self, kind: str, ms: int, fields: dict[str, str]) -> None:
+            self.until(ms)
+            if kind == "text":
+                self.first, self.texts = self.first or ms, self.texts + 1
+                self.fields |= fields
+                if self.matched:
+                    self.say("matched")
+            elif not self.matched:
+                if self.texts:
+                    self.say("matched")
+                self.matched = ms
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, texts, told, matched = state.get if state.exists else (0, 0, 0, 0)
-        out: list[str] = []
         now = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            if not matched and not told:
-                out.append("alert")
-                told = 1
-            elif not matched:
-                out.append("expired")
-            if out != ["alert"]:
-                state.remove()
-                if out:
-                    yield pd.DataFrame([(*key, o, texts) for o in out], columns=["roomid", "plate", "outcome", "texts"])
-                return
-        else:
-            rows = pd.concat(list(batches)).sort_values("at")
-            for kind, at in zip(rows["kind"], rows["at"]):
-                ms = int(at.timestamp() * 1000)
-                if kind == "text":
-                    first, texts = first or ms, texts + 1
-                    if matched and ms <= matched + notify_s * 1000:
-                        out.append("matched")
-                else:
-                    if texts and not matched:
-                        out.append("matched")
-                    matched = matched or ms
-        deadline = matched + notify_s * 1000 if matched else first + (expire_s if told else notify_s) * 1000
-        state.update((first, texts, told, matched))
-        state.setTimeoutTimestamp(max(deadline, now + 1))
-        yield pd.DataFrame([(*key, o, texts) for o in out], columns=["roomid", "plate", "outcome", "texts"])
+        known = Key(*(state.get if state.exists else (0, 0, 0, 0, "{}")))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at", "kind"], kind="stable")
+            for kind, at, fields in zip(rows["kind"], rows["at"], rows["fields"] if with_fields else [None] * len(rows)):
+                known.take(kind, millis(at), dict(fields or {}))
+        known.until(now)
+        if known.matched or known.texts:
+            state.update((known.first, known.texts, known.told, known.matched, json.dumps(known.fields)))
+            state.setTimeoutTimestamp(max(known.deadline(), now) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, *o) for o in known.out], columns=["roomid", "plate", "outcome", "texts", "fields"])
 
-    return events.withWatermark("at", delay).groupBy("roomid", "plate").applyInPandasWithState(step, schema, "first long, texts long, told long, matched long", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "first long, texts long, told long, matched long, fields string"
+    return events.withWatermark("at", delay).groupBy("roomid", "plate").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def assemble(parts: DataFrame, needed: tuple[str, ...] = ("licence", "id_front", "id_back"), wait_s: int = 60, delay: str = "1 second") -> DataFrame:
     """ST4: documents of a room and sender put together: ``complete`` at once when all parts are there, else what there is after a minute.
 
-    ``parts``: ``roomid``, ``sender``, ``kind``, ``at``; parts of unknown kind (texts) are counted.
+    ``parts``: ``roomid``, ``sender``, ``kind``, ``at``, and, if there is any, ``owner`` (the name on a document).  Parts of unknown kind
+    (texts) are counted.  Documents that name different owners are sets of their own; documents and texts without a name belong to the
+    oldest open set.  Parts of a batch are taken in order of time, and waits that end between them are seen to.
     """
-    schema = "roomid string, sender string, outcome string, kinds string, others long"
+    schema = "roomid string, sender string, outcome string, kinds string, others long, owner string"
+    named = "owner" in parts.columns
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, kinds, others = state.get if state.exists else (0, "", 0)
-        found = set(kinds.split(",")) - {""}
-        out = []
-        if state.hasTimedOut:
-            out.append((*key, "timeout", ",".join(sorted(found)), others))
+        now, out = state.getCurrentWatermarkMs(), []
+        sets: list[dict[str, Any]] = json.loads(state.get[0]) if state.exists else []
+
+        def say(outcome: str, s: dict[str, Any]) -> None:
+            sets.remove(s)
+            out.append((*key, outcome, ",".join(sorted(s["kinds"])), s["others"], s["owner"]))
+
+        def until(ms: int) -> None:
+            for s in [s for s in sets if s["first"] + wait_s * 1000 < ms]:
+                say("timeout", s)
+
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at", "kind"], kind="stable")
+            for kind, at, owner in zip(rows["kind"], rows["at"], rows["owner"] if named else [None] * len(rows)):
+                ms, owner = millis(at), owner or ""
+                until(ms)
+                mine = next((s for s in sets if not owner or s["owner"] in ("", owner)), None)
+                if mine is None:
+                    mine = {"first": ms, "kinds": [], "others": 0, "owner": ""}
+                    sets.append(mine)
+                mine["owner"] = mine["owner"] or owner
+                if kind not in needed:
+                    mine["others"] += 1
+                elif kind not in mine["kinds"]:
+                    mine["kinds"].append(kind)
+                if set(mine["kinds"]) >= set(needed):
+                    say("complete", mine)
+        until(now)
+        if sets:
+            state.update((json.dumps(sets),))
+            state.setTimeoutTimestamp(max(min(s["first"] for s in sets) + wait_s * 1000, now) + 1)
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("at")
-            for kind, at in zip(rows["kind"], rows["at"]):
-                first = first or int(at.timestamp() * 1000)
-                found, others = (found | {kind}, others) if kind in needed else (found, others + 1)
-                if found >= set(needed):
-                    out.append((*key, "complete", ",".join(sorted(found)), others))
-                    first, found, others = 0, set(), 0
-            if first:
-                state.update((first, ",".join(sorted(found)), others))
-                state.setTimeoutTimestamp(max(first + wait_s * 1000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=["roomid", "sender", "outcome", "kinds", "others"])
+        yield pd.DataFrame(out, columns=["roomid", "sender", "outcome", "kinds", "others", "owner"])
 
-    return parts.withWatermark("at", delay).groupBy("roomid", "sender").applyInPandasWithState(step, schema, "first long, kinds string, others long", "append", GroupStateTimeout.EventTimeTimeout)
+    return parts.withWatermark("at", delay).groupBy("roomid", "sender").applyInPandasWithState(step, schema, "sets string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_notice(messages: DataFrame, candidate: Column, delay: str = "1 day") -> DataFrame:
@@ -120,29 +176,26 @@ def offline_alerts(events: DataFrame, after_s: int = 300, delay: str = "1 second
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, told = state.get if state.exists else (0, 0)
-        out = []
-        if state.hasTimedOut:
-            out.append((*key, "offline", after_s))
-            state.update((since, 1))
-        else:
-            rows = pd.concat(list(batches)).sort_values("at")
+        now, out = state.getCurrentWatermarkMs(), []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("at", kind="stable")
             for kind, at in zip(rows["kind"], rows["at"]):
-                ms = int(at.timestamp() * 1000)
+                ms = millis(at)
                 if kind == "offline":
                     since = since or ms
                 elif since:
-                    if not told and ms - since >= after_s * 1000:
-                        out.append((*key, "offline", after_s))
-                        told = 1
-                    if told:
-                        out.append((*key, "recovered", (ms - since) // 1000))
+                    if ms - since >= after_s * 1000:
+                        out += ([] if told else [(*key, "offline", after_s)]) + [(*key, "recovered", (ms - since) // 1000)]
                     since = told = 0
-            if since:
-                state.update((since, told))
-                if not told:
-                    state.setTimeoutTimestamp(max(since + after_s * 1000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
+        if since and not told and since + after_s * 1000 < now:
+            out.append((*key, "offline", after_s))
+            told = 1
+        if since:
+            state.update((since, told))
+            if not told:
+                state.setTimeoutTimestamp(max(since + after_s * 1000, now) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["device", "outcome", "seconds"])
 
     return events.withWatermark("at", delay).groupBy("device").applyInPandasWithState(step, schema, "since long, told long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -154,14 +207,34 @@ def hourly_counts(messages: DataFrame, delay: str = "2 hours") -> DataFrame:
     return counts.select(F.col("window.start").alias("hour"), "msgtype", "n")
 
 
-def upsert_sink(merge, target_path: str):
-    """A ``foreachBatch`` function that merges each batch into a table of files, by way of a second folder."""
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_sink`` keeps: the version of the last batch that was written as a whole."""
+    return spark.read.parquet(f"{path}/{version(spark, path)}")
+
+
+def version(spark: SparkSession, path: str) -> str | None:
+    """Name of the last whole version of a table of versions; null if it has none."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(f.getPath().getName()) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(whole, default=None)
+
+
+def upsert_sink(merge, path: str):
+    """A ``foreachBatch`` function that merges each batch into a table of versions (``v`` and the batch's number).
+
+    A version counts once its ``_SUCCESS`` file is there, which Spark writes last, so a crash leaves the version before as it was; a
+    batch whose version is there is not merged again.  A table that is there before the first batch is version ``v`` and twenty zeros.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = merge(spark.read.parquet(target_path), batch)
-        merged.write.mode("overwrite").parquet(f"{target_path}.next")
-        spark.read.parquet(f"{target_path}.next").write.mode("overwrite").parquet(target_path)
+        last, mine = version(spark, path), f"v{number + 1:020d}"
+        if last is None or last < mine:
+            merged = merge(spark.read.parquet(f"{path}/{last}") if last else batch.limit(0), batch)
+            merged.write.mode("overwrite").parquet(f"{path}/{mine}")
 
     return write
 
