@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,32 +21,40 @@ DATES = {"保险起期": "起保日期", "保险止期": "终保日期", "签单
 def abnormal(records: DataFrame, fields: str = "fields", waive_applicant: bool = False) -> DataFrame:
     """Q1: ``abnormal`` and ``hint`` of finished policies (a blank category counts as policy) from a map of fields.
 
-    Records marked as normal by hand (``override_reason``) and all other records are normal.
+    Records marked as normal by hand (``override_reason``) and all other records are normal.  Each key is taken out of the map once.
     """
-    f = F.col(fields)
-    has = lambda k: blank_to_null(F.element_at(f, F.lit(k))).isNotNull()
-    filled = {c: has(c) | F.array_contains(F.array(*[has(k) for k in keys]), True) for c, keys in REQUIRED.items()}
-    product = F.coalesce(F.element_at(f, F.lit("险种类型")), F.lit(""))
-    compulsory = F.contains(product, F.lit("交强")) | F.contains(product, F.lit("交通事故责任强制"))
+    keys = list(dict.fromkeys([k for pair in REQUIRED.values() for k in pair] + [*DATES, "新车未上牌"]))
+    at = {k: f"__k{i}" for i, k in enumerate(keys)}
+    rows = records.withColumns({c: blank_to_null(F.element_at(fields, F.lit(k))) for k, c in at.items()})
+    has = lambda k: F.col(at[k]).isNotNull()
+    product = F.coalesce(at["险种类型"], F.lit(""))
+    flags = {f"__g{i}": F.coalesce(*[F.col(at[k]) for k in REQUIRED[c]]).isNull() for i, c in enumerate(REQUIRED)}
+    gone = {c: F.col(f"__g{i}") for i, c in enumerate(REQUIRED)}
+    rows = rows.withColumns(flags | {"__compulsory": F.contains(product, F.lit("交强")) | F.contains(product, F.lit("交通事故责任强制"))})
     new_car = has("新车未上牌")
-    gone = {c: ~v for c, v in filled.items()}
-    if waive_applicant:
-        gone["投保人"] = gone["投保人"] & ~filled["被保人"]
-    labels = [F.when(gone[c] & ~(new_car if c == "车牌" else F.lit(False)), F.when(compulsory, "投保人(交强险通常无)").otherwise(c) if c == "投保人" else F.lit(c)) for c in REQUIRED]
+    applicant = gone["投保人"] & gone["被保人"] if waive_applicant else gone["投保人"]
+    missing = gone | {"投保人": applicant}
+    labels = [F.when(missing[c] & ~(new_car if c == "车牌" else F.lit(False)), F.when(F.col("__compulsory"), "投保人(交强险通常无)").otherwise(c) if c == "投保人" else F.lit(c)) for c in REQUIRED]
     whole = r"\d{1,2}[日号]|\d{4}[-/]\d{1,2}[-/]\d{1,2}"
-    torn = [F.when(has(k) & ~F.rlike(F.element_at(f, F.lit(k)), F.lit(whole)), v) for k, v in DATES.items()]
-    missing, broken = F.concat_ws("、", *labels), F.concat_ws("、", *torn)
-    hint = F.concat_ws("；", F.when(new_car & gone["车牌"], "新车无车牌"), F.when(missing != "", F.concat(F.lit("缺少："), missing)), F.when(broken != "", F.concat(F.lit("日期不全："), broken)))
+    torn = [F.when(has(k) & ~F.rlike(at[k], F.lit(whole)), v) for k, v in DATES.items()]
     any_gone = F.lit(False)
-    for v in gone.values():
+    for v in missing.values():
         any_gone = any_gone | v
     checked = F.col("status").isin("done", "success") & F.coalesce(blank_to_null(F.col("doc_category")), F.lit(POLICY)).isin(POLICY) & blank_to_null(F.col("override_reason")).isNull()
-    return records.withColumns({"abnormal": checked & (any_gone | (broken != "")), "hint": F.when(checked, hint).otherwise("")})
+    rows = rows.withColumns({"__missing": F.concat_ws("、", *labels), "__torn": F.concat_ws("、", *torn), "__any": any_gone, "__new": new_car & gone["车牌"], "__checked": checked})
+    hint = F.concat_ws("；", F.when(F.col("__new"), "新车无车牌"), F.when(F.col("__missing") != "", F.concat(F.lit("缺少："), "__missing")), F.when(F.col("__torn") != "", F.concat(F.lit("日期不全："), "__torn")))
+    judged = rows.withColumns({"abnormal": F.col("__checked") & (F.col("__any") | (F.col("__torn") != "")), "hint": F.when(F.col("__checked"), hint).otherwise("")})
+    return judged.drop(*at.values(), *flags, "__compulsory", "__missing", "__torn", "__any", "__new", "__checked")
+
 
+def backfill(records: DataFrame, side: DataFrame, short_names: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Q2: records with a blank short name filled in and the flag made anew; and the records that have no side row.
 
-def backfill(records: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Q2: records with a short name from their insurer's name and the flag made anew; and the records that have no side row."""
-    short = F.coalesce(blank_to_null(F.col("company_short")), blank_to_null(F.substring(F.element_at("fields", F.lit("保险公司")), 1, 4)))
+    The short name is the one among the fields, else the first of ``short_names`` (part of the insurer's name, short name) that fits.
+    """
+    company = F.element_at("fields", F.lit("保险公司"))
+    known = [F.when(F.contains(company, F.lit(part)), F.lit(short)) for part, short in short_names or []]
+    short = F.coalesce(blank_to_null(F.col("company_short")), blank_to_null(F.element_at("fields", F.lit("保险公司简称"))), *known)
     return abnormal(records.withColumn("company_short", short)), records.select("id").join(side.select(F.col("record_id").alias("id")), "id", "left_anti")
 
 
@@ -107,39 +117,43 @@ def comparable(field: str, value: Column, strip_zeros: bool = False) -> Column:
 
 
 def differences(records: DataFrame, fields: list[str], current: str = "fields", other: str = "ai_fields", manual: str = "manual_fields") -> DataFrame:
-    """Q8: ``diffs``: fields in which a second reader differs (``diff``) or knows more (``supplement``), and whether they were edited by hand."""
+    """Q8: ``diffs``: fields in which a second reader differs (``diff``) or knows more (``supplement``), and whether they were edited by hand.
+
+    Values, their comparable forms and the kinds are columns of their own on the way, so each is made once.
+    """
     by_hand = F.coalesce(F.col(manual), F.array().cast("array<string>"))
-    entries = []
-    for f in fields:
-        a, b = F.trim(F.coalesce(F.element_at(current, F.lit(f)), F.lit(""))), F.trim(F.coalesce(F.element_at(other, F.lit(f)), F.lit("")))
-        kind = F.when((a == "") & (b != ""), "supplement").when((b != "") & (comparable(f, a) != comparable(f, b)), "diff")
-        entries.append(F.struct(F.lit(f).alias("field"), a.alias("current"), b.alias("ai"), kind.alias("type"), F.array_contains(by_hand, F.lit(f)).alias("manual")))
-    return records.withColumn("diffs", F.filter(F.array(*entries), lambda x: x["type"].isNotNull()))
+    value = lambda c, f: F.trim(F.coalesce(F.element_at(c, F.lit(f)), F.lit("")))
+    a, b, kind = ({f: f"__{x}{i}" for i, f in enumerate(fields)} for x in "abk")
+    rows = records.withColumns({a[f]: value(current, f) for f in fields} | {b[f]: value(other, f) for f in fields})
+    same = lambda f: comparable(f, F.col(a[f])) == comparable(f, F.col(b[f]))
+    rows = rows.withColumns({kind[f]: F.when(F.col(b[f]) == "", None).when(F.col(a[f]) == "", "supplement").when(~same(f), "diff") for f in fields})
+    entry = lambda f: F.when(F.col(kind[f]).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(a[f]).alias("current"), F.col(b[f]).alias("ai"), F.col(kind[f]).alias("type"), F.array_contains(by_hand, F.lit(f)).alias("manual")))
+    return rows.withColumn("diffs", F.array_compact(F.array(*[entry(f) for f in fields]))).drop(*a.values(), *b.values(), *kind.values())
+
+
+def _of_field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x["field"] == name
 
 
 def settle(records: DataFrame, fields: list[str], text: str = "raw_text") -> DataFrame:
-    """Q9: ``fixed`` fields, ``result`` and ``n_flagged`` from ``diffs``.
+    """Q9: ``fixed`` fields, ``result`` and ``n_flagged`` from ``diffs``, in which each of ``fields`` occurs once at most.
 
     A difference is put right if it was not edited by hand and is a supplement, or its value stands in the text; all others are flagged.
     """
     t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\s,，¥￥]", "")
-    digits = F.regexp_replace(t, r"\D", "")
-
-    def found(x: Column) -> Column:
-        hit = F.lit(False)
-        for f in fields:
-            norm = comparable(f, x["ai"])
-            inside = F.contains(digits if f in DATE_FIELDS else F.upper(t) if f in ("车牌号", "车架号VIN") else t, norm)
-            hit = F.when(x["field"] == f, (norm != "") & inside).otherwise(hit)
-        return hit
-
-    fixable = F.filter("diffs", lambda x: ~x["manual"] & ((x["type"] == "supplement") | found(x)))
-    j = records.withColumn("fixable", fixable)
+    e, norm = {f: f"__e{i}" for i, f in enumerate(fields)}, {f: f"__n{i}" for i, f in enumerate(fields)}
+    rows = records.withColumn("__t", t)
+    rows = rows.withColumns({e[f]: F.get(F.filter("diffs", _of_field(f)), F.lit(0)) for f in fields})
+    rows = rows.withColumns({norm[f]: F.when(F.col(e[f]).isNotNull(), comparable(f, F.col(e[f])["ai"])) for f in fields})
+    inside = lambda f: F.contains(F.regexp_replace("__t", r"\D", "") if f in DATE_FIELDS else F.upper("__t") if f in ("车牌号", "车架号VIN") else F.col("__t"), F.col(norm[f]))
+    ok = lambda f: F.col(e[f]).isNotNull() & ~F.col(e[f])["manual"] & ((F.col(e[f])["type"] == "supplement") | ((F.col(norm[f]) != "") & inside(f)))
+    rows = rows.withColumn("fixable", F.array_compact(F.array(*[F.when(ok(f), F.col(e[f])) for f in fields])))
     new = F.map_from_entries(F.transform("fixable", lambda x: F.struct(x["field"].alias("key"), x["ai"].alias("value"))))
-    old = F.map_filter("fields", lambda k, v: ~F.map_contains_key(new, k))
+    old = F.map_filter("fields", lambda k, v: ~F.array_contains(F.transform("fixable", lambda x: x["field"]), k))
     flagged = F.size("diffs") - F.size("fixable")
     result = F.when(F.size("diffs") == 0, "pass").when(flagged > 0, "flagged").otherwise("corrected")
-    return j.withColumns({"fixed": F.map_concat(old, new), "n_flagged": flagged, "result": result})
+    fixed = F.when(F.size("fixable") == 0, F.col("fields")).otherwise(F.map_concat(old, new))
+    return rows.withColumns({"fixed": fixed, "n_flagged": flagged, "result": result}).drop("__t", *e.values(), *norm.values())
 
 
 def in_check_scope(records: DataFrame, statuses: list[str], companies: list[str], rare_below: int) -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerspark.plans.proxies import TODAY, base, records, view
 
 SPACED = "SELECT o_orderkey AS id, '保单 1 2 3 4 5 于 ' || CAST(o_custkey AS STRING) || ' 年 ' || CAST(o_orderkey % 12 + 1 AS STRING) || ' 月 3 日 x 7' AS text FROM {orders}"
 KINDS = """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN '电子保单 保险单号 1' WHEN 1 THEN '发票号码 2' WHEN 2 THEN '缴款通知书' WHEN 3 THEN '保险示范条款' WHEN 4 THEN '批改日期 2020' WHEN 5 THEN '投保人声明' WHEN 6 THEN '此标志粘贴在机动车前窗' WHEN 7 THEN '投保单 投保人' ELSE 'plain' END AS text FROM {orders}"""
-COVERS = "SELECT l_orderkey * 10 + l_linenumber AS doc_id, 'head' || chr(10) || '车损险 保额：' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' 保费 1,' || CAST(100 + l_linenumber AS STRING) || '.50' || chr(10) || '三者险 none' || chr(10) || '座位险 ' || CAST(l_partkey AS STRING) AS text FROM {lineitem} WHERE l_orderkey % 20 = 0"
+COVERS = "SELECT l_orderkey * 10 + l_linenumber AS doc_id, 'head' || chr(10) || '车损险 保额：' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' 保费 1,' || CAST(100 + l_linenumber AS STRING) || '.50' || chr(10) || '三者险 none' || chr(10) || '座位险 ' || CAST(l_partkey AS STRING) AS text FROM {lineitem}"
 PAGES = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN '[PAGE:3] y' WHEN 2 THEN 'a [PAGE:2] b [PAGE:1] c [PAGE:3]' ELSE '[PAGE:1][PAGE:4][PAGE:1]' END AS text FROM {orders}"
 AMOUNTS = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '人民币壹佰捌拾玖元整' WHEN 1 THEN '贰万零叁元伍角陆分' WHEN 2 THEN '叁亿贰仟万元' WHEN 3 THEN 'none' ELSE '拾元' END AS text FROM {orders}"
 DATES = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '2026-6-3' WHEN 1 THEN '2026/06/' || CAST(o_orderkey % 40 AS STRING) WHEN 2 THEN '2026年6月3日 12时' WHEN 3 THEN '2026/05/' ELSE '' END AS text FROM {orders}"
@@ -52,7 +52,7 @@ QUERIES = {
     "T13_amounts": lambda s, d: view(s, d, AMOUNTS).select("id", c.chinese_amount(F.col("text")).cast("double").alias("amount")),
     "T14_plates": lambda s, d: records(s, d).select("id", c.normalize_plate(F.col("plate_no")).alias("plate"), c.hyphen_plate(c.normalize_plate(F.col("plate_no"))).alias("hyphened"), c.repair_plate_letters(F.lit("京AOI12")).alias("repaired")),
     "T15_names": lambda s, d: records(s, d).select("id", t.person_name(F.concat("insured", F.lit(" 先生 电话123"))).alias("name")),
-    "T16_cities": lambda s, d: base(s, d, "nation").select("n_nationkey", t.insurer_with_city(F.lit("甲保险"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("广东省"), "n_name", F.lit("市天河区"))).when(F.col("n_nationkey") % 3 == 1, "广东省东莞南城").otherwise("")).alias("label")),
+    "T16_cities": lambda s, d: base(s, d, "customer").select("c_custkey", t.insurer_with_city(F.lit("甲保险"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("广东省"), "c_mktsegment", F.lit("市天河区"))).when(F.col("c_custkey") % 3 == 1, "广东省东莞南城").otherwise("")).alias("label")),
     "T17_clause_pages": lambda s, d: base(s, d, "documents").select("doc_id", t.is_clause_page(F.col("text"), ("License", "Version", "Released", "under"), "GNU", 2).alias("clause")),
     "T18_map_fields": lambda s, d: _records(s, d).withColumn("m", t.map_fields(F.col("fields"), {"保单号": ["保单号"], "投保": ["投保人", "被保险人"]}, {"投保": ["被保险人"]})).select("id", F.element_at("m", F.lit("投保")).alias("applicant"), F.element_at("m", F.lit("险种类型")).alias("product"), F.element_at("m", F.lit("_x")).alias("inner")),
     "T19_flatten": lambda s, d: t.flatten(_records(s, d).select("id", "fields"), {"车牌号": "plate_no", "保险起期": "start_date", "保费合计": "total_premium"}).select("id", "plate_no", "start_date", "start_date_iso", "total_premium"),
@@ -78,6 +78,10 @@ QUERIES = {
 _ID = "o_orderkey AS id"
 _HAS = lambda col: f"coalesce({col}, '') <> ''"
 
+# What the second reader's values differ in: applicant, premium and sign date; plates are the same but for their case.
+_KINDS = """SELECT id, insured, applicant, CASE WHEN insured = '' THEN NULL WHEN applicant = '' THEN 'supplement' WHEN applicant <> insured THEN 'diff' END AS p,
+  CASE WHEN total_premium = '' THEN 'supplement' WHEN id % 3 <> 0 THEN 'diff' END AS a, CASE WHEN sign_date IS NULL THEN 'supplement' END AS s FROM records"""
+
 ORACLE_SQL = {
     "T1_clean_digits": sql("SELECT o_orderkey AS id, '保单 12345 于 ' || o_custkey || '年' || (o_orderkey % 12 + 1) || '月3日 x 7' AS text FROM orders"),
     "T2_undouble": sql("SELECT c_custkey, c_name AS name FROM customer"),
@@ -86,13 +90,13 @@ ORACLE_SQL = {
     "T5_classes": sql(f"SELECT id, {CLASS} AS class, {SORT} AS sort_class, CASE {SORT} WHEN '商业险' THEN 0 WHEN '交强险' THEN 1 ELSE 3 END AS rank FROM records"),
     "T6_categories": sql(f"SELECT {_ID}, CASE o_orderkey % 9 WHEN 0 THEN '保单' WHEN 1 THEN '发票' WHEN 2 THEN '缴款通知' WHEN 3 THEN '条款' WHEN 4 THEN '批单' WHEN 5 THEN '条款' WHEN 6 THEN '电子标志' WHEN 7 THEN '投保单' ELSE '未知' END AS category FROM orders"),
     "T7_fields": sql("SELECT doc_id, NULLIF(regexp_extract(text, '([0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+)', 1), '') AS ip, CASE WHEN source = 'src0' THEN coalesce(NULLIF(regexp_extract(text, '(?i)\\b(oned[0-9A-Za-z_]*)', 1), ''), w) ELSE w END AS word FROM (SELECT *, coalesce(NULLIF(regexp_extract(text, '(?i)\\b(thble[0-9A-Za-z_]*)', 1), ''), NULLIF(regexp_extract(text, '(ciónes)', 1), '')) AS w FROM documents)"),
-    "T9_covers": sql("SELECT l_orderkey * 10 + l_linenumber AS doc_id, line_no, cover, amount, lim AS limit FROM (SELECT *, unnest([1, 3]) AS line_no, unnest(['车损险', '座位险']) AS cover, unnest(['1' || (100 + l_linenumber) || '.50', CAST(l_partkey AS VARCHAR)]) AS amount, unnest([CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), NULL]) AS lim FROM lineitem WHERE l_orderkey % 20 = 0)"),
+    "T9_covers": sql("SELECT l_orderkey * 10 + l_linenumber AS doc_id, line_no, cover, amount, lim AS limit FROM (SELECT *, unnest([1, 3]) AS line_no, unnest(['车损险', '座位险']) AS cover, unnest(['1' || (100 + l_linenumber) || '.50', CAST(l_partkey AS VARCHAR)]) AS amount, unnest([CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), NULL]) AS lim FROM lineitem)"),
     "T10_page_range": sql(f"SELECT {_ID}, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '3' WHEN 2 THEN '1-3' ELSE '1,4' END AS pages FROM orders"),
     "T11_confidence": sql(f"SELECT id, round(({' + '.join(f'CAST({_HAS(x)} AS INT)' for x in ('policy_no', 'insured', 'plate_no', 'total_premium', 'company_short'))}) / CAST(5 AS DOUBLE), 2) AS confidence, CASE length(replace(plate_no, '-', '')) WHEN 8 THEN '新能源' WHEN 7 THEN '燃油' ELSE '' END AS energy, CAST(month(end_date) AS INT) AS expiry_month FROM records"),
     "T12_dates": sql(f"SELECT {_ID}, CASE o_orderkey % 5 WHEN 0 THEN DATE '2026-06-03' WHEN 1 THEN CASE WHEN o_orderkey % 40 BETWEEN 1 AND 30 THEN DATE '2026-05-31' + CAST(o_orderkey % 40 AS INT) END WHEN 2 THEN DATE '2026-06-03' END AS day FROM orders"),
     "T13_amounts": sql(f"SELECT {_ID}, CAST(CASE o_orderkey % 5 WHEN 0 THEN 189 WHEN 1 THEN 20003.56 WHEN 2 THEN 320000000 WHEN 4 THEN 10 END AS DOUBLE) AS amount FROM orders"),
     "T14_plates": sql("SELECT id, upper(replace(plate_no, '-', '')) AS plate, CASE WHEN plate_no LIKE '京A%' THEN plate_no ELSE plate_no END AS hyphened, '京A0112' AS repaired FROM records"),
-    "T16_cities": sql("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || '甲保险' WHEN 1 THEN '东莞甲保险' ELSE '甲保险' END AS label FROM nation"),
+    "T16_cities": sql("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || '甲保险' WHEN 1 THEN '东莞甲保险' ELSE '甲保险' END AS label FROM customer"),
     "T17_clause_pages": sql("SELECT doc_id, length(text) >= 50 AND NOT contains(text, 'GNU') AND CAST(contains(text, 'License') AS INT) + CAST(contains(text, 'Version') AS INT) + CAST(contains(text, 'Released') AS INT) + CAST(contains(text, 'under') AS INT) >= 2 AS clause FROM documents"),
     "T18_map_fields": sql("SELECT id, coalesce(NULLIF(insured, ''), NULLIF(applicant, '')) AS applicant, policy_type AS product, CAST(NULL AS VARCHAR) AS inner FROM records"),
     "T19_flatten": sql("SELECT id, plate_no, CASE WHEN id % 6 = 1 THEN '2026/05/' ELSE CAST(start_date AS VARCHAR) END AS start_date, CASE WHEN id % 6 <> 1 THEN start_date END AS start_date_iso, total_premium FROM records"),
@@ -102,12 +106,17 @@ ORACLE_SQL = {
     "T22_same_party": sql("SELECT id, CASE WHEN applicant <> '' AND applicant = insured THEN NULLIF(id_number, '') END AS applicant_id, NULLIF(id_number, '') AS insured_id FROM records"),
     "T23_new_insurers": sql("SELECT key, min(id) AS first_id, count(*) AS n FROM (SELECT id, CASE WHEN id % 2 = 0 THEN ocr_engine ELSE NULLIF(substr(policy_no, 1, 9), '') END AS key FROM records WHERE company_short = '' AND doc_category = '保单') WHERE key IS NOT NULL AND key NOT IN (SELECT substr(policy_no, 1, 9) FROM records WHERE id % 46 = 0) GROUP BY 1"),
     "T24_plate_fallback": sql("SELECT id, coalesce(NULLIF(plate_no, ''), CASE WHEN id % 5 = 0 THEN '粤B1234' || (id % 10) END, CASE WHEN enterprise_id BETWEEN 1 AND 6 AND length(vin) >= 10 THEN vin END, '') AS plate_no FROM records"),
+    "T15_names": sql("SELECT id, NULLIF(insured, '') AS name FROM records"),
+    "Q1_abnormal": sql("""SELECT id, checked AND (m <> '' OR torn <> '') AS abnormal, CASE WHEN checked THEN concat_ws('；', CASE WHEN m <> '' THEN '缺少：' || m END, CASE WHEN torn <> '' THEN '日期不全：' || torn END) ELSE '' END AS hint FROM (SELECT id, status IN ('done', 'success') AND coalesce(NULLIF(doc_category, ''), '保单') = '保单' AND id % 21 <> 0 AS checked, CASE WHEN id % 6 = 1 THEN '起保日期' ELSE '' END AS torn,
+      concat_ws('、', CASE WHEN company_short = '' THEN '承保公司' END, CASE WHEN policy_no = '' THEN '保单号' END, CASE WHEN policy_type = '' THEN '险种' END, CASE WHEN plate_no = '' THEN '车牌' END, CASE WHEN applicant = '' AND insured = '' THEN CASE WHEN policy_type LIKE '%强制%' THEN '投保人(交强险通常无)' ELSE '投保人' END END, CASE WHEN insured = '' THEN '被保人' END, CASE WHEN sign_date IS NULL THEN '签单日期' END, CASE WHEN total_premium = '' THEN '保费' END) AS m FROM records)"""),
     "Q2_missing_side": sql("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0"),
     "Q3_strip_disabled": sql("SELECT id, array_to_string(list_sort(list_filter(['保险公司简称', '保单号', '险种类型', CASE WHEN id % 4 = 0 THEN '投保人' END, '被保险人', CASE WHEN sign_date IS NOT NULL THEN '签单日期' END, '保险起期', '保险止期', '保费合计'], lambda x: x IS NOT NULL)), ',') AS keys FROM records"),
     "Q4_reread": sql("SELECT id, CASE WHEN id % 4 = 0 THEN applicant ELSE insured END AS applicant, CASE WHEN id % 4 = 0 THEN policy_no ELSE 'N1' END AS policy_no, CASE WHEN id % 4 = 0 THEN CAST(insured <> '' AND insured <> applicant AS INT) + CAST(policy_no <> 'N1' AS INT) ELSE 0 END AS conflicts, created_day AS first_read_at FROM records"),
     "Q5_file_identity": sql("SELECT id, file_md5, CASE WHEN f < id THEN f END AS source_id, CASE WHEN f IS NULL OR f >= id THEN 'new' WHEN f // 2 = id // 2 THEN 'duplicate' ELSE 'copy' END AS outcome FROM records LEFT JOIN (SELECT file_md5, min(id) AS f FROM records WHERE file_md5 <> '' AND status IN ('done', 'success') GROUP BY 1) d USING (file_md5)"),
     "Q6_upsert": sql("SELECT i.id, i.policy_no, e.t AS target_id FROM records i LEFT JOIN (SELECT policy_no, user_id, enterprise_id, max(id) AS t FROM records WHERE id % 2 = 0 AND policy_no <> '' GROUP BY 1, 2, 3) e ON e.policy_no = i.policy_no AND e.user_id IS NOT DISTINCT FROM i.user_id AND e.enterprise_id IS NOT DISTINCT FROM i.enterprise_id WHERE i.id % 2 = 1"),
     "Q7_owner": sql("SELECT id, coalesce(CASE WHEN roomid <> '' THEN a.u ELSE b.u END, user_id) AS user_id FROM records LEFT JOIN (SELECT 'r' || (s_suppkey % 12) AS roomid, min(s_suppkey) AS u FROM supplier GROUP BY 1) a USING (roomid) LEFT JOIN (SELECT 's' || s_suppkey AS sender, s_suppkey * 10 AS u FROM supplier WHERE s_suppkey < 30) b USING (sender)"),
+    "Q8_differences": sql(f"SELECT id, concat_ws(',', '投保人:' || p || ':' || CASE WHEN id % 4 = 0 THEN 'true' ELSE 'false' END, '保费合计:' || a || ':false', '签单日期:' || s || ':false') AS diffs FROM ({_KINDS})"),
+    "Q9_settle": sql(f"SELECT id, CASE WHEN p IS NULL AND a IS NULL AND s IS NULL THEN 'pass' WHEN p IS NOT NULL AND id % 4 = 0 THEN 'flagged' ELSE 'corrected' END AS result, CAST(p IS NOT NULL AND id % 4 = 0 AS INT) AS n_flagged, CASE WHEN p IS NOT NULL AND id % 4 <> 0 THEN insured ELSE applicant END AS applicant FROM ({_KINDS})"),
     "Q10_scope": sql("SELECT id, r.company_short, history FROM records r LEFT JOIN (SELECT company_short, count(*) AS history FROM records GROUP BY 1) h USING (company_short) WHERE is_abnormal = 1 OR r.company_short = '1-URGENT' OR history < 700"),
     "Q11_notes": sql(f"SELECT record_id, count(*) AS notes, CAST(max(note_id) AS VARCHAR) AS last_content, DATE '2001-07-28' + max(note_id) AS last_day, bool_or(DATE '2001-07-28' + note_id = DATE '{TODAY}') AS reviewed_today FROM (SELECT DISTINCT l_orderkey AS record_id, l_linenumber AS note_id FROM lineitem) GROUP BY 1"),
 }
