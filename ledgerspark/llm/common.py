@@ -1,14 +1,18 @@
-"""What the training-data operators share: reading tables, cutting lineage, the word pattern."""
+"""What the training-data operators share: reading tables, cutting lineage, samples, the word pattern, parts of batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Code points of texts that a Python worker handles at once.
+PART = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in tests on one machine, a temporary folder is taken.  Lost executors do not lose the rows.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset and the master is one local
+    process, as in tests, a temporary folder is taken; elsewhere this is an error.  Lost executors do not lose the rows.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
@@ -41,12 +47,34 @@ def hash_sample(df: DataFrame, limit: int, *by: str) -> DataFrame:
     return df.withColumn("__place", place).where(F.col("__place") < bound).orderBy("__place", *by).limit(limit).drop("__place")
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """Let Python workers of this session take at most ``rows`` rows at a time, which bounds their memory for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def parts(texts: list[str], size: int = PART) -> Iterator[slice]:
+    """Slices of texts of about ``size`` code points, one text at least.
+
+    Spark bounds what a Python worker gets at once (``spark.sql.execution.arrow.maxBytesPerBatch``); these slices bound
+    what the worker makes of it.
+    """
+    at, total = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and total + len(t) > size:
+            yield slice(at, i)
+            at, total = i, 0
+        total += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
 
+def row_hashes(docs: DataFrame, names: tuple[str, str] = ("r1", "r2")) -> DataFrame:
+    """Add two 64-bit hashes of all columns: rows that agree in both are the same row, repeated."""
+    columns = [F.col(c) for c in docs.columns]
+    return docs.withColumns({names[0]: F.xxhash64(*columns), names[1]: F.xxhash64(F.lit("again"), *columns)})
 
-def word_count(text) -> "F.Column":
+
+def word_count(text: Column) -> Column:
     """Number of words of a text column; null counts as no word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """Let Python workers of this session take at most ``rows`` rows at a time, which bounds their memory for long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
