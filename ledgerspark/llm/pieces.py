@@ -10,19 +10,21 @@ import codecs
 import functools
 import hashlib
 import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import small_batches, table
+from ledgerspark.llm.common import parts, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: A word: marks of white space, then what follows up to the next mark; no piece goes on behind one.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Encoded words kept for a task at most, and code points encoded at once.
-CACHE, CHUNK = 150_000, 1 << 19
+#: Encoded words that a task keeps at most, code points of words encoded at once, and of texts that are held at once.
+CACHE, CHUNK, HELD = 60_000, 1 << 18, 1 << 19
 
 codecs.register_error("piece-bytes", lambda e: ("�", e.start + 1))
 
@@ -50,7 +52,7 @@ class PieceModel:
         for b, i in enumerate(self.byte_ids.tolist()):
             self.output[i] = bytes([b])
         self.byte_set = frozenset(self.byte_ids.tolist())
-        self.char_ids = np.full(0x110000, -1, dtype=np.int64)
+        self.char_ids = np.full(0x110000, -1, dtype=np.int32)
         for s, i in self.ids.items():
             if len(s) == 1:
                 self.char_ids[ord(s)] = i
@@ -129,7 +131,7 @@ class PieceModel:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        known = self.char_ids[points]
+        known = self.char_ids[points].astype(np.int64)
         symbols, word = self.merge(np.where(known < 0, points + self.size, known), word)
         if (symbols >= self.size).any():
             symbols, word = self.to_bytes(symbols, word)
@@ -178,21 +180,36 @@ class PieceModel:
 NO_RANK = np.iinfo(np.int64).max
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def model(path: str) -> PieceModel:
     """The model of a file, read once in each Python worker."""
     return PieceModel(path)
 
 
+def encoded(m: PieceModel, batches: Iterator[pd.Series]) -> Iterator[list[bytes]]:
+    """Ids of parts of batches of texts.  What is kept of one task's words is dropped at its end, since workers live on."""
+    try:
+        for batch in batches:
+            texts = [t or "" for t in batch]
+            for part in parts(texts, HELD):
+                yield m.encode(texts[part])
+    finally:
+        m.cache.clear()
+
+
+def numbers(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, dtype="<u4").astype(np.int32)
+
+
 def with_ids(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``piece_ids`` (array of int) of a text column, with begin and end ids; a null text is an empty one."""
 
     @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        found = model(path).encode([t or "" for t in texts])
-        return pd.Series([np.frombuffer(b, dtype="<u4").astype(np.int32) for b in found])
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for found in encoded(model(path), batches):
+            yield pd.Series([numbers(b) for b in found])
 
-    return small_batches(docs).withColumn("piece_ids", ids(F.col(text)))
+    return docs.withColumn("piece_ids", ids(F.col(text)))
 
 
 def with_text(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
@@ -206,30 +223,28 @@ def with_text(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Add ``piece_ids`` and ``piece_text`` in one pass through Python."""
+    """Add ``piece_ids`` and ``piece_text`` in one pass through Python, which holds about ``HELD`` code points of texts at a time."""
 
     @F.pandas_udf("struct<piece_ids: array<int>, piece_text: string>")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = model(path)
-        found = m.encode([t or "" for t in texts])
-        return pd.DataFrame({"piece_ids": [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in found], "piece_text": [m.decode(b) for b in found]})
+        for found in encoded(m, batches):
+            yield pd.DataFrame({"piece_ids": [numbers(b) for b in found], "piece_text": [m.decode(b) for b in found]})
 
-    return small_batches(docs).withColumn("__both", both(F.col(text))).select(*docs.columns, "__both.*")
+    return docs.withColumn("__both", both(F.col(text))).select(*docs.columns, "__both.*")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, number of ids, and SHA-256 of the ids and of the text decoded from them, for each document."""
 
     @F.pandas_udf("struct<n_tokens:bigint, ids_sha256:string, decoded_sha256:string>")
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = model(path)
-        rows = []
-        for at in range(0, len(texts), 256):
-            for b in m.encode([t or "" for t in texts.iloc[at : at + 256]]):
-                rows.append((len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(m.decode(b).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        for found in encoded(m, batches):
+            rows = [(len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(m.decode(b).encode()).hexdigest()) for b in found]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs).select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
 
 
 def public_model() -> str:
@@ -241,6 +256,7 @@ def public_model() -> str:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digests of ids and decoded texts of all documents.
 
-    Null and empty texts have the begin and the end id only and decode to ``''``.  Repeated rows are all encoded.
+    Null and empty texts have the begin and the end id only and decode to ``''``.  Repeated rows are all encoded, null ids too.
+    An empty table gives no rows; other columns are not looked at.
     """
     return digests(table(spark, sf_dir, "documents"), path or public_model())
