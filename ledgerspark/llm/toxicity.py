@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,14 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import small_batches, table
+from ledgerspark.llm.common import cut, hash_sample, table
 
 #: Labelled rows used at most, tokens with a score of their own at most, and the Dirichlet prior's share of the counts.
 MAX_LABELLED, MAX_TOKENS, PRIOR = 20_000, 20_000, 0.05
 #: Least likelihood ratio (G squared), log-odds and documents of a feature that has an own score; score of all other tokens.
-LEAST_G2, LEAST_ODDS, LEAST_DOCS, DRIFT = 14.0, 1.5, 3, -0.05
+LEAST_G2, LEAST_ODDS, LEAST_DOCS, DRIFT = 14.0, 1.5, 3, -3 / 64
 #: Besides whole tokens, their first so many characters are features, for words that share a stem.
 STEMS = (7, 6, 5, 4)
+#: Scores are multiples of 1 / GRAIN, so that their histogram is bounded.
+GRAIN = 64
 #: Chance expectation up to which a segment counts as significant.
 SIGNIFICANT = 0.05
 FOLDS = 5
@@ -103,8 +105,9 @@ class ToxicityModel:
                 out.append((start, end, score, float(expected)))
         return out
 
-    def score(self, words: list[str]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(parts([p[2:] for p in self.passages(words)]) @ self.weights, -30, 30))))
+    def score(self, found: list[tuple[int, int, float, float]]) -> float:
+        """Score of a document from its ``passages``."""
+        return float(1 / (1 + np.exp(-np.clip(parts([p[2:] for p in found]) @ self.weights, -30, 30))))
 
 
 def parts(found: list[tuple[float, float]]) -> np.ndarray:
@@ -125,20 +128,14 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
     return odds, g
 
 
-def extreme_values(scores: Iterable[np.ndarray]) -> tuple[float, float]:
-    """Lambda and K of the maximal segment score by chance, from token scores of clean documents.
+def extreme_values(values: dict[float, int], tops: list[tuple[float, int]]) -> tuple[float, float]:
+    """Lambda and K of the maximal segment score by chance, from clean documents: how often each token score occurs, and
+    for each document its best segment and its number of tokens.
 
-    Lambda solves mean(exp(lambda s)) = 1 over their tokens; K comes from the mean of lambda S - ln n over the
+    Lambda solves mean(exp(lambda s)) = 1 over the tokens; K comes from the mean of lambda S - ln n over the
     documents' best segments, which for a Gumbel law is ln K plus Euler's constant.
     """
-    values: Counter = Counter()
-    tops = []
-    for s in scores:
-        found, n = np.unique(s, return_counts=True)
-        values.update(dict(zip(found.tolist(), n.tolist())))
-        if len(s):
-            tops.append((max((x[2] for x in segments(s)), default=0.0), len(s)))
-    v, n = np.array(list(values.keys())), np.array(list(values.values()), dtype=np.float64)
+    v, n = np.array(list(values.keys()), dtype=np.float64), np.array(list(values.values()), dtype=np.float64)
     if not len(v) or v.max() <= 0 or (v * n).sum() >= 0:
         return 1.0, 0.1
     low, high = 1e-6, 50.0 / v.max()
@@ -169,64 +166,76 @@ def remainder(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Learn from labelled documents that are not held out, the first ``max_labelled`` in hash order.
 
-    Three quarters of them give the features' scores (documents count a feature once, and the best
-    ``MAX_TOKENS`` features are kept), the rest gives lambda, K and the weights.  Documents of a repeated id
-    count alike; ids with contradicting labels are toxic.  Without labels of both kinds scores are all equal.
+    Three quarters of them give the features' scores (documents count a feature once; of the features that at least ``LEAST_DOCS``
+    toxic documents have and clean ones have less, the ``MAX_TOKENS`` found in most toxic documents are tried, which is
+    part of the fit), the rest gives lambda, K and the weights.  Documents of a repeated id count alike; ids with contradicting
+    labels are toxic.  Without labels of both kinds scores are all equal.
     """
     some = labels.where("toxic is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = F.broadcast(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    rows = small_batches(docs).select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).alias("rest"))
+    picked = F.broadcast(hash_sample(some, max_labelled, "doc_id"))
+    # These few texts are read several times.
+    rows = cut(docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).alias("rest")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = {0: Counter(), 1: Counter()}
             for text, toxic in zip(b["text"], b["toxic"]):
-                n[int(toxic > 0)].update({"", *(f for w in set(tokens(text)) for f in features(w))})
+                n[int(toxic > 0)].update({f for w in set(tokens(text)) for f in features(w)})
             names = list(n[0].keys() | n[1].keys())
             yield pd.DataFrame({"feature": names, "toxic": [n[1][f] for f in names], "clean": [n[0][f] for f in names]})
 
-    counted = rows.where("not rest").select("text", "toxic").mapInPandas(count, "feature string, toxic long, clean long")
+    learned = rows.where("not rest")
+    n_toxic, n_clean = learned.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    if not n_toxic or not n_clean:
+        return ToxicityModel({}, 1.0, 0.1, np.array([3.0 if n_toxic else -3.0 if n_clean else 0.0, 0.0, 0.0, 0.0]))
+    counted = learned.select("text", "toxic").mapInPandas(count, "feature string, toxic long, clean long")
     summed = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    totals = summed.where("feature = ''").first()
-    if totals is None or not totals["toxic"] or not totals["clean"]:
-        return ToxicityModel({}, 1.0, 0.1, np.array([0.0, 0.0, 0.0, 0.0]) if totals is None else np.array([-3.0 if totals["clean"] else 3.0, 0.0, 0.0, 0.0]))
-    n_toxic, n_clean = totals["toxic"], totals["clean"]
     rate = F.col("toxic") / n_toxic / ((F.col("clean") + 0.5) / n_clean)
-    best = summed.where((F.col("feature") != "") & (F.col("toxic") >= LEAST_DOCS) & (rate > 2)).orderBy(F.col("toxic").desc(), "feature").limit(MAX_TOKENS).toPandas()
+    best = summed.where((F.col("toxic") >= LEAST_DOCS) & (rate > 2)).orderBy(F.col("toxic").desc(), "feature").limit(MAX_TOKENS).toPandas()
     odds, g = log_odds(best["toxic"].to_numpy(dtype=float), best["clean"].to_numpy(dtype=float), n_toxic, n_clean)
-    scores = {f: float(o) for f, o, sure in zip(best["feature"], odds, g) if sure >= LEAST_G2 and o >= LEAST_ODDS}
+    scores = {f: round(float(o) * GRAIN) / GRAIN for f, o, sure in zip(best["feature"], odds, g) if sure >= LEAST_G2 and o >= LEAST_ODDS}
     return calibrate(rows.where("rest").select("doc_id", "text", "toxic"), scores)
 
 
 def calibrate(rows: DataFrame, scores: dict[str, float]) -> ToxicityModel:
-    """Fit lambda, K and the weights on documents that gave no scores; only numbers come to the driver."""
-    first = ToxicityModel(scores, 1.0, 0.1, np.zeros(4))
-    shared = rows.sparkSession.sparkContext.broadcast(first)
+    """Fit lambda, K and the weights on documents that gave no scores.
+
+    To the driver come the histogram of the clean documents' token scores, the best segment and number of tokens of each
+    clean document, and, once lambda and K are known, the four parts of each document's score: all bounded, however long texts are.
+    """
+    context = rows.sparkSession.sparkContext
+    first = context.broadcast(ToxicityModel(scores, 1.0, 0.1, np.zeros(4)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
         for b in batches:
-            found = []
-            for doc_id, text, toxic in zip(b["doc_id"], b["text"], b["toxic"]):
-                s = shared.value.token_scores(tokens(text))
-                kept = s[s > 0].tolist()
-                found.append((doc_id, int(toxic > 0), len(s), kept, [float(x[2]) for x in segments(s)]))
-            yield pd.DataFrame(found, columns=["doc_id", "toxic", "n", "high", "parts"])
-
-    kinds = "doc_id long, toxic int, n long, high array<double>, parts array<double>"
-    found = rows.mapInPandas(measure, kinds).groupBy("doc_id").agg(F.min(F.struct("toxic", "n", "high", "parts")).alias("m")).orderBy("doc_id").collect()
-    clean = [r["m"] for r in found if not r["m"]["toxic"]]
-    values = [np.concatenate([np.array(m["high"]), np.full(m["n"] - len(m["high"]), DRIFT)]) for m in clean]
-    lam, k = extreme_values(values)
-    x, y = [], []
-    for r in found:
-        m = r["m"]
-        e = [k * max(m["n"], 1) * np.exp(-lam * s) for s in m["parts"]]
-        good = [(s, v) for s, v in zip(m["parts"], e) if v <= SIGNIFICANT]
-        x.append(parts(good))
-        y.append(float(m["toxic"]))
-    if not x or min(y) == max(y):
+            tops = []
+            for doc_id, text in zip(b["doc_id"], b["text"]):
+                s = first.value.token_scores(tokens(text))
+                value, n = np.unique(np.round(s * GRAIN).astype(np.int64), return_counts=True)
+                seen.update(dict(zip(value.tolist(), n.tolist())))
+                if len(s):
+                    tops.append((doc_id, len(s), max((x[2] for x in segments(s)), default=0.0)))
+            yield pd.DataFrame(tops, columns=["doc_id", "n", "top"]).assign(value=None)[["doc_id", "value", "n", "top"]]
+        yield pd.DataFrame({"doc_id": None, "value": list(seen), "n": list(seen.values()), "top": 0.0})
+
+    kinds = "doc_id long, value long, n long, top double"
+    clean = rows.where("toxic <= 0").select("doc_id", "text").mapInPandas(measure, kinds)
+    found = clean.groupBy("doc_id", "value").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))).alias("times"), F.max(F.struct("top", "n")).alias("best")).orderBy("doc_id", "value").collect()
+    values = {r["value"] / GRAIN: r["times"] for r in found if r["doc_id"] is None}
+    lam, k = extreme_values(values, [(r["best"]["top"], r["best"]["n"]) for r in found if r["doc_id"] is not None])
+    model = context.broadcast(ToxicityModel(scores, lam, k, np.zeros(4)))
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [parts([p[2:] for p in model.value.passages(tokens(t))]).tolist() for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"].astype("int64"), "x": x})
+
+    each = rows.mapInPandas(describe, "doc_id long, toxic long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("toxic", "x")).alias("m")).orderBy("doc_id").collect()
+    x, y = np.array([r["m"]["x"] for r in each]), np.array([float(r["m"]["toxic"] > 0) for r in each])
+    if not len(x) or y.min() == y.max():
         return ToxicityModel(scores, lam, k, np.array([-2.0, 1.0, 1.0, 1.0]))
-    return ToxicityModel(scores, lam, k, logistic(np.array(x), np.array(y)))
+    return ToxicityModel(scores, lam, k, logistic(x, y))
 
 
 def judge(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -235,20 +244,26 @@ def judge(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     kind = "struct<score:double, passages:array<struct<start:int, end:int, score:double, expected:double>>>"
 
     @F.pandas_udf(kind)
-    def toxicity(texts: pd.Series) -> pd.DataFrame:
-        m, out = shared.value, []
-        for text in texts:
-            words = tokens(text)
-            out.append((m.score(words), [{"start": a, "end": b, "score": s, "expected": e} for a, b, s, e in m.passages(words)]))
-        return pd.DataFrame(out, columns=["score", "passages"])
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        try:
+            for texts in batches:
+                out = []
+                for text in texts:
+                    found = m.passages(tokens(text))
+                    out.append((m.score(found), [{"start": a, "end": b, "score": s, "expected": e} for a, b, s, e in found]))
+                yield pd.DataFrame(out, columns=["score", "passages"])
+        finally:
+            m.seen.clear()  # workers live on
 
-    return small_batches(docs).withColumn("toxicity", toxicity("text"))
+    return docs.withColumn("toxicity", toxicity("text"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; see ``fit`` for what it learns from.
 
-    Null and empty texts have no passage and get the score of documents without any.  Repeated rows score alike.
+    Null and empty texts have no passage and get the score of documents without any.  Repeated rows score alike; a null id
+    counts as the empty text in ``held_out``.  An empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -257,7 +272,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below one half, with their own columns."""
+    """The documents that score below one half, with their own columns; repeated rows and null ids are judged by their text alone."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("text"))
     kept = judge(inner, fit(docs, labels)).where("toxicity.score < 0.5")
