@@ -1,9 +1,13 @@
 """Licence scan: a trained paragraph classifier with template comparison.
 
-Every paragraph between blank lines and every single line is scored.  A multinomial logistic regression over word one- and two-grams tells licence
-families from ordinary prose; it is trained on the corpus itself, on paragraphs that contain a family's
-known phrase and on paragraphs without any.  Predictions whose probability is below a calibrated threshold are
-``unknown``; the others are compared with the family's templates.
+Every paragraph between blank lines and every single line is scored, by logistic regressions over sparse word one- and
+two-grams: one tells licences of all families from ordinary prose, a multinomial one tells the families apart.  They are trained on the
+corpus itself, on lines that contain a family's known wording and on prose.  What looks like a licence but like no family in
+particular is ``unknown``; both limits are calibrated on families and prose that were held out of the fit.  Predictions are
+compared with the family's templates.
+
+All n-grams of the model hold a word of the templates that is rare in prose.  A text without any such word has no feature
+in any line, so its score is that of a line without features, and it is left out before it is split; this loses nothing.
 """
 
 from __future__ import annotations
@@ -34,34 +38,30 @@ TEMPLATES: dict[str, list[str]] = {
     "EUPL-1.2": ["EUPL 1.2", "Licensed under the EUPL.", "Provided under the terms of the EUPL.", "European Union Public Licence 1.2", "SPDX-License-Identifier: EUPL-1.2"],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Tous droits reserves.", "Todos los derechos reservados."],
 }
-#: Each template has one of these, so training need not look for templates in lines without any.  Scoring leaves no line out.
-CUES = ("lizen", "rechte vorbehalten", "droits r", "derechos reservados", "public domain", "epl", "eupl", "licen", "copyright", "rights reserved", "permission", "redistribut", "creative commons", "free software", "warrant", "spdx", "apache", "gnu ", "gpl", "mozilla", "bsd", "cc by", "cc-by", "cc0")
 NONE, UNKNOWN = "none", "unknown"
-#: Bounds of the training sample and of the vocabulary, and the least similarity that confirms a prediction.
-MAX_PER_CLASS, MAX_NONE, VOCABULARY, CONFIRM = 200, 4000, 4096, 0.5
-#: Of the negatives, the threshold lets through at most this share.
-NEGATIVES_THROUGH = 0.001
+#: Bounds of the training sample (lines of a family, lines of prose, documents that these come from) and of the vocabulary.
+MAX_PER_CLASS, MAX_NONE, SAMPLE_DOCS, VOCABULARY = 200, 4000, 500, 4096
+#: Words found in a larger share of the lines of prose are no gate words.
+MOST_IN_PROSE = 0.01
+#: Least share of a template's n-grams that confirms a prediction, and parts that families are dealt to for calibration.
+CONFIRM, FOLDS = 0.5, 3
+#: Of held-out prose with any feature at most this share may pass for a licence, and of held-out families for another family.
+PROSE_THROUGH, OTHERS_THROUGH = 0.01, 0.05
+#: Range of the least probability of being a licence at all, and of the least share of it that the best family must have.
+LICENCE_CUT, FAMILY_CUT = (0.5, 0.9), (0.5, 0.9)
+_WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}.+-]*[\p{L}\p{N}+-])?"
 
 
-def has_cue(text: Column) -> Column:
-    low, found = F.lower(text), F.lit(False)
-    for cue in CUES:
-        found = found | F.contains(low, F.lit(cue))
-    return found
+def words(text: Column) -> Column:
+    """Lower-case words of a text; null for a null text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
 def with_grams(rows: DataFrame) -> DataFrame:
-    """Add ``grams``: distinct one- and two-grams of the lower-case words of column ``line``."""
-    words = F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{N}](?:[\p{L}\p{N}.+-]*[\p{L}\p{N}+-])?"), F.lit(0))
+    """Add ``grams``: distinct one- and two-grams of the words of column ``line``."""
     n = F.greatest(F.size("__words") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("__words", F.lit(1), n), F.slice("__words", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return rows.withColumn("__words", words).withColumn("grams", F.array_distinct(F.concat("__words", pairs))).drop("__words")
-
-
-def cued_lines(docs: DataFrame) -> DataFrame:
-    """Lines with a cue, as ``line``.  Null and empty texts have none."""
-    split = docs.where(has_cue(F.col("text"))).select(F.explode(F.split("text", "\n")).alias("line"))
-    return split.where(has_cue(F.col("line")))
+    return rows.withColumn("__words", words(F.col("line"))).withColumn("grams", F.array_distinct(F.concat("__words", pairs))).drop("__words")
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -80,15 +80,39 @@ def units(docs: DataFrame) -> DataFrame:
 @dataclass
 class LicenceModel:
     classes: list[str]
+    gate: list[str]
     vocabulary: CountVectorizerModel
+    licences: LogisticRegressionModel
     regression: LogisticRegressionModel
-    threshold: float
+    licence_cut: float
+    family_cut: float
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")
 
 
 def template_grams(spark: SparkSession) -> list[tuple[str, str, list[str]]]:
     """Family, text and n-grams of each template."""
-    rows = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")
-    return sorted(tuple(r) for r in with_grams(rows).select("family", "line", "grams").collect())
+    return sorted(tuple(r) for r in with_grams(templates(spark)).select("family", "line", "grams").collect())
+
+
+def telling(known: list[tuple[str, str, list[str]]]) -> dict[str, list[str]]:
+    """By template, the words that tell it from other families: those of no other family's templates (its name), and numbers (its version)."""
+    families: dict[str, set[str]] = {}
+    for family, _, grams in known:
+        for g in grams:
+            families.setdefault(g, set()).add(family)
+    return {line: sorted(g for g in grams if " " not in g and (len(families[g]) == 1 or any(c.isdigit() for c in g))) for _, line, grams in known}
+
+
+def family_of() -> Column:
+    """Family of the template that column ``line`` holds as a whole; null without one."""
+    label = F.lit(None).cast("string")
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            label = F.when(F.contains(F.lower("line"), F.lit(text.lower().rstrip("."))), F.lit(family)).otherwise(label)
+    return label
 
 
 def near_bound(labelled: DataFrame, limit: int) -> DataFrame:
@@ -106,62 +130,136 @@ def family_sample(labelled: DataFrame, limit: int) -> DataFrame:
     return near_bound(labelled, limit).withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).select("family", "line")
 
 
-def train(docs: DataFrame) -> LicenceModel:
-    """Fit the classifier on a bounded sample of paragraphs of ``docs`` and on the templates.
+def prose(docs: DataFrame) -> DataFrame:
+    """Lines and paragraphs without a template of the first ``SAMPLE_DOCS`` documents in hash order, at most ``MAX_NONE``: ``family`` (``none``) and ``line``."""
+    first = hash_sample(docs.where("text is not null").select("doc_id", "text"), SAMPLE_DOCS, "doc_id", "text")
+    plain = units(first).select("line").distinct().withColumn("family", family_of()).where("family is null")
+    return cut(plain.orderBy(F.xxhash64("line"), "line").limit(MAX_NONE).select(F.lit(NONE).alias("family"), "line"))
+
+
+def gate_words(negative: DataFrame) -> list[str]:
+    """Words of templates that at most ``MOST_IN_PROSE`` of the lines of prose have; of a template without any, the rarest one."""
+    known = [(f, t, [g for g in grams if " " not in g]) for f, t, grams in template_grams(negative.sparkSession)]
+    every = sorted({w for _, _, ws in known for w in ws})
+    lines = negative.count()
+    hit = F.array_intersect(words(F.col("line")), F.array(*map(F.lit, every)))
+    seen = {r["w"]: r["count"] for r in negative.select(F.explode(hit).alias("w")).groupBy("w").count().collect()}
+    rare = {w for w in every if seen.get(w, 0) <= MOST_IN_PROSE * lines}
+    return sorted(rare | {min(ws, key=lambda w: (seen.get(w, 0), w)) for _, _, ws in known if not rare & set(ws)})
+
+
+def through_gate(docs: DataFrame, gate: list[str]) -> DataFrame:
+    """Documents with any gate word."""
+    return docs.where(with_gate_word("text", gate))
+
+
+def with_gate_word(column: str, gate: list[str]) -> Column:
+    return F.arrays_overlap(words(F.col(column)), F.array(*map(F.lit, gate)))
+
+
+def train(docs: DataFrame, candidates: DataFrame | None = None, negative: DataFrame | None = None, gate: list[str] | None = None) -> LicenceModel:
+    """Fit the classifier on a bounded sample of lines of ``docs`` and on the templates.
 
     Positives are distinct lines that contain a whole template, at most ``MAX_PER_CLASS`` a family in hash order, and the
-    templates themselves; classes weigh alike in the fit, prose four times.  Negatives are the lines and paragraphs without a template of
-    the first documents in hash order, at most ``MAX_NONE``.
-    The threshold is the quantile of the negatives' best family probability that lets through
-    ``NEGATIVES_THROUGH`` of them, one half at least.
+    templates themselves; negatives are ``prose``; families weigh alike, and prose as all of them together.  Being a licence is learned
+    from copies of the positives without their names and versions too.  Families and prose are dealt
+    to ``FOLDS`` parts.  Models fitted without one part score it: the limit of being a licence lets
+    ``PROSE_THROUGH`` of the prose with features through, the limit of the best family's share ``OTHERS_THROUGH`` of the families
+    that the model does not know; both stay within a range.
     """
     spark = docs.sparkSession
-    classes = [NONE, *sorted(TEMPLATES)]
-    label = F.lit(None).cast("string")
-    for family, texts in TEMPLATES.items():
-        for text in texts:
-            label = F.when(F.contains(F.lower("line"), F.lit(text.lower().rstrip("."))), F.lit(family)).otherwise(label)
-    positive = cued_lines(docs).distinct().withColumn("family", label).where("family is not null and length(line) < 2000")
-    positive = family_sample(cut(positive), MAX_PER_CLASS)
-    first = hash_sample(docs.where("text is not null").select("doc_id", "text"), MAX_NONE // 8, "doc_id", "text")
-    negative = units(first).select("line").distinct().withColumn("is_licence", label).where("is_licence is null and line != ''").orderBy(F.xxhash64("line")).limit(MAX_NONE).select(F.lit(NONE).alias("family"), "line")
-    own = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")
-    both = positive.unionByName(own).unionByName(negative)
-    counts = both.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.when(F.col("family") == NONE, 4.0).otherwise(1.0) * 100 / F.col("n")
-    number = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    sample = cut(with_grams(both.join(counts, "family").withColumn("weight", weight)).withColumn("label", number.cast("double")).coalesce(1).sortWithinPartitions("family", "line"))
+    negative = prose(docs) if negative is None else negative
+    gate = gate_words(negative) if gate is None else gate
+    candidates = cut(through_gate(docs.select("doc_id", "text"), gate)) if candidates is None else candidates
+    lines = candidates.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    positive = family_sample(cut(lines.withColumn("family", family_of()).where("family is not null and length(line) < 2000")), MAX_PER_CLASS)
+    both = positive.unionByName(templates(spark)).unionByName(negative)
+    classes = sorted(TEMPLATES)
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("long") - 1
+    fold = F.pmod(F.when(F.col("family") == NONE, F.xxhash64("line")).otherwise(number), F.lit(FOLDS))
+    # A few thousand rows in one order: the fit is the same each time.
+    sample = cut(with_grams(both).withColumns({"number": number, "fold": fold}).coalesce(1).sortWithinPartitions("family", "line"))
+    own = F.filter("grams", lambda g: F.arrays_overlap(F.split(g, " "), F.array(*map(F.lit, gate))))
+    sample = sample.withColumn("grams", own)
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, binary=True, minDF=1.0).fit(sample.where(F.col("family") != NONE))
-    featured = vocabulary.transform(sample)
-    regression = LogisticRegression(maxIter=40, regParam=0.002, family="multinomial", weightCol="weight").fit(featured)
-    best = F.array_max(F.slice(vector_to_array("probability"), 2, len(classes) - 1))
-    near = regression.transform(featured).where(F.col("family") == NONE).agg(F.percentile(best, F.lit(1 - NEGATIVES_THROUGH))).first()[0]
-    return LicenceModel(classes, vocabulary, regression, max(0.5, near or 0.0))
+    sample = cut(vocabulary.transform(sample))
+    sizes = {r["family"]: r["count"] for r in sample.groupBy("family").count().collect()}
+
+    weight = F.lit(float(len(classes))) / max(1, sizes.get(NONE, 0))
+    for family in classes:
+        weight = F.when(F.col("family") == family, 1.0 / max(1, sizes.get(family, 0))).otherwise(weight)
+    # What licences have in common is learned from copies without the words that tell families apart.
+    names = sorted({w for ws in telling(template_grams(spark)).values() for w in ws})
+    common = F.filter("grams", lambda g: ~F.arrays_overlap(F.split(g, " "), F.array(*map(F.lit, names))))
+    nameless = sample.where(F.col("family") != NONE).withColumn("grams", common).where("size(grams) > 0").drop("features")
+    sample = sample.withColumn("nameless", F.lit(False)).unionByName(vocabulary.transform(nameless).withColumn("nameless", F.lit(True)))
+    sample = cut(sample.withColumn("weight", weight * 100).coalesce(1).sortWithinPartitions("family", "line", "nameless"))
+
+    def fitted(rows: DataFrame, known: list[str] | None = None) -> LogisticRegressionModel:
+        """Licences against prose, or, with the families ``known``, these against each other."""
+        label = (F.col("family") != NONE).cast("double") if known is None else (F.array_position(F.array(*map(F.lit, known)), F.col("family")) - 1).cast("double")
+        rows = rows.withColumn("label", label).where("label >= 0" if known is None else "label >= 0 and not nameless")
+        kind = "binomial" if known is None else "multinomial"
+        return LogisticRegression(maxIter=25, regParam=0.002, family=kind, weightCol="weight").fit(rows)
+
+    held = None
+    for k in range(FOLDS):
+        rest, part = sample.where(F.col("fold") != k), sample.where((F.col("fold") == k) & ~F.col("nameless"))
+        scored = shares(part, fitted(rest), fitted(rest, [c for i, c in enumerate(classes) if i % FOLDS != k])).select("family", "licence", "share", "features")
+        held = scored if held is None else held.unionByName(scored)
+    some = F.exists(vector_to_array("features"), lambda v: v > 0)
+    prose_cut, other_cut = held.where(some).agg(
+        F.percentile(F.when(F.col("family") == NONE, F.col("licence")), F.lit(1 - PROSE_THROUGH)),
+        F.percentile(F.when(F.col("family") != NONE, F.col("share")), F.lit(1 - OTHERS_THROUGH)),
+    ).first()
+    bounded = lambda x, span: span[0] if x is None else min(max(x, span[0]), span[1])
+    return LicenceModel(classes, gate, vocabulary, fitted(sample), fitted(sample, classes), bounded(prose_cut, LICENCE_CUT), bounded(other_cut, FAMILY_CUT))
+
+
+def shares(rows: DataFrame, licences: LogisticRegressionModel, families: LogisticRegressionModel) -> DataFrame:
+    """Add ``licence`` (probability of being one), ``share`` (of the likeliest family, if it is one), ``place`` (that family's, from 1) to rows with ``features``."""
+    first = licences.transform(rows).withColumn("licence", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+    second = families.transform(first).withColumn("p", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
+    named = second.withColumn("share", F.array_max("p"))
+    return named.withColumn("place", F.array_position("p", F.col("share")).cast("int")).drop("p")
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """Licence paragraphs of whole texts: ``doc_id``, ``unit``, ``paragraph``, ``family``, ``probability``, ``similarity``, ``confirmed``, ``line``.
+    """Licence lines and paragraphs of whole texts: ``doc_id``, ``unit``, ``paragraph``, ``family``, ``probability``, ``similarity``, ``confirmed``, ``line``.
 
-    ``family`` is ``unknown`` where the likeliest family stays below the threshold.  ``similarity`` is the greatest Jaccard
-    similarity of n-grams with a template of the predicted family; ``confirmed`` says whether it reaches ``CONFIRM``.
-    Lines and paragraphs that the classifier rather takes for prose are left out.
+    ``docs`` has ``doc_id`` and ``text``; other columns are not looked at.  Null, empty and blank texts have no row, a null id is kept;
+    repeated rows are all scanned; an empty table gives no rows.  Lines and paragraphs that the classifier takes for prose are left out.
+    ``probability`` is that of the likeliest family; ``family`` is ``unknown`` where no family's share is large enough.  ``similarity`` is the greatest
+    share of a template's n-grams, among the templates of the likeliest family, that the line has; ``confirmed`` says that a template
+    has ``CONFIRM`` of them there, and all the words that tell it from other families: its name and its version.
     """
-    scored = model.regression.transform(model.vocabulary.transform(with_grams(units(docs)))).withColumn("p", vector_to_array("probability"))
-    scored = scored.withColumn("best", F.array_max(F.slice("p", 2, len(model.classes) - 1)))
-    scored = scored.withColumn("guess", F.element_at(F.array(*map(F.lit, model.classes[1:])), F.array_position(F.slice("p", 2, len(model.classes) - 1), F.col("best")).cast("int")))
-    by_family: dict[str, list[Column]] = {}
-    for family, _, grams in template_grams(docs.sparkSession):
-        known = F.array(*map(F.lit, grams))
-        by_family.setdefault(family, []).append(F.size(F.array_intersect("grams", known)) / F.size(F.array_union("grams", known)))
-    similarity = F.lit(0.0)
-    for family, each in by_family.items():
-        similarity = F.when(F.col("guess") == family, F.greatest(F.lit(0.0), *each)).otherwise(similarity)
-    found = scored.where(F.get("p", F.lit(0)) < 0.5).withColumn("similarity", similarity)
-    sure = F.col("best") >= model.threshold
-    return found.select("doc_id", "unit", "paragraph", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("best", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (sure & (F.col("similarity") >= CONFIRM)).alias("confirmed"), "line")
+    # All n-grams of the vocabulary hold a gate word, and all gate words are in it, so these are the lines with features.
+    found = units(through_gate(docs.select("doc_id", "text"), model.gate)).where(with_gate_word("line", model.gate))
+    featured = model.vocabulary.transform(with_grams(found))
+    scored = shares(featured, model.licences, model.regression).where(F.col("licence") >= model.licence_cut)
+    scored = scored.withColumn("guess", F.element_at(F.array(*map(F.lit, model.classes)), F.col("place")))
+    known = template_grams(docs.sparkSession)
+    tells, similar, sure = telling(known), {}, {}
+    for family, line, own in known:
+        have = F.size(F.array_intersect("grams", F.array(*map(F.lit, own)))) / len(own)
+        named = F.size(F.array_intersect("grams", F.array(*map(F.lit, tells[line])))) == len(tells[line]) if tells[line] else F.lit(False)
+        similar.setdefault(family, []).append(have)
+        sure.setdefault(family, []).append((have >= CONFIRM) & named)
+    similarity, confirmed = F.lit(0.0), F.lit(False)
+    for family in similar:
+        any_of = F.lit(False)
+        for c in sure[family]:
+            any_of = any_of | c
+        similarity = F.when(F.col("guess") == family, F.greatest(F.lit(0.0), *similar[family])).otherwise(similarity)
+        confirmed = F.when(F.col("guess") == family, any_of).otherwise(confirmed)
+    clear = F.col("share") >= model.family_cut
+    return scored.select("doc_id", "unit", "paragraph", F.when(clear, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round(F.col("licence") * F.col("share"), 6).alias("probability"), F.round(similarity, 6).alias("similarity"), (clear & confirmed).alias("confirmed"), "line")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence lines and paragraphs of all documents.  Repeated rows are all scanned; an empty table gives no rows."""
+    """Licence lines and paragraphs of all documents; see ``scan``.  The documents are read for a sample, and once as a whole for the gate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, train(docs))
+    negative = prose(docs)
+    gate = gate_words(negative)
+    candidates = cut(through_gate(docs, gate))
+    return scan(candidates, train(docs, candidates, negative, gate))
