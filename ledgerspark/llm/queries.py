@@ -23,4 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
+    "op7_embedding_dedup": embeddings.ORACLE_SQL,
+    "op9_minhash": minhash.ORACLE_SQL,
 }
