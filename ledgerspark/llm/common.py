@@ -72,9 +72,3 @@ def row_hashes(docs: DataFrame, names: tuple[str, str] = ("r1", "r2")) -> DataFr
 def word_count(text: Column) -> Column:
     """Number of words of a text column; null counts as no word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """Let Python workers of this session take at most ``rows`` rows at a time, which bounds their memory for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
