@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.columns import CLASS_LABELS, SORT_CLASSES, blank_to_null, cents, class_rank, normalize_plate, plate_key, product_class, sort_class, vin_key
@@ -125,8 +125,9 @@ def deduplicate(records: DataFrame) -> DataFrame:
 def sort_by_anchor(records: DataFrame, by: str = "created_day") -> DataFrame:
     """L3: cars by their greatest sort value, then plate, class and id.  Records without a plate stand on their own."""
     key = F.coalesce(plate_key(F.col("plate_no")), F.concat(F.lit("#"), F.col("id").cast("string")))
-    anchored = records.withColumn("anchor", F.max(by).over(Window.partitionBy(key)))
-    return anchored.orderBy(F.desc("anchor"), key, class_rank(F.col("policy_type")), F.desc("id"))
+    keyed = records.withColumn("__car", key)
+    anchored = keyed.join(keyed.groupBy("__car").agg(F.max(by).alias("anchor")), "__car")
+    return anchored.orderBy(F.desc("anchor"), "__car", class_rank(F.col("policy_type")), F.desc("id")).drop("__car")
 
 
 def enrich(records: DataFrame, rooms: DataFrame, checks: DataFrame, users: DataFrame) -> DataFrame:

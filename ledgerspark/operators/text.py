@@ -73,6 +73,18 @@ def extract_fields(texts: DataFrame, rules: dict[str, list[str]], by_company: di
 
 # Words that mark policies in the first 500 characters.
 STRONG_MARKS = ("保险单号", "保单号", "号牌号码", "电子保单", "投保确认")
+# Phrases and patterns by which kinds of documents are told apart.
+INSURED, PROPOSER, DECLARATION = "被保险人", "投保人", "投保人声明"
+INSURED_IN_CLAUSES = "被保险人(?:义务|的权利|应当|须)"
+STICKER, STICKER_SEAL, STICKER_CHECK, PREMIUM = ("此标志粘贴在机动车前窗", "此标志正面的年份", "强制保险标志"), "保险人签章", "单证查验", "保险费"
+POLICY_TERMS = "被保险人|保险费|投保人|保险金额|承保险种|责任限额"
+INVOICE, PAYMENT, EXEMPTIONS, MANDATE, NOTICE = ("电子发票", "发票号码"), "缴款通知书", "免责事项说明书", "授权委托书", "告知单"
+CLAUSES, CLAUSE_HEADS = "保险示范条款", ("总则", "第一条")
+CLAUSE_PATTERNS = (r"示范条款[（(]\d{4}版[)）]", r"保险条款[（(](?:\d{4}版|条款编码)")
+ENDORSEMENT = r"电子批单|保险批单|批\s*单\s*号|批改日期|批改确认码"
+PROPOSAL = r"投保[单书](?!号)"
+NO_PROPOSAL = ("保险条款[、，]投保单", r"投保单\s*是本保险[单合]", "(?:由|包括)投保单")
+BROKEN_FONT = "(cid:"
 
 
 def document_category(c: Column, premium: Column | None = None, start: Column | None = None) -> Column:
@@ -83,24 +95,24 @@ def document_category(c: Column, premium: Column | None = None, start: Column |
     anywhere = lambda *w: contains_any(text, w)
     like = lambda p, col=head: F.rlike(col, F.lit(p))
     strong = has(*STRONG_MARKS)
-    marked = strong | (has("被保险人") & ~like("被保险人(?:义务|的权利|应当|须)")) | (has("投保人") & ~has("投保人声明"))
+    marked = strong | (has(INSURED) & ~like(INSURED_IN_CLAUSES)) | (has(PROPOSER) & ~has(DECLARATION))
     short = F.length(text) < 500
-    sticker = anywhere("此标志粘贴在机动车前窗", "此标志正面的年份", "强制保险标志") & (~like("被保险人|保险费|投保人|保险金额|承保险种|责任限额", text) | ~marked)
-    clauses = ~marked & (has("保险示范条款") | like(r"示范条款[（(]\d{4}版[)）]") | like(r"保险条款[（(](?:\d{4}版|条款编码)") | (has("总则") & has("第一条")))
-    proposal = like(r"投保[单书](?!号)") & ~strong & ~like("保险条款[、，]投保单") & ~like(r"投保单\s*是本保险[单合]") & ~like("(?:由|包括)投保单") & marked
+    sticker = anywhere(*STICKER) & (~like(POLICY_TERMS, text) | ~marked)
+    clauses = ~marked & (has(CLAUSES) | like(CLAUSE_PATTERNS[0]) | like(CLAUSE_PATTERNS[1]) | (has(CLAUSE_HEADS[0]) & has(CLAUSE_HEADS[1])))
+    proposal = like(PROPOSAL) & ~strong & ~like(NO_PROPOSAL[0]) & ~like(NO_PROPOSAL[1]) & ~like(NO_PROPOSAL[2]) & marked
     paid = F.lit(False) if premium is None or start is None else blank_to_null(premium).isNotNull() & blank_to_null(start).isNotNull()
     return (
-        F.when(F.contains(F.substring(F.lower(text), 1, 200), F.lit("(cid:")), "其他")
-        .when(short & anywhere("保险人签章"), "电子标志")
+        F.when(F.contains(F.substring(F.lower(text), 1, 200), F.lit(BROKEN_FONT)), "其他")
+        .when(short & anywhere(STICKER_SEAL), "电子标志")
         .when(sticker, "电子标志")
-        .when(short & anywhere("单证查验") & ~anywhere("被保险人") & ~anywhere("保险费"), "电子标志")
-        .when(has("电子发票", "发票号码"), "发票")
-        .when(has("缴款通知书"), "缴款通知")
-        .when(has("免责事项说明书") | (has("投保人声明") & ~strong), "条款")
-        .when(has("授权委托书"), "其他")
-        .when(has("告知单") & ~strong, "告知单")
+        .when(short & anywhere(STICKER_CHECK) & ~anywhere(INSURED) & ~anywhere(PREMIUM), "电子标志")
+        .when(has(*INVOICE), "发票")
+        .when(has(PAYMENT), "缴款通知")
+        .when(has(EXEMPTIONS) | (has(DECLARATION) & ~strong), "条款")
+        .when(has(MANDATE), "其他")
+        .when(has(NOTICE) & ~strong, "告知单")
         .when(clauses, "条款")
-        .when(like(r"电子批单|保险批单|批\s*单\s*号|批改日期|批改确认码"), "批单")
+        .when(like(ENDORSEMENT), "批单")
         .when(proposal, F.when(paid, "保单").otherwise("投保单"))
         .when(marked, "保单")
         .otherwise("未知")
