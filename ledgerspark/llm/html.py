@@ -1,8 +1,8 @@
 """HTML extraction: the best contiguous content region by maximum-scoring subsequence.
 
-A page is a sequence of words and tags.  Words score positive and tags negative; how much depends on the word's
-surroundings and the tag's name, learned from labelled pages.  A linear scan finds the contiguous
-run with the largest sum.  The region grows to the element that holds it, and its blocks become the text.
+A page is a sequence of words and tags.  Words score positive and tags negative; how much depends on the block that a word is in, on
+the marks (element names, classes, roles) around it and on the tag's name, learned from labelled pages.  A linear scan finds the
+contiguous run with the largest sum.  The region is the element that holds the run, without the words that its marks count against.
 """
 
 from __future__ import annotations
@@ -18,37 +18,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import hash_sample, table
+from ledgerspark.llm.common import hash_sample, parts, table
 
-#: Labelled pages that the weights are learned from, at most.
-MAX_LABELLED = 2000
-#: Elements without an end tag, whose content is no text, that never belong to an article, and that break text into blocks.
+#: Pages that the weights are learned from at most (the first in hash order), and kinds of words, tags and marks that get a weight of their
+#: own at most (the most frequent); others keep the weight that they have before learning.
+MAX_LABELLED, MAX_KINDS = 2000, 5000
+#: Elements without an end tag, whose content is no text, that break text into blocks, and whose own text is prose.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title".split())
-CHROME = frozenset("nav footer aside form header menu dialog button select fieldset head figcaption".split())
-BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Words in class or id that mark what is no article, and roles of the same sense.
-CHROME_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|menu|nav\w*|breadcrumbs?|header|masthead|topbar|footer|comments?|disqus|respon[ds]e?|repl(?:y|ies)|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|skip|copyright|legal)(?:$|[\s_-])")
+BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption summary address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OUTER = frozenset("html body #page".split())
+#: Element names and roles that mark what is no article, and words of the same sense in classes and ids.  They
+#: weigh ``DOUBT`` before learning.
+CHROME = frozenset("nav footer aside form header menu dialog button select fieldset".split())
 CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
+CHROME_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead topbar header footer comment comments disqus replies newsletter subscribe signup login pagination toolbar".split())
 SECTIONS = frozenset("article main".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([A-Za-z][^\s/><]*)([^<>]*)>|([^<]+|<)", re.S)
 _RAW_END = {name: re.compile(rf"(?i)</{name}(?:[\s/][^>]*)?(?:>|$)") for name in RAW}
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_SPACE = re.compile(r"[\s ]+")
-#: Weights before anything is learned: of words outside and inside links, and of tags.
-WORD_WEIGHT, LINK_WEIGHT, TAG_WEIGHT = 1.0, -0.5, -1.0
+_ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SPACE = re.compile(r"\s+")
+#: Weights before anything is learned: of a word in a prose block, outside of any, and in links; of a tag, of one inside a line; of a mark.
+PROSE_WEIGHT, BARE_WEIGHT, LINK_WEIGHT, TAG_WEIGHT, INLINE_WEIGHT, DOUBT = 1.0, 0.5, -0.5, -1.0, -0.25, -3.0
+#: Words with marks that weigh less than this together are no content, wherever they are; the range of what marks weigh together.
+AGAINST, MARKS = -1.0, (-3.0, 1.0)
 #: Share of its weight that a word keeps beside the elements that the author marked as articles.
 BESIDE_MARKS = 0.5
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
-    """An open or closed element: its name, parent, whether it is page chrome, and the events it spans."""
+    """An element: its name, parent, the events it spans, whether it is in a link, and what marks it and those around it."""
 
     name: str
     parent: "Element | None"
-    chrome: bool
     start: int
+    link: bool = False
+    hidden: bool = False
+    prose: str = ""
+    marks: tuple[str, ...] = ()
     end: int = -1
 
 
@@ -63,88 +73,139 @@ class Page:
     holders: list[Element] = field(default_factory=list)
     elements: list[Element] = field(default_factory=list)
 
+    def add(self, kind: str, text: str, block: int, holder: Element) -> None:
+        self.kinds.append(kind)
+        self.sizes.append(len(text.split()))
+        self.texts.append(text)
+        self.blocks.append(block)
+        self.holders.append(holder)
+
 
-def is_chrome(name: str, attributes: str, inside: Element | None) -> bool:
-    """Whether an element, or one around it, is menu, header, advert, form, comment list or the like."""
-    if inside is not None and inside.chrome:
-        return True
-    if name in CHROME or name in RAW:
-        return True
+def element(name: str, attributes: str, inside: Element, start: int) -> Element:
+    """An element with the marks of its name, classes, id and role, and those of the elements around it."""
+    e = Element(name, inside, start, inside.link or name == "a", inside.hidden or name in RAW or name == "head", inside.prose, inside.marks)
+    own = [f"<{name}>"] if name in CHROME else []
     for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
-        value, key = (a or b or c), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in CHROME_ROLE:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main", "h1") and CHROME_NAME.search(value):
-            return True
-    return False
+        value, key = (a or b or c).lower(), key.lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            e.hidden = True
+        elif key == "role":
+            own.append(f"role={value}")
+        elif key in ("class", "id") and name not in OUTER:
+            own += [f".{token}" for token in value.split()]
+    e.marks += tuple(own)
+    if name in PROSE:
+        e.prose = name
+    elif name in BLOCKS:
+        e.prose = ""
+    return e
 
 
 def read_page(source: str | None) -> Page:
-    """Read tags and text in one pass; unclosed elements end with the element around them."""
-    page, stack, block = Page(), [], 0
-    source, at_char = source or "", 0
-    root = Element("#page", None, False, 0)
-    page.elements.append(root)
-    stack.append(root)
+    """Read tags and text in one pass, in linear time; unclosed elements end with the element around them.
+
+    A quote that is never closed ends with its tag; a ``<`` that begins no tag is text.
+    """
+    page, block, source, at_char = Page(), 0, source or "", 0
+    stack = [Element("#page", None, 0)]
+    page.elements.append(stack[0])
+    opened: Counter = Counter()
+    block_at = [0]  # places of the open blocks in the stack
+
+    def close_from(at: int) -> None:
+        for e in stack[at:]:
+            e.end = len(page.kinds)
+            opened[e.name] -= 1
+        del stack[at:]
+        while block_at[-1] >= at:
+            block_at.pop()
+
     while m := _TOKEN.match(source, at_char):
         at_char = m.end()
-        close, name, attributes, text = m.group(1), m.group(2), m.group(3), m.group(4)
+        close, name, attributes, text = m.group(1) or m.group(4), m.group(2) or m.group(5), m.group(3) or m.group(6), m.group(7)
         if name is None:
-            if text is None and not m.group(0).startswith("<![CDATA["):
+            cdata = m.group(0).startswith("<![CDATA[")
+            if text is None and not cdata:
                 continue
-            words = html.unescape(text if text is not None else m.group(0)[9:].removesuffix("]]>"))
             top = stack[-1]
-            page.kinds.append("chrome" if top.chrome else "link" if any(e.name == "a" for e in stack[-3:]) else "text")
-            page.sizes.append(len(words.split()))
-            page.texts.append(words)
-            page.blocks.append(block)
-            page.holders.append(top)
+            page.add("link" if top.link else top.prose or "bare", html.unescape(text) if not cdata else m.group(0)[9:].removesuffix("]]>"), block, top)
             continue
         name, raw = name.lower(), False
         if name in BLOCKS:
             block += 1
         if close:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if at:
-                for e in stack[at:]:
-                    e.end = len(page.kinds)
-                del stack[at:]
+            if opened[name]:
+                at = len(stack) - 1
+                while stack[at].name != name:
+                    at -= 1
+                close_from(at)
         else:
-            if name == "p" or name in BLOCKS and name not in VOID:  # an open paragraph ends at the next block
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "p" or stack[i].name in BLOCKS), 0)
-                if at and stack[at].name == "p":
-                    for e in stack[at:]:
-                        e.end = len(page.kinds)
-                    del stack[at:]
+            if name in BLOCKS and name not in VOID and stack[block_at[-1]].name == "p":  # an open paragraph ends at the next block
+                close_from(block_at[-1])
             if name not in VOID:
-                e = Element(name, stack[-1], is_chrome(name, attributes, stack[-1]), len(page.kinds))
+                e = element(name, attributes, stack[-1], len(page.kinds))
                 page.elements.append(e)
                 stack.append(e)
+                opened[name] += 1
+                if name in BLOCKS:
+                    block_at.append(len(stack) - 1)
                 raw = name in RAW and not (attributes or "").rstrip().endswith("/")
-        page.kinds.append(f"<{name}>")
-        page.sizes.append(0)
-        page.texts.append("")
-        page.blocks.append(block)
-        page.holders.append(stack[-1])
+        page.add(f"<{name}>", "", block, stack[-1])
         if raw:  # what stands before its own end tag is neither tags nor comments
             ending = _RAW_END[name].search(source, at_char)
             at_char = ending.end() if ending else len(source)
             if ending:
-                stack.pop().end = len(page.kinds)
+                close_from(len(stack) - 1)
     for e in stack:
         e.end = len(page.kinds)
     return page
 
 
+def doubt(mark: str) -> float:
+    """Weight of a mark before learning: elements, roles and class words that stand for chrome count against; of a class of several words each has its share."""
+    if mark[0] == "<":
+        return DOUBT
+    if mark.startswith("role="):
+        return DOUBT if mark[5:] in CHROME_ROLE else 0.0
+    words = [w for w in re.split(r"[-_\W]+", mark) if w]
+    return DOUBT * sum(w in CHROME_WORD for w in words) / max(1, len(words))
+
+
 @dataclass
 class Weights:
-    """Score of a word by its surroundings and of a tag by its name."""
+    """Score of a word by its block, of a tag by its name, and of the marks around words."""
 
-    words: dict[str, float] = field(default_factory=lambda: {"text": WORD_WEIGHT, "link": LINK_WEIGHT, "chrome": -WORD_WEIGHT})
+    words: dict[str, float] = field(default_factory=lambda: {"bare": BARE_WEIGHT, "link": LINK_WEIGHT})
     tags: dict[str, float] = field(default_factory=dict)
+    marks: dict[str, float] = field(default_factory=dict)
+
+    def against(self, e: Element) -> float:
+        """What the marks around an element's text weigh together.  A header counts against all but headings: an article's title stays."""
+        each = [self.marks[m] if m in self.marks else doubt(m) for m in e.marks if m != "<header>" or e.prose not in HEADINGS]
+        return min(max(sum(each), MARKS[0]), MARKS[1])
+
+    def content(self, page: Page) -> np.ndarray:
+        """Whether each event is text that no mark counts against."""
+        known: dict[int, bool] = {}
+        out = np.zeros(len(page.kinds), dtype=bool)
+        for i, (kind, e) in enumerate(zip(page.kinds, page.holders)):
+            if kind[0] != "<":
+                if id(e) not in known:
+                    known[id(e)] = not e.hidden and self.against(e) >= AGAINST
+                out[i] = known[id(e)]
+        return out
 
     def scores(self, page: Page) -> np.ndarray:
-        return np.array([n * self.words[k] if k[0] != "<" else self.tags.get(k, TAG_WEIGHT) for k, n in zip(page.kinds, page.sizes)], dtype=np.float64)
+        known: dict[int, float] = {}
+        out = np.zeros(len(page.kinds))
+        for i, (kind, n, e) in enumerate(zip(page.kinds, page.sizes, page.holders)):
+            if kind[0] == "<":
+                out[i] = self.tags[kind] if kind in self.tags else TAG_WEIGHT if kind[1:-1] in BLOCKS else INLINE_WEIGHT
+            elif n:
+                if id(e) not in known:
+                    known[id(e)] = -PROSE_WEIGHT if e.hidden else self.words.get(kind, PROSE_WEIGHT) + self.against(e)
+                out[i] = n * known[id(e)]
+        return out
 
 
 def best_run(scores: np.ndarray) -> tuple[int, int]:
@@ -159,14 +220,14 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
 
 
 def region(page: Page, weights: Weights) -> tuple[int, int]:
-    """The best run of the whole page, grown to the element that holds it.
+    """The best run of the whole page, made whole at its ends.
 
-    Where the author marked articles, or else main elements, words beside them score less.  The region is the nearest
-    of these that holds the run.  Without one it is the smallest element around the run, or the one around that
-    whose heading stands beside it; the region never stops inside a block.
+    Where the author marked articles, or else main elements, words beside them score less.  The region is the marked or the smallest other
+    element of several blocks that holds the run, with the heading beside it.  Where only the page's body holds it, the run itself
+    goes on over neighbouring words that score positive, up to the first that do not.
     """
     scores = weights.scores(page)
-    marked = [e for e in page.elements if e.name in SECTIONS and not e.chrome]
+    marked = [e for e in page.elements if e.name in SECTIONS and not e.hidden]
     marked = [e for e in marked if e.name == "article"] or marked
     if marked:
         beside = np.ones(len(scores), dtype=bool)
@@ -174,97 +235,119 @@ def region(page: Page, weights: Weights) -> tuple[int, int]:
             beside[e.start : e.end] = False
         scores[beside & (scores > 0)] *= BESIDE_MARKS
     start, end = best_run(scores)
-    if start == end:
-        return 0, 0
-    inside = [i for i in range(start, end) if page.kinds[i] == "text" and page.sizes[i]]
+    inside = [i for i in range(start, end) if page.sizes[i] and scores[i] > 0]
     if not inside:
         return 0, 0
-    chain, e = [], page.holders[inside[0]]
+    first, last = inside[0], inside[-1]
+    chain, e = [], page.holders[first]
     while e is not None:
-        if e.start <= inside[0] and e.end > inside[-1]:
+        if e.start <= first and e.end > last:
             chain.append(e)
         e = e.parent
-    held = next((e for e in chain if any(e is m for m in marked)), None)
-    if held is not None:
-        return held.start, held.end
-    holder = next((e for e in chain if e.name in BLOCKS or e.name == "#page"), chain[-1])
-    if holder.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
-        holder = next((e for e in chain if e.name in ("div", "section", "body", "html", "#page")), chain[-1])
-    up = chain[chain.index(holder) :]
-    for e in up[1:]:  # a heading beside the region belongs to it
-        if e.name in ("html", "#page"):
-            break
-        beside = [x for x in page.elements if x.parent is e and x.name == "h1" and not x.chrome]
-        if beside:
-            holder = e
-    return holder.start, holder.end
+    among = {id(e) for e in marked}
+    holder = next((e for e in chain if id(e) in among), None) or next((e for e in chain if e.name in OUTER or e.name in BLOCKS and e.name not in PROSE), chain[-1])
+    if holder.name in OUTER:
+        start, end = first, last + 1
+        while (i := next((i for i in range(end, len(scores)) if page.sizes[i]), None)) is not None and scores[i] > 0:
+            end = i + 1
+        while (i := next((i for i in range(start - 1, -1, -1) if page.sizes[i]), None)) is not None and scores[i] > 0:
+            start = i
+        while start and page.blocks[start - 1] == page.blocks[start]:  # a block is never torn
+            start -= 1
+        while end < len(scores) and page.blocks[end] == page.blocks[end - 1]:
+            end += 1
+        return start, end
+    start, end = holder.start, holder.end
+    if not any(e.name in HEADINGS and start <= e.start < end for e in page.elements):
+        near = [e for e in page.elements if e.name in HEADINGS and e.end <= start and e.parent in chain and e.parent.name not in OUTER]
+        if near and (scores[near[-1].start : start][[page.sizes[i] > 0 for i in range(near[-1].start, start)]] > 0).all():
+            start = near[-1].start
+    return start, end
 
 
 def extract(source: str | None, weights: Weights) -> str:
     """Text of the article of a page: blocks in page order, one a line; empty if there is none."""
     page = read_page(source)
     start, end = region(page, weights)
+    content = weights.content(page)
     lines: dict[int, list[str]] = {}
     for i in range(start, end):
-        if page.kinds[i] in ("text", "link") and not page.holders[i].chrome:
+        if content[i]:
             lines.setdefault(page.blocks[i], []).append(page.texts[i])
-    joined = (_SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(lines.items()))
+    joined = (_SPACE.sub(" ", "".join(texts)).strip() for _, texts in sorted(lines.items()))
     return "\n".join(x for x in joined if x)
 
 
 def count_kinds(source: str | None) -> Counter:
-    """Words and tags of a labelled page inside (+) and outside (-) of its article; nothing for pages without one."""
+    """Words (by block and by mark) and tags of a labelled page inside (+) and outside (-) of its article; nothing for pages without one."""
     page, found = read_page(source), Counter()
     label = next((e for e in page.elements if e.name in SECTIONS), None)
     if label is not None:
-        for i, (kind, n) in enumerate(zip(page.kinds, page.sizes)):
+        for i, (kind, n, e) in enumerate(zip(page.kinds, page.sizes, page.holders)):
             sign = "+" if label.start <= i < label.end else "-"
-            found[sign + kind] += n if kind[0] != "<" else 1
+            if kind[0] == "<":
+                found[sign + kind] += 1
+            elif n and not e.hidden:
+                found[sign + kind] += n
+                for mark in set(e.marks):
+                    found[f"{sign}@{mark}"] += n
     return found
 
 
 def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> Weights:
     """Learn weights from pages whose author marked the article (``article`` or ``main`` element).
 
-    Those among the ``max_labelled`` pages first in hash order are used.  A kind of word weighs its log-odds of being
-    inside, a tag at most ``TAG_WEIGHT`` / 4, lower the more it is found outside.  Without labelled pages the
-    weights stay as they are before learning.
+    Those among the ``max_labelled`` pages first in hash order are used.  A word weighs by its block's log-odds of being inside, a tag at
+    most ``TAG_WEIGHT`` / 4, lower the more it is found outside, a mark by its log-odds on top of its doubt, but at most 1 above
+    it: pages that have adverts inside their articles do not make these content.  Without labelled pages the weights stay as they are.
     """
     some = hash_sample(pages.where("html is not null").select("page_id", "url", "html"), max_labelled, "page_id", "url", "html")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
         for b in batches:
-            total: Counter = Counter()
             for source in b["html"]:
                 total.update(count_kinds(source))
-            yield pd.DataFrame({"kind": list(total), "n": list(total.values())}).astype({"kind": "object", "n": "int64"})
+        yield pd.DataFrame({"kind": list(total), "n": list(total.values())}).astype({"kind": "object", "n": "int64"})
 
-    n = Counter({r["kind"]: r["n"] for r in some.select("html").mapInPandas(count, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(1000).collect()})
+    n = Counter({r["kind"]: r["n"] for r in some.select("html").mapInPandas(count, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(MAX_KINDS).collect()})
     weights = Weights()
     if not any(k[0] == "+" for k in n):
         return weights
-    words = {s: sum(n[s + k] for k in weights.words) for s in "+-"}
-    tags = {s: sum(v for k, v in n.items() if k[0] == s and k[1] == "<") for s in "+-"}
-    for kind in weights.words:
-        odds = np.log((n["+" + kind] + 1) / (words["+"] + 3)) - np.log((n["-" + kind] + 1) / (words["-"] + 3))
-        weights.words[kind] = float(np.clip(odds, 0.5, 2.0)) if kind == "text" else float(np.clip(odds, -2.0, 0.25))
-    for kind in {k[1:] for k in n if k[1] == "<"}:
-        odds = np.log((n["+" + kind] + 1) / (tags["+"] + 50)) - np.log((n["-" + kind] + 1) / (tags["-"] + 50))
-        weights.tags[kind] = float(np.clip(odds, -4.0, TAG_WEIGHT / 4))
+    kinds = {k[1:] for k in n}
+    words, tags, marks = {k for k in kinds if k[0] not in "<@"}, {k for k in kinds if k[0] == "<"}, {k for k in kinds if k[0] == "@"}
+    of = {s: sum(n[s + k] for k in words) for s in "+-"}
+    all_tags = {s: sum(n[s + k] for k in tags) for s in "+-"}
+    odds = lambda k, total, rest: float(np.log((n["+" + k] + 1) / (total["+"] + rest)) - np.log((n["-" + k] + 1) / (total["-"] + rest)))
+    for kind in words | set(weights.words):
+        weights.words[kind] = float(np.clip(odds(kind, of, 3), -2.0, 2.0 if kind not in ("link", "bare") else 0.5))
+    for kind in tags:
+        weights.tags[kind] = float(np.clip(odds(kind, all_tags, 50), -4.0, TAG_WEIGHT / 4))
+    for kind in marks:
+        weights.marks[kind[1:]] = doubt(kind[1:]) + float(np.clip(odds(kind, of, 50), DOUBT, 1.0))
     return weights
 
 
+def extract_pages(pages: DataFrame, weights: Weights, source: str = "html") -> DataFrame:
+    """Add ``text``: the article of each page; a null page is an empty one."""
+    shared = pages.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            sources = [s or "" for s in batch]
+            for part in parts(sources):
+                yield pd.Series([extract(s, shared.value) for s in sources[part]], dtype="object")
+
+    return pages.withColumn("text", text(F.col(source)))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page.
 
     A null page is an empty one and has the text ``''``; so have pages without any word that scores positive.
-    Repeated rows are all extracted; an empty table gives no rows.
+    Repeated rows are all extracted, null ids and urls kept; an empty table gives no rows; other columns are not looked at.
     """
-    pages = table(spark, sf_dir, "pages")
-    shared = spark.sparkContext.broadcast(fit(pages))
-
-    @F.pandas_udf("string")
-    def text(sources: pd.Series) -> pd.Series:
-        return pd.Series([extract(s, shared.value) for s in sources], dtype="object")
-
-    return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract_pages(pages, fit(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
