@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import chat, embeddings, html, license, minhash, mixing, pieces, quality, sharding, toxicity
+from ledgerspark.llm import chat, embeddings, html, license, minhash, mixing, pieces, quality, sharding, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_minhash": minhash.op9_minhash,
     "op10_license_scan": license.op10_license_scan,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
