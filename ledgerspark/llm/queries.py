@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import chat, embeddings, html, license, minhash, mixing, pieces, quality, sharding, spelling, toxicity
+from ledgerspark.llm import chat, embeddings, html, license, minhash, mixing, pieces, quality, sharding, spelling, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": minhash.op9_minhash,
     "op10_license_scan": license.op10_license_scan,
     "op11_spelling": spelling.op11_spelling,
+    "op12_substrings": substrings.op12_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
     "op7_embedding_dedup": embeddings.ORACLE_SQL,
     "op9_minhash": minhash.ORACLE_SQL,
+    "op12_substrings": substrings.ORACLE_SQL,
 }
