@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import chat, embeddings, html, license, minhash, mixing, pieces, quality, sharding, spelling, substrings, toxicity
+from ledgerspark.llm import chat, embeddings, html, license, minhash, mixing, pieces, quality, search, sharding, spelling, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": license.op10_license_scan,
     "op11_spelling": spelling.op11_spelling,
     "op12_substrings": substrings.op12_substrings,
+    "op13_search": search.op13_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": embeddings.ORACLE_SQL,
     "op9_minhash": minhash.ORACLE_SQL,
     "op12_substrings": substrings.ORACLE_SQL,
+    "op13_search": search.ORACLE_SQL,
 }
