@@ -295,10 +295,10 @@ def export_audit(exports: DataFrame) -> DataFrame:
 
 
 def export_page(exports: DataFrame, number: int, size: int, kind: str | None = None, status: str | None = None) -> DataFrame:
-    """A page of exports, newest first, with the number of all beside each."""
+    """A page of exports, newest first, with the number of all beside each; exports of one id stand by their other columns."""
     rows = exports if kind is None else exports.where(F.col("export_type") == kind)
     rows = rows if status is None else rows.where(F.col("status") == status)
-    return rows.orderBy(F.desc("export_id")).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(rows.agg(n().alias("total"))))
+    return rows.orderBy(F.desc("export_id"), *[c for c in rows.columns if c != "export_id"]).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(rows.agg(n().alias("total"))))
 
 
 def sender_list(messages: DataFrame) -> DataFrame:

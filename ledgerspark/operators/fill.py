@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.columns import blank_to_null, plate_key, product_class, vin_key
+from ledgerspark.functions.columns import PROVINCES, blank_to_null, normalize_plate, plate_key, product_class, vin_key
 
 #: Newest other records that may lend values.
 CANDIDATES, PERSON_CANDIDATES = 10, 20
@@ -134,10 +134,15 @@ def reverse_fill(records: DataFrame, fields: list[str], manual: str = "manual_fi
     return joined.withColumns({c: F.coalesce(blank_to_null(F.col(c)), F.when(free(c), F.col(f"f_{c}"))) for c in fields}).drop("k", *[f"f_{c}" for c in fields])
 
 
+def finished() -> Column:
+    """Records that may lend to pools, dates and related policies: not deleted, and of status done."""
+    return (F.col("deleted") == 0) & (F.col("status") == "done")
+
+
 def plate_pool(records: DataFrame, fields: list[str]) -> DataFrame:
-    """the newest non-blank value of each field by plate."""
+    """the newest non-blank value of each field by plate, of finished records."""
     key = plate_key(F.col("plate_no"))
-    return records.where(key.isNotNull() & (F.col("deleted") == 0)).groupBy(key.alias("plate")).agg(*[newest(F.col(c)).alias(c) for c in fields])
+    return records.where(key.isNotNull() & finished()).groupBy(key.alias("plate")).agg(*[newest(F.col(c)).alias(c) for c in fields])
 
 
 def vin_pool(records: DataFrame) -> DataFrame:
@@ -146,24 +151,50 @@ def vin_pool(records: DataFrame) -> DataFrame:
     return records.where(key.isNotNull() & (F.col("deleted") == 0)).groupBy(key.alias("vin")).agg(newest(plate_key(F.col("plate_no"))).alias("plate"), newest(F.col("owner")).alias("owner"), newest(F.col("id_number")).alias("id_number"))
 
 
+def plate_vin_pool(records: DataFrame) -> DataFrame:
+    """F8: the newest frame number by plate."""
+    key = plate_key(F.col("plate_no"))
+    return records.where(key.isNotNull() & (F.col("deleted") == 0)).groupBy(key.alias("plate")).agg(newest(vin_key(F.col("vin"))).alias("vin")).where("vin is not null")
+
+
+def fill_by_pools(records: DataFrame) -> DataFrame:
+    """F8: records without a plate take plate, owner and id number of their frame number's pool, then a plate from the file's name;
+    records without a frame number then take their plate's.
+    """
+    own = records.withColumns({"__k": vin_key(F.col("vin")), "__blank": plate_key(F.col("plate_no")).isNull()})
+    pool = vin_pool(records).select(F.col("vin").alias("__k"), F.col("plate").alias("__plate"), F.col("owner").alias("__owner"), F.col("id_number").alias("__id"))
+    met = own.join(pool, "__k", "left")
+    lend = lambda c, lent: F.coalesce(blank_to_null(F.col(c)), F.when(F.col("__blank"), F.col(lent)))
+    named = blank_to_null(normalize_plate(F.regexp_extract("filename", rf"[{PROVINCES}][A-Z]-?[A-Z0-9]{{4,6}}", 0)))
+    met = met.withColumns({"plate_no": F.when(F.col("__blank"), F.coalesce("__plate", named, F.col("plate_no"))).otherwise(F.col("plate_no")), "owner": lend("owner", "__owner"), "id_number": lend("id_number", "__id")})
+    plated = met.select(*records.columns).withColumn("__k", plate_key(F.col("plate_no")))
+    pool = plate_vin_pool(plated).select(F.col("plate").alias("__k"), F.col("vin").alias("__vin"))
+    return plated.join(pool, "__k", "left").withColumn("vin", F.coalesce(blank_to_null(F.col("vin")), F.col("__vin"))).select(*records.columns)
+
+
 def latest_compulsory_end(records: DataFrame) -> DataFrame:
-    """last end date of compulsory cover by plate, and the record that has it (ties: the newest)."""
+    """end date of the newest finished compulsory policy with one by plate, and that record.  A corrected, earlier date counts."""
     key = plate_key(F.col("plate_no"))
-    own = records.where(key.isNotNull() & (F.col("deleted") == 0) & (product_class(F.col("policy_type")) == "compulsory"))
-    return own.groupBy(key.alias("plate")).agg(F.max("end_date").alias("end_date"), F.max_by("id", F.struct("end_date", "id")).alias("record_id"))
+    own = records.where(key.isNotNull() & finished() & (product_class(F.col("policy_type")) == "compulsory") & F.col("end_date").isNotNull())
+    return own.groupBy(key.alias("plate")).agg(F.max_by("end_date", "id").alias("end_date"), F.max("id").alias("record_id"))
 
 
-def dual_dates(records: DataFrame) -> DataFrame:
-    """latest start of commercial and compulsory cover by plate, and both as one text.
+def dual_dates(records: DataFrame, date: str = "start_date") -> DataFrame:
+    """start (or end) date of the newest finished commercial and compulsory policy with one by plate, and both as one text.
 
     One date alone stands as it is; two equal ones once; of two, the commercial one, 交, and month and day of the compulsory one.
     """
     key = plate_key(F.col("plate_no"))
     kind = product_class(F.col("policy_type"))
-    starts = records.where(key.isNotNull() & (F.col("deleted") == 0)).groupBy(key.alias("plate")).agg(*[F.max(F.when(kind == k, F.col("start_date"))).alias(k) for k in ("commercial", "compulsory")])
+    dates = records.where(key.isNotNull() & finished()).groupBy(key.alias("plate")).agg(*[newest_date(date, kind == k).alias(k) for k in ("commercial", "compulsory")])
     both = F.concat(F.col("commercial").cast("string"), F.lit("交"), F.month("compulsory").cast("string"), F.lit("/"), F.day("compulsory").cast("string"))
     text = F.when(F.col("commercial") == F.col("compulsory"), F.col("commercial").cast("string")).otherwise(F.coalesce(both, F.col("commercial").cast("string"), F.col("compulsory").cast("string"), F.lit("")))
-    return starts.withColumn("dates", text)
+    return dates.withColumn("dates", text)
+
+
+def newest_date(date: str, ok: Column) -> Column:
+    """The date of the greatest id among rows that have one and are ``ok``, as an aggregate."""
+    return F.max_by(date, F.when(ok & F.col(date).isNotNull(), F.col("id")))
 
 
 def siblings(records: DataFrame, index: str = "policy_index") -> DataFrame:
@@ -189,7 +220,7 @@ def related(records: DataFrame, other_class: str, days: int, keys: tuple[str, ..
     """whether another policy of a class exists for the same car or applicant, dated within ``days`` of this one.
 
     ``keys`` are some of ``RELATED_BY``, others are refused.  ``day`` is the start date unless given; the source takes ``policy_day()``.
-    A missing date fits.  Records of the class are summed up by key and day, each record is compared with its keys' days
+    A missing date fits.  Only finished records count as related.  Records of the class are summed up by key and day, each record is compared with its keys' days
     through buckets of ``days`` width, so a key with very many policies does not meet itself; all keys go through one equi-join.
     """
     unknown = sorted(set(keys) - set(RELATED_BY))
@@ -198,7 +229,7 @@ def related(records: DataFrame, other_class: str, days: int, keys: tuple[str, ..
     by = {"plate": plate_key(F.col("plate_no")), "vin": vin_key(F.col("vin")), "applicant": blank_to_null(F.col("applicant"))}
     day = F.col("start_date") if day is None else day
     width = max(1, days)
-    taken = records.where("deleted = 0").select("id", *[by[name].alias(name) for name in keys], day.alias("d"), (product_class(F.col("policy_type")) == other_class).alias("fits"))
+    taken = records.where("deleted = 0").select("id", *[by[name].alias(name) for name in keys], day.alias("d"), (finished() & (product_class(F.col("policy_type")) == other_class)).alias("fits"))
     # Every key of a record is a row of one table, so all keys go through one join; keys of a kind begin alike.
     named = F.array_compact(F.array(*[F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(name))) for name in keys]))
     rows = taken.select("id", "d", "fits", F.explode(named).alias("k"), F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / width).alias("b"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ledgerspark.operators import analytics as a
 from ledgerspark.plans.proxies import TABLES, TODAY, messages, oracle, records, view
 
+#: Order and line number of ``lineitem`` repeat; with the price they tell its rows apart.
 AI_LOGS = """
-SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS log_id, l_orderkey AS record_id, l_suppkey % 25 AS enterprise_id,
+SELECT l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS log_id, l_orderkey AS record_id, l_suppkey % 25 AS enterprise_id,
   CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'corrected' ELSE 'flagged' END AS result,
   CAST(l_quantity AS BIGINT) * 100 AS tokens, CAST(l_shipdate AS DATE) AS day,
   CASE WHEN l_returnflag = 'A' THEN NULL WHEN l_linenumber % 3 = 0 THEN 'plate_no,vin' WHEN l_linenumber % 3 = 1 THEN 'insured' ELSE 'vin,owner,insured' END AS diff_text
@@ -17,7 +18,7 @@ FROM {lineitem}
 USERS = "SELECT s_suppkey AS user_id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END AS user_name, '138' || lpad(CAST(s_suppkey AS STRING), 8, '0') AS phone, CAST(s_nationkey AS BIGINT) AS enterprise_id FROM {supplier}"
 TENANTS = "SELECT CAST(n_nationkey AS BIGINT) AS enterprise_id, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'unlimited' WHEN n_nationkey % 5 = 1 THEN 'trial' ELSE 'basic' END AS plan_type, CAST(3 + n_nationkey AS INT) AS plan_months, CAST('2000-06-15' AS DATE) + n_nationkey * 17 AS plan_start FROM {nation}"
 PACKS = "SELECT CAST(s_nationkey AS BIGINT) AS enterprise_id, s_suppkey % 7 * 10 AS total_count, s_suppkey % 5 * 10 AS used_count, CAST('2001-07-15' AS DATE) + CAST(s_suppkey % 60 AS INT) AS expires FROM {supplier}"
-EXPORTS = "SELECT export_id, l_shipmode_like AS export_type, status, row_count FROM (SELECT l_orderkey * 10 + l_linenumber AS export_id, CASE WHEN l_linenumber % 2 = 0 THEN 'ledger' ELSE 'renewal' END AS l_shipmode_like, CASE WHEN l_orderkey % 10 = 0 THEN 'failed' ELSE 'done' END AS status, CAST(l_quantity AS BIGINT) AS row_count FROM {lineitem}) t"
+EXPORTS = "SELECT export_id, l_shipmode_like AS export_type, status, row_count FROM (SELECT l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS export_id, CASE WHEN l_linenumber % 2 = 0 THEN 'ledger' ELSE 'renewal' END AS l_shipmode_like, CASE WHEN l_orderkey % 10 = 0 THEN 'failed' ELSE 'done' END AS status, CAST(l_quantity AS BIGINT) AS row_count FROM {lineitem}) t"
 SENDERS = "SELECT sender, CASE WHEN event_day % 3 = 0 THEN '' ELSE 'n' || CAST(event_day % 4 AS STRING) END AS name FROM (SELECT 'u' || CAST(user_id AS STRING) AS sender, event_id % 11 AS event_day FROM {events}) t"
 BINDINGS = "SELECT c_custkey % 100 + 1 AS user_id, 's' || CAST(c_custkey % 350 AS STRING) AS sender FROM {customer}"
 REFERRED = "SELECT c_custkey AS user_id, c_name AS user_name, '139' || lpad(CAST(c_custkey AS STRING), 8, '0') AS phone, CASE WHEN c_custkey % 3 = 0 THEN CAST(floor(c_custkey / 10) AS BIGINT) END AS referrer_id FROM {customer}"

@@ -34,6 +34,12 @@ def _manual(df):
     return df.withColumn("manual_fields", F.when(F.col("id") % 4 == 0, F.array(F.lit("owner"))))
 
 
+#: Some newer records have an earlier end date than older ones, some none.
+CORRECTED = "CASE WHEN id % 15 = 0 THEN NULL WHEN id % 4 = 0 THEN end_date - 700 ELSE end_date END"
+#: Records that lack a plate, a frame number, or the plate but not in the file's name.
+BLANKED = {"plate_no": "CASE WHEN id % 5 = 0 THEN '' ELSE plate_no END", "vin": "CASE WHEN id % 7 = 0 THEN '' ELSE vin END", "filename": "CASE WHEN id % 10 = 0 THEN '沪B-' || CAST(100000 + user_id AS STRING) || '.pdf' ELSE filename END"}
+
+
 QUERIES = {
     "L1_search": lambda s, d: ledger.search(records(s, d), status="done", keyword="Customer#00000", not_category="批单", plate="京a-0000", signed=("1998-01-01", "1999-01-01"), abnormal=False).select("id", "policy_no", "plate_no"),
     "L1_visible": lambda s, d: ledger.search(records(s, d).withColumn("updated_day", F.date_add("created_day", 3)), settled=True, only_policies=True, applicant="Customer", insured="01", salesperson="S1", where_from="room", starts=("1996-01-01", "2001-01-01"), updated=("1996-06-01", "2000-06-01"), user_ids=list(range(30)), vin="lsva").select("id"),
@@ -60,8 +66,11 @@ QUERIES = {
     "F6_reverse_fill": lambda s, d: fill.reverse_fill(_manual(records(s, d)), FIELDS).select("id", *FIELDS),
     "F7_plate_pool": lambda s, d: fill.plate_pool(records(s, d), FIELDS),
     "F8_vin_pool": lambda s, d: fill.vin_pool(records(s, d)),
-    "F9_compulsory_end": lambda s, d: fill.latest_compulsory_end(records(s, d)),
+    "F8_plate_vin_pool": lambda s, d: fill.plate_vin_pool(records(s, d)),
+    "F8_fill_by_pools": lambda s, d: fill.fill_by_pools(records(s, d).withColumns({c: F.expr(e) for c, e in BLANKED.items()})).select("id", "plate_no", "vin", "owner", "id_number"),
+    "F9_compulsory_end": lambda s, d: fill.latest_compulsory_end(records(s, d).withColumn("end_date", F.expr(CORRECTED))),
     "F10_dual_dates": lambda s, d: fill.dual_dates(records(s, d)),
+    "F10_dual_end_dates": lambda s, d: fill.dual_dates(records(s, d).withColumn("end_date", F.expr(CORRECTED)), "end_date"),
     "F11_siblings": lambda s, d: fill.siblings(records(s, d).withColumn("policy_index", F.col("id") % 3)).withColumn("sibling_ids", F.concat_ws(",", "sibling_ids")),
     "F12_related": lambda s, d: fill.related(records(s, d).withColumn("start_date", F.when(F.col("id") % 50 != 0, F.col("start_date"))), "commercial", 30),
 }
@@ -81,6 +90,11 @@ def _pool(key: str, fields: list[str], guard: str) -> str:
       ) p ON p.rid = r.id AND place <= 10 AND {guard} GROUP BY r.id"""
 
 
+_DUAL = f"""SELECT *, CASE WHEN commercial = compulsory THEN CAST(commercial AS VARCHAR) ELSE coalesce(CAST(commercial AS VARCHAR) || '交' || CAST(month(compulsory) AS VARCHAR) || '/' || CAST(day(compulsory) AS VARCHAR), CAST(commercial AS VARCHAR), CAST(compulsory AS VARCHAR), '') END AS dates
+  FROM (SELECT plate, any_value(d) FILTER (c = 'commercial' AND place = 1) AS commercial, any_value(d) FILTER (c = 'compulsory' AND place = 1) AS compulsory
+    FROM (SELECT *, row_number() OVER (PARTITION BY plate, c, d IS NULL ORDER BY id DESC) + CASE WHEN d IS NULL THEN 1 ELSE 0 END AS place FROM (SELECT id, {PLATE} AS plate, {CLASS} AS c, {{date}} AS d FROM records WHERE deleted = 0 AND status = 'done' AND {PLATE} IS NOT NULL)) GROUP BY plate)"""
+
+
 ORACLE_SQL = {
     "L1_search": sql("SELECT id, policy_no, plate_no FROM records WHERE deleted = 0 AND status IN ('done', 'success') AND coalesce(doc_category, '') <> '批单' AND (policy_no || '|' || insured || '|' || applicant || '|' || plate_no || '|' || filename || '|' || company_short) LIKE '%Customer#00000%' AND replace(plate_no, '-', '') LIKE '%京A0000%' AND sign_date >= DATE '1998-01-01' AND sign_date < DATE '1999-01-01' AND is_abnormal = 0"),
     "L1_visible": sql("SELECT id FROM records WHERE deleted = 0 AND status NOT IN ('processing', 'pending', 'duplicate') AND coalesce(doc_category, '') IN ('', '保单') AND contains(applicant, 'Customer') AND contains(insured, '01') AND contains(salesperson, 'S1') AND roomid <> '' AND start_date >= DATE '1996-01-01' AND start_date < DATE '2001-01-01' AND created_day + 3 >= DATE '1996-06-01' AND created_day + 3 < DATE '2000-06-01' AND user_id < 30 AND contains(vin, 'lsva')"),
@@ -107,10 +121,16 @@ ORACLE_SQL = {
       FROM records r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY motor DESC, id DESC) AS nth FROM (SELECT DISTINCT a.id AS rid, p.id, p.motor, p.id_number, p.salesperson FROM named a JOIN named p ON p.person = a.person AND p.id <> a.id AND p.deleted = 0 AND p.status IN ('done', 'success'))) p ON p.rid = r.id AND p.nth <= 20 GROUP BY r.id""", named=f"SELECT id, deleted, status, motor, id_number, salesperson, unnest(list_distinct(list_filter([insured, applicant, owner], lambda x: x <> ''))) AS person FROM (SELECT *, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records) t"),
     "F5_correct_parties": sql("SELECT id, " + ", ".join(f"coalesce({'CASE WHEN id % 4 = 0 THEN NULL ELSE ' if c == 'owner' else ''}CASE WHEN motor THEN CASE WHEN length(l_{c}) > length({c}) THEN l_{c} END ELSE n_{c} END{' END' if c == 'owner' else ''}, {c}) AS {c}" for c in fill.PARTIES) + f" FROM (SELECT *, {PLATE} AS k, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records) r LEFT JOIN (SELECT k, " + ", ".join(f"(max({{'l': length({c}), 'i': id, 'v': {c}}}) FILTER (motor AND {VALID.format(c)})).v AS l_{c}, arg_max({c}, id) FILTER (motor AND {VALID.format(c)}) AS n_{c}" for c in fill.PARTIES) + f" FROM (SELECT *, {PLATE} AS k, {CLASS} IN ('compulsory', 'commercial') AS motor FROM records WHERE deleted = 0) WHERE k IS NOT NULL GROUP BY 1) p USING (k)"),
     "F6_reverse_fill": sql(f"SELECT id, coalesce(NULLIF(owner, ''), CASE WHEN id % 4 <> 0 THEN f_owner END) AS owner, coalesce(NULLIF(id_number, ''), f_id_number) AS id_number, coalesce(NULLIF(salesperson, ''), f_salesperson) AS salesperson FROM (SELECT *, {PLATE} AS k FROM records) r LEFT JOIN (SELECT {PLATE} AS k, {', '.join(f'{_NEW(c)} AS f_{c}' for c in FIELDS)} FROM (SELECT * REPLACE (CASE WHEN " + VALID.format('owner') + " THEN owner END AS owner) FROM records) WHERE deleted = 0 GROUP BY 1) p USING (k)"),
-    "F7_plate_pool": sql(f"SELECT {PLATE} AS plate, {', '.join(f'{_NEW(c)} AS {c}' for c in FIELDS)} FROM records WHERE deleted = 0 AND {PLATE} IS NOT NULL GROUP BY 1"),
+    "F7_plate_pool": sql(f"SELECT {PLATE} AS plate, {', '.join(f'{_NEW(c)} AS {c}' for c in FIELDS)} FROM records WHERE deleted = 0 AND status = 'done' AND {PLATE} IS NOT NULL GROUP BY 1"),
     "F8_vin_pool": sql(f"SELECT {VIN} AS vin, arg_max({PLATE}, id) FILTER ({PLATE} IS NOT NULL) AS plate, {_NEW('owner')} AS owner, {_NEW('id_number')} AS id_number FROM records WHERE deleted = 0 AND {VIN} IS NOT NULL GROUP BY 1"),
-    "F9_compulsory_end": sql(f"SELECT {PLATE} AS plate, max(end_date) AS end_date, (max({{'d': end_date, 'i': id}})).i AS record_id FROM records WHERE deleted = 0 AND {CLASS} = 'compulsory' AND {PLATE} IS NOT NULL GROUP BY 1"),
-    "F10_dual_dates": sql(f"SELECT *, CASE WHEN commercial = compulsory THEN CAST(commercial AS VARCHAR) ELSE coalesce(CAST(commercial AS VARCHAR) || '交' || CAST(month(compulsory) AS VARCHAR) || '/' || CAST(day(compulsory) AS VARCHAR), CAST(commercial AS VARCHAR), CAST(compulsory AS VARCHAR), '') END AS dates FROM (SELECT {PLATE} AS plate, max(start_date) FILTER ({CLASS} = 'commercial') AS commercial, max(start_date) FILTER ({CLASS} = 'compulsory') AS compulsory FROM records WHERE deleted = 0 AND {PLATE} IS NOT NULL GROUP BY 1)"),
+    "F8_plate_vin_pool": sql(f"SELECT plate, vin FROM (SELECT {PLATE} AS plate, arg_max({VIN}, id) FILTER ({VIN} IS NOT NULL) AS vin FROM records WHERE deleted = 0 AND {PLATE} IS NOT NULL GROUP BY 1) WHERE vin IS NOT NULL"),
+    "F8_fill_by_pools": sql(f"""SELECT a.id, a.plate_no, coalesce(NULLIF(a.vin, ''), v.vin) AS vin, a.owner, a.id_number FROM filled a
+      LEFT JOIN (SELECT {PLATE} AS p, arg_max({VIN}, id) FILTER ({VIN} IS NOT NULL) AS vin FROM filled WHERE deleted = 0 GROUP BY 1) v ON v.p = {PLATE.replace('plate_no', 'a.plate_no')}""",
+      blanked="SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN '' ELSE plate_no END AS plate_no, CASE WHEN id % 7 = 0 THEN '' ELSE vin END AS vin, CASE WHEN id % 10 = 0 THEN '沪B-' || CAST(100000 + user_id AS VARCHAR) || '.pdf' ELSE filename END AS filename) FROM records",
+      filled=f"SELECT r.* REPLACE (CASE WHEN {PLATE} IS NOT NULL THEN plate_no ELSE coalesce(p.pp, NULLIF(replace(regexp_extract(filename, '沪[A-Z]-?[A-Z0-9]{{{{4,6}}}}'), '-', ''), ''), plate_no) END AS plate_no, coalesce(NULLIF(owner, ''), CASE WHEN {PLATE} IS NULL THEN po END) AS owner, coalesce(NULLIF(id_number, ''), CASE WHEN {PLATE} IS NULL THEN pi END) AS id_number) FROM blanked r LEFT JOIN (SELECT {VIN} AS g, arg_max({PLATE}, id) FILTER ({PLATE} IS NOT NULL) AS pp, {_NEW('owner')} AS po, {_NEW('id_number')} AS pi FROM blanked WHERE deleted = 0 GROUP BY 1) p ON p.g = {VIN}"),
+    "F9_compulsory_end": sql(f"SELECT plate, end_date, record_id FROM (SELECT {PLATE} AS plate, {CORRECTED} AS end_date, id AS record_id, row_number() OVER (PARTITION BY {PLATE} ORDER BY id DESC) AS place FROM records WHERE deleted = 0 AND status = 'done' AND {CLASS} = 'compulsory' AND {PLATE} IS NOT NULL AND {CORRECTED} IS NOT NULL) WHERE place = 1"),
+    "F10_dual_dates": sql(_DUAL.format(date="start_date")),
+    "F10_dual_end_dates": sql(_DUAL.format(date=CORRECTED)),
     "F11_siblings": sql("SELECT r.id, string_agg(CAST(sibling AS VARCHAR), ',' ORDER BY sibling) AS sibling_ids FROM slots r JOIN (SELECT file_md5, slot, max(id) AS sibling FROM slots GROUP BY 1, 2) s ON s.file_md5 = r.file_md5 AND s.slot <> r.slot AND sibling <> r.id GROUP BY 1", slots="SELECT id, file_md5, CASE WHEN o_index = 0 THEN -id ELSE o_index END AS slot FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE 'h' || CAST(CAST(floor(o_orderkey / 3) AS BIGINT) AS STRING) END AS file_md5, o_orderkey % 3 AS o_index FROM {orders}) t WHERE file_md5 <> ''"),
-    "F12_related": sql(f"SELECT r.id, EXISTS (SELECT 1 FROM x o WHERE o.deleted = 0 AND o.c = 'commercial' AND o.id <> r.id AND (o.p = r.p OR o.v = r.v) AND (o.d IS NULL OR r.d IS NULL OR abs(date_diff('day', o.d, r.d)) <= 30)) AND r.deleted = 0 AS related FROM x r".replace("FROM x o", f"FROM (SELECT id, deleted, {CLASS} AS c, {PLATE} AS p, {VIN} AS v, CASE WHEN id % 50 <> 0 THEN start_date END AS d FROM records) o").replace("FROM x r", f"FROM (SELECT id, deleted, {PLATE} AS p, {VIN} AS v, CASE WHEN id % 50 <> 0 THEN start_date END AS d FROM records) r")),
+    "F12_related": sql(f"SELECT r.id, EXISTS (SELECT 1 FROM x o WHERE o.deleted = 0 AND o.status = 'done' AND o.c = 'commercial' AND o.id <> r.id AND (o.p = r.p OR o.v = r.v) AND (o.d IS NULL OR r.d IS NULL OR abs(date_diff('day', o.d, r.d)) <= 30)) AND r.deleted = 0 AS related FROM x r".replace("FROM x o", f"FROM (SELECT id, deleted, status, {CLASS} AS c, {PLATE} AS p, {VIN} AS v, CASE WHEN id % 50 <> 0 THEN start_date END AS d FROM records) o").replace("FROM x r", f"FROM (SELECT id, deleted, {PLATE} AS p, {VIN} AS v, CASE WHEN id % 50 <> 0 THEN start_date END AS d FROM records) r")),
 }

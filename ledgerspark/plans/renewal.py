@@ -17,7 +17,7 @@ TASKS = """SELECT task_id, customer_key, policy_type, enterprise_id, end_date, p
   CASE c_custkey % 5 WHEN 0 THEN 'renewed' WHEN 1 THEN 'lost' WHEN 2 THEN 'following' ELSE 'pending' END AS status, CAST('2000-06-15' AS DATE) - CAST(c_custkey % 40 AS INT) AS updated_day FROM {customer} WHERE c_custkey % 2 = 0) t"""
 USERS_OPT = "SELECT s_suppkey - 1 AS user_id, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END AS renewal_enabled FROM {supplier}"
 LOG = "SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST('2000-06-15' AS DATE) ELSE CAST('2000-06-14' AS DATE) END AS remind_date FROM {orders} WHERE o_orderkey % 7 = 1"
-FOLLOWUPS = "SELECT l_orderkey * 10 + l_linenumber AS followup_id, l_partkey AS task_id, l_returnflag || CAST(l_orderkey AS STRING) AS content, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS next_remind_at FROM {lineitem}"
+FOLLOWUPS = "SELECT l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS followup_id, l_partkey AS task_id, l_returnflag || CAST(l_orderkey AS STRING) AS content, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS next_remind_at FROM {lineitem}"
 TENANT_NOTES = """SELECT c_custkey AS enterprise_id, CASE WHEN c_custkey % 3 = 0 THEN '[{{"date":"2000-06-14","text":"old"}},{{"date":"2000-06-15","text":"' || c_name || '"}},{{"date":"2000-06-15","text":"later"}}]' WHEN c_custkey % 3 = 1 THEN '[{{"date":"2000-06-13","text":"x"}}]' END AS remark FROM {customer}"""
 
 POLICIES = "deleted = 0 AND status IN ('done', 'success') AND doc_category = '保单'"
