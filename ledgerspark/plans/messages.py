@@ -59,7 +59,6 @@ QUERIES = {
     "M13_bound": lambda s, d: m.bound(messages(s, d), messages(s, d).where("msgtype = 'voice'")).select("id", "roomid", "sender"),
     "M14_eligible": lambda s, d: m.eligible(view(s, d, TALK), ["stupid", "worthless", "the a"], "The", "assist").select("message_id"),
     "M15_quotes": lambda s, d: m.parse_quotes(view(s, d, "SELECT o_orderkey AS id, '京A-' || lpad(CAST(o_custkey AS STRING), 5, '0') || CASE WHEN o_orderkey % 2 = 0 THEN ' 商业' || CAST(o_orderkey % 30 AS STRING) || ' 交强：4' ELSE ' hello' END || CASE WHEN o_orderkey % 3 = 0 THEN ' 13480707210 小张' ELSE '' END AS text FROM {orders}")).select("id", "plate", *[F.element_at("fields", F.lit(k)).alias(a) for k, a in (("政策商业险", "commercial"), ("政策强险", "compulsory"), ("电话", "phone"), ("业务渠道", "channel"))]),
-    "M16_rules": lambda s, d: m.parse_with_rules(view(s, d, TALK), RULES, F.col("roomid")).select("message_id", "plate", F.element_at("fields", F.lit("de")).alias("de"), F.element_at("fields", F.lit("the")).alias("the")),
     "M17_plates": lambda s, d: view(s, d, "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'x 京 A-' || lpad(CAST(o_custkey AS STRING), 5, '0') || ' y' WHEN 1 THEN '车牌号: AB ' || CAST(o_custkey AS STRING) || ' 123456789' WHEN 2 THEN '车牌号是多少' ELSE 'none' END AS text FROM {orders}").select("id", m.extract_plate(F.col("text")).alias("plate")),
     "M18_apply_quotes": lambda s, d: m.apply_quotes(records(s, d), view(s, d, "SELECT o_orderkey AS message_id, 'r' || CAST(o_custkey % 20 AS STRING) AS roomid, '京A' || lpad(CAST(o_custkey AS STRING), 6, '0') AS plate, CAST(o_orderkey AS STRING) AS fields FROM {orders} WHERE o_orderkey % 3 = 0")),
     "M19_commands": lambda s, d: m.ledger_commands(view(s, d, COMMANDS), "2024-01-17"),

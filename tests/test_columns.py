@@ -122,21 +122,3 @@ def test_driver_quotes(spark):
     df = spark.createDataFrame([(1, "粤BW44C6 业务员 王五 驾意后 12 驾意险前端：3"), (2, "粤BW44C6 驾意前端 3"), (3, "粤BW44C6 商业后端 3 商业 8")], "i int, text string")
     rows = {x["i"]: x["fields"] for x in m.parse_quotes(df).collect()}
     assert rows[1] == {"业务员#2": "王五", "驾意后端": "12", "驾意前端": "3"} and rows[2] is None and rows[3] == {"商业后端": "3", "政策商业险": "8"}
-
-
-def test_configured_rules_by_hand(spark):
-    """Fields by configured rules equal the patterns tried one after another on all texts."""
-    import re
-
-    from ledgerspark.plans.messages import RULES
-    from tests.conftest import SMALL
-
-    talk = spark.read.parquet(f"{SMALL}/conversations.parquet").withColumn("id", F.monotonically_increasing_id()).cache()
-    got = {x["id"]: x["fields"] for x in m.parse_with_rules(talk, RULES, F.lit("p")).collect()}
-    for r in talk.collect():
-        want = {}
-        for target, pattern in m.compile_rules(RULES):
-            hit = re.search(pattern, (r["text"] or "").replace("　", " "))
-            if hit and hit[1].strip() and target not in want:
-                want[target] = hit[1].strip()
-        assert got[r["id"]] == (want or None)
