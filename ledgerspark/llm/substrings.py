@@ -129,7 +129,8 @@ def packed(wanted: DataFrame) -> DataFrame:
                 kinds = [*[pa.int64()] * 4, pa.binary(), *[pa.list_(pa.int64())] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "h1", "h2", "w", "words", "k1", "k2"])
 
-    return wanted.select("raw", "kmers").mapInArrow(pack, "bucket long, h1 long, h2 long, w long, words binary, k1 array<long>, k2 array<long>")
+    # With the id, these texts are exchanged as those from which words are removed, and so once for both.
+    return wanted.select("raw", "kmers", "doc_id").mapInArrow(pack, "bucket long, h1 long, h2 long, w long, words binary, k1 array<long>, k2 array<long>")
 
 
 def repeated(strings: list[bytes], weights: list[int]) -> list[list[int]]:
@@ -173,7 +174,7 @@ def counted_windows(strings: DataFrame) -> DataFrame:
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """For each text with a repeated window ``marks``, its super-k-mers and the offsets of such windows in them (null: all): ``t1``, ``t2``, ``marks``.
 
-    ``texts`` has ``t1``, ``t2`` and ``raw``, one row for each document; copies count as often as they are there.
+    ``texts`` has ``doc_id``, ``t1``, ``t2`` and ``raw``, one row for each document; copies count as often as they are there.
     """
     every = places(texts)
     # A bucket of one super-k-mer, in whose words the minimiser is not repeated, has no window twice.
