@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +9,9 @@ from ledgerspark.functions import rules as r
 from ledgerspark.plans.analytics import CENTS, CLASS, sql
 from ledgerspark.plans.ledger import LABEL, PLATE, VIN
 from ledgerspark.plans.proxies import MESSAGES, base, messages, records, view
+from ledgerspark.sources import cursor
 from ledgerspark.sources import tables as src
+from ledgerspark.sources.shared import new_folder
 from ledgerspark.streaming import jobs
 
 ALIASES = {"company_short": {"1-URGENT": "甲", "URGENT": "x", "MEDIUM": "乙", "NOT": "丙", "NOT SPECIFIED": "丁"}}
@@ -53,12 +51,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run(df: DataFrame) -> DataFrame:
     """Run a stream over what there is, into a folder of the cluster's shared checkpoint folder, and read the result."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = shared or tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    spark, out = df.sparkSession, new_folder(df.sparkSession, "stream")
     df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
@@ -71,6 +64,15 @@ def _talk(s, d):
     return stream(s, d).where("roomid != '' and msgtype in ('text', 'file')").select("roomid", F.col("sender").alias("plate"), F.when(F.col("msgtype") == "file", "policy").otherwise("text").alias("kind"), F.col("sent_at").alias("at"), F.create_map(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).alias("fields"))
 
 
+def _pulled(s, d):
+    """The messages of the events table, written as a log in the shared folder and pulled from behind a cursor as a stream."""
+    log = new_folder(s, "log")
+    rows = messages(s, d).select("corpid", "seq", "id", "msgtype", "sent_at")
+    cursor.append_messages(rows, log)
+    found = cursor.message_stream(s, log, rows.schema, after='{"corp0": 500, "corp1": 800}', limit="20000")
+    return run(found).select("corpid", "seq", "id", "msgtype")
+
+
 QUERIES = {
     "C1_scopes": lambda s, d: r.resolve_scope(view(s, d, CONFIGS), ["own", "enterprise", "global"], active="active").select("config_key", "config_id", "scope"),
     "C2_aliases": lambda s, d: r.apply_aliases(records(s, d).withColumn("manual_fields", F.when(F.col("id") % 10 == 0, F.array(F.lit("company_short")))), ALIASES, "manual_fields").select("id", "company_short", r.quick_class(F.col("policy_type")).alias("label")),
@@ -84,6 +86,7 @@ QUERIES = {
     "S1_read": lambda s, d: src.read(s, f"{d}/customer.parquet"),
     "S2_pull": lambda s, d: src.pull(messages(s, d), 500, 300, "id")[0].select("id", "seq"),
     "S2_cursor": lambda s, d: src.pull_all(messages(s, d), 500, "id").agg(src.pull(messages(s, d), 500, 300, "id")[1].alias("cursor"), F.count(F.lit(1)).alias("n")),
+    "S2_stream": _pulled,
     "S3_copy_new": lambda s, d: src.copy_new(messages(s, d), messages(s, d).where("id % 10 = 0"), ["corpid", "seq"], "id").select("id", "corpid", "seq"),
     "S3_copy_counts": lambda s, d: src.copy_counts(messages(s, d), messages(s, d).where("id % 10 = 0"), ["corpid", "seq"]),
     "S3_replace_latest": lambda s, d: src.replace_latest(messages(s, d).where("id % 2 = 0").select("sender", "id", "msgtype"), messages(s, d).where("id % 2 = 1").select("sender", "id", "msgtype"), "sender", "id"),
@@ -120,6 +123,7 @@ ORACLE_SQL = {
     "S1_read": sql("SELECT * FROM customer"),
     "S2_pull": sql("SELECT id, seq FROM messages WHERE id > 500 ORDER BY id LIMIT 300"),
     "S2_cursor": sql("SELECT max(id) AS cursor, count(*) AS n FROM messages WHERE id > 500"),
+    "S2_stream": sql("SELECT corpid, seq, id, msgtype FROM messages WHERE seq > CASE corpid WHEN 'corp0' THEN 500 WHEN 'corp1' THEN 800 ELSE 0 END"),
     "S3_copy_new": sql("SELECT min(id) AS id, corpid, seq FROM messages m WHERE NOT EXISTS (SELECT 1 FROM messages t WHERE t.id % 10 = 0 AND t.corpid = m.corpid AND t.seq = m.seq) GROUP BY corpid, seq"),
     "S3_copy_counts": sql("SELECT CAST(total AS BIGINT) AS total, CAST(ins AS BIGINT) AS inserted, CAST(total - ins AS BIGINT) AS skipped FROM (SELECT (SELECT count(*) FROM messages) AS total, (SELECT count(*) FROM (SELECT DISTINCT corpid, seq FROM messages EXCEPT SELECT DISTINCT corpid, seq FROM messages WHERE id % 10 = 0)) AS ins)"),
     "S3_replace_latest": sql("SELECT sender, id, msgtype FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY id % 2, id DESC) AS k FROM messages) WHERE k = 1"),
