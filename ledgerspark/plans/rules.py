@@ -9,7 +9,7 @@ from ledgerspark.functions import rules as r
 from ledgerspark.plans.analytics import CENTS, CLASS, sql
 from ledgerspark.plans.ledger import LABEL, PLATE, VIN
 from ledgerspark.plans.proxies import MESSAGES, base, messages, records, view
-from ledgerspark.sources import cursor
+from ledgerspark.sources import buckets, cursor
 from ledgerspark.sources import tables as src
 from ledgerspark.sources.shared import new_folder
 from ledgerspark.streaming import jobs
@@ -73,6 +73,16 @@ def _pulled(s, d):
     return run(found).select("corpid", "seq", "id", "msgtype")
 
 
+def _kept(s, d):
+    """The target as a table in buckets, after the incoming rows came in three batches, one of them twice."""
+    table = buckets.BucketTable(s, new_folder(s, "target"), "k", 16)
+    table.create(view(s, d, TARGET))
+    rows = view(s, d, INCOMING).withColumn("number", F.pmod(F.xxhash64("k"), F.lit(3)))
+    for number in (0, 1, 1, 2):
+        table.upsert(rows.where(F.col("number") == number).drop("number"), lambda target, batch: src.upsert(target, batch, "k").drop("outcome"), number)
+    return table.read()
+
+
 QUERIES = {
     "C1_scopes": lambda s, d: r.resolve_scope(view(s, d, CONFIGS), ["own", "enterprise", "global"], active="active").select("config_key", "config_id", "scope"),
     "C2_aliases": lambda s, d: r.apply_aliases(records(s, d).withColumn("manual_fields", F.when(F.col("id") % 10 == 0, F.array(F.lit("company_short")))), ALIASES, "manual_fields").select("id", "company_short", r.quick_class(F.col("policy_type")).alias("label")),
@@ -93,6 +103,7 @@ QUERIES = {
     "S4_export": lambda s, d: src.export_ledger(records(s, d), 7, "1999-01-01", "2000-01-01").select("id", "policy_no", "plate_no"),
     "S4_export_merged": lambda s, d: src.export_ledger(records(s, d), 7, "1999-01-01", "2000-01-01", True).select("car", "n_records", "commercial_cents", "compulsory_cents", "other_cents"),
     "S5_upsert": lambda s, d: src.upsert(view(s, d, TARGET), view(s, d, INCOMING), "k"),
+    "S5_bucket_table": _kept,
     "S6_known_keys": lambda s, d: src.known_keys(view(s, d, INCOMING), view(s, d, TARGET), "k"),
     "S7_restore_types": lambda s, d: src.restore_types(view(s, d, TYPED), ["a"], ["d"], ["p"]).select("id", F.col("a").cast("double").alias("a"), "d", F.col("p").cast("double").alias("p")),
     "ST1_ingest": lambda s, d: run(jobs.ingest(stream(s, d)).select("id", "corpid", "seq")).select("corpid", "seq"),
@@ -131,6 +142,7 @@ ORACLE_SQL = {
     "S4_export_merged": sql(f"""SELECT car, count(*) AS n_records, {", ".join(f"CAST(coalesce(sum(cents) FILTER (k2 = 1 AND label = '{k}'), 0) AS BIGINT) AS {v}_cents" for k, v in (("商业险", "commercial"), ("交强险", "compulsory"), ("非车险", "other")))} FROM (SELECT *, row_number() OVER (PARTITION BY car, coalesce(NULLIF(policy_no, ''), '#' || id) ORDER BY id) AS k2 FROM (
       SELECT *, coalesce({PLATE}, 'vin:' || ({VIN}), '#' || CAST(id AS VARCHAR)) AS car, {LABEL} AS label, {CENTS} AS cents FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN policy_no <> '' THEN policy_no ELSE '#' || id END, created_day ORDER BY id DESC) AS k FROM records WHERE deleted = 0 AND enterprise_id = 7 AND status IN ('done', 'success') AND is_abnormal = 0 AND doc_category = '保单' AND created_day >= DATE '1999-01-01' AND created_day < DATE '2000-01-01') WHERE k = 1)) GROUP BY car"""),
     "S5_upsert": sql("SELECT coalesce(t.k, i.k) AS k, coalesce(i.name, t.name) AS name, t.city AS city, CASE WHEN t.k IS NULL THEN 'inserted' WHEN i.k IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM t FULL JOIN (SELECT trim(k) AS k, NULLIF(name, '') AS name FROM i) i ON i.k = t.k", t=TARGET, i=INCOMING),
+    "S5_bucket_table": sql("SELECT coalesce(t.k, i.k) AS k, coalesce(i.name, t.name) AS name, t.city AS city FROM t FULL JOIN (SELECT trim(k) AS k, NULLIF(name, '') AS name FROM i) i ON i.k = t.k", t=TARGET, i=INCOMING),
     "S6_known_keys": sql("SELECT trim(k) AS k FROM i WHERE trim(k) IN (SELECT k FROM t)", t=TARGET, i=INCOMING),
     "S7_restore_types": sql("SELECT o_orderkey AS id, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1234.5 WHEN 1 THEN 7 WHEN 3 THEN -5.25 END AS DOUBLE) AS a, CASE o_orderkey % 3 WHEN 0 THEN DATE '2026-06-03' WHEN 2 THEN DATE '2026-12-31' END AS d, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.125 WHEN 2 THEN 1 END AS DOUBLE) AS p FROM orders"),
     "ST1_ingest": sql("SELECT DISTINCT corpid, seq FROM messages"),
