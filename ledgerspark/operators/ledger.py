@@ -174,8 +174,8 @@ def top_rooms(records: DataFrame, limit: int = 50) -> DataFrame:
 SHARED = ["company_short", "plate_no", "applicant", "insured", "owner", "salesperson"]
 
 
-def merge_by_car(records: DataFrame, order: str = "id", shared: list[str] | None = None, own: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row a car: by plate, without one by frame number, without that by record.
+def merge_by_car(records: DataFrame, order: str = "id", shared: list[str] | None = None, own: dict[str, list[str]] | None = None, car: str | None = None) -> DataFrame:
+    """One row a car: by the column ``car`` if it is named (``identity.car_ids``), else by plate, without one by frame number, without that by record.
 
     Shared fields are the first non-blank in input order; premiums add up by class, each policy number once (blank numbers
     each time); policy numbers are the first by class.  ``own`` has, by class label, further fields that are kept by class, the first
@@ -183,7 +183,7 @@ def merge_by_car(records: DataFrame, order: str = "id", shared: list[str] | None
     a car with very many records is reduced before it is put together; only its ids are gathered.
     """
     names = {"商业险": "commercial", "交强险": "compulsory", "非车险": "other"}
-    key = F.coalesce(plate_key(F.col("plate_no")), F.concat(F.lit("vin:"), vin_key(F.col("vin"))), F.concat(F.lit("#"), F.col("id").cast("string")))
+    key = F.col(car).cast("string") if car else F.coalesce(plate_key(F.col("plate_no")), F.concat(F.lit("vin:"), vin_key(F.col("vin"))), F.concat(F.lit("#"), F.col("id").cast("string")))
     label = F.lit(None).cast("string")
     for kind, name in CLASS_LABELS.items():
         label = F.when(F.col("__class") == kind, name).otherwise(label)

@@ -36,9 +36,12 @@ def priority(end: Column, today: str) -> Column:
     return F.when(left <= 7, 2).when(left <= 30, 1).otherwise(0)
 
 
-def tasks(records: DataFrame, today: str) -> DataFrame:
-    """R2: one task a car, product and tenant: from the policy that ends first, with all ids and the newest record's sender."""
-    due = window_records(records, today).withColumn("customer_key", customer_key()).where("customer_key is not null")
+def tasks(records: DataFrame, today: str, car: str | None = None) -> DataFrame:
+    """R2: one task a car, product and tenant: from the policy that ends first, with all ids and the newest record's sender.
+
+    A car is its plate, else its frame number, or what the column ``car`` says (``identity.car_ids``).
+    """
+    due = window_records(records, today).withColumn("customer_key", F.col(car).cast("string") if car else customer_key()).where("customer_key is not null")
     first = F.struct("end_date", "id")
     fields = [F.min_by(F.col(c), first).alias(c) for c in ("plate_no", "vin", "insured", "company_short", "policy_no", "total_premium", "end_date")]
     found = due.groupBy("customer_key", F.substring("policy_type", 1, 64).alias("policy_type"), "enterprise_id").agg(*fields, F.min_by("id", first).alias("primary_record_id"), F.array_sort(F.collect_set("id")).alias("record_ids"), F.max_by("sender", "id").alias("sender"))

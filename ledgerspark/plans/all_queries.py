@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.plans import analytics, ledger, messages, renewal, rules, tenants, text
+from ledgerspark.plans import analytics, identity, ledger, messages, renewal, rules, tenants, text
 
-FAMILIES = (analytics, ledger, messages, renewal, rules, tenants, text)
+FAMILIES = (analytics, identity, ledger, messages, renewal, rules, tenants, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
