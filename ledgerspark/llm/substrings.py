@@ -186,7 +186,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     wanted = kinds.join(loads.hint("merge"), "bucket").select("place.t1", "place.t2", F.struct("place.at", "place.n", "bucket", "h1", "h2", "w", "large").alias("k")).groupBy("t1", "t2").agg(F.collect_list("k").alias("kmers"))
     # Every copy of a text packs its strings; equal ones are one again before they travel.
     strings = packed(texts.join(wanted.hint("merge"), ["t1", "t2"])).dropDuplicates(["bucket", "h1", "h2"])
-    offsets = sorted_buckets(strings.where("words is not null").select("bucket", "h1", "h2", "w", "words")).unionByName(counted_windows(strings.where("words is null")))
+    # Both sides take all columns, so that the strings are made and exchanged once.
+    offsets = sorted_buckets(strings.where("words is not null")).unionByName(counted_windows(strings.where("words is null")))
     whole = found.where("not mixed").select("t1", "t2", "at", "n", F.lit(None).cast("array<int>").alias("offsets"))
     some = found.where("mixed").join(offsets.hint("merge"), ["bucket", "h1", "h2"]).select("t1", "t2", "at", "n", F.array_sort("offsets").alias("offsets"))
     return whole.unionByName(some).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n", "offsets")).alias("marks"))
