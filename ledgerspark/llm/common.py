@@ -6,7 +6,7 @@ import re
 import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -69,6 +69,19 @@ def row_hashes(docs: DataFrame, names: tuple[str, str] = ("r1", "r2")) -> DataFr
     return docs.withColumns({names[0]: F.xxhash64(*columns), names[1]: F.xxhash64(F.lit("again"), *columns)})
 
 
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """Add ``number``, from 0 on, to rows of a written table (``cut``) that are equal in the columns ``by``, which hold no null.
+
+    Rows are numbered within each of the table's partitions, behind the numbers of the partitions before, so that no task gets more
+    of a group than one partition holds.  Which of equal rows gets which number is open; the numbers of a group are always the same.
+    """
+    placed = rows.withColumn("__part", F.spark_partition_id())
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n")).select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    inside = placed.withColumn("__in", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(F.lit(1))) - 1)
+    return inside.join(first.hint("merge"), [*by, "__part"]).withColumn("number", F.col("__first") + F.col("__in")).drop("__part", "__first", "__in")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text column; null counts as no word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

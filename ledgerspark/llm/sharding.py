@@ -1,8 +1,8 @@
 """Sharding by histogram sort: exact byte counts below candidate boundaries, refined, then one exchange.
 
 Rows get a 63-bit sort key: the upper 40 bits come from a hash of the text, the lower 23 bits from a
-hash of the row's id.  Equal texts are therefore neighbours, yet a very large group of copies still
-has boundaries inside it.  The driver keeps only histograms, whose size does not depend on the input.
+hash of the row's id and of its number among rows that are equal in both.  Equal texts are therefore neighbours, yet a
+very large group of copies still has boundaries inside it, even one of equal ids or none.  The driver keeps only histograms, whose size does not depend on the input.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut, table
+from ledgerspark.llm.common import cut, numbered, table
 
 KEY_BITS, ID_BITS, STEP_BITS = 63, 23, 10
 
@@ -29,11 +29,15 @@ class Splitters:
     refined: dict[int, list[int]] = field(default_factory=dict)
 
 
-def sort_key(text: Column, row_id: Column) -> Column:
-    """Copies of one text are neighbours; within them rows follow a hash of their id."""
-    of_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1 + ID_BITS)
-    of_id = F.shiftrightunsigned(F.xxhash64(row_id, F.lit("row")), 1 + KEY_BITS - ID_BITS)
-    return F.shiftleft(of_text, ID_BITS).bitwiseOR(of_id)
+def key_of(text_hash: Column, *row: Column) -> Column:
+    """Copies of one text are neighbours; within them rows follow a hash of what tells them apart."""
+    of_text = F.shiftrightunsigned(text_hash, 1 + ID_BITS)
+    of_row = F.shiftrightunsigned(F.xxhash64(*row, F.lit("row")), 1 + KEY_BITS - ID_BITS)
+    return F.shiftleft(of_text, ID_BITS).bitwiseOR(of_row)
+
+
+def sort_key(text: Column, *row: Column) -> Column:
+    return key_of(F.xxhash64(F.coalesce(text, F.lit(""))), *row)
 
 
 def find_splitters(keyed: DataFrame, shards: int, tolerance: float = 0.002, group_slack: float = 0.05, cell_share: float = 4 / 1024) -> Splitters:
@@ -128,18 +132,19 @@ def write_shards(rows: DataFrame, path: str) -> None:
 def op8_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
     """All documents in shards 0 to 23 of near equal bytes (law ``bytes``).
 
-    A null text counts as empty (size 8, crc32 0); a null doc_id is hashed as such.  Repeated rows are
-    all kept.  Groups of equal texts of up to a twentieth of a shard stay in one shard; larger ones are
-    divided.  An empty table gives no rows.
+    A null text counts as empty (size 8, crc32 0).  Repeated rows are all kept.  Groups of equal texts of up to a twentieth of a shard stay
+    in one shard; larger ones are divided, whether their ids differ, repeat or are null.  An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = cut(
+    sized = cut(
         table(spark, sf_dir, "documents").select(
             "doc_id",
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            sort_key(F.col("text"), F.col("doc_id")).alias("key"),
+            F.xxhash64(text).alias("h1"),
+            F.xxhash64(F.lit("again"), text, F.col("doc_id").isNull(), "doc_id").alias("h2"),
         )
     )
+    rows = cut(numbered(sized, "h1", "h2").select("doc_id", "size", "text_crc32", key_of(F.col("h1"), F.col("h2"), F.col("number")).alias("key")))
     placed = histogram_sort(rows, find_splitters(rows, shards))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

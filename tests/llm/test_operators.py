@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, embeddings, graph, html, license, minhash, mixing, pieces, quality, sharding, toxicity
+from ledgerspark.llm import chat, common, embeddings, graph, html, license, minhash, mixing, pieces, quality, sharding, toxicity
 from ledgerspark.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SMALL, table
 
@@ -110,6 +110,23 @@ def test_sharding_group_slack(spark):
         assert all(sorted(g) == list(range(len(g))) for _, g in placed.groupby("shard")["slot"])
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sharding_of_equal_rows(spark, tmp_path, doc_id):
+    """Rows of one text and a null or repeated id are divided like any other group, and reruns agree."""
+    spark.createDataFrame([(doc_id, "same text", "en", "a")] * 2400, SCHEMA).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    first, again = (sharding.op8_sharding(spark, str(tmp_path)).cache() for _ in range(2))
+    sizes = {r["shard"]: r["count"] for r in first.groupBy("shard").count().collect()}
+    assert sorted(sizes) == list(range(24)) and all(97 <= n <= 103 for n in sizes.values())
+    assert sorted((r["shard"], r["slot"]) for r in first.collect()) == [(k, i) for k in range(24) for i in range(sizes[k])]
+    assert sorted(map(repr, first.collect())) == sorted(map(repr, again.collect()))
+
+
+def test_numbers_of_equal_rows(spark):
+    rows = common.cut(spark.range(1000).select((F.col("id") % 3).alias("a"), F.lit("x").alias("b")).repartition(7))
+    got = common.numbered(rows, "a", "b").groupBy("a").agg(F.sort_array(F.collect_list("number")).alias("n")).collect()
+    assert sorted(len(r["n"]) for r in got) == [333, 333, 334] and all(list(r["n"]) == list(range(len(r["n"]))) for r in got)
+
+
 def test_sharding_of_one_large_group(spark):
     keyed = spark.range(3000).select(F.lit(10).cast("long").alias("size"), sharding.sort_key(F.lit("same"), F.col("id")).alias("key"))
     placed = sharding.histogram_sort(keyed, sharding.find_splitters(keyed, 4)).groupBy("shard").count().collect()
