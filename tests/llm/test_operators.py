@@ -31,7 +31,8 @@ def folder(spark, tmp_path_factory):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<p>a<p>b"), (None, "", "")], "page_id long, url string, html string")
     turns = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, None, None), (None, None, None, None), (2, 1, None, None)], "conv_id long, turn long, role string, text string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, None, 1), (None, [1.0, 0.0], 1), (3, [], 1), (4, [0.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
-    for name, df in {"documents": docs, "labels": labels, "pages": pages, "conversations": turns, "embeddings": vectors}.items():
+    items = spark.createDataFrame([(1, "Some text"), (2, None), (None, "x ONE"), (1, "Some text"), (3, "")], "item_id long, text string")
+    for name, df in {"documents": docs, "labels": labels, "pages": pages, "conversations": turns, "embeddings": vectors, "benchmark": items}.items():
         for c in CLASHING:
             df = df if c in df.columns else df.withColumn(c, F.lit(1))
         df.write.parquet(f"{odd}/{name}.parquet")
@@ -44,7 +45,7 @@ def test_odd_and_empty_tables(spark, folder, name):
     odd, none = folder
     rows = QUERIES[name](spark, odd).collect()
     assert QUERIES[name](spark, none).count() == 0
-    expected = {"op2_chat_formatting": 2, "op3_html_extraction": 4, "op7_embedding_dedup": 7, "op10_license_scan": 0}
+    expected = {"op2_chat_formatting": 2, "op3_html_extraction": 4, "op7_embedding_dedup": 7, "op10_license_scan": 0, "op11_spelling": 0, "op13_search": 5}
     assert len(rows) == expected.get(name, len(ODD))
     if name in ODD_RESULTS:
         assert sorted((tuple(r[c] for c in ODD_RESULTS[name][0]) for r in rows), key=repr) == sorted(ODD_RESULTS[name][1], key=repr)
@@ -59,6 +60,8 @@ ODD_RESULTS = {
     "op5_toxicity": (["doc_id", "held_out"], [(d, zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 0) for d, *_ in ODD]),
     "op7_embedding_dedup": (["vec_id", "n_links", "component_id", "kept"], [(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (None, 0, None, True)]),
     "op8_sharding": (["doc_id", "size"], [(d, len((t or "").encode()) + 8) for d, t, *_ in ODD]),
+    "op12_substrings": (["doc_id", "n_words", "n_removed"], [(1, 11, 0), (1, 11, 0), (2, 0, 0), (3, 0, 0), (None, 3, 0), (4, 0, 0), (5, 30_000, 30_000), (6, 4, 0)]),
+    "op13_search": (["item_id", "rank", "doc_id"], [(1, 1, None), (1, 1, None), (None, 1, 1), (None, 2, 1), (None, 3, 5)]),
     "op9_minhash": (["doc_id", "class_id", "kept"], [(1, 1, True), (1, 1, True), (2, 2, True), (3, 2, False), (None, None, True), (4, 4, True), (5, 5, True), (6, 6, True)]),
 }
 
@@ -66,7 +69,7 @@ ODD_RESULTS = {
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("conversations", "documents", "embeddings"):
+    for t in ("benchmark", "conversations", "documents", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df, q = QUERIES[name](spark, SMALL), c.sql(ORACLE_SQL[name])
     assert table([tuple(r) for r in df.collect()], df.columns) == table(q.fetchall(), q.columns)
