@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags.  Words score positive and tags negative; how much depends on the block that a word is in, on
 the marks (element names, classes, roles) around it and on the tag's name, learned from labelled pages.  A linear scan finds the
-contiguous run with the largest sum.  The region is the element that holds the run, without the words that its marks count against.
+contiguous run with the largest sum.  The region is the element that holds the run.  Parts of it with marks of their own go if the marks
+count against them more than their text speaks for them: blocks of prose, sentences and few links outweigh half a doubt.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTER = frozenset("html body #page".split())
 #: Element names and roles that mark what is no article, and words of the same sense in classes and ids.  They
-#: weigh ``DOUBT`` before learning.
+#: weigh ``DOUBT`` before learning.  Words of adverts and readers' comments do so in any class; slight words only where the text itself is no prose.
 CHROME = frozenset("nav footer aside form header menu dialog button select fieldset".split())
 CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CHROME_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead topbar header footer comment comments disqus replies newsletter subscribe signup login pagination toolbar".split())
+CHROME_STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comments disqus replies".split())
+CHROME_SLIGHT = frozenset("share sharing social related recommended buttons teaser teasers".split())
 SECTIONS = frozenset("article main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([A-Za-z][^\s/><]*)([^<>]*)>|([^<]+|<)", re.S)
 _RAW_END = {name: re.compile(rf"(?i)</{name}(?:[\s/][^>]*)?(?:>|$)") for name in RAW}
@@ -42,8 +45,13 @@ _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w
 _SPACE = re.compile(r"\s+")
 #: Weights before anything is learned: of a word in a prose block, outside of any, and in links; of a tag, of one inside a line; of a mark.
 PROSE_WEIGHT, BARE_WEIGHT, LINK_WEIGHT, TAG_WEIGHT, INLINE_WEIGHT, DOUBT = 1.0, 0.5, -0.5, -1.0, -0.25, -3.0
-#: Words with marks that weigh less than this together are no content, wherever they are; the range of what marks weigh together.
+#: Parts of the region go whose marks and text weigh less than this together; the range of what marks weigh together.
 AGAINST, MARKS = -1.0, (-3.0, 1.0)
+#: What speaks for a part of a page: shares of its words in prose blocks, in sentences, in links and outside of any block.
+PROSE_SHARE, SENTENCE_SHARE, LINK_SHARE, BARE_SHARE = 1.0, 0.5, -1.5, -0.5
+#: An element with so much of a page's words is the page, whatever its classes say.
+WHOLE = 0.8
+_SENTENCE = re.compile(r"[.!?…。！？][\s\"'”’)»]*$")
 #: Share of its weight that a word keeps beside the elements that the author marked as articles.
 BESIDE_MARKS = 0.5
 
@@ -59,6 +67,8 @@ class Element:
     hidden: bool = False
     prose: str = ""
     marks: tuple[str, ...] = ()
+    own: tuple[str, ...] = ()
+    number: int = 0
     end: int = -1
 
 
@@ -93,7 +103,8 @@ def element(name: str, attributes: str, inside: Element, start: int) -> Element:
             own.append(f"role={value}")
         elif key in ("class", "id") and name not in OUTER:
             own += [f".{token}" for token in value.split()]
-    e.marks += tuple(own)
+    e.own = tuple(own)
+    e.marks += e.own
     if name in PROSE:
         e.prose = name
     elif name in BLOCKS:
@@ -144,6 +155,7 @@ def read_page(source: str | None) -> Page:
                 close_from(block_at[-1])
             if name not in VOID:
                 e = element(name, attributes, stack[-1], len(page.kinds))
+                e.number = len(page.elements)
                 page.elements.append(e)
                 stack.append(e)
                 opened[name] += 1
@@ -161,16 +173,49 @@ def read_page(source: str | None) -> Page:
     return page
 
 
+def class_words(mark: str) -> list[str]:
+    return [w for w in re.split(r"[-_\W]+", mark) if w]
+
+
 def doubt(mark: str) -> float:
     """Weight of a mark before learning: elements, roles and class words that stand for chrome count against; of a class of several words each has its share."""
     if mark[0] == "<":
         return DOUBT
     if mark.startswith("role="):
         return DOUBT if mark[5:] in CHROME_ROLE else 0.0
-    words = [w for w in re.split(r"[-_\W]+", mark) if w]
+    words = class_words(mark)
+    if any(w in CHROME_STRONG for w in words):
+        return DOUBT
     return DOUBT * sum(w in CHROME_WORD for w in words) / max(1, len(words))
 
 
+@dataclass
+class Shares:
+    """Running numbers of words over a page's events: all, in prose blocks, in links, outside of any block, and in blocks that end as sentences."""
+
+    totals: np.ndarray
+
+    def speaks_for(self, e: Element) -> float:
+        """How much the text of an element speaks for it, from its words alone."""
+        n, prose, link, bare, sentences = self.totals[e.end] - self.totals[e.start]
+        return float(PROSE_SHARE * prose + SENTENCE_SHARE * sentences + LINK_SHARE * link + BARE_SHARE * bare) / max(1.0, float(n))
+
+    def words(self, e: Element) -> float:
+        return float(self.totals[e.end, 0] - self.totals[e.start, 0])
+
+
+def shares_of(page: Page) -> Shares:
+    """Words of hidden elements count nowhere.  A block is a sentence if its last word ends one."""
+    n, blocks = len(page.kinds), np.array(page.blocks, dtype=np.int64)
+    size = np.array([0 if h.hidden else k for k, h in zip(page.sizes, page.holders)], dtype=np.float64)
+    kind = np.array(page.kinds, dtype=object)
+    link, bare = kind == "link", kind == "bare"
+    ends = {int(b): bool(_SENTENCE.search(t)) for b, t, k in zip(page.blocks, page.texts, size) if k}
+    sentence = np.array([ends.get(int(b), False) for b in blocks], dtype=bool) & np.array([bool(h.prose) for h in page.holders], dtype=bool)
+    rows = np.stack([size, size * ~(link | bare), size * link, size * bare, size * (sentence & ~link)], axis=1) if n else np.zeros((0, 5))
+    return Shares(np.concatenate([np.zeros((1, 5)), np.cumsum(rows, axis=0)]))
+
+
 @dataclass
 class Weights:
     """Score of a word by its block, of a tag by its name, and of the marks around words."""
@@ -179,32 +224,53 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
     marks: dict[str, float] = field(default_factory=dict)
 
-    def against(self, e: Element) -> float:
-        """What the marks around an element's text weigh together.  A header counts against all but headings: an article's title stays."""
-        each = [self.marks[m] if m in self.marks else doubt(m) for m in e.marks if m != "<header>" or e.prose not in HEADINGS]
-        return min(max(sum(each), MARKS[0]), MARKS[1])
-
-    def content(self, page: Page) -> np.ndarray:
-        """Whether each event is text that no mark counts against."""
-        known: dict[int, bool] = {}
-        out = np.zeros(len(page.kinds), dtype=bool)
-        for i, (kind, e) in enumerate(zip(page.kinds, page.holders)):
-            if kind[0] != "<":
-                if id(e) not in known:
-                    known[id(e)] = not e.hidden and self.against(e) >= AGAINST
-                out[i] = known[id(e)]
-        return out
+    def weight(self, mark: str) -> float:
+        return self.marks[mark] if mark in self.marks else doubt(mark)
+
+    def against(self, page: Page, start: int = 0, end: int | None = None) -> list[tuple[float, float]]:
+        """What the marks around the text of each element weigh together, for headings and for other text.
+
+        Marks of elements that reach beyond a region (``start`` to ``end``), or hold nearly the whole page, say nothing.  A header
+        counts against all but headings: an article's title stays.
+        """
+        shares, end, out = shares_of(page), len(page.kinds) if end is None else end, []
+        whole = WHOLE * shares.totals[-1, 0]
+        for e in page.elements:
+            heading, other = out[e.parent.number] if e.parent else (0.0, 0.0)
+            if e.own and start <= e.start and e.end <= end and (shares.words(e) < whole or e.name in CHROME):
+                each = {m: self.weight(m) for m in e.own}
+                other += sum(each.values())
+                heading += sum(v for m, v in each.items() if m != "<header>")
+            out.append((heading, other))
+        return [(min(max(h, MARKS[0]), MARKS[1]), min(max(o, MARKS[0]), MARKS[1])) for h, o in out]
+
+    def content(self, page: Page, start: int, end: int) -> np.ndarray:
+        """Whether each event of a region is text that stays.
+
+        An element inside with marks of its own goes as a whole if these, with those around it, weigh less than ``AGAINST`` and its text does
+        not make up for it.  Nothing makes up for words of adverts and readers' comments; slight words count where the text speaks against itself.
+        """
+        shares, against = shares_of(page), self.against(page, start, end)
+        gone: list[tuple[bool, bool]] = []
+        for e in page.elements:
+            up = gone[e.parent.number] if e.parent else (False, False)
+            if e.own and start <= e.start and e.end <= end and (e.start, e.end) != (start, end):
+                for_it = shares.speaks_for(e)
+                words = [w for m in e.own if m[0] == "." for w in class_words(m)]
+                slight = DOUBT * sum(w in CHROME_SLIGHT for w in words) / max(1, len(words)) if for_it < 0 else 0.0
+                for_it = 0.0 if any(w in CHROME_STRONG for w in words) else max(for_it, 0.0)
+                up = tuple(g or a + slight + for_it < AGAINST for g, a in zip(up, against[e.number]))
+            gone.append(up)
+        return np.array([k[0] != "<" and not e.hidden and not gone[e.number][0 if e.prose in HEADINGS else 1] for k, e in zip(page.kinds, page.holders)], dtype=bool)
 
     def scores(self, page: Page) -> np.ndarray:
-        known: dict[int, float] = {}
+        against = self.against(page)
         out = np.zeros(len(page.kinds))
         for i, (kind, n, e) in enumerate(zip(page.kinds, page.sizes, page.holders)):
             if kind[0] == "<":
                 out[i] = self.tags[kind] if kind in self.tags else TAG_WEIGHT if kind[1:-1] in BLOCKS else INLINE_WEIGHT
             elif n:
-                if id(e) not in known:
-                    known[id(e)] = -PROSE_WEIGHT if e.hidden else self.words.get(kind, PROSE_WEIGHT) + self.against(e)
-                out[i] = n * known[id(e)]
+                out[i] = n * (-PROSE_WEIGHT if e.hidden else self.words.get(kind, PROSE_WEIGHT) + against[e.number][0 if e.prose in HEADINGS else 1])
         return out
 
 
@@ -265,11 +331,24 @@ def region(page: Page, weights: Weights) -> tuple[int, int]:
     return start, end
 
 
+def teasers(page: Page, start: int, end: int) -> list[Element]:
+    """Articles in a region that are parts of a list beside its own text: two or more, none of them as long as the text outside of them all."""
+    inside: list[Element] = []
+    for e in page.elements:
+        if e.name == "article" and start <= e.start and e.end <= end and (e.start, e.end) != (start, end) and (not inside or e.start >= inside[-1].end):
+            inside.append(e)
+    shares = shares_of(page)
+    rest = shares.totals[end, 0] - shares.totals[start, 0] - sum(shares.words(e) for e in inside)
+    return inside if len(inside) > 1 and rest > max(shares.words(e) for e in inside) else []
+
+
 def extract(source: str | None, weights: Weights) -> str:
     """Text of the article of a page: blocks in page order, one a line; empty if there is none."""
     page = read_page(source)
     start, end = region(page, weights)
-    content = weights.content(page)
+    content = weights.content(page, start, end)
+    for teaser in teasers(page, start, end):
+        content[teaser.start : teaser.end] = False
     lines: dict[int, list[str]] = {}
     for i in range(start, end):
         if content[i]:
