@@ -1,7 +1,6 @@
 """Texts of policies to fields (T1 to T24).  Rules are arguments; fixed word lists are those of the domain."""
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,6 +48,41 @@ def identify_company(c: Column, full_names: list[tuple[str, str]], keywords: lis
     return out
 
 
+def company_index(names: DataFrame) -> DataFrame:
+    """An index of a dictionary (``order_no``, ``words``, ``short``): each entry under the rarest pair of characters of its first word.
+
+    Pairs are counted over the dictionary's first words; entries are found through a pair that few others have, however alike their beginnings are.
+    """
+    word = F.element_at("words", 1)
+    kept = names.where((F.size("words") > 0) & F.forall("words", lambda w: F.coalesce(w, F.lit("")) != ""))
+    each = kept.select("order_no", F.explode(pairs_of(word)).alias("pair"))
+    often = each.groupBy("pair").agg(n().alias("entries"))
+    chosen = each.join(often, "pair").groupBy("order_no").agg(F.min(F.struct("entries", "pair"))["pair"].alias("pair"))
+    return kept.select("order_no", "words", "short").join(chosen, "order_no")
+
+
+def pairs_of(c: Column) -> Column:
+    """Distinct pairs of neighbouring characters of a text; of one character, itself."""
+    letters = F.split(c, "")
+    pairs = F.zip_with(F.slice(letters, F.lit(1), F.length(c) - 1), F.slice(letters, F.lit(2), F.length(c) - 1), lambda a, b: F.concat(a, b))
+    return F.when(F.length(c) > 1, F.array_distinct(pairs)).when(F.length(c) == 1, F.array(c)).otherwise(F.array().cast("array<string>"))
+
+
+def identify_companies(texts: DataFrame, names: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """``key`` and ``company``, the short name of the first entry of a dictionary whose words a text holds; null without one.
+
+    ``names`` has ``order_no`` (unique), ``words`` (all must be in the text; several for joint cover) and ``short``.  A text's pairs of characters meet
+    the index, then each text is compared with the few entries found so.  The plan is the same for any dictionary; ``key`` tells texts apart.
+    """
+    index = company_index(names)
+    single = names.where((F.size("words") > 0) & (F.length(F.element_at("words", 1)) == 1)).select(F.lit(1)).limit(1)
+    letters = F.array_distinct(F.split(F.col(column), "")) if single.count() else F.array().cast("array<string>")
+    grams = texts.where(F.length(column) > 0).select(key, F.explode(F.array_union(pairs_of(F.col(column)), letters)).alias("pair"))
+    found = grams.join(index, "pair").groupBy(key).agg(F.collect_list(F.struct("order_no", "words", "short")).alias("entries"))
+    held = F.filter("entries", lambda e: F.forall(e["words"], lambda w: F.contains(F.col(column), w)))
+    return texts.select(key, column).join(found, key, "left").select(key, F.array_min(held)["short"].alias("company"))
+
+
 def first_match(c: Column, patterns: list[str]) -> Column:
     """Group 1 of the first pattern with a value that is not blank."""
     return F.coalesce(*[blank_to_null(F.trim(F.regexp_extract(c, p, 1))) for p in patterns]) if patterns else F.lit(None).cast("string")
@@ -119,44 +153,77 @@ def document_category(c: Column, premium: Column | None = None, start: Column |
     )
 
 
+def places(text: Column, pattern: str) -> Column:
+    """Hits of a pattern in a text: an array of ``at`` (from 0) and ``hit``, from the lengths of what stands between them."""
+    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    none = F.array().cast("array<struct<at:int,hit:string>>")
+    start = F.struct(F.lit(0).alias("end"), none.alias("found"))
+
+    def add(acc: Column, p: Column) -> Column:
+        at = acc["end"] + F.length(p["b"])
+        return F.struct((at + F.length(p["h"])).alias("end"), F.concat(acc["found"], F.array(F.struct(at.alias("at"), p["h"].alias("hit")))).alias("found"))
+
+    pairs = F.zip_with(hits, F.slice(between, F.lit(1), F.size(hits)), lambda h, b: F.struct(h.alias("h"), b.alias("b")))
+    return F.aggregate(pairs, start, add, lambda acc: acc["found"])
+
+
+#: What follows a title that only heads a list of clauses; words before the number of another policy, and of a part of this one.
+CLAUSE_LIST, OTHERS_NUMBER, PARTS_NUMBER = r"^\s*保险条款名称", "交强险", r"分项\s*$"
+PAGE_MARK = r"\[PAGE:\d+\]\n?"
+
+
+def boundaries(text: Column, titles: list[str], number: str) -> tuple[Column, Column]:
+    """Two arrays of places where policies begin: hits of titles in their order, 50 characters apart, but not those of clause lists.
+
+    The second array holds numbers of which none begins another, 200 characters from titles (column ``__titles``); they count where there are fewer than two titles.
+    """
+    far = lambda at, taken, least: F.forall(taken, lambda p: F.abs(p - at) >= least)
+    taken = F.array().cast("array<int>")
+    for title in titles:
+        listed = lambda h: F.rlike(F.substr(text, h["at"] + F.length(h["hit"]) + 1, F.lit(80)), F.lit(CLAUSE_LIST))
+        taken = F.aggregate(places(text, title), taken, lambda acc, h: F.when(far(h["at"], acc, 50) & ~listed(h), F.concat(acc, F.array(h["at"]))).otherwise(acc))
+    value = lambda h: F.regexp_extract(h["hit"], number, 1)
+    before = lambda h: F.substr(text, F.greatest(h["at"] - 19, F.lit(1)), F.least(h["at"], F.lit(20)))
+    own = F.filter(places(text, number), lambda h: ~F.contains(before(h), F.lit(OTHERS_NUMBER)) & ~F.rlike(before(h), F.lit(PARTS_NUMBER)))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("more"))
+
+    def add(acc: Column, h: Column) -> Column:
+        known = F.exists(acc["seen"], lambda s: F.startswith(value(h), s) | F.startswith(s, value(h)))
+        more = F.when(known | ~far(h["at"], F.col("__titles"), 200), acc["more"]).otherwise(F.concat(acc["more"], F.array(h["at"])))
+        return F.struct(F.when(known, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(value(h)))).alias("seen"), more.alias("more"))
+
+    return taken, F.aggregate(own, start, add, lambda acc: acc["more"])
+
+
 def split_policies(texts: DataFrame, titles: list[str], core: list[str], least: int = 2, number: str = r"保[险]?单号码?[：:\s]*([A-Za-z0-9]{10,30})") -> DataFrame:
-    """A row for each policy in a text: ``doc_id``, ``part`` (from 0), ``start``, ``text``.
+    """A row for each policy in a text: ``doc_id``, ``part`` (from 0), ``start``, ``text`` and ``page_range``.
 
-    A part begins at a title, unless another begins within 50 characters before; with fewer than two titles, also at numbers
-    of which none begins the other.  Parts with fewer than ``least`` matches of ``core`` are left out; with fewer than two parts left the
-    text stays whole.  Null texts have no part.  One text at a time is held.
+    A part begins with the line of a boundary, the first one with the text, and ends before the line of the next (without a line
+    break before that, at the boundary).  Parts with fewer than ``least`` matches of ``core`` are left out; if none is left, or there are fewer than two boundaries,
+    the text stays whole.  Page marks are taken out.  Null texts have no part.
     """
-    title_res, core_res, number_re = [re.compile(p) for p in titles], [re.compile(p) for p in core], re.compile(number)
-
-    def begins(text: str) -> list[int]:
-        found: list[int] = []
-        for r in title_res:
-            for m in r.finditer(text):
-                if all(abs(m.start() - p) >= 50 for p in found):
-                    found.append(m.start())
-        if len(found) <= 1:
-            seen: list[str] = []
-            for m in number_re.finditer(text):
-                value = m.group(1)
-                if not any(value.startswith(s) or s.startswith(value) for s in seen):
-                    seen.append(value)
-                    if all(abs(m.start() - p) >= 200 for p in found):
-                        found.append(m.start())
-        return sorted(found)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                if text is None:
-                    continue
-                at = begins(text)
-                parts = [(s, text[s:e]) for s, e in zip(at, [*at[1:], len(text)])] if len(at) > 1 else []
-                parts = [p for p in parts if sum(bool(r.search(p[1])) for r in core_res) >= least]
-                rows += [(doc_id, i, s, t) for i, (s, t) in enumerate(parts if len(parts) > 1 else [(0, text)])]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "start", "text"])
-
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, start int, text string")
+    text = F.col("text")
+    taken, more = boundaries(text, titles, number)
+    # Boundaries are columns of their own, so that they are made once.
+    rows = texts.where(text.isNotNull()).select("doc_id", "text", taken.alias("__titles"))
+    rows = rows.withColumn("__more", F.when(F.size("__titles") <= 1, more).otherwise(F.array().cast("array<int>")))
+    at = F.array_sort(F.when(F.size("__titles") + F.size("__more") > 1, F.concat("__titles", "__more")).otherwise(F.col("__titles")))
+    rows = rows.withColumn("__at", at)
+    line = lambda p: p - F.length(F.substring_index(F.substr(text, F.lit(1), p), "\n", -1))
+    broken = lambda p: F.contains(F.substr(text, F.lit(1), p), F.lit("\n"))
+
+    def part(p: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(line(p))
+        follower = F.get(F.col("__at"), i + 1)
+        end = F.when(follower.isNull(), F.length(text)).when(broken(follower), line(follower)).otherwise(follower)
+        return F.struct(start.alias("start"), F.trim(F.substr(text, start + 1, end - start), F.lit(" \n\r\t\f\x0b　")).alias("text"))
+
+    hits = lambda t: sum((F.rlike(t, F.lit(p)).cast("int") for p in core), F.lit(0))
+    good = F.filter(F.transform("__at", part), lambda x: (x["text"] != "") & (hits(x["text"]) >= least))
+    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("text")))
+    parts = F.when((F.size("__at") > 1) & (F.size(good) > 0), good).otherwise(whole)
+    each = rows.select("doc_id", F.posexplode(parts).alias("part", "__p"))
+    return each.select("doc_id", "part", F.col("__p.start").alias("start"), F.regexp_replace("__p.text", PAGE_MARK, "").alias("text"), page_range(F.col("__p.text")).alias("page_range"))
 
 
 def cover_lines(texts: DataFrame, words: list[str], column: str = "text") -> DataFrame:

@@ -36,6 +36,11 @@ def _second(s, d):
     return q.differences(_records(s, d).withColumn("ai_fields", other).withColumn("raw_text", F.concat(F.lit("合计9.99 "), F.col("insured"))), ["投保人", "保费合计", "车牌号", "签单日期"])
 
 
+SPLIT = "SELECT doc_id, text FROM {documents}"
+#: A dictionary as long as the documents: a piece of each text, with its number.
+NAMES = "SELECT doc_id AS order_no, substr(text, 40, 14) AS name, 'n' || CAST(doc_id AS STRING) AS short FROM {documents} WHERE length(text) > 60"
+
+
 QUERIES = {
     "T1_clean_digits": lambda s, d: view(s, d, SPACED).select("id", t.clean_digits(F.col("text")).alias("text")),
     "T2_undouble": lambda s, d: base(s, d, "customer").select("c_custkey", t.undouble(F.regexp_replace("c_name", r"(\S)", "$1$1")).alias("name")),
@@ -44,6 +49,7 @@ QUERIES = {
     "T5_classes": lambda s, d: records(s, d).select("id", c.product_class(F.col("policy_type")).alias("class"), c.sort_class(F.col("policy_type")).alias("sort_class"), c.class_rank(F.col("policy_type"), ("商业险", "交强险")).alias("rank")),
     "T6_categories": lambda s, d: view(s, d, KINDS).select("id", t.document_category(F.col("text")).alias("category")),
     "T7_fields": lambda s, d: t.extract_fields(base(s, d, "documents").select("doc_id", "text", F.col("source").alias("company_short")), {"ip": [r"(\d+\.\d+\.\d+\.\d+)"], "word": [r"(?i)\b(thble\w*)", r"(ciónes)"]}, {"src0": {"word": [r"(?i)\b(oned\w*)"]}}).select("doc_id", "ip", "word"),
+    "T3_dictionary": lambda s, d: t.identify_companies(view(s, d, SPLIT), view(s, d, NAMES).withColumn("words", F.array("name"))),
     "T8_split": lambda s, d: t.split_policies(base(s, d, "documents"), TITLES, [r"the", r"and", r"of"]),
     "T9_covers": lambda s, d: t.cover_lines(view(s, d, COVERS), ["车损险", "三者险", "座位险"]),
     "T10_page_range": lambda s, d: view(s, d, PAGES).select("id", t.page_range(F.col("text")).alias("pages")),
@@ -85,6 +91,7 @@ _KINDS = """SELECT id, insured, applicant, CASE WHEN insured = '' THEN NULL WHEN
 ORACLE_SQL = {
     "T1_clean_digits": sql("SELECT o_orderkey AS id, '保单 12345 于 ' || o_custkey || '年' || (o_orderkey % 12 + 1) || '月3日 x 7' AS text FROM orders"),
     "T2_undouble": sql("SELECT c_custkey, c_name AS name FROM customer"),
+    "T3_dictionary": sql("SELECT doc_id, (SELECT arg_min(short, order_no) FROM names WHERE contains(text, name)) AS company FROM documents", names=NAMES),
     "T3_companies": sql("SELECT doc_id, CASE WHEN contains(text, 'Apache') AND contains(text, 'MIT') THEN 'both' WHEN contains(text, 'Apache License') THEN 'Apache' WHEN contains(text, 'GNU General') THEN 'GPL' WHEN contains(text, 'MIT') THEN 'MIT' WHEN contains(text, 'CC BY') THEN 'CC' END AS company FROM documents"),
     "T4_products": sql("SELECT doc_id, coalesce(NULLIF(regexp_extract(substr(text, 1, 1000), '(?m)^(The [a-z]+ [a-z]+)', 1), ''), NULLIF(regexp_extract(text, 'License, [Vv]ersion ([0-9.]+)', 1), '')) AS product FROM documents"),
     "T5_classes": sql(f"SELECT id, {CLASS} AS class, {SORT} AS sort_class, CASE {SORT} WHEN '商业险' THEN 0 WHEN '交强险' THEN 1 ELSE 3 END AS rank FROM records"),
