@@ -108,6 +108,7 @@ QUERIES = {
     "S7_restore_types": lambda s, d: src.restore_types(view(s, d, TYPED), ["a"], ["d"], ["p"]).select("id", F.col("a").cast("double").alias("a"), "d", F.col("p").cast("double").alias("p")),
     "ST1_ingest": lambda s, d: run(jobs.ingest(stream(s, d)).select("id", "corpid", "seq")).select("corpid", "seq"),
     "ST2_match_pending": lambda s, d: run(jobs.match_pending(stream(s, d).where("msgtype = 'text' and roomid != ''").select("roomid", F.col("sender").alias("plate"), F.col("sent_at").alias("text_at"), F.col("id").alias("text_id")), stream(s, d).where("msgtype = 'file' and roomid != ''").select("roomid", F.col("sender").alias("plate"), F.col("sent_at").alias("policy_at"), F.col("id").alias("record_id")))).select("text_id", "record_id"),
+    "ST2_grace": lambda s, d: run(jobs.match_with_grace(stream(s, d).where("roomid != '' and msgtype in ('text', 'file')").select("roomid", F.lit("京A1").alias("plate"), "sender", F.when(F.col("msgtype") == "file", "policy").otherwise("text").alias("kind"), F.col("sent_at").alias("at"), F.col("id").alias("record_id"), F.create_map(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).alias("fields")))),
     "ST5_first_notice": lambda s, d: run(jobs.first_notice(stream(s, d), F.col("msgtype") == "file").select("roomid", F.to_date("sent_at").alias("sent_day"))),
     "ST3_miss_alerts": lambda s, d: run(jobs.miss_alerts(_talk(s, d))),
     "ST4_assemble": lambda s, d: run(jobs.assemble(stream(s, d).select(F.coalesce("roomid", F.lit("")).alias("roomid"), "sender", F.element_at(F.create_map(*[F.lit(x) for x in ("text", "licence", "file", "id_front", "image", "id_back", "voice", "text", "other", "text")]), F.col("msgtype")).alias("kind"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("n"), (F.col("id") % 4).cast("string"))).alias("owner"), F.col("sent_at").alias("at")), wait_s=6 * 3600)),

@@ -37,6 +37,51 @@ def within_grace(pairs: DataFrame, grace: str = "10 minutes") -> DataFrame:
     return pairs.join(first, "text_id").where(F.col("policy_at") <= F.col("first_at") + F.expr(f"INTERVAL {grace}")).drop("first_at")
 
 
+def match_with_grace(events: DataFrame, notify_s: int = 600, expire_s: int = 48 * 3600, grace_s: int = 600, delay: str = "1 minute") -> DataFrame:
+    """ST2: each policy with the texts that wait for it, as ``record_id``, ``sender``, ``fields`` (``key=value`` in order of keys), ``told`` and ``first``.
+
+    ``events``: ``roomid``, ``plate``, ``sender``, ``kind`` (text or policy), ``at``, ``record_id`` of policies and ``fields`` (a map) of texts.  A sender's
+    texts of one room and plate wait together, later values over earlier ones, for 48 hours from the first one.  The first policy in that time
+    matches them (``first``; ``told``: ten minutes had passed, so a miss was told), and so does each policy of the ten minutes behind it: the
+    policies of one file.  Texts after a match wait anew.  Events are taken in order of time, of equal times texts first; what a key holds is
+    dropped when nothing can match it any more, so results do not depend on batches, and states end.
+    """
+    schema = "roomid string, plate string, record_id long, sender string, fields string, told boolean, first boolean"
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = state.getCurrentWatermarkMs(), []
+        # waiting and matched texts: sender, time of the first one, time of the match (0: none yet), fields
+        held: list[list[Any]] = json.loads(state.get[0]) if state.exists else []
+
+        def ends(e: list[Any]) -> int:
+            return e[2] + grace_s * 1000 if e[2] else e[1] + expire_s * 1000
+
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            rows = rows.assign(later=rows["kind"] == "policy").sort_values(["at", "later", "record_id", "sender"], kind="stable")
+            for kind, at, sender, record, fields in zip(rows["kind"], rows["at"], rows["sender"], rows["record_id"], rows["fields"]):
+                ms = millis(at)
+                held = [e for e in held if ends(e) > ms]
+                if kind == "text":
+                    mine = next((e for e in held if e[0] == sender and not e[2]), None)
+                    if mine is None:
+                        held.append(mine := [sender, ms, 0, {}])
+                    mine[3] |= dict(fields or {})
+                    continue
+                for e in held:
+                    out.append((*key, int(record), e[0], ",".join(f"{k}={e[3][k]}" for k in sorted(e[3])), ms - e[1] > notify_s * 1000 if not e[2] else False, not e[2]))
+                    e[2] = e[2] or ms
+        held = [e for e in held if ends(e) > now]
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(min(map(ends, held)), now) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["roomid", "plate", "record_id", "sender", "fields", "told", "first"])
+
+    return events.withWatermark("at", delay).groupBy("roomid", "plate").applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def millis(at: pd.Timestamp) -> int:
     return int(at.value // 1_000_000)
 
