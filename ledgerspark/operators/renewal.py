@@ -41,7 +41,12 @@ def tasks(records: DataFrame, today: str, car: str | None = None) -> DataFrame:
 
     A car is its plate, else its frame number, or what the column ``car`` says (``identity.car_ids``).
     """
-    due = window_records(records, today).withColumn("customer_key", F.col(car).cast("string") if car else customer_key()).where("customer_key is not null")
+    return snapshot(window_records(records, today).withColumn("customer_key", F.col(car).cast("string") if car else customer_key()), today)
+
+
+def snapshot(due: DataFrame, today: str) -> DataFrame:
+    """R2: the tasks of policies with a ``customer_key``; rows without one have none."""
+    due = due.where("customer_key is not null")
     first = F.struct("end_date", "id")
     fields = [F.min_by(F.col(c), first).alias(c) for c in ("plate_no", "vin", "insured", "company_short", "policy_no", "total_premium", "end_date")]
     found = due.groupBy("customer_key", F.substring("policy_type", 1, 64).alias("policy_type"), "enterprise_id").agg(*fields, F.min_by("id", first).alias("primary_record_id"), F.array_sort(F.collect_set("id")).alias("record_ids"), F.max_by("sender", "id").alias("sender"))
@@ -167,3 +172,30 @@ def refresh(existing: DataFrame, records: DataFrame, changed: DataFrame, today:
     mine = records.withColumn("customer_key", customer_key()).join(keys, ["customer_key", "enterprise_id"], "left_semi")
     found = tasks(mine.drop("customer_key"), today).withColumn("assignee", F.lit(None).cast("long"))
     return merge_tasks(existing.join(keys, ["customer_key", "enterprise_id"], "left_semi"), found)
+
+
+CUSTOMER = ["customer_key", "enterprise_id"]
+
+
+def rebuild(existing: DataFrame, records: DataFrame, today: str, customers: DataFrame | None = None) -> DataFrame:
+    """The tasks of all customers, or of some (``customer_key``, ``enterprise_id``), as they are after ``records``.
+
+    Policies around their end make and renew tasks.  Where a customer has none of these but open tasks, all its policies renew them, so that a
+    date that was put right does not stay behind.  ``active`` says whether a task's product has any policy left.
+    """
+    rows = policies(records).where("end_date is not null").withColumn("customer_key", customer_key()).where("customer_key is not null")
+    if customers is not None:
+        rows, existing = (df.join(customers, CUSTOMER, "left_semi") for df in (rows, existing))
+    near = F.col("end_date").between(F.date_sub(day(today), WINDOW_DAYS), F.date_add(day(today), WINDOW_DAYS))
+    due = rows.groupBy(*CUSTOMER).agg(F.max(near).alias("due"))
+    opened = existing.where(~F.col("status").isin(*CLOSED)).select(*CUSTOMER).distinct().withColumn("opened", F.lit(True))
+    source = rows.join(due, CUSTOMER).join(opened, CUSTOMER, "left").where(near | (~F.col("due") & F.col("opened"))).drop("due", "opened")
+    found = snapshot(source, today).withColumn("assignee", F.lit(None).cast("long"))
+    held = rows.groupBy(*CUSTOMER, F.substring("policy_type", 1, 64).alias("policy_type")).agg(F.lit(True).alias("held"))
+    return merge_tasks(existing, found).join(held, [*CUSTOMER, "policy_type"], "left").withColumn("active", F.coalesce("held", F.lit(False))).drop("held")
+
+
+def changed_customers(changes: DataFrame) -> DataFrame:
+    """Customers of both images of changes (``before`` and ``after``, structs of a record, null where there is none)."""
+    images = changes.select(F.explode(F.array("before", "after")).alias("r")).where("r is not null").select("r.*")
+    return images.select(customer_key().alias("customer_key"), "enterprise_id").where("customer_key is not null and enterprise_id is not null").distinct()

@@ -41,6 +41,16 @@ def _merged(s, d):
     return renewal.merge_tasks(view(s, d, TASKS), _found(s, d).withColumn("assignee", F.lit(None).cast("long")))
 
 
+#: Before the change, some records had another plate.
+BEFORE = "京A-' || lpad(CAST(id % 1000 AS STRING), 6, '0')"
+
+
+def _changes(s, d):
+    now = records(s, d)
+    before = F.struct(*[F.expr(f"'{BEFORE}").alias(c) if c == "plate_no" else F.col(c) for c in now.columns])
+    return now.where("id % 5 = 0").select(before.alias("before"), F.struct(*now.columns).alias("after"))
+
+
 QUERIES = {
     "R1_window": lambda s, d: renewal.window_records(records(s, d), NOW).select("id", "end_date"),
     "R2_tasks": lambda s, d: _found(s, d).withColumn("record_ids", F.concat_ws(",", "record_ids")),
@@ -55,6 +65,7 @@ QUERIES = {
     "R11_history": lambda s, d: renewal.history(records(s, d), "京A000100", "LSVA0000000700").select("id", "end_date"),
     "R11_next_reminder": lambda s, d: renewal.next_reminder(view(s, d, TASKS), view(s, d, FOLLOWUPS)).select("task_id", "followups", "last_content", "remind_at"),
     "R12_followup_digest": lambda s, d: renewal.followup_digest(view(s, d, TENANT_NOTES), NOW),
+    "R13_changes": lambda s, d: renewal.rebuild(view(s, d, TASKS), records(s, d), NOW, renewal.changed_customers(_changes(s, d))),
     "R13_refresh": lambda s, d: renewal.refresh(view(s, d, TASKS), records(s, d), records(s, d).where("id % 5 = 0"), NOW),
 }
 
@@ -63,6 +74,11 @@ _MERGE = f"""SELECT coalesce(e.customer_key, f.customer_key) AS customer_key, co
   CASE WHEN e.status IS NULL THEN 'inserted' WHEN e.status IN ('renewed', 'lost', 'closed') THEN 'closed' WHEN f.priority IS NOT NULL THEN 'updated' ELSE 'kept' END AS outcome
   FROM (SELECT * FROM tasks@) e FULL JOIN (SELECT * FROM ({FOUND})@) f ON e.customer_key = f.customer_key AND e.policy_type = f.policy_type AND e.enterprise_id = f.enterprise_id"""
 
+_NEAR = f"end_date BETWEEN DATE '{NOW}' - 30 AND DATE '{NOW}' + 30"
+_KEPT = f"""SELECT * FROM (SELECT *, {KEY} AS customer_key, max(CASE WHEN {_NEAR} THEN 1 ELSE 0 END) OVER (PARTITION BY {KEY}, enterprise_id) AS due FROM records WHERE {POLICIES}) d
+  WHERE {_NEAR} OR (due = 0 AND EXISTS (SELECT 1 FROM tasks t WHERE t.customer_key = d.customer_key AND t.enterprise_id = d.enterprise_id AND t.status NOT IN ('renewed', 'lost', 'closed')))"""
+_CHANGED = f" SEMI JOIN (SELECT {KEY} AS customer_key, enterprise_id FROM records WHERE id % 5 = 0 UNION SELECT replace('{BEFORE}, '-', ''), enterprise_id FROM records WHERE id % 5 = 0) ch USING (customer_key, enterprise_id)"
+
 ORACLE_SQL = {
     "R1_window": sql(f"SELECT id, end_date FROM ({DUE})"),
     "R2_tasks": sql(f"SELECT * EXCLUDE (ids), array_to_string(ids, ',') AS record_ids FROM ({FOUND})"),
@@ -79,5 +95,6 @@ ORACLE_SQL = {
     "R11_history": sql(f"SELECT id, end_date FROM records WHERE deleted = 0 AND ({PLATE} = '京A000100' OR {VIN} = 'LSVA0000000700')"),
     "R11_next_reminder": sql("SELECT t.task_id, coalesce(n, 0) AS followups, last_content, remind_at FROM tasks t LEFT JOIN (SELECT task_id, count(*) AS n, arg_max(content, followup_id) AS last_content, arg_max(next_remind_at, followup_id) FILTER (next_remind_at IS NOT NULL) AS remind_at FROM f GROUP BY 1) x ON x.task_id = t.task_id", tasks=TASKS, f=FOLLOWUPS),
     "R12_followup_digest": sql(f"SELECT c_custkey AS enterprise_id, '{NOW}' AS date, c_name AS text FROM customer WHERE c_custkey % 3 = 0"),
+    "R13_changes": sql(f"SELECT m.*, EXISTS (SELECT 1 FROM records r WHERE {POLICIES} AND {KEY} = m.customer_key AND r.policy_type = m.policy_type AND r.enterprise_id = m.enterprise_id) AS active FROM ({_MERGE.replace(DUE, _KEPT).replace('@', _CHANGED)}) m", tasks=TASKS),
     "R13_refresh": sql(_MERGE.replace("@", f" SEMI JOIN (SELECT DISTINCT {KEY} AS customer_key, enterprise_id FROM records WHERE id % 5 = 0) ch USING (customer_key, enterprise_id)"), tasks=TASKS),
 }
