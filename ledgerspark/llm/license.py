@@ -38,7 +38,17 @@ TEMPLATES: dict[str, list[str]] = {
     "EUPL-1.2": ["EUPL 1.2", "Licensed under the EUPL.", "Provided under the terms of the EUPL.", "European Union Public Licence 1.2", "SPDX-License-Identifier: EUPL-1.2"],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Tous droits reserves.", "Todos los derechos reservados."],
 }
+#: Wordings of licences, and of versions, that are none of the families; they are learned as a class of their own, ``unknown``.
+OTHERS = [
+    "GNU General Public License, version 2", "GPL v2", "GPLv2", "GNU Affero General Public License, version 3", "AGPL-3.0", "GNU Lesser General Public License, version 2.1", "Apache License 1.1", "Apache Software License", "Mozilla Public License 1.1", "MPL 1.1",
+    "Eclipse Public License 1.0", "EPL 1.0", "CC BY 3.0", "Creative Commons Attribution 3.0", "EUPL v1.1", "EUPL 1.1", "BSD 2-Clause License", "ISC License", "zlib License", "Boost Software License", "WTFPL", "Artistic License 2.0",
+    "The Unlicense", "Unlicense", "Public domain.", "Released into the public domain.", "This is free and unencumbered software released into the public domain.", "Licencia publica general", "Licencia pública general", "Licence publique générale", "Allgemeine öffentliche Lizenz",
+]
 NONE, UNKNOWN = "none", "unknown"
+#: Fixed value: words behind which a number is a version.
+VERSION = r"(?i)(?:licen[sc]e|lizenz|licencia|identifier|version|versión|gpl|mpl|epl|eupl|apache|cc0|by|sa|nc|attribution|sharealike|noncommercial|bsd)[\s,:;-]*(?:version|versión|v)?[\s.]*(\d{1,2}(?:\.\d{1,2})?)"
+#: Words of a template that must stand together to confirm it: all of up to so many, of longer ones so many tenths.
+TOGETHER, TOGETHER_SHARE = 4, 6
 #: Bounds of the training sample (lines of a family, lines of prose, documents that these come from) and of the vocabulary.
 MAX_PER_CLASS, MAX_NONE, SAMPLE_DOCS, VOCABULARY = 200, 4000, 500, 4096
 #: Words found in a larger share of the lines of prose are no gate words.
@@ -92,6 +102,41 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")
 
 
+def other_licences(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(UNKNOWN, t) for t in OTHERS], "family string, line string")
+
+
+def template_words(spark: SparkSession) -> dict[str, list[str]]:
+    """Words of each template, in order."""
+    return {r["line"]: r["w"] for r in templates(spark).select("line", words(F.col("line")).alias("w")).collect()}
+
+
+def stands_together(line: Column, template: list[str]) -> Column:
+    """Whether enough words of a template stand in a line one after the other; ``line`` is its words, joined and framed by blanks."""
+    size = len(template) if len(template) <= TOGETHER else max(TOGETHER, -(-len(template) * TOGETHER_SHARE // 10))
+    runs = {" ".join(template[i : i + size]) for i in range(len(template) - size + 1)}
+    found = F.lit(False)
+    for run in sorted(runs):
+        found = found | F.contains(line, F.lit(f" {run} "))
+    return found
+
+
+def version_of(family: str) -> str | None:
+    """The version in a family's identifier, without a trailing ``.0``; null for families without versions."""
+    number = next((x for x in family.split("-") if x[0].isdigit()), None)
+    return number.removesuffix(".0") if number else None
+
+
+def other_version(line: Column, family: Column) -> Column:
+    """Whether a line names versions, and none of them is the family's."""
+    named = F.transform(F.regexp_extract_all(line, F.lit(VERSION), F.lit(1)), lambda v: F.regexp_replace(v, r"\.0$", ""))
+    own = F.lit(None).cast("string")
+    for f in TEMPLATES:
+        if version := version_of(f):
+            own = F.when(family == f, version).otherwise(own)
+    return F.coalesce((F.size(named) > 0) & ~F.array_contains(named, own), F.lit(False))
+
+
 def template_grams(spark: SparkSession) -> list[tuple[str, str, list[str]]]:
     """Family, text and n-grams of each template."""
     return sorted(tuple(r) for r in with_grams(templates(spark)).select("family", "line", "grams").collect())
@@ -139,7 +184,8 @@ def prose(docs: DataFrame) -> DataFrame:
 
 def gate_words(negative: DataFrame) -> list[str]:
     """Words of templates that at most ``MOST_IN_PROSE`` of the lines of prose have; of a template without any, the rarest one."""
-    known = [(f, t, [g for g in grams if " " not in g]) for f, t, grams in template_grams(negative.sparkSession)]
+    others = with_grams(other_licences(negative.sparkSession)).select("family", "line", "grams").collect()
+    known = [(f, t, [g for g in grams if " " not in g]) for f, t, grams in [*template_grams(negative.sparkSession), *sorted(map(tuple, others))]]
     every = sorted({w for _, _, ws in known for w in ws})
     lines = negative.count()
     hit = F.array_intersect(words(F.col("line")), F.array(*map(F.lit, every)))
@@ -173,10 +219,10 @@ def train(docs: DataFrame, candidates: DataFrame | None = None, negative: DataFr
     candidates = cut(through_gate(docs.select("doc_id", "text"), gate)) if candidates is None else candidates
     lines = candidates.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
     positive = family_sample(cut(lines.withColumn("family", family_of()).where("family is not null and length(line) < 2000")), MAX_PER_CLASS)
-    both = positive.unionByName(templates(spark)).unionByName(negative)
-    classes = sorted(TEMPLATES)
+    both = positive.unionByName(templates(spark)).unionByName(other_licences(spark)).unionByName(negative)
+    classes = [*sorted(TEMPLATES), UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("long") - 1
-    fold = F.pmod(F.when(F.col("family") == NONE, F.xxhash64("line")).otherwise(number), F.lit(FOLDS))
+    fold = F.when(F.col("family") != UNKNOWN, F.pmod(F.when(F.col("family") == NONE, F.xxhash64("line")).otherwise(number), F.lit(FOLDS))).otherwise(F.lit(-1).cast("long"))
     # A few thousand rows in one order: the fit is the same each time.
     sample = cut(with_grams(both).withColumns({"number": number, "fold": fold}).coalesce(1).sortWithinPartitions("family", "line"))
     own = F.filter("grams", lambda g: F.arrays_overlap(F.split(g, " "), F.array(*map(F.lit, gate))))
@@ -205,7 +251,7 @@ def train(docs: DataFrame, candidates: DataFrame | None = None, negative: DataFr
     held = None
     for k in range(FOLDS):
         rest, part = sample.where(F.col("fold") != k), sample.where((F.col("fold") == k) & ~F.col("nameless"))
-        scored = shares(part, fitted(rest), fitted(rest, [c for i, c in enumerate(classes) if i % FOLDS != k])).select("family", "licence", "share", "features")
+        scored = shares(part, fitted(rest), fitted(rest, [c for i, c in enumerate(classes) if i % FOLDS != k or c == UNKNOWN])).select("family", "licence", "share", "features")
         held = scored if held is None else held.unionByName(scored)
     some = F.exists(vector_to_array("features"), lambda v: v > 0)
     prose_cut, other_cut = held.where(some).agg(
@@ -229,22 +275,23 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
 
     ``docs`` has ``doc_id`` and ``text``; other columns are not looked at.  Null, empty and blank texts have no row, a null id is kept;
     repeated rows are all scanned; an empty table gives no rows.  Lines and paragraphs that the classifier takes for prose are left out.
-    ``probability`` is that of the likeliest family; ``family`` is ``unknown`` where no family's share is large enough.  ``similarity`` is the greatest
+    ``probability`` is that of the likeliest family; ``family`` is ``unknown`` where no family's share is large enough, the likeliest is another licence, or the line names other versions only.  ``similarity`` is the greatest
     share of a template's n-grams, among the templates of the likeliest family, that the line has; ``confirmed`` says that a template
-    has ``CONFIRM`` of them there, and all the words that tell it from other families: its name and its version.
+    has ``CONFIRM`` of them there, all the words that tell it from other families (its name and its version), and enough of its words in one run.
     """
     # All n-grams of the vocabulary hold a gate word, and all gate words are in it, so these are the lines with features.
     found = units(through_gate(docs.select("doc_id", "text"), model.gate)).where(with_gate_word("line", model.gate))
     featured = model.vocabulary.transform(with_grams(found))
     scored = shares(featured, model.licences, model.regression).where(F.col("licence") >= model.licence_cut)
     scored = scored.withColumn("guess", F.element_at(F.array(*map(F.lit, model.classes)), F.col("place")))
-    known = template_grams(docs.sparkSession)
+    known, in_order = template_grams(docs.sparkSession), template_words(docs.sparkSession)
     tells, similar, sure = telling(known), {}, {}
+    scored = scored.withColumn("__said", F.concat(F.lit(" "), F.array_join(words(F.col("line")), " "), F.lit(" ")))
     for family, line, own in known:
         have = F.size(F.array_intersect("grams", F.array(*map(F.lit, own)))) / len(own)
         named = F.size(F.array_intersect("grams", F.array(*map(F.lit, tells[line])))) == len(tells[line]) if tells[line] else F.lit(False)
         similar.setdefault(family, []).append(have)
-        sure.setdefault(family, []).append((have >= CONFIRM) & named)
+        sure.setdefault(family, []).append((have >= CONFIRM) & named & stands_together(F.col("__said"), in_order[line]))
     similarity, confirmed = F.lit(0.0), F.lit(False)
     for family in similar:
         any_of = F.lit(False)
@@ -252,7 +299,7 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
             any_of = any_of | c
         similarity = F.when(F.col("guess") == family, F.greatest(F.lit(0.0), *similar[family])).otherwise(similarity)
         confirmed = F.when(F.col("guess") == family, any_of).otherwise(confirmed)
-    clear = F.col("share") >= model.family_cut
+    clear = (F.col("share") >= model.family_cut) & (F.col("guess") != UNKNOWN) & ~other_version(F.col("line"), F.col("guess"))
     return scored.select("doc_id", "unit", "paragraph", F.when(clear, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round(F.col("licence") * F.col("share"), 6).alias("probability"), F.round(similarity, 6).alias("similarity"), (clear & confirmed).alias("confirmed"), "line")
 
 
