@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.columns import blank_to_null, cents, product_class
+from ledgerspark.operators.paging import newest_page
 
 POLICY = "保单"
 UNASSIGNED, OTHER = "未归属", "其他"
@@ -275,7 +276,7 @@ def ai_logs(logs: DataFrame, number: int, size: int, enterprise_id: int | None =
     rows = logs if enterprise_id is None else logs.where(F.col("enterprise_id") == enterprise_id)
     rows = rows if result is None else rows.where(F.col("result") == result)
     totals = rows.agg(n().alias("total"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
-    return rows.orderBy(F.desc("log_id")).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(totals))
+    return newest_page(rows, ["log_id"], number, size).crossJoin(F.broadcast(totals))
 
 
 def ai_pending(records: DataFrame, logs: DataFrame) -> DataFrame:
@@ -298,7 +299,7 @@ def export_page(exports: DataFrame, number: int, size: int, kind: str | None = N
     """A page of exports, newest first, with the number of all beside each; exports of one id stand by their other columns."""
     rows = exports if kind is None else exports.where(F.col("export_type") == kind)
     rows = rows if status is None else rows.where(F.col("status") == status)
-    return rows.orderBy(F.desc("export_id"), *[c for c in rows.columns if c != "export_id"]).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(rows.agg(n().alias("total"))))
+    return newest_page(rows, ["export_id", *[c for c in rows.columns if c != "export_id"]], number, size).crossJoin(F.broadcast(rows.agg(n().alias("total"))))
 
 
 def sender_list(messages: DataFrame) -> DataFrame:

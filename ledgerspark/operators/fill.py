@@ -84,21 +84,23 @@ def fill_same_vin(records: DataFrame, fields: list[str]) -> DataFrame:
 def fill_by_person(records: DataFrame, fields: list[str]) -> DataFrame:
     """from the newest ``PERSON_CANDIDATES`` records that share a person with it, motor policies first.
 
-    People are exploded, so the nine comparisons of two records are one equi-join; lenders are ranked within the person first, which
-    leaves all that can be among a record's newest, and then within the record.
+    A person's newest lenders are one array, and so are those of each set of people that records have, one more than a record
+    may take, as it is no lender of its own.  Records meet their set's array once and pick from it in the row.
     """
-    people = F.array_distinct(F.filter(F.array(*[blank_to_null(F.col(c)) for c in ("insured", "applicant", "owner")]), lambda v: v.isNotNull()))
+    people = F.array_sort(F.array_distinct(F.filter(F.array(*[blank_to_null(F.col(c)) for c in ("insured", "applicant", "owner")]), lambda v: v.isNotNull())))
     motor = product_class(F.col("policy_type")).isin("compulsory", "commercial")
-    named = records.select("id", "deleted", "status", motor.alias("motor"), *fields, F.explode(people).alias("person"))
-    order = Window.partitionBy("person").orderBy(F.desc("motor"), F.desc("id"))
-    lend = named.where("deleted = 0 and status in ('done', 'success')").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PERSON_CANDIDATES + 1)
-    met = named.select("id", "person").join(lend.withColumnRenamed("id", "from_id"), "person").where("id != from_id").dropDuplicates(["id", "from_id"])
-    newest_first = Window.partitionBy("id").orderBy(F.desc("motor"), F.desc("from_id"))
-    pairs = met.withColumn("nth", F.row_number().over(newest_first)).where(F.col("nth") <= PERSON_CANDIDATES)
-    rank = lambda c: F.when(blank_to_null(F.col(c)).isNotNull(), F.struct(F.col("motor"), F.col("from_id")))
-    pool = pairs.groupBy("id").agg(*[F.max_by(blank_to_null(F.col(c)), rank(c)).alias(f"f_{c}") for c in fields])
-    joined = records.join(pool, "id", "left")
-    return joined.withColumns({c: F.coalesce(blank_to_null(F.col(c)), F.col(f"f_{c}")) for c in fields}).drop(*[f"f_{c}" for c in fields])
+    lender = F.struct(motor.alias("motor"), F.col("id"), *fields)
+    rows = records.where("deleted = 0 and status in ('done', 'success')").select(lender.alias("lender"), F.explode(people).alias("person"))
+    order = Window.partitionBy("person").orderBy(F.desc("lender.motor"), F.desc("lender.id"))
+    top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PERSON_CANDIDATES + 1)
+    lenders = top.groupBy("person").agg(F.collect_list("lender").alias("lenders"))
+    sets = records.select(people.alias("people")).where(F.size("people") > 0).distinct()
+    merged = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lenders"))), asc=False), 1, PERSON_CANDIDATES + 1)
+    pool = sets.select("people", F.explode("people").alias("person")).join(lenders, "person").groupBy("people").agg(merged.alias("__lenders"))
+    joined = records.withColumn("people", people).join(pool, "people", "left").drop("people")
+    joined = joined.withColumn("__lenders", F.slice(F.filter("__lenders", lambda x: x["id"] != F.col("id")), 1, PERSON_CANDIDATES))
+    lent = lambda c: F.get(F.filter("__lenders", lambda x: blank_to_null(x[c]).isNotNull()), F.lit(0))[c]
+    return joined.withColumns({c: F.coalesce(blank_to_null(F.col(c)), lent(c)) for c in fields}).drop("__lenders")
 
 
 PARTIES = ("insured", "applicant", "owner")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.columns import CLASS_LABELS, SORT_CLASSES, blank_to_null, cents, class_rank, normalize_plate, plate_key, product_class, sort_class, vin_key
+from ledgerspark.operators import paging
 from ledgerspark.operators.analytics import POLICY, n
 
 STATUS_FOLDS = {"success": ("done", "success"), "done": ("done", "success")}
@@ -149,6 +150,12 @@ def bucket_of() -> Column:
     return F.when(F.col("status") == "failed", "failed").when(~done, "other").when(~category.isin("", POLICY), "non_policy").when(F.col("is_abnormal") == 1, "abnormal").otherwise("success")
 
 
+def deep_page(records: DataFrame, number: int, size: int, order: tuple[str, ...] = ("created_day", "id")) -> DataFrame:
+    """A page far behind, newest first by ``order``, found by counts of key ranges (``paging``); with the count of all rows and pages."""
+    total = records.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+    return paging.deep_page(records, list(order), number, size).crossJoin(F.broadcast(total))
+
+
 def counters(records: DataFrame) -> DataFrame:
     """By bucket and in all, records, and records when policies of one number and day count once in their bucket.
 

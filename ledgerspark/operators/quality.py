@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,41 +117,38 @@ def comparable(field: str, value: Column, strip_zeros: bool = False) -> Column:
 def differences(records: DataFrame, fields: list[str], current: str = "fields", other: str = "ai_fields", manual: str = "manual_fields") -> DataFrame:
     """Q8: ``diffs``: fields in which a second reader differs (``diff``) or knows more (``supplement``), and whether they were edited by hand.
 
-    Values, their comparable forms and the kinds are columns of their own on the way, so each is made once.
+    Values, their comparable forms and the kinds are columns of their own on the way, so each is made once; ``norm`` is the comparable form of the
+    second reader's value.
     """
     by_hand = F.coalesce(F.col(manual), F.array().cast("array<string>"))
     value = lambda c, f: F.trim(F.coalesce(F.element_at(c, F.lit(f)), F.lit("")))
-    a, b, kind = ({f: f"__{x}{i}" for i, f in enumerate(fields)} for x in "abk")
+    a, b, norm, kind = ({f: f"__{x}{i}" for i, f in enumerate(fields)} for x in "abnk")
     rows = records.withColumns({a[f]: value(current, f) for f in fields} | {b[f]: value(other, f) for f in fields})
-    same = lambda f: comparable(f, F.col(a[f])) == comparable(f, F.col(b[f]))
+    rows = rows.withColumns({norm[f]: F.when(F.col(b[f]) != "", comparable(f, F.col(b[f]))) for f in fields})
+    same = lambda f: (F.col(a[f]) == F.col(b[f])) | (comparable(f, F.col(a[f])) == F.col(norm[f]))
     rows = rows.withColumns({kind[f]: F.when(F.col(b[f]) == "", None).when(F.col(a[f]) == "", "supplement").when(~same(f), "diff") for f in fields})
-    entry = lambda f: F.when(F.col(kind[f]).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(a[f]).alias("current"), F.col(b[f]).alias("ai"), F.col(kind[f]).alias("type"), F.array_contains(by_hand, F.lit(f)).alias("manual")))
-    return rows.withColumn("diffs", F.array_compact(F.array(*[entry(f) for f in fields]))).drop(*a.values(), *b.values(), *kind.values())
-
-
-def _of_field(name: str) -> Callable[[Column], Column]:
-    return lambda x: x["field"] == name
+    entry = lambda f: F.when(F.col(kind[f]).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(a[f]).alias("current"), F.col(b[f]).alias("ai"), F.col(kind[f]).alias("type"), F.array_contains(by_hand, F.lit(f)).alias("manual"), F.col(norm[f]).alias("norm")))
+    return rows.withColumn("diffs", F.array_compact(F.array(*[entry(f) for f in fields]))).drop(*a.values(), *b.values(), *norm.values(), *kind.values())
 
 
 def settle(records: DataFrame, fields: list[str], text: str = "raw_text") -> DataFrame:
-    """Q9: ``fixed`` fields, ``result`` and ``n_flagged`` from ``diffs``, in which each of ``fields`` occurs once at most.
+    """Q9: ``fixed`` fields, ``result`` and ``n_flagged`` from ``diffs`` (see ``differences``), of which those of ``fields`` can be put right.
 
     A difference is put right if it was not edited by hand and is a supplement, or its value stands in the text; all others are flagged.
+    The text is brought into its three forms once, and only where there are differences.
     """
-    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\s,，¥￥]", "")
-    e, norm = {f: f"__e{i}" for i, f in enumerate(fields)}, {f: f"__n{i}" for i, f in enumerate(fields)}
-    rows = records.withColumn("__t", t)
-    rows = rows.withColumns({e[f]: F.get(F.filter("diffs", _of_field(f)), F.lit(0)) for f in fields})
-    rows = rows.withColumns({norm[f]: F.when(F.col(e[f]).isNotNull(), comparable(f, F.col(e[f])["ai"])) for f in fields})
-    inside = lambda f: F.contains(F.regexp_replace("__t", r"\D", "") if f in DATE_FIELDS else F.upper("__t") if f in ("车牌号", "车架号VIN") else F.col("__t"), F.col(norm[f]))
-    ok = lambda f: F.col(e[f]).isNotNull() & ~F.col(e[f])["manual"] & ((F.col(e[f])["type"] == "supplement") | ((F.col(norm[f]) != "") & inside(f)))
-    rows = rows.withColumn("fixable", F.array_compact(F.array(*[F.when(ok(f), F.col(e[f])) for f in fields])))
+    some = F.size("diffs") > 0
+    rows = records.withColumn("__t", F.when(some, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\s,，¥￥]", "")))
+    rows = rows.withColumns({"__digits": F.regexp_replace("__t", r"\D", ""), "__upper": F.upper("__t")})
+    searched = lambda d: F.when(d["field"].isin(*DATE_FIELDS), F.col("__digits")).when(d["field"].isin("车牌号", "车架号VIN"), F.col("__upper")).otherwise(F.col("__t"))
+    ok = lambda d: d["field"].isin(*fields) & ~d["manual"] & ((d["type"] == "supplement") | ((d["norm"] != "") & F.contains(searched(d), d["norm"])))
+    rows = rows.withColumn("fixable", F.filter("diffs", ok))
     new = F.map_from_entries(F.transform("fixable", lambda x: F.struct(x["field"].alias("key"), x["ai"].alias("value"))))
-    old = F.map_filter("fields", lambda k, v: ~F.array_contains(F.transform("fixable", lambda x: x["field"]), k))
+    old = F.map_filter("fields", lambda k, v: ~F.exists("fixable", lambda x: x["field"] == k))
     flagged = F.size("diffs") - F.size("fixable")
     result = F.when(F.size("diffs") == 0, "pass").when(flagged > 0, "flagged").otherwise("corrected")
     fixed = F.when(F.size("fixable") == 0, F.col("fields")).otherwise(F.map_concat(old, new))
-    return rows.withColumns({"fixed": fixed, "n_flagged": flagged, "result": result}).drop("__t", *e.values(), *norm.values())
+    return rows.withColumns({"fixed": fixed, "n_flagged": flagged, "result": result}).drop("__t", "__digits", "__upper")
 
 
 def in_check_scope(records: DataFrame, statuses: list[str], companies: list[str], rare_below: int) -> DataFrame:

@@ -49,6 +49,7 @@ QUERIES = {
     "L4_enrich": lambda s, d: ledger.enrich(records(s, d), view(s, d, ROOMS), view(s, d, CHECKS), view(s, d, USERS)).select("id", "room_name", "checked", "user_name"),
     "L5_sort_class": lambda s, d: ledger.search(records(s, d), sort_class_is="商业险").select("id", "policy_type"),
     "L6_page": lambda s, d: ledger.page(ledger.search(records(s, d)), 3, 50).select("id", "total", "pages"),
+    "L6_deep_page": lambda s, d: ledger.deep_page(ledger.search(records(s, d)), 100, 100).select("id", "created_day", "total", "pages"),
     "L7_counters": lambda s, d: ledger.counters(records(s, d)),
     "L7_engines": lambda s, d: ledger.engine_counts(records(s, d)),
     "L7_rooms": lambda s, d: ledger.top_rooms(records(s, d)),
@@ -104,6 +105,7 @@ ORACLE_SQL = {
     "L4_enrich": sql("SELECT id, coalesce(NULLIF(room_name, ''), r.roomid) AS room_name, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = r.id AND l_returnflag = 'R') AS checked, user_name FROM records r LEFT JOIN rooms USING (roomid) LEFT JOIN users u ON u.user_id = r.user_id", rooms=ROOMS, users=USERS),
     "L5_sort_class": sql("SELECT id, policy_type FROM records WHERE deleted = 0 AND policy_type LIKE '%商业%'"),
     "L6_page": sql("SELECT id, total, CAST(ceil(total / 50.0) AS BIGINT) AS pages FROM (SELECT id, count(*) OVER () AS total FROM records WHERE deleted = 0) ORDER BY id DESC LIMIT 50 OFFSET 100"),
+    "L6_deep_page": sql("SELECT id, created_day, total, CAST(ceil(total / 100.0) AS BIGINT) AS pages FROM (SELECT id, created_day, count(*) OVER () AS total FROM records WHERE deleted = 0) ORDER BY created_day DESC, id DESC LIMIT 100 OFFSET 9900"),
     "L7_counters": sql(f"SELECT bucket, count(*) AS n, count(DISTINCT key) AS n_distinct FROM (SELECT unnest([{BUCKET}, 'total']) AS bucket, CASE WHEN {NUMBERED} THEN policy_no || '|' || CAST(created_day AS VARCHAR) ELSE '#' || CAST(id AS VARCHAR) END AS key FROM records WHERE deleted = 0) GROUP BY 1"),
     "L7_engines": sql("SELECT ocr_engine, count(*) AS n FROM records WHERE deleted = 0 GROUP BY 1"),
     "L7_rooms": sql("SELECT roomid, count(*) AS n FROM records WHERE deleted = 0 AND roomid <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"),
