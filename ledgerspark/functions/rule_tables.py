@@ -71,12 +71,17 @@ def keyword_fields(text: Column, rules: Column, pattern: Column, gap: str = r"[
     The text is cut at all keywords in one pass, from left to right and the longest first, into hits and what follows each.  A value stands at the
     head of what follows; it ends where the next keyword begins, unless ``stop`` is off.  Of a target the first keyword with a value wins, of its hits the first.
     """
-    bare = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda h: F.regexp_replace(h, r"\s", ""))
-    rests = F.split(text, pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    behind = lambda i: F.concat(F.element_at(rests, i + 2), F.array_join(F.flatten(F.transform(F.arrays_zip(F.slice(whole, i + 2, F.size(whole)).alias("h"), F.slice(rests, i + 3, F.size(rests)).alias("r")), lambda p: F.array(p["h"], p["r"]))), ""))
-    after = (lambda i: F.element_at(rests, i + 2)) if stop else behind
-    found = F.transform(bare, lambda h, i: F.transform(F.filter(rules, lambda r: r["word"] == h), lambda r: F.struct(r["rule_no"].alias("rule_no"), r["word_no"].alias("word_no"), i.alias("at"), r["target"].alias("target"), typed_value(after(i), r["kind"], gap, stop).alias("value"))))
+    hits, pieces, all_ = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern), F.lit(1 << 30)
+    word = lambda h: F.regexp_replace(h, r"\s", "").alias("word")
+    if stop:
+        pairs = F.zip_with(hits, F.slice(pieces, F.lit(2), all_), lambda h, r: F.struct(word(h), r.alias("rest")))
+    else:  # behind each hit, the rest of the text
+        steps = F.zip_with(hits, pieces, lambda h, p: F.struct(word(h), (F.length(p) + F.length(h)).alias("step")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<word:string,rest:string>>").alias("found"))
+        add = lambda a, s: F.struct((a["at"] + s["step"]).alias("at"), F.concat(a["found"], F.array(F.struct(s["word"], F.substr(text, a["at"] + s["step"]).alias("rest")))).alias("found"))
+        pairs = F.aggregate(F.filter(steps, lambda s: s["word"].isNotNull()), start, add, lambda a: a["found"])
+    one = lambda p, i: F.transform(F.filter(rules, lambda r: r["word"] == p["word"]), lambda r: F.struct(r["rule_no"].alias("rule_no"), r["word_no"].alias("word_no"), i.alias("at"), r["target"].alias("target"), typed_value(p["rest"], r["kind"], gap, stop).alias("value")))
+    found = F.transform(pairs, one)
     filled = F.array_sort(F.filter(F.flatten(found), lambda c: c["value"] != ""))
     none = F.create_map().cast("map<string,string>")
     return F.when(text.isNotNull() & rules.isNotNull(), F.aggregate(filled, none, lambda m, c: F.when(F.map_contains_key(m, c["target"]), m).otherwise(F.map_concat(m, F.create_map(c["target"], c["value"])))))
