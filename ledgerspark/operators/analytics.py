@@ -318,6 +318,23 @@ def tenant_overview(tenants: DataFrame, records: DataFrame, members: DataFrame,
     return tenants.join(used, "enterprise_id", "left").join(people, "enterprise_id", "left").na.fill(0, ["this_month", "rooms", "members"])
 
 
+def tenant_links(tenants: DataFrame, pushes: DataFrame, monitors: DataFrame, users: DataFrame) -> DataFrame:
+    """Of each tenant the rooms that reminders are pushed to, the distinct rooms that its monitors name, and who referred it.
+
+    ``tenants``: ``enterprise_id``, ``referrer_id``; ``pushes``: ``config_id``, ``enterprise_id``, ``roomid``, ``room_name``, ``enabled``; ``monitors``:
+    ``enterprise_id`` and ``rooms``, a JSON list of ids or of objects with an ``id``; ``users``: ``user_id``, ``user_name``, ``phone``.
+    """
+    live_ = pushes.where("enabled = 1 and enterprise_id is not null")
+    named = F.coalesce(blank_to_null(F.col("room_name")), F.col("roomid"))
+    pushed = live_.groupBy("enterprise_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("config_id", named.alias("name")))), lambda x: x["name"]).alias("push_rooms"))
+    ids = F.transform(F.from_json("rooms", "array<string>"), lambda x: F.coalesce(F.get_json_object(x, "$.id"), x))
+    watched = monitors.where("enterprise_id is not null").select("enterprise_id", F.explode(ids).alias("roomid")).where(F.coalesce("roomid", F.lit("")) != "").groupBy("enterprise_id").agg(F.count_distinct("roomid").alias("monitored"))
+    people = users.select(F.col("user_id").alias("referrer_id"), F.coalesce(blank_to_null(F.col("user_name")), blank_to_null(F.col("phone")), F.lit("")).alias("referrer"))
+    joined = tenants.select("enterprise_id", "referrer_id").join(pushed, "enterprise_id", "left").join(watched, "enterprise_id", "left").join(people, "referrer_id", "left")
+    rooms = F.coalesce("push_rooms", F.array().cast("array<string>"))
+    return joined.select("enterprise_id", F.size(rooms).cast("long").alias("pushes"), rooms.alias("push_rooms"), F.coalesce("monitored", F.lit(0)).cast("long").alias("monitored"), F.coalesce("referrer", F.lit("")).alias("referrer"))
+
+
 def quota(tenants: DataFrame, used: DataFrame, packs: DataFrame, today: str, per_month: int = 3000) -> DataFrame:
     """Whether a tenant may go on: a plan that has begun and not ended, the month's limit, then boost packs.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.columns import blank_to_null
+from ledgerspark.functions.columns import blank_to_null, parse_date
 from ledgerspark.operators.analytics import POLICY, n
 
 # Required output columns with their source keys, and the labels of the dates that must be whole.
@@ -56,6 +56,36 @@ def backfill(records: DataFrame, side: DataFrame, short_names: list[tuple[str, s
     return abnormal(records.withColumn("company_short", short)), records.select("id").join(side.select(F.col("record_id").alias("id")), "id", "left_anti")
 
 
+def backfill_dates(side: DataFrame, dates: dict[str, str]) -> DataFrame:
+    """Q2: dates from their texts (text column to date column), where there is none yet; unreadable texts give none."""
+    return side.withColumns({iso: F.coalesce(F.col(iso), parse_date(F.col(text))) for text, iso in dates.items()})
+
+
+def backfill_display(records: DataFrame, columns: dict[str, str], owner: str = "车主") -> DataFrame:
+    """Q2: ``display`` of records that have none, from ``fields`` under their names for display (``columns``; others keep theirs, internal ones are left out);
+    and the owner in the displays that lack it.
+    """
+    names = F.create_map(*[F.lit(x) for kv in columns.items() for x in kv]) if columns else F.create_map().cast("map<string,string>")
+    shown = F.filter(F.map_entries("fields"), lambda e: ~F.startswith(e["key"], F.lit("_")) & (F.coalesce(e["value"], F.lit("")) != ""))
+    # of several fields with one name the first by key
+    renamed = F.transform(F.array_sort(shown), lambda e: F.struct(F.coalesce(F.element_at(names, e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
+    made = F.aggregate(renamed, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+    old = F.coalesce(F.col("display"), F.create_map().cast("map<string,string>"))
+    display = F.when(F.size(old) == 0, F.coalesce(made, old)).otherwise(old)
+    own = blank_to_null(F.element_at("fields", F.lit(owner)))
+    rows = records.withColumn("display", display)
+    lacks = blank_to_null(F.element_at("display", F.lit(owner))).isNull() & own.isNotNull()
+    return rows.withColumn("display", F.when(lacks, F.map_concat(F.map_filter("display", lambda k, _: k != owner), F.create_map(F.lit(owner), own))).otherwise(F.col("display")))
+
+
+def recheck(records: DataFrame, waive_applicant: bool = False) -> DataFrame:
+    """Q2: the flag made anew both ways: ``outcome`` is ``raised``, ``cleared``, ``reworded`` or ``kept``, from ``is_abnormal`` and ``hint`` as they were."""
+    rows = abnormal(records.withColumnRenamed("hint", "__hint") if "hint" in records.columns else records.withColumn("__hint", F.lit("")), waive_applicant=waive_applicant)
+    was = F.coalesce(F.col("is_abnormal"), F.lit(0)) == 1
+    outcome = F.when(~was & F.col("abnormal"), "raised").when(was & ~F.col("abnormal"), "cleared").when(was & ~F.col("hint").eqNullSafe(F.col("__hint")), "reworded").otherwise("kept")
+    return rows.withColumn("outcome", outcome).drop("__hint")
+
+
 def strip_disabled(fields: Column, disabled: list[str], manual: Column) -> Column:
     """Q3: a map without disabled keys, but for those edited by hand."""
     by_hand = F.coalesce(manual, F.array().cast("array<string>"))

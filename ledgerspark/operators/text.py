@@ -264,6 +264,65 @@ def person_name(c: Column) -> Column:
     return F.when(good & ~bad, clean)
 
 
+# Entries that are labels and no names.
+NO_NAMES = (
+    "地址", "手机号", "信息", "名称", "保单验真码", "行驶证车主", "行驶证", "为", "身份证", "证件", "姓名", "证件类型", "证件号码", "申请", "投保申请", "个人信息", "手机号码", "联系人", "联系住址", "通讯地址", "电子邮箱",
+    "法定", "法定受益人", "受益人", "主被保人", "特定", "出生日期", "手机电话", "联系电话", "机关", "声明", "社会统一信用", "统一社会信用代码", "须如实告知", "公司", "尊敬的客户", "车主",
+)
+# Words and endings of names of organisations.
+ORGANISATION_WORDS = (
+    "公司", "集团", "合伙", "工厂", "商行", "服务行", "修理行", "维修行", "经营行", "贸易行", "百货行", "批发行", "批发部", "五金行", "建材行", "机电行", "文具行", "商贸", "车行(?!驶)", "车队", "事务所", "经营部", "经营店", "经销商", "专营店", "服务部",
+    "加工厂", "养殖场", "合作社", "回收站", "收购站", "废品站", "加油站", "加气站", "充电站", "换电站", "维修站", "服务站", "研究院", "研究所", "设计院", "分院", "医院", "卫生院", "学院", "小学", "中学", "大学", "幼儿园", "学校",
+    "村民委员会", "居民委员会", "村委会", "居委会", "管理处", "中心", "个体工商户", "协会", "商会", "学会", "联合会", "促进会", "基金会",
+)
+ORGANISATION_ENDS = ("店", "厂", "铺")
+# Words of sentences that name organisations, and that no person's name has.
+SENTENCE_WORDS = ("提出", "提供", "负责", "承担", "向.*公司", "本公司.*的", "申请", "告知", "声明", "附加.*险", "附加.*费", "损失费", "保险费", "约定", "载明", "查询", "异议", "渠道", "联系", "客服", "拨打", "核对", "办理", "满意", "反映", "投诉", "若", "请", "通过")
+NO_PERSON_WORDS = (
+    "保险", "保单", "保费", "条款", "申请", "投保", "理赔", "赔偿", "责任", "免责", "免赔", "绑单", "验真", "承保", "退保", "批改", "核保", "出险", "报案", "死亡", "伤害", "伤残", "遭受", "宣告", "期间", "约定", "告知", "声明", "同意", "签署",
+    "解除", "终止", "变更", "转让", "撤销", "无效", "违约", "纠纷", "诉讼", "仲裁", "民事", "刑事", "行为", "能力", "限制", "法定", "监护", "主险", "附加", "合同", "条件", "生效", "届满", "届时", "交通", "机动车", "车辆", "证件", "身份证", "手机", "电话",
+    "姓名", "号码", "地址", "发动机", "车架号", "车牌", "行驶证", "户籍", "证明", "或者", "信息", "个人信", "序号", "编号", "日期", "时间", "金额", "费用", "合计", "总计", "本公司", "该公司", "受益人", "被保人", "投保人", "提出", "提供", "负责", "承担", "享有",
+    "具有", "应当", "可以", "不得", "下列", "上述", "以下", "以上", "其中", "根据", "按照", "依据", "本人", "雇佣", "义务", "权利", "鉴于", "甲方", "乙方", "丙方", "若干", "总则", "细则", "附则", "前述", "兹有", "特此", "协商确定", "另行约定", "双方约定", "待定", "不详", "官微", "官网",
+)
+PLACE_IN_NAME = r"[一-鿿][（(][一-鿿]{2,4}[）)][一-鿿]"
+PERSON_SHAPES = (r"^[一-鿿]{2,6}$", r"^[一-鿿]{1,4}[·・][一-鿿]{1,6}$")
+CLAUSE_NUMBER = r"^第[\d一二三四五六七八九十百千零两]+[条章款项节]$"
+# What follows a name and is no part of it.
+NAME_TAILS = (r"车主.*", r"名称.*", r"证件.*", r"有敬异的.*", r"果尊.*", r"(?:执业|资格|从业|代理|经纪)(?:证|号|资格).*")
+COMPANY_TAIL = r"((?:股份有限|有限责任|有限)公司)(?:附加|免责|条款|保险费|损失费|出行).*"
+KEPT_BRACKETS = r"[（(](?:个体工商户|个人独资|普通合伙|有限合伙|合伙企业)[）)]"
+
+
+def is_party(c: Column, deny: tuple[str, ...] = NO_NAMES, organisations: tuple[str, ...] = ORGANISATION_WORDS, no_person: tuple[str, ...] = NO_PERSON_WORDS, longest: int = 30) -> Column:
+    """Whether a value is a name of an organisation or a person; word lists are patterns, and arguments.
+
+    Organisations have a word or ending of their kind, or a place in brackets, and are no sentence; persons have two to six characters, or a dot
+    between two parts, and no word of documents.  Null is none.
+    """
+    v = F.trim(c)
+    like = lambda words: F.rlike(v, F.lit("|".join(words)))
+    ends = F.rlike(F.regexp_replace(v, r"[（(][^）)]*[）)]$", ""), F.lit(f"(?:{'|'.join(ORGANISATION_ENDS)})$"))
+    organisation = like(organisations) | ends | F.rlike(v, F.lit(PLACE_IN_NAME))
+    firm = ~like(SENTENCE_WORDS) & ~F.rlike(v, F.lit("[，,。.；;！!？?、]")) & (F.length(v) <= longest)
+    person = ~F.rlike(v, F.lit(CLAUSE_NUMBER)) & like(PERSON_SHAPES) & ~like(no_person)
+    return F.coalesce((F.length(c) >= 2) & ~v.isin(*deny) & F.when(organisation, firm).otherwise(person), F.lit(False))
+
+
+def clean_party(c: Column) -> Column:
+    """A name without blanks between characters, remarks behind it, and brackets that are no part of it."""
+    v = F.trim(c)
+    for _ in range(2):
+        v = F.regexp_replace(v, r"([一-鿿])\s+([一-鿿])", "$1$2")
+    whole = F.rlike(v, F.lit(r"[（(][^）)]*[）)][一-鿿]")) | F.rlike(v, F.lit(KEPT_BRACKETS))
+    v = F.when(whole, F.regexp_replace(v, "[：:].*", "")).otherwise(F.regexp_replace(v, "[：:（(].*", ""))
+    for tail in NAME_TAILS[:3]:
+        v = F.regexp_replace(v, tail, "")
+    v = F.regexp_replace(v, COMPANY_TAIL, "$1")
+    for tail in NAME_TAILS[3:]:
+        v = F.regexp_replace(v, tail, "")
+    return F.trim(v)
+
+
 def city(address: Column) -> Column:
     """The city of an address without province; some cities are named without the word for city."""
     rest = F.regexp_replace(address, r"^.*?(?:省|自治区)\s*", "")

@@ -27,6 +27,10 @@ PLANS = "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'basic
 TRANSACTIONS = "SELECT o_orderkey AS tx_id, o_custkey AS user_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CASE WHEN o_orderkey % 3 = 0 THEN 'withdraw' ELSE 'commission' END AS type, CASE WHEN o_orderkey % 4 = 0 THEN 'rejected' ELSE 'done' END AS status FROM {orders}"
 TARGETS = "SELECT n_nationkey AS target_id, CAST(n_nationkey AS BIGINT) AS enterprise_id, CASE n_nationkey % 4 WHEN 0 THEN 'month' WHEN 1 THEN 'quarter' WHEN 2 THEN 'year' ELSE 'custom' END AS period_type, CAST('2001-03-05' AS DATE) AS period_start, CAST('2001-06-11' AS DATE) AS period_end, CASE WHEN n_nationkey = 7 THEN 0 ELSE 1000000 * (n_nationkey + 1) END AS target_cents FROM {nation}"
 
+PUSHES = "SELECT c_custkey AS config_id, CAST(c_nationkey AS BIGINT) AS enterprise_id, 'r' || CAST(c_custkey % 90 AS STRING) AS roomid, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS room_name, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS enabled FROM {customer}"
+WATCHED = """SELECT CAST(c_nationkey AS BIGINT) AS enterprise_id, '["r' || CAST(c_custkey % 7 AS STRING) || '",{{"id":"r' || CAST(c_custkey % 30 AS STRING) || '","name":"x"}}]' AS rooms FROM {customer}"""
+REFERRERS = "SELECT CAST(n_nationkey AS BIGINT) AS enterprise_id, CASE WHEN n_nationkey % 4 <> 0 THEN CAST(1 + n_nationkey % 9 AS BIGINT) END AS referrer_id FROM {nation}"
+
 FIRST, LAST = "2001-06-20", TODAY
 CARDS = [
     {"name": "n_all", "kind": "count"},
@@ -95,6 +99,7 @@ QUERIES = {
     "A23_export_audit": lambda s, d: a.export_audit(view(s, d, EXPORTS)),
     "A23_export_page": lambda s, d: a.export_page(view(s, d, EXPORTS), 3, 25, "ledger", "done").select("export_id", "row_count", "total"),
     "A24_sender_list": lambda s, d: a.sender_list(view(s, d, SENDERS)),
+    "A25_tenant_links": lambda s, d: a.tenant_links(view(s, d, REFERRERS), view(s, d, PUSHES), view(s, d, WATCHED), view(s, d, USERS)).withColumn("push_rooms", F.concat_ws(",", "push_rooms")),
     "A25_tenant_overview": lambda s, d: a.tenant_overview(view(s, d, TENANTS).select("enterprise_id", "name"), records(s, d), view(s, d, USERS), TODAY),
     "A26_quota": lambda s, d: a.quota(view(s, d, TENANTS), records(s, d).where("created_day >= DATE'2001-07-01'").groupBy("enterprise_id").agg(a.n().alias("n")), view(s, d, PACKS), TODAY, 12),
     "A27_users_with_senders": lambda s, d: a.users_with_senders(view(s, d, USERS), view(s, d, BINDINGS)),
@@ -150,6 +155,9 @@ ORACLE_SQL = {
     "A23_export_audit": sql("SELECT export_type, count(*) AS exports, count(*) FILTER (status = 'failed') AS failed, CAST(sum(row_count) AS BIGINT) AS \"rows\" FROM exports GROUP BY 1", exports=EXPORTS),
     "A23_export_page": sql("SELECT export_id, row_count, total FROM (SELECT *, count(*) OVER () AS total FROM exports WHERE export_type = 'ledger' AND status = 'done') ORDER BY export_id DESC LIMIT 25 OFFSET 50", exports=EXPORTS),
     "A24_sender_list": sql("SELECT sender, CAST(sum(n) AS BIGINT) AS n, coalesce((max({'a': name <> '', 'n': n, 'name': name})).name, '') AS name FROM (SELECT sender, name, count(*) AS n FROM senders GROUP BY 1, 2) GROUP BY 1", senders=SENDERS),
+    "A25_tenant_links": sql("""SELECT t.enterprise_id, coalesce(pushes, 0) AS pushes, coalesce(push_rooms, '') AS push_rooms, coalesce(monitored, 0) AS monitored, coalesce(NULLIF(user_name, ''), phone, '') AS referrer FROM r t LEFT JOIN (SELECT user_id, user_name, phone FROM users) u ON user_id = referrer_id
+      LEFT JOIN (SELECT enterprise_id, count(*) AS pushes, string_agg(coalesce(NULLIF(room_name, ''), roomid), ',' ORDER BY config_id) AS push_rooms FROM p WHERE enabled = 1 GROUP BY 1) p USING (enterprise_id)
+      LEFT JOIN (SELECT enterprise_id, count(DISTINCT x) AS monitored FROM (SELECT enterprise_id, unnest(regexp_extract_all(rooms, 'r[0-9]+')) AS x FROM w) GROUP BY 1) w USING (enterprise_id)""", r=REFERRERS, p=PUSHES, w=WATCHED, users=USERS),
     "A25_tenant_overview": sql(f"SELECT t.enterprise_id, t.name, coalesce(this_month, 0) AS this_month, coalesce(rooms, 0) AS rooms, coalesce(members, 0) AS members FROM tenants t LEFT JOIN (SELECT enterprise_id, count(*) FILTER (created_day BETWEEN DATE '2001-08-01' AND DATE '{TODAY}') AS this_month, count(DISTINCT NULLIF(roomid, '')) AS rooms FROM records WHERE deleted = 0 GROUP BY 1) r ON r.enterprise_id = t.enterprise_id LEFT JOIN (SELECT enterprise_id, count(*) AS members FROM users GROUP BY 1) u ON u.enterprise_id = t.enterprise_id", tenants=TENANTS, users=USERS),
     "A26_quota": sql(f"""SELECT enterprise_id, ends AS plan_ends, used, boost, boost_expires, state, state IN ('unlimited', 'within', 'boost') AS allowed FROM (SELECT t.enterprise_id, ends, coalesce(n, 0) AS used, coalesce(boost, 0) AS boost, boost_expires, CASE WHEN plan_start > DATE '{TODAY}' THEN 'queued' WHEN ends <= DATE '{TODAY}' THEN 'expired' WHEN plan_type = 'unlimited' THEN 'unlimited' WHEN coalesce(n, 0) < 12 THEN 'within' WHEN coalesce(boost, 0) > 0 THEN 'boost' ELSE 'exhausted' END AS state
       FROM (SELECT *, CAST(plan_start + to_months(plan_months) AS DATE) AS ends FROM tenants) t LEFT JOIN (SELECT enterprise_id, count(*) AS n FROM records WHERE created_day >= DATE '2001-07-01' GROUP BY 1) r ON r.enterprise_id = t.enterprise_id LEFT JOIN (SELECT enterprise_id, CAST(sum(total_count - used_count) AS BIGINT) AS boost, min(expires) AS boost_expires FROM packs WHERE expires >= DATE '{TODAY}' AND total_count > used_count GROUP BY 1) p ON p.enterprise_id = t.enterprise_id)""", tenants=TENANTS, packs=PACKS),

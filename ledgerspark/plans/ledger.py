@@ -91,6 +91,10 @@ def _pool(key: str, fields: list[str], guard: str) -> str:
       ) p ON p.rid = r.id AND place <= 10 AND {guard} GROUP BY r.id"""
 
 
+#: Records of ``blanked`` with plates, owners and id numbers from their frame numbers or files, and of these the frame numbers of their plates.
+FILLED = f"SELECT r.* REPLACE (CASE WHEN {PLATE} IS NOT NULL THEN plate_no ELSE coalesce(p.pp, NULLIF(replace(regexp_extract(filename, '沪[A-Z]-?[A-Z0-9]{{{{4,6}}}}'), '-', ''), ''), plate_no) END AS plate_no, coalesce(NULLIF(owner, ''), CASE WHEN {PLATE} IS NULL THEN po END) AS owner, coalesce(NULLIF(id_number, ''), CASE WHEN {PLATE} IS NULL THEN pi END) AS id_number) FROM blanked r LEFT JOIN (SELECT {VIN} AS g, arg_max({PLATE}, id) FILTER ({PLATE} IS NOT NULL) AS pp, {_NEW('owner')} AS po, {_NEW('id_number')} AS pi FROM blanked WHERE deleted = 0 GROUP BY 1) p ON p.g = {VIN}"
+POOLED = f"""SELECT a.id, a.plate_no, coalesce(NULLIF(a.vin, ''), v.vin) AS vin, a.owner, a.id_number FROM filled a
+      LEFT JOIN (SELECT {PLATE} AS p, arg_max({VIN}, id) FILTER ({VIN} IS NOT NULL) AS vin FROM filled WHERE deleted = 0 GROUP BY 1) v ON v.p = {PLATE.replace('plate_no', 'a.plate_no')}"""
 _DUAL = f"""SELECT *, CASE WHEN commercial = compulsory THEN CAST(commercial AS VARCHAR) ELSE coalesce(CAST(commercial AS VARCHAR) || '交' || CAST(month(compulsory) AS VARCHAR) || '/' || CAST(day(compulsory) AS VARCHAR), CAST(commercial AS VARCHAR), CAST(compulsory AS VARCHAR), '') END AS dates
   FROM (SELECT plate, any_value(d) FILTER (c = 'commercial' AND place = 1) AS commercial, any_value(d) FILTER (c = 'compulsory' AND place = 1) AS compulsory
     FROM (SELECT *, row_number() OVER (PARTITION BY plate, c, d IS NULL ORDER BY id DESC) + CASE WHEN d IS NULL THEN 1 ELSE 0 END AS place FROM (SELECT id, {PLATE} AS plate, {CLASS} AS c, {{date}} AS d FROM records WHERE deleted = 0 AND status = 'done' AND {PLATE} IS NOT NULL)) GROUP BY plate)"""
@@ -126,10 +130,7 @@ ORACLE_SQL = {
     "F7_plate_pool": sql(f"SELECT {PLATE} AS plate, {', '.join(f'{_NEW(c)} AS {c}' for c in FIELDS)} FROM records WHERE deleted = 0 AND status = 'done' AND {PLATE} IS NOT NULL GROUP BY 1"),
     "F8_vin_pool": sql(f"SELECT {VIN} AS vin, arg_max({PLATE}, id) FILTER ({PLATE} IS NOT NULL) AS plate, {_NEW('owner')} AS owner, {_NEW('id_number')} AS id_number FROM records WHERE deleted = 0 AND {VIN} IS NOT NULL GROUP BY 1"),
     "F8_plate_vin_pool": sql(f"SELECT plate, vin FROM (SELECT {PLATE} AS plate, arg_max({VIN}, id) FILTER ({VIN} IS NOT NULL) AS vin FROM records WHERE deleted = 0 AND {PLATE} IS NOT NULL GROUP BY 1) WHERE vin IS NOT NULL"),
-    "F8_fill_by_pools": sql(f"""SELECT a.id, a.plate_no, coalesce(NULLIF(a.vin, ''), v.vin) AS vin, a.owner, a.id_number FROM filled a
-      LEFT JOIN (SELECT {PLATE} AS p, arg_max({VIN}, id) FILTER ({VIN} IS NOT NULL) AS vin FROM filled WHERE deleted = 0 GROUP BY 1) v ON v.p = {PLATE.replace('plate_no', 'a.plate_no')}""",
-      blanked="SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN '' ELSE plate_no END AS plate_no, CASE WHEN id % 7 = 0 THEN '' ELSE vin END AS vin, CASE WHEN id % 10 = 0 THEN '沪B-' || CAST(100000 + user_id AS VARCHAR) || '.pdf' ELSE filename END AS filename) FROM records",
-      filled=f"SELECT r.* REPLACE (CASE WHEN {PLATE} IS NOT NULL THEN plate_no ELSE coalesce(p.pp, NULLIF(replace(regexp_extract(filename, '沪[A-Z]-?[A-Z0-9]{{{{4,6}}}}'), '-', ''), ''), plate_no) END AS plate_no, coalesce(NULLIF(owner, ''), CASE WHEN {PLATE} IS NULL THEN po END) AS owner, coalesce(NULLIF(id_number, ''), CASE WHEN {PLATE} IS NULL THEN pi END) AS id_number) FROM blanked r LEFT JOIN (SELECT {VIN} AS g, arg_max({PLATE}, id) FILTER ({PLATE} IS NOT NULL) AS pp, {_NEW('owner')} AS po, {_NEW('id_number')} AS pi FROM blanked WHERE deleted = 0 GROUP BY 1) p ON p.g = {VIN}"),
+    "F8_fill_by_pools": sql(POOLED, blanked="SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN '' ELSE plate_no END AS plate_no, CASE WHEN id % 7 = 0 THEN '' ELSE vin END AS vin, CASE WHEN id % 10 = 0 THEN '沪B-' || CAST(100000 + user_id AS VARCHAR) || '.pdf' ELSE filename END AS filename) FROM records", filled=FILLED),
     "F9_compulsory_end": sql(f"SELECT plate, end_date, record_id FROM (SELECT {PLATE} AS plate, {CORRECTED} AS end_date, id AS record_id, row_number() OVER (PARTITION BY {PLATE} ORDER BY id DESC) AS place FROM records WHERE deleted = 0 AND status = 'done' AND {CLASS} = 'compulsory' AND {PLATE} IS NOT NULL AND {CORRECTED} IS NOT NULL) WHERE place = 1"),
     "F10_dual_dates": sql(_DUAL.format(date="start_date")),
     "F10_dual_end_dates": sql(_DUAL.format(date=CORRECTED)),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import rules as r
+from ledgerspark.operators import fill
 from ledgerspark.plans.analytics import CENTS, CLASS, sql
-from ledgerspark.plans.ledger import LABEL, PLATE, VIN
+from ledgerspark.plans.ledger import FILLED, LABEL, PLATE, POOLED, VIN
 from ledgerspark.plans.proxies import MESSAGES, base, messages, records, view
 from ledgerspark.sources import buckets, cursor
 from ledgerspark.sources import tables as src
@@ -83,6 +84,13 @@ def _kept(s, d):
     return table.read()
 
 
+def _exported(s, d):
+    """A tenant's ledger with blanks filled from all its records, and with columns by configuration."""
+    complete = lambda rows, everything: fill.fill_by_pools(everything).join(rows.select("id"), "id", "left_semi")
+    columns = lambda rows: r.split_premium(r.fixed_values(rows, {"salesperson": "无"}))
+    return src.export_ledger(records(s, d), 7, "1999-01-01", "2000-01-01", complete=complete, columns=columns).select("id", "plate_no", "vin", "owner", "id_number", "salesperson", F.col("商业险保费").alias("commercial"))
+
+
 QUERIES = {
     "C1_scopes": lambda s, d: r.resolve_scope(view(s, d, CONFIGS), ["own", "enterprise", "global"], active="active").select("config_key", "config_id", "scope"),
     "C2_aliases": lambda s, d: r.apply_aliases(records(s, d).withColumn("manual_fields", F.when(F.col("id") % 10 == 0, F.array(F.lit("company_short")))), ALIASES, "manual_fields").select("id", "company_short", r.quick_class(F.col("policy_type")).alias("label")),
@@ -102,6 +110,7 @@ QUERIES = {
     "S3_replace_latest": lambda s, d: src.replace_latest(messages(s, d).where("id % 2 = 0").select("sender", "id", "msgtype"), messages(s, d).where("id % 2 = 1").select("sender", "id", "msgtype"), "sender", "id"),
     "S4_export": lambda s, d: src.export_ledger(records(s, d), 7, "1999-01-01", "2000-01-01").select("id", "policy_no", "plate_no"),
     "S4_export_merged": lambda s, d: src.export_ledger(records(s, d), 7, "1999-01-01", "2000-01-01", True).select("car", "n_records", "commercial_cents", "compulsory_cents", "other_cents"),
+    "S4_export_completed": _exported,
     "S5_upsert": lambda s, d: src.upsert(view(s, d, TARGET), view(s, d, INCOMING), "k"),
     "S5_bucket_table": _kept,
     "S6_known_keys": lambda s, d: src.known_keys(view(s, d, INCOMING), view(s, d, TARGET), "k"),
@@ -142,6 +151,11 @@ ORACLE_SQL = {
     "S4_export": sql("SELECT id, policy_no, plate_no FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN policy_no <> '' THEN policy_no ELSE '#' || id END, created_day ORDER BY id DESC) AS k FROM records WHERE deleted = 0 AND enterprise_id = 7 AND status IN ('done', 'success') AND is_abnormal = 0 AND doc_category = '保单' AND created_day >= DATE '1999-01-01' AND created_day < DATE '2000-01-01') WHERE k = 1"),
     "S4_export_merged": sql(f"""SELECT car, count(*) AS n_records, {", ".join(f"CAST(coalesce(sum(cents) FILTER (k2 = 1 AND label = '{k}'), 0) AS BIGINT) AS {v}_cents" for k, v in (("商业险", "commercial"), ("交强险", "compulsory"), ("非车险", "other")))} FROM (SELECT *, row_number() OVER (PARTITION BY car, coalesce(NULLIF(policy_no, ''), '#' || id) ORDER BY id) AS k2 FROM (
       SELECT *, coalesce({PLATE}, 'vin:' || ({VIN}), '#' || CAST(id AS VARCHAR)) AS car, {LABEL} AS label, {CENTS} AS cents FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN policy_no <> '' THEN policy_no ELSE '#' || id END, created_day ORDER BY id DESC) AS k FROM records WHERE deleted = 0 AND enterprise_id = 7 AND status IN ('done', 'success') AND is_abnormal = 0 AND doc_category = '保单' AND created_day >= DATE '1999-01-01' AND created_day < DATE '2000-01-01') WHERE k = 1)) GROUP BY car"""),
+    "S4_export_completed": sql(
+        f"""SELECT e.id, e.plate_no, e.vin, e.owner, e.id_number, coalesce(NULLIF(salesperson, ''), '无') AS salesperson, CASE WHEN {CLASS} = 'commercial' THEN total_premium ELSE '0' END AS commercial FROM ({POOLED}) e JOIN records r ON r.id = e.id
+      WHERE e.id IN (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN policy_no <> '' THEN policy_no ELSE '#' || id END, created_day ORDER BY id DESC) AS k FROM blanked WHERE status IN ('done', 'success') AND is_abnormal = 0 AND doc_category = '保单' AND created_day >= DATE '1999-01-01' AND created_day < DATE '2000-01-01') WHERE k = 1)""",
+        blanked="SELECT * FROM records WHERE deleted = 0 AND enterprise_id = 7", filled=FILLED,
+    ),
     "S5_upsert": sql("SELECT coalesce(t.k, i.k) AS k, coalesce(i.name, t.name) AS name, t.city AS city, CASE WHEN t.k IS NULL THEN 'inserted' WHEN i.k IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM t FULL JOIN (SELECT trim(k) AS k, NULLIF(name, '') AS name FROM i) i ON i.k = t.k", t=TARGET, i=INCOMING),
     "S5_bucket_table": sql("SELECT coalesce(t.k, i.k) AS k, coalesce(i.name, t.name) AS name, t.city AS city FROM t FULL JOIN (SELECT trim(k) AS k, NULLIF(name, '') AS name FROM i) i ON i.k = t.k", t=TARGET, i=INCOMING),
     "S6_known_keys": sql("SELECT trim(k) AS k FROM i WHERE trim(k) IN (SELECT k FROM t)", t=TARGET, i=INCOMING),

@@ -41,6 +41,17 @@ SPLIT = "SELECT doc_id, text FROM {documents}"
 NAMES = "SELECT doc_id AS order_no, substr(text, 40, 14) AS name, 'n' || CAST(doc_id AS STRING) AS short FROM {documents} WHERE length(text) > 60"
 
 
+#: Names with what stands around them, and what is left: the cleaned name, or nothing.
+PARTY_CASES = [("沈 心 诚", "沈心诚"), ("马玲玲执业证 123", "马玲玲"), ("阿卜杜拉·艾买提", "阿卜杜拉·艾买提"), ("第十三条", ""), ("中设(深圳)设备检验检测：甲", "中设(深圳)设备检验检测"), ("飘逸共雅饮品店（个体工商户）", "飘逸共雅饮品店（个体工商户）"), ("广州某某有限公司附加出行不便损失费", "广州某某有限公司"), ("请通过以上渠道联系本公司", ""), ("投保申请", ""), ("王五（车主）", "王五"), ("欧阳上官司马诸葛", "")]
+PARTIES = "SELECT o_orderkey AS id, CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(PARTY_CASES)) + " END AS name FROM {orders}"
+
+
+def _displayed(s, d):
+    rows = _records(s, d).withColumn("fields", F.map_concat("fields", F.create_map(F.lit("车主"), F.coalesce("owner", F.lit("")))))
+    shown = F.when(F.col("id") % 3 == 1, F.create_map(F.lit("保单号"), F.lit("x"))).when(F.col("id") % 3 == 2, F.create_map(F.lit("车主"), F.lit("o")))
+    return q.backfill_display(rows.withColumn("display", shown), {"保单号": "保单", "保费合计": "保费"}).select("id", *[F.element_at("display", F.lit(k)).alias(v) for k, v in (("保单", "policy"), ("保费", "premium"), ("车主", "owner"), ("_x", "internal"))])
+
+
 QUERIES = {
     "T1_clean_digits": lambda s, d: view(s, d, SPACED).select("id", t.clean_digits(F.col("text")).alias("text")),
     "T2_undouble": lambda s, d: base(s, d, "customer").select("c_custkey", t.undouble(F.regexp_replace("c_name", r"(\S)", "$1$1")).alias("name")),
@@ -58,6 +69,7 @@ QUERIES = {
     "T13_amounts": lambda s, d: view(s, d, AMOUNTS).select("id", c.chinese_amount(F.col("text")).cast("double").alias("amount")),
     "T14_plates": lambda s, d: records(s, d).select("id", c.normalize_plate(F.col("plate_no")).alias("plate"), c.hyphen_plate(c.normalize_plate(F.col("plate_no"))).alias("hyphened"), c.repair_plate_letters(F.lit("京AOI12")).alias("repaired")),
     "T15_names": lambda s, d: records(s, d).select("id", t.person_name(F.concat("insured", F.lit(" 先生 电话123"))).alias("name")),
+    "T15_parties": lambda s, d: view(s, d, PARTIES).select("id", F.when(t.is_party(t.clean_party(F.col("name"))), t.clean_party(F.col("name"))).alias("name")),
     "T16_cities": lambda s, d: base(s, d, "customer").select("c_custkey", t.insurer_with_city(F.lit("甲保险"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("广东省"), "c_mktsegment", F.lit("市天河区"))).when(F.col("c_custkey") % 3 == 1, "广东省东莞南城").otherwise("")).alias("label")),
     "T17_clause_pages": lambda s, d: base(s, d, "documents").select("doc_id", t.is_clause_page(F.col("text"), ("License", "Version", "Released", "under"), "GNU", 2).alias("clause")),
     "T18_map_fields": lambda s, d: _records(s, d).withColumn("m", t.map_fields(F.col("fields"), {"保单号": ["保单号"], "投保": ["投保人", "被保险人"]}, {"投保": ["被保险人"]})).select("id", F.element_at("m", F.lit("投保")).alias("applicant"), F.element_at("m", F.lit("险种类型")).alias("product"), F.element_at("m", F.lit("_x")).alias("inner")),
@@ -69,6 +81,10 @@ QUERIES = {
     "T23_new_insurers": lambda s, d: t.new_insurers(records(s, d).withColumn("company", F.when(F.col("id") % 2 == 0, F.col("ocr_engine")).otherwise("")), records(s, d).where("id % 46 = 0").select(F.substring("policy_no", 1, 9).alias("key"))),
     "T24_plate_fallback": lambda s, d: t.plate_fallback(records(s, d).withColumn("filename", F.when(F.col("id") % 5 == 0, F.concat(F.lit("保单粤B1234"), (F.col("id") % 10).cast("string"), F.lit(".pdf"))).otherwise("x.pdf")), [1, 2, 3, 4, 5, 6]).select("id", "plate_no"),
     "Q1_abnormal": lambda s, d: q.abnormal(_records(s, d), "fields", True).select("id", "abnormal", "hint"),
+    "Q2_dates": lambda s, d: q.backfill_dates(view(s, d, DATES).withColumn("day", F.when(F.col("id") % 7 == 0, F.lit("2020-01-01").cast("date"))), {"text": "day"}).select("id", "day"),
+    "Q2_display": _displayed,
+    "Q2_recheck": lambda s, d: q.recheck(_records(s, d), waive_applicant=True).select("id", "outcome"),
+    "Q2_short_names": lambda s, d: q.backfill(_records(s, d).withColumns({"company_short": F.when(F.col("id") % 2 == 0, F.col("company_short")).otherwise(""), "fields": F.map_filter("fields", lambda k, v: (k != "保险公司简称") | (F.col("id") % 3 != 0))}), view(s, d, "SELECT o_orderkey AS record_id FROM {orders}"))[0].select("id", "company_short"),
     "Q2_missing_side": lambda s, d: q.backfill(_records(s, d), view(s, d, "SELECT o_orderkey AS record_id FROM {orders} WHERE o_orderkey % 3 <> 0"))[1],
     "Q3_strip_disabled": lambda s, d: _records(s, d).select("id", F.concat_ws(",", F.array_sort(F.map_keys(q.strip_disabled(F.col("fields"), ["投保人", "车牌号", "_x"], F.col("manual_fields"))))).alias("keys")),
     "Q4_reread": lambda s, d: q.reread(_records(s, d).select("id", "manual_fields", F.col("fields").alias("old_fields"), F.map_from_arrays(F.array(F.lit("投保人"), F.lit("保单号"), F.lit("车主")), F.array("insured", F.lit("N1"), "owner")).alias("new_fields"), F.lit(None).cast("date").alias("first_read_at"), F.col("created_day").alias("read_at"))).select("id", F.element_at("merged", F.lit("投保人")).alias("applicant"), F.element_at("merged", F.lit("保单号")).alias("policy_no"), F.size("conflicts").alias("conflicts"), "first_read_at"),
@@ -113,9 +129,13 @@ ORACLE_SQL = {
     "T22_same_party": sql("SELECT id, CASE WHEN applicant <> '' AND applicant = insured THEN NULLIF(id_number, '') END AS applicant_id, NULLIF(id_number, '') AS insured_id FROM records"),
     "T23_new_insurers": sql("SELECT key, min(id) AS first_id, count(*) AS n FROM (SELECT id, CASE WHEN id % 2 = 0 THEN ocr_engine ELSE NULLIF(substr(policy_no, 1, 9), '') END AS key FROM records WHERE company_short = '' AND doc_category = '保单') WHERE key IS NOT NULL AND key NOT IN (SELECT substr(policy_no, 1, 9) FROM records WHERE id % 46 = 0) GROUP BY 1"),
     "T24_plate_fallback": sql("SELECT id, coalesce(NULLIF(plate_no, ''), CASE WHEN id % 5 = 0 THEN '粤B1234' || (id % 10) END, CASE WHEN enterprise_id BETWEEN 1 AND 6 AND length(vin) >= 10 THEN vin END, '') AS plate_no FROM records"),
+    "T15_parties": sql("SELECT o_orderkey AS id, CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(PARTY_CASES) if b) + " END AS name FROM orders"),
     "T15_names": sql("SELECT id, NULLIF(insured, '') AS name FROM records"),
     "Q1_abnormal": sql("""SELECT id, checked AND (m <> '' OR torn <> '') AS abnormal, CASE WHEN checked THEN concat_ws('；', CASE WHEN m <> '' THEN '缺少：' || m END, CASE WHEN torn <> '' THEN '日期不全：' || torn END) ELSE '' END AS hint FROM (SELECT id, status IN ('done', 'success') AND coalesce(NULLIF(doc_category, ''), '保单') = '保单' AND id % 21 <> 0 AS checked, CASE WHEN id % 6 = 1 THEN '起保日期' ELSE '' END AS torn,
       concat_ws('、', CASE WHEN company_short = '' THEN '承保公司' END, CASE WHEN policy_no = '' THEN '保单号' END, CASE WHEN policy_type = '' THEN '险种' END, CASE WHEN plate_no = '' THEN '车牌' END, CASE WHEN applicant = '' AND insured = '' THEN CASE WHEN policy_type LIKE '%强制%' THEN '投保人(交强险通常无)' ELSE '投保人' END END, CASE WHEN insured = '' THEN '被保人' END, CASE WHEN sign_date IS NULL THEN '签单日期' END, CASE WHEN total_premium = '' THEN '保费' END) AS m FROM records)"""),
+    "Q2_dates": sql("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN DATE '2020-01-01' WHEN o_orderkey % 5 IN (0, 2) THEN DATE '2026-06-03' WHEN o_orderkey % 5 = 1 AND o_orderkey % 40 BETWEEN 1 AND 30 THEN DATE '2026-06-01' + CAST(o_orderkey % 40 - 1 AS INTEGER) END AS day FROM orders"),
+    "Q2_display": sql("SELECT id, CASE WHEN id % 3 = 0 THEN NULLIF(policy_no, '') END AS policy, CASE WHEN id % 3 = 0 THEN NULLIF(total_premium, '') END AS premium, CASE WHEN id % 3 = 2 THEN 'o' ELSE NULLIF(owner, '') END AS owner, CAST(NULL AS VARCHAR) AS internal FROM records"),
+    "Q2_short_names": sql("SELECT id, CASE WHEN id % 2 = 0 AND company_short <> '' THEN company_short WHEN id % 3 <> 0 THEN NULLIF(company_short, '') END AS company_short FROM records"),
     "Q2_missing_side": sql("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0"),
     "Q3_strip_disabled": sql("SELECT id, array_to_string(list_sort(list_filter(['保险公司简称', '保单号', '险种类型', CASE WHEN id % 4 = 0 THEN '投保人' END, '被保险人', CASE WHEN sign_date IS NOT NULL THEN '签单日期' END, '保险起期', '保险止期', '保费合计'], lambda x: x IS NOT NULL)), ',') AS keys FROM records"),
     "Q4_reread": sql("SELECT id, CASE WHEN id % 4 = 0 THEN applicant ELSE insured END AS applicant, CASE WHEN id % 4 = 0 THEN policy_no ELSE 'N1' END AS policy_no, CASE WHEN id % 4 = 0 THEN CAST(insured <> '' AND insured <> applicant AS INT) + CAST(policy_no <> 'N1' AS INT) ELSE 0 END AS conflicts, created_day AS first_read_at FROM records"),
@@ -127,3 +147,5 @@ ORACLE_SQL = {
     "Q10_scope": sql("SELECT id, r.company_short, history FROM records r LEFT JOIN (SELECT company_short, count(*) AS history FROM records GROUP BY 1) h USING (company_short) WHERE is_abnormal = 1 OR r.company_short = '1-URGENT' OR history < 700"),
     "Q11_notes": sql(f"SELECT record_id, count(*) AS notes, CAST(max(note_id) AS VARCHAR) AS last_content, DATE '2001-07-28' + max(note_id) AS last_day, bool_or(DATE '2001-07-28' + note_id = DATE '{TODAY}') AS reviewed_today FROM (SELECT DISTINCT l_orderkey AS record_id, l_linenumber AS note_id FROM lineitem) GROUP BY 1"),
 }
+ORACLE_SQL["Q2_recheck"] = f"""SELECT id, CASE WHEN NOT was AND abnormal THEN 'raised' WHEN was AND NOT abnormal THEN 'cleared' WHEN was AND hint <> '' THEN 'reworded' ELSE 'kept' END AS outcome
+  FROM ({ORACLE_SQL["Q1_abnormal"]}) q JOIN (SELECT o_orderkey AS id, o_orderkey % 8 = 0 AS was FROM orders) o USING (id)"""

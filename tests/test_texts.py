@@ -103,3 +103,13 @@ def test_dictionary_of_ten_thousand_names(spark):
         assert got[i] == (min(fits)[1] if fits else None), (i, text)
     sizes = [len(t.identify_companies(df, x)._jdf.queryExecution().analyzed().toString()) for x in (table, table.where(F.col("order_no") < 10))]
     assert abs(sizes[0] - sizes[1]) < 400
+
+
+def test_parties(spark):
+    from ledgerspark.plans.text import PARTY_CASES
+
+    more = [(None, ""), ("", ""), ("王", ""), ("证件", ""), ("王五 证件类型：身份证", "王五"), ("上海车行驶证", ""), ("红星五金行", "红星五金行"), ("某" * 29 + "公司", ""), ("甲方", ""), ("John", "")]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(PARTY_CASES + more)], "i int, name string")
+    clean = t.clean_party(F.col("name"))
+    got = {r["i"]: r["n"] or "" for r in df.select("i", F.when(t.is_party(clean), clean).alias("n")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(PARTY_CASES + more)}
