@@ -229,17 +229,31 @@ def period(kind: Column, start: Column, end: Column, today: str) -> tuple[Column
     return first, F.when(kind.isin("month", "quarter", "year"), F.date_sub(F.add_months(first, months), 1)).otherwise(end)
 
 
+def running_totals(records: DataFrame) -> DataFrame:
+    """Premium of each tenant up to each day, in cents: ``enterprise_id``, ``day`` (every day from its first record to its last), ``total``, ``first_day`` and ``last_day``."""
+    days = records.groupBy("enterprise_id", F.col("created_day").alias("day")).agg(F.sum(cents(F.col("total_premium"))).alias("cents")).where("day is not null")
+    spans = days.groupBy("enterprise_id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    calendar = spans.withColumn("day", F.explode(F.sequence("first_day", "last_day")))
+    up_to = Window.partitionBy("enterprise_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return calendar.join(days, ["enterprise_id", "day"], "left").select("enterprise_id", "day", F.coalesce(F.sum("cents").over(up_to), F.lit(0)).alias("total"), "first_day", "last_day")
+
+
 def attainment(records: DataFrame, targets: DataFrame, today: str) -> DataFrame:
     """Actual premium of each target's tenant and period.
 
-    ``targets`` (``target_id``, ``enterprise_id``, ``period_type``, ``period_start``, ``period_end``, ``target_cents``) meets the
-    records on the tenant; days are summed first, so a tenant adds a row a day to the join, however many records it has.
+    ``targets``: ``target_id``, ``enterprise_id``, ``period_type``, ``period_start``, ``period_end``, ``target_cents``.  A period's premium is the tenant's
+    running total at its end without that before its start: two look-ups by tenant and day a target, however long periods are and however they overlap.
     """
     first, last = period(F.col("period_type"), F.col("period_start"), F.col("period_end"), today)
-    days = records.groupBy("enterprise_id", "created_day").agg(F.sum(cents(F.col("total_premium"))).alias("cents"))
-    spans = targets.select("target_id", "enterprise_id", "target_cents", first.alias("first_day"), last.alias("last_day"))
-    joined = spans.join(days, (spans["enterprise_id"] == days["enterprise_id"]) & days["created_day"].between(spans["first_day"], spans["last_day"]), "left")
-    found = joined.groupBy("target_id", "first_day", "last_day", "target_cents").agg(F.coalesce(F.sum("cents"), F.lit(0)).alias("actual_cents"))
+    totals = running_totals(records)
+    ends = totals.where(F.col("day") == F.col("last_day")).select("enterprise_id", F.col("last_day").alias("__last"))
+    spans = targets.select("target_id", "enterprise_id", "target_cents", first.alias("first_day"), last.alias("last_day")).join(ends, "enterprise_id", "left")
+    whole = F.col("first_day") <= F.col("last_day")
+    look = lambda sign, day: F.struct(F.lit(sign).alias("sign"), F.when(whole, F.least(day, F.col("__last"))).alias("day"))
+    asked = spans.select("target_id", "enterprise_id", "target_cents", "first_day", "last_day", F.explode(F.array(look(1, F.col("last_day")), look(-1, F.date_sub("first_day", 1)))).alias("l")).select("*", "l.sign", "l.day").drop("l")
+    # days before the tenant's first record meet nothing and count as 0
+    met = asked.join(totals.select("enterprise_id", "day", "total"), ["enterprise_id", "day"], "left")
+    found = met.groupBy("target_id", "first_day", "last_day", "target_cents").agg(F.coalesce(F.sum(F.col("sign") * F.col("total")), F.lit(0)).alias("actual_cents"))
     return found.withColumn("attained", F.when(F.col("target_cents") > 0, F.round(F.col("actual_cents") * 100.0 / F.col("target_cents"), 2)))
 
 

@@ -136,15 +136,15 @@ def reverse_fill(records: DataFrame, fields: list[str], manual: str = "manual_fi
     return joined.withColumns({c: F.coalesce(blank_to_null(F.col(c)), F.when(free(c), F.col(f"f_{c}"))) for c in fields}).drop("k", *[f"f_{c}" for c in fields])
 
 
-def finished() -> Column:
-    """Records that may lend to pools, dates and related policies: not deleted, and of status done."""
-    return (F.col("deleted") == 0) & (F.col("status") == "done")
+def finished(records: DataFrame) -> Column:
+    """Records that may lend to pools, dates and related policies: not deleted, and of status done, where records have a status."""
+    return (F.col("deleted") == 0) & ((F.col("status") == "done") if "status" in records.columns else F.lit(True))
 
 
 def plate_pool(records: DataFrame, fields: list[str]) -> DataFrame:
     """the newest non-blank value of each field by plate, of finished records."""
     key = plate_key(F.col("plate_no"))
-    return records.where(key.isNotNull() & finished()).groupBy(key.alias("plate")).agg(*[newest(F.col(c)).alias(c) for c in fields])
+    return records.where(key.isNotNull() & finished(records)).groupBy(key.alias("plate")).agg(*[newest(F.col(c)).alias(c) for c in fields])
 
 
 def vin_pool(records: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def fill_by_pools(records: DataFrame) -> DataFrame:
 def latest_compulsory_end(records: DataFrame) -> DataFrame:
     """end date of the newest finished compulsory policy with one by plate, and that record.  A corrected, earlier date counts."""
     key = plate_key(F.col("plate_no"))
-    own = records.where(key.isNotNull() & finished() & (product_class(F.col("policy_type")) == "compulsory") & F.col("end_date").isNotNull())
+    own = records.where(key.isNotNull() & finished(records) & (product_class(F.col("policy_type")) == "compulsory") & F.col("end_date").isNotNull())
     return own.groupBy(key.alias("plate")).agg(F.max_by("end_date", "id").alias("end_date"), F.max("id").alias("record_id"))
 
 
@@ -188,7 +188,7 @@ def dual_dates(records: DataFrame, date: str = "start_date") -> DataFrame:
     """
     key = plate_key(F.col("plate_no"))
     kind = product_class(F.col("policy_type"))
-    dates = records.where(key.isNotNull() & finished()).groupBy(key.alias("plate")).agg(*[newest_date(date, kind == k).alias(k) for k in ("commercial", "compulsory")])
+    dates = records.where(key.isNotNull() & finished(records)).groupBy(key.alias("plate")).agg(*[newest_date(date, kind == k).alias(k) for k in ("commercial", "compulsory")])
     both = F.concat(F.col("commercial").cast("string"), F.lit("交"), F.month("compulsory").cast("string"), F.lit("/"), F.day("compulsory").cast("string"))
     text = F.when(F.col("commercial") == F.col("compulsory"), F.col("commercial").cast("string")).otherwise(F.coalesce(both, F.col("commercial").cast("string"), F.col("compulsory").cast("string"), F.lit("")))
     return dates.withColumn("dates", text)
@@ -231,7 +231,7 @@ def related(records: DataFrame, other_class: str, days: int, keys: tuple[str, ..
     by = {"plate": plate_key(F.col("plate_no")), "vin": vin_key(F.col("vin")), "applicant": blank_to_null(F.col("applicant"))}
     day = F.col("start_date") if day is None else day
     width = max(1, days)
-    taken = records.where("deleted = 0").select("id", *[by[name].alias(name) for name in keys], day.alias("d"), (finished() & (product_class(F.col("policy_type")) == other_class)).alias("fits"))
+    taken = records.where("deleted = 0").select("id", *[by[name].alias(name) for name in keys], day.alias("d"), (finished(records) & (product_class(F.col("policy_type")) == other_class)).alias("fits"))
     # Every key of a record is a row of one table, so all keys go through one join; keys of a kind begin alike.
     named = F.array_compact(F.array(*[F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(name))) for name in keys]))
     rows = taken.select("id", "d", "fits", F.explode(named).alias("k"), F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / width).alias("b"))
