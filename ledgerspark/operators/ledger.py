@@ -168,6 +168,26 @@ def counters(records: DataFrame) -> DataFrame:
     return each.groupBy("bucket").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
 
 
+def daily_counters(records: DataFrame) -> DataFrame:
+    """The counters of each tenant, day and bucket: ``enterprise_id``, ``created_day``, ``bucket``, ``n``, ``n_distinct``.
+
+    Repetition is by number and day, so the counts of a tenant's days add up exactly.
+    """
+    numbered = (F.col("doc_category") == POLICY) & (F.coalesce(F.col("policy_no"), F.lit("")) != "")
+    key = F.when(numbered, F.concat(F.lit("p"), F.col("policy_no"))).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
+    tagged = records.where("deleted = 0").select("enterprise_id", "created_day", F.explode(F.array(bucket_of(), F.lit("total"))).alias("bucket"), key.alias("key"))
+    each = tagged.groupBy("enterprise_id", "created_day", "bucket", "key").agg(F.count(F.lit(1)).alias("rows"))
+    return each.groupBy("enterprise_id", "created_day", "bucket").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+
+
+def counters_of(daily: DataFrame, enterprise_id: int, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The counters of a tenant, of a period or in all, from ``daily_counters`` alone."""
+    rows = daily.where(F.col("enterprise_id") == enterprise_id)
+    rows = rows if first is None else rows.where(F.col("created_day") >= F.lit(first).cast("date"))
+    rows = rows if last is None else rows.where(F.col("created_day") <= F.lit(last).cast("date"))
+    return rows.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_distinct").alias("n_distinct"))
+
+
 def engine_counts(records: DataFrame) -> DataFrame:
     """Records by reading engine."""
     return records.where("deleted = 0").groupBy("ocr_engine").agg(n().alias("n"))

@@ -51,6 +51,8 @@ QUERIES = {
     "L6_page": lambda s, d: ledger.page(ledger.search(records(s, d)), 3, 50).select("id", "total", "pages"),
     "L6_deep_page": lambda s, d: ledger.deep_page(ledger.search(records(s, d)), 100, 100).select("id", "created_day", "total", "pages"),
     "L7_counters": lambda s, d: ledger.counters(records(s, d)),
+    "L7_daily": lambda s, d: ledger.daily_counters(records(s, d)),
+    "L7_of_tenant": lambda s, d: ledger.counters_of(ledger.daily_counters(records(s, d)), 7, "1996-01-01", "2000-06-30"),
     "L7_engines": lambda s, d: ledger.engine_counts(records(s, d)),
     "L7_rooms": lambda s, d: ledger.top_rooms(records(s, d)),
     "L8_merge_by_car": lambda s, d: ledger.merge_by_car(records(s, d).where("deleted = 0")).withColumn("record_ids", F.concat_ws(",", "record_ids")),
@@ -111,6 +113,8 @@ ORACLE_SQL = {
     "L6_page": sql("SELECT id, total, CAST(ceil(total / 50.0) AS BIGINT) AS pages FROM (SELECT id, count(*) OVER () AS total FROM records WHERE deleted = 0) ORDER BY id DESC LIMIT 50 OFFSET 100"),
     "L6_deep_page": sql("SELECT id, created_day, total, CAST(ceil(total / 100.0) AS BIGINT) AS pages FROM (SELECT id, created_day, count(*) OVER () AS total FROM records WHERE deleted = 0) ORDER BY created_day DESC, id DESC LIMIT 100 OFFSET 9900"),
     "L7_counters": sql(f"SELECT bucket, count(*) AS n, count(DISTINCT key) AS n_distinct FROM (SELECT unnest([{BUCKET}, 'total']) AS bucket, CASE WHEN {NUMBERED} THEN policy_no || '|' || CAST(created_day AS VARCHAR) ELSE '#' || CAST(id AS VARCHAR) END AS key FROM records WHERE deleted = 0) GROUP BY 1"),
+    "L7_daily": sql(f"SELECT enterprise_id, created_day, bucket, count(*) AS n, count(DISTINCT key) AS n_distinct FROM (SELECT enterprise_id, created_day, unnest([{BUCKET}, 'total']) AS bucket, CASE WHEN {NUMBERED} THEN 'p' || policy_no ELSE '#' || CAST(id AS VARCHAR) END AS key FROM records WHERE deleted = 0) GROUP BY 1, 2, 3"),
+    "L7_of_tenant": sql(f"SELECT bucket, CAST(count(*) AS BIGINT) AS n, count(DISTINCT key) AS n_distinct FROM (SELECT unnest([{BUCKET}, 'total']) AS bucket, CASE WHEN {NUMBERED} THEN policy_no || '|' || CAST(created_day AS VARCHAR) ELSE '#' || CAST(id AS VARCHAR) END AS key FROM records WHERE deleted = 0 AND enterprise_id = 7 AND created_day BETWEEN DATE '1996-01-01' AND DATE '2000-06-30') GROUP BY 1"),
     "L7_engines": sql("SELECT ocr_engine, count(*) AS n FROM records WHERE deleted = 0 GROUP BY 1"),
     "L7_rooms": sql("SELECT roomid, count(*) AS n FROM records WHERE deleted = 0 AND roomid <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"),
     "L8_merge_by_car": sql(f"""SELECT a.*, commercial_cents, compulsory_cents, other_cents FROM (SELECT car, {", ".join(f"{_FIRST(c)} AS {c}" for c in ledger.SHARED)}, {", ".join(f"arg_min(NULLIF(policy_no, ''), id) FILTER (policy_no <> '' AND label = '{k}') AS {v}_policy_no" for k, v in (("商业险", "commercial"), ("交强险", "compulsory"), ("非车险", "other")))}, min(id) AS first_id, count(*) AS n_records, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS record_ids FROM keyed GROUP BY car) a

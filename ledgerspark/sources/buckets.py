@@ -1,6 +1,6 @@
 """A table kept by upserts, in buckets by key, of which a batch rewrites only those it touches.
 
-``data/v<n>/bucket=<k>`` holds bucket k as version n wrote it; ``manifest/<n>.json`` says for each bucket which version's files are
+``data/v<n>/key_bucket=<k>`` holds bucket k as version n wrote it; ``manifest/<n>.json`` says for each bucket which version's files are
 its own, and which batch came last.  A version counts once its manifest is there, which is written last and as a whole: a crash before
 leaves the table as it was, and the same batch writes its files anew; a batch that comes again after it changes nothing.
 Files that none of the last ``keep`` manifests names are removed, so readers of these manifests are never disturbed.
@@ -59,7 +59,7 @@ class BucketTable:
 
     def _rows(self, m: Manifest, only: list[int] | None) -> DataFrame:
         schema = StructType.fromJson(json.loads(m.schema))
-        paths = [f"{self.path}/data/{folder}/bucket={k}" for k, folder in sorted(m.folders.items()) if only is None or int(k) in only]
+        paths = [f"{self.path}/data/{folder}/key_bucket={k}" for k, folder in sorted(m.folders.items()) if only is None or int(k) in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def upsert(self, batch: DataFrame, merge: Merge, number: int) -> list[int]:
@@ -76,8 +76,8 @@ class BucketTable:
             return []
         rows = merge(self._rows(m, touched) if m else batch.limit(0), batch)
         folder = f"v{(m.number + 1 if m else 0):020d}"
-        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        written = {n.partition("=")[2] for n in self.files.names(f"{self.path}/data/{folder}") if n.startswith("bucket=")}
+        rows.withColumn("key_bucket", self.bucket()).repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{self.path}/data/{folder}")
+        written = {n.partition("=")[2] for n in self.files.names(f"{self.path}/data/{folder}") if n.startswith("key_bucket=")}
         kept = {k: v for k, v in (m.folders if m else {}).items() if int(k) not in touched}
         self._commit(Manifest(m.number + 1 if m else 0, number, rows.schema.json(), kept | {k: folder for k in written}))
         self._clean()
@@ -101,7 +101,7 @@ class BucketTable:
         held = [Manifest(**json.loads(self.files.text(f"{self.path}/manifest/{n}"))) for n in names[-self.keep :]]
         used = {(folder, k) for m in held for k, folder in m.folders.items()}
         for folder in self.files.names(f"{self.path}/data"):
-            own = [n for n in self.files.names(f"{self.path}/data/{folder}") if n.startswith("bucket=")]
+            own = [n for n in self.files.names(f"{self.path}/data/{folder}") if n.startswith("key_bucket=")]
             gone = [n for n in own if (folder, n.partition("=")[2]) not in used]
             if len(gone) == len(own):
                 self.files.remove(f"{self.path}/data/{folder}")
