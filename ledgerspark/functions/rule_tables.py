@@ -7,8 +7,6 @@ formulas are postfix programs on a stack.  The plan holds no rule, so it does no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
