@@ -12,7 +12,6 @@ task before they are exchanged, so no bucket, group of copies or frequent passag
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -30,8 +29,8 @@ WINDOW, GRAM = 35, 4
 GRAMS = WINDOW - GRAM + 1
 #: Windows of one super-k-mer (longer runs, as one word said again and again, are cut), and of a bucket that is sorted in one task.
 LONGEST, LOAD = 256, 20_000
-#: Bytes of texts whose words are held at once.
-PART = 1 << 20
+#: Bytes of texts whose words are held at once; few enough to stay in a core's cache.
+PART = 1 << 18
 #: Odd factors of the two polynomial hashes of word sequences.
 _BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -46,8 +45,7 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(w) for w in split], dtype=np.int64)
     flat = np.empty(int(n.sum()), dtype=object)
     flat[:] = [w for words in split for w in words]
-    codes, names = pd.factorize(flat)
-    return pd.util.hash_array(np.asarray(names, dtype=object), categorize=False)[codes] if len(names) else np.zeros(0, np.uint64), n
+    return pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64), n
 
 
 def sequence_hashes(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
