@@ -94,7 +94,7 @@ def groups_of(file: pq.ParquetFile) -> list[Group]:
         if stats is not None and stats.has_min_max:
             out.append(Group(group.num_rows, stats.min, stats.max))
         else:
-            values = pc.min_max(file.read_row_group(i, [SEQ]).column(0)).as_py()
+            values = pc.min_max(file.read_row_group(i, [SEQ], use_threads=False).column(0)).as_py()
             out.append(Group(group.num_rows, values["min"] or 0, values["max"] or 0))
     return out
 
@@ -104,7 +104,7 @@ def read_rows(path: str, part: Rows, schema: StructType) -> Iterator[pa.RecordBa
     want = to_arrow_schema(schema)
     names = [n for n in want.names if n != TENANT]
     with Log(path).fs.open_input_file(part.file) as f:
-        for batch in pq.ParquetFile(f).iter_batches(row_groups=part.groups, columns=list({*names, SEQ})):
+        for batch in pq.ParquetFile(f).iter_batches(row_groups=part.groups, columns=list({*names, SEQ}), use_threads=False):
             seq = batch.column(batch.schema.names.index(SEQ))
             batch = batch.filter(pc.and_(pc.greater(seq, part.after), pc.less_equal(seq, part.upto)))
             if batch.num_rows:
