@@ -6,8 +6,9 @@ First each super-k-mer sends only its place and two hashes.  One that is alone i
 ones needs no sorting, for all their windows are repeated.  Only where a bucket holds different super-k-mers does one of each
 kind travel to it, packed as a string with its number of occurrences, and sorting counts the windows exactly.
 
-A bucket with more than ``LOAD`` windows is counted by window instead: its windows' 128-bit hashes are summed up in each
-task before they are exchanged, so no bucket, group of copies or frequent passage falls to one task.
+The super-k-mers of a bucket with more than ``LOAD`` windows are cut once more, by minimisers of ``LONG`` words, and these pieces meet in the
+same way: one alone holds no repeat, equal ones are repeated as a whole.  Where different pieces meet, the 128-bit hashes of their windows
+are summed up in each task before they are exchanged, so no bucket, group of copies or frequent passage falls to one task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from ledgerspark.llm.minhash import _STEP, mix
 
 #: Words of a window, and of a gram; a window has 32 grams, so that five halvings find the least of them.
 WINDOW, GRAM = 35, 4
-GRAMS = WINDOW - GRAM + 1
+#: Words of a gram in large buckets; a window has 8 of them, a power of two too.
+LONG = 28
 #: Windows of one super-k-mer (longer runs, as one word said again and again, are cut), and of a bucket that is sorted in one task.
 LONGEST, LOAD = 256, 20_000
 #: Bytes of texts whose words are held at once; few enough to stay in a core's cache.
@@ -59,21 +61,21 @@ def sequence_hashes(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> lis
     return out
 
 
-def super_kmers(word: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Super-k-mers of texts with ``n`` words each: ``text``, ``at`` (their first word), ``n`` (windows), ``bucket``, ``h1``, ``h2``, ``again``.
+def super_kmers(word: np.ndarray, n: np.ndarray, size: int = GRAM) -> dict[str, np.ndarray]:
+    """Super-k-mers of texts with ``n`` words each, by grams of ``size`` words: ``text``, ``at`` (their first word), ``n`` (windows), ``bucket``, ``h1``, ``h2``, ``again``.
 
     ``again`` says that the minimiser occurs more than once, without which no window of a super-k-mer can be repeated inside it.
     """
-    first = np.cumsum(n) - n
+    first, grams = np.cumsum(n) - n, WINDOW - size + 1
     windows = np.maximum(n - WINDOW + 1, 0)
     text = np.repeat(np.arange(len(n)), windows)
     if not len(text):
         return {c: np.zeros(0, np.int64) for c in ("text", "at", "n", "bucket", "h1", "h2")} | {"again": np.zeros(0, bool)}
-    gram = np.zeros(len(word) - GRAM + 1, dtype=np.uint64)
-    for j in range(GRAM):
+    gram = np.zeros(len(word) - size + 1, dtype=np.uint64)
+    for j in range(size):
         gram = mix(gram + _STEP + word[j : len(gram) + j])
     least, step = gram, 1
-    while step < GRAMS:
+    while step < grams:
         least, step = np.minimum(least[:-step], least[step:]), 2 * step
     at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(len(text))
     value = least[at]
@@ -83,7 +85,7 @@ def super_kmers(word: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     starts = np.flatnonzero(new)
     many = np.diff(np.append(starts, len(new)))
     place, key = at[starts], value[starts]
-    spans = many + GRAMS - 1
+    spans = many + grams - 1
     ends = np.cumsum(spans)
     inside = np.repeat(place - (ends - spans), spans) + np.arange(ends[-1])
     times = np.add.reduceat((gram[inside] == np.repeat(key, spans)).astype(np.int64), ends - spans)
@@ -112,23 +114,40 @@ def places(texts: DataFrame) -> DataFrame:
 
 
 def packed(wanted: DataFrame) -> DataFrame:
-    """The words of each super-k-mer in ``kmers`` of a text (``raw``), as one string; of large buckets the two hashes of its windows, ``k1`` and ``k2``."""
+    """The words of each super-k-mer in ``kmers`` of a text (``raw``), as one string."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, kmers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, rows = raw.split(), []
-                hashed = split_words([raw])[0] if any(k["large"] for k in kmers) else None
-                for k in kmers:
-                    own = slice(k["at"], k["at"] + k["n"] + WINDOW - 1)
-                    start = np.arange(k["n"])
-                    keys = [h.astype(np.int64) for h in sequence_hashes(hashed[own], start, start + WINDOW)] if k["large"] else [None, None]
-                    rows.append((k["bucket"], k["h1"], k["h2"], k["w"], None if k["large"] else b" ".join(words[own]), *keys))
-                kinds = [*[pa.int64()] * 4, pa.binary(), *[pa.list_(pa.int64())] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "h1", "h2", "w", "words", "k1", "k2"])
+                words = raw.split()
+                rows = [(k["bucket"], k["h1"], k["h2"], k["w"], b" ".join(words[k["at"] : k["at"] + k["n"] + WINDOW - 1])) for k in kmers]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 4, pa.binary()])], ["bucket", "h1", "h2", "w", "words"])
 
     # With the id, these texts are exchanged as those from which words are removed, and so once for both.
-    return wanted.select("raw", "kmers", "doc_id").mapInArrow(pack, "bucket long, h1 long, h2 long, w long, words binary, k1 array<long>, k2 array<long>")
+    return wanted.select("raw", "kmers", "doc_id").mapInArrow(pack, "bucket long, h1 long, h2 long, w long, words binary")
+
+
+def pieces(wanted: DataFrame) -> DataFrame:
+    """The super-k-mers in ``kmers`` of a text (``raw``), cut by minimisers of ``LONG`` words: ``first`` (window of the super-k-mer that begins the
+    piece), ``sub`` (the minimiser), ``s`` (a hash of the piece's words), ``again`` and two hashes of each window, ``k1`` and ``k2``.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, kmers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                column = {c: np.array([k[c] for k in kmers], dtype=np.int64) for c in ("bucket", "h1", "h2", "w", "at", "n")}
+                n = column["n"] + WINDOW - 1
+                begin = np.cumsum(n) - n
+                word = split_words([raw])[0][np.repeat(column["at"] - begin, n) + np.arange(n.sum())]
+                f = super_kmers(word, n, LONG)
+                ends = np.cumsum(f["n"])
+                start = np.repeat(begin[f["text"]] + f["at"] - (ends - f["n"]), f["n"]) + np.arange(ends[-1])
+                edges = np.concatenate([[0], ends]).astype(np.int32)
+                keys = [pa.ListArray.from_arrays(edges, h.astype(np.int64)) for h in sequence_hashes(word, start, start + WINDOW)]
+                own = [column[c][f["text"]] for c in ("bucket", "h1", "h2", "w")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, [*own, f["at"].astype(np.int32), f["bucket"], f["h1"], f["again"]]), *keys], ["bucket", "h1", "h2", "w", "first", "sub", "s", "again", "k1", "k2"])
+
+    return wanted.select("raw", "kmers", "doc_id").mapInArrow(split, "bucket long, h1 long, h2 long, w long, first int, sub long, s long, again boolean, k1 array<long>, k2 array<long>")
 
 
 def repeated(strings: list[bytes], weights: list[int]) -> list[list[int]]:
@@ -162,11 +181,22 @@ def sorted_buckets(strings: DataFrame) -> DataFrame:
     return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "bucket long, h1 long, h2 long, offsets array<int>")
 
 
-def counted_windows(strings: DataFrame) -> DataFrame:
-    """As :func:`sorted_buckets`, from the windows' hashes, for buckets of any size."""
-    each = strings.select("bucket", "h1", "h2", "w", F.posexplode(F.arrays_zip("k1", "k2")).alias("i", "k")).select("bucket", "h1", "h2", "w", "i", "k.k1", "k.k2")
+def meeting(cuts: DataFrame) -> DataFrame:
+    """Those of the :func:`pieces` that can hold a repeated window, as ``p``; ``whole`` if all windows of a piece are repeated."""
+    # One column of all that branches take from a piece, so that pieces are made and exchanged once.
+    once = cuts.groupBy("bucket", "h1", "h2", "first").agg(F.first(F.struct("w", "sub", "s", "again", "k1", "k2")).alias("p")).withColumn("sub", F.col("p.sub"))
+    shared = once.groupBy("bucket", "sub").agg(F.sum("p.w").alias("all"), F.min("p.s").alias("low"), F.max("p.s").alias("high"), F.max("p.again").alias("again_any")).where("all > 1 or again_any")
+    return once.join(shared.hint("merge"), ["bucket", "sub"]).select("bucket", "h1", "h2", "first", "p", F.expr("all > 1 and low = high").alias("whole"))
+
+
+def counted_windows(cuts: DataFrame) -> DataFrame:
+    """As :func:`sorted_buckets`, from the :func:`pieces` of buckets of any size: by the hashes of windows where different ones meet."""
+    met = meeting(cuts)
+    each = met.where("not whole").select("bucket", "h1", "h2", "first", "p.w", F.posexplode(F.arrays_zip("p.k1", "p.k2")).alias("i", "k")).select("bucket", "h1", "h2", "w", (F.col("first") + F.col("i")).alias("i"), "k.k1", "k.k2")
     twice = each.groupBy("k1", "k2").agg(F.sum("w").alias("all")).where(F.col("all") > 1).select("k1", "k2")
-    return each.join(twice.hint("merge"), ["k1", "k2"]).groupBy("bucket", "h1", "h2").agg(F.collect_list("i").alias("offsets"))
+    some = each.join(twice.hint("merge"), ["k1", "k2"]).select("bucket", "h1", "h2", F.array("i").alias("offsets"))
+    whole = met.where("whole").select("bucket", "h1", "h2", F.sequence("first", F.col("first") + F.size("p.k1") - 1).alias("offsets"))
+    return some.unionByName(whole).groupBy("bucket", "h1", "h2").agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -181,11 +211,13 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     found = cut(every.join(buckets.hint("merge"), "bucket").select("bucket", "h1", "h2", "t1", "t2", "at", "n", mixed.alias("mixed")))
     kinds = found.where("mixed").groupBy("bucket", "h1", "h2").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("t1", "t2", "at", "n")).alias("place"))
     loads = kinds.groupBy("bucket").agg((F.sum("place.n") > LOAD).alias("large"))
-    wanted = kinds.join(loads.hint("merge"), "bucket").select("place.t1", "place.t2", F.struct("place.at", "place.n", "bucket", "h1", "h2", "w", "large").alias("k")).groupBy("t1", "t2").agg(F.collect_list("k").alias("kmers"))
-    # Every copy of a text packs its strings; equal ones are one again before they travel.
-    strings = packed(texts.join(wanted.hint("merge"), ["t1", "t2"])).dropDuplicates(["bucket", "h1", "h2"])
-    # Both sides take all columns, so that the strings are made and exchanged once.
-    offsets = sorted_buckets(strings.where("words is not null")).unionByName(counted_windows(strings.where("words is null")))
+
+    def wanted(which: str) -> DataFrame:
+        own = kinds.join(loads.where(which).hint("merge"), "bucket").select("place.t1", "place.t2", F.struct("place.at", "place.n", "bucket", "h1", "h2", "w").alias("k"))
+        return texts.join(own.groupBy("t1", "t2").agg(F.collect_list("k").alias("kmers")).hint("merge"), ["t1", "t2"])
+
+    # Every copy of a text packs its strings and cuts its pieces; equal ones are one again before they travel.
+    offsets = sorted_buckets(packed(wanted("not large")).dropDuplicates(["bucket", "h1", "h2"])).unionByName(counted_windows(pieces(wanted("large"))))
     whole = found.where("not mixed").select("t1", "t2", "at", "n", F.lit(None).cast("array<int>").alias("offsets"))
     some = found.where("mixed").join(offsets.hint("merge"), ["bucket", "h1", "h2"]).select("t1", "t2", "at", "n", F.array_sort("offsets").alias("offsets"))
     return whole.unionByName(some).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n", "offsets")).alias("marks"))

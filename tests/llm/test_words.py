@@ -149,6 +149,46 @@ def test_removal(spark, monkeypatch, load, longest):
     assert got == brute_removal(rows)
 
 
+def windows_made(plan):
+    """Rows of all Generate nodes of a plan that has run, adaptive stages included."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan" or "QueryStage" in name:
+        return windows_made(plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if name == "Generate" else 0
+    return own + sum(windows_made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_large_buckets_count_few_windows(spark, monkeypatch):
+    """Near copies and a frequent passage: only windows of pieces that meet different ones are counted one by one."""
+    monkeypatch.setattr(substrings, "LOAD", 300)
+    random.seed(9)
+    some = lambda n: [f"w{random.randrange(10**6)}" for _ in range(n)]
+    base, passage = some(150), some(60)
+    rows = [(i, " ".join(some(40) + passage + some(40))) for i in range(150)]
+    for i in range(150):
+        near = list(base)
+        near[random.randrange(150)] = f"x{i}"
+        rows.append((1000 + i, " ".join(near)))
+    found = substrings.without_repeats(spark.createDataFrame(rows, DOCS).repartition(5))
+    got = sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in found.collect())
+    assert got == brute_removal(rows)
+    assert 0 < windows_made(found._jdf.queryExecution().executedPlan()) < 15_000
+
+
+@pytest.mark.parametrize("size", [4, 28])
+def test_pieces_of_any_gram_keep_equal_windows_together(size):
+    random.seed(10)
+    texts = [" ".join(random.choice("abc") for _ in range(n)).encode() for n in (34, 35, 60, 500)] + [b"a b " * 200]
+    word, n = substrings.split_words(texts)
+    found = substrings.super_kmers(word, n, size)
+    same, places = defaultdict(set), 0
+    for t, a, k, bucket in zip(found["text"], found["at"], found["n"], found["bucket"]):
+        for i in range(k):
+            same[tuple(texts[t].split()[a + i : a + i + 35])].add(bucket)
+            places += 1
+    assert places == sum(max(0, len(t.split()) - 34) for t in texts) and all(len(b) == 1 for b in same.values())
+
+
 def test_super_kmers_hold_every_window_once():
     random.seed(8)
     texts = [" ".join(random.choice("abcdefg") * random.randrange(1, 3) for _ in range(n)).encode() for n in (0, 10, 34, 35, 36, 200, 3000)]
