@@ -121,7 +121,7 @@ QUERIES = {
     "ST5_first_notice": lambda s, d: run(jobs.first_notice(stream(s, d), F.col("msgtype") == "file").select("roomid", F.to_date("sent_at").alias("sent_day"))),
     "ST3_miss_alerts": lambda s, d: run(jobs.miss_alerts(_talk(s, d))),
     "ST4_assemble": lambda s, d: run(jobs.assemble(stream(s, d).select(F.coalesce("roomid", F.lit("")).alias("roomid"), "sender", F.element_at(F.create_map(*[F.lit(x) for x in ("text", "licence", "file", "id_front", "image", "id_back", "voice", "text", "other", "text")]), F.col("msgtype")).alias("kind"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("n"), (F.col("id") % 4).cast("string"))).alias("owner"), F.col("sent_at").alias("at")), wait_s=6 * 3600)),
-    "ST6_offline_alerts": lambda s, d: run(jobs.offline_alerts(stream(s, d).select(F.col("sender").alias("device"), F.when(F.col("msgtype") == "other", "offline").otherwise("online").alias("kind"), F.col("sent_at").alias("at")))),
+    "ST6_offline_alerts": lambda s, d: run(jobs.offline_alerts(stream(s, d).select("id", F.col("sender").alias("device"), F.when(F.col("msgtype") == "other", "offline").otherwise("online").alias("kind"), F.col("sent_at").alias("at")))),
     "ST6_offline_spans": lambda s, d: jobs.offline_spans(_devices(s, d)).select("device", "away_at", "seconds"),
     "ST7_hourly_counts": lambda s, d: run(jobs.hourly_counts(stream(s, d))).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "msgtype", "n"),
 }
