@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.columns import PLATE_SIMPLIFIED, PLATE_TRADITIONAL, blank_to_null, contains_any, parse_date
 from ledgerspark.operators.analytics import n
+from ledgerspark.operators.dictionary import identify_companies  # noqa: F401
 
 
 def clean_digits(c: Column) -> Column:
@@ -48,41 +49,6 @@ def identify_company(c: Column, full_names: list[tuple[str, str]], keywords: lis
     return out
 
 
-def company_index(names: DataFrame) -> DataFrame:
-    """An index of a dictionary (``order_no``, ``words``, ``short``): each entry under the rarest pair of characters of its first word.
-
-    Pairs are counted over the dictionary's first words; entries are found through a pair that few others have, however alike their beginnings are.
-    """
-    word = F.element_at("words", 1)
-    kept = names.where((F.size("words") > 0) & F.forall("words", lambda w: F.coalesce(w, F.lit("")) != ""))
-    each = kept.select("order_no", F.explode(pairs_of(word)).alias("pair"))
-    often = each.groupBy("pair").agg(n().alias("entries"))
-    chosen = each.join(often, "pair").groupBy("order_no").agg(F.min(F.struct("entries", "pair"))["pair"].alias("pair"))
-    return kept.select("order_no", "words", "short").join(chosen, "order_no")
-
-
-def pairs_of(c: Column) -> Column:
-    """Distinct pairs of neighbouring characters of a text; of one character, itself."""
-    letters = F.split(c, "")
-    pairs = F.zip_with(F.slice(letters, F.lit(1), F.length(c) - 1), F.slice(letters, F.lit(2), F.length(c) - 1), lambda a, b: F.concat(a, b))
-    return F.when(F.length(c) > 1, F.array_distinct(pairs)).when(F.length(c) == 1, F.array(c)).otherwise(F.array().cast("array<string>"))
-
-
-def identify_companies(texts: DataFrame, names: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """``key`` and ``company``, the short name of the first entry of a dictionary whose words a text holds; null without one.
-
-    ``names`` has ``order_no`` (unique), ``words`` (all must be in the text; several for joint cover) and ``short``.  A text's pairs of characters meet
-    the index, then each text is compared with the few entries found so.  The plan is the same for any dictionary; ``key`` tells texts apart.
-    """
-    index = company_index(names)
-    single = names.where((F.size("words") > 0) & (F.length(F.element_at("words", 1)) == 1)).select(F.lit(1)).limit(1)
-    letters = F.array_distinct(F.split(F.col(column), "")) if single.count() else F.array().cast("array<string>")
-    grams = texts.where(F.length(column) > 0).select(key, F.explode(F.array_union(pairs_of(F.col(column)), letters)).alias("pair"))
-    found = grams.join(index, "pair").groupBy(key).agg(F.collect_list(F.struct("order_no", "words", "short")).alias("entries"))
-    held = F.filter("entries", lambda e: F.forall(e["words"], lambda w: F.contains(F.col(column), w)))
-    return texts.select(key, column).join(found, key, "left").select(key, F.array_min(held)["short"].alias("company"))
-
-
 def first_match(c: Column, patterns: list[str]) -> Column:
     """Group 1 of the first pattern with a value that is not blank."""
     return F.coalesce(*[blank_to_null(F.trim(F.regexp_extract(c, p, 1))) for p in patterns]) if patterns else F.lit(None).cast("string")

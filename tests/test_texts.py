@@ -113,3 +113,41 @@ def test_parties(spark):
     clean = t.clean_party(F.col("name"))
     got = {r["i"]: r["n"] or "" for r in df.select("i", F.when(t.is_party(clean), clean).alias("n")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(PARTY_CASES + more)}
+
+
+def test_dictionary_as_long_as_its_texts(spark):
+    """Words of prose, where every pair of letters is common: few entries meet a text, in tasks and in joins behind them; the longest texts are cut in parts."""
+    from ledgerspark.operators import dictionary
+
+    random.seed(6)
+    prose = ["".join(random.choice(["the ", "ion ", "er", "an", "st", "re"]) for _ in range(random.choice([3, 30, 300]))) for _ in range(600)]
+    prose += ["".join(random.choice(["x", "er", "an"]) for _ in range(dictionary.PART)), "", None, *prose[:40]]
+    names = [(i, [x[20:34]], f"n{i}") for i, x in enumerate(prose) if x and len(x) > 40]
+    names += [(i, [x[-5:], x[3:9]], f"j{i}") for i, x in enumerate(prose, 1000) if x]
+    names += [(5000, [prose[600][dictionary.PART - 20 : dictionary.PART + 20]], "seam"), (-2, [prose[1][:1200] + "!" * 1200], "long"), (5001, ["é" * 9], "nowhere")]
+    random.shuffle(names)
+    texts = [*enumerate(prose), (7000, "an x " + prose[600][dictionary.PART - 25 : dictionary.PART + 25]), (7001, prose[1][:1200] + "!" * 1201)]
+    df, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(names, "order_no int, words array<string>, short string")
+    fits = [[(o, s) for o, w, s in names if text and all(x in text for x in w)] for _, text in texts]
+    want = {i: min(f)[1] if f else None for (i, _), f in zip(texts, fits)}
+    assert "long" in want.values() and len(set(want.values())) > 100
+    for held in (100, 100_000):
+        assert {r["doc_id"]: r["company"] for r in dictionary.identify_companies(df, table, held=held).collect()} == want
+    later = table.where("order_no > 0")
+    want = {i: min([x for x in f if x[0] > 0], default=(0, None))[1] for (i, _), f in zip(texts, fits)}
+    for held in (1, 100, 100_000):
+        assert {r["doc_id"]: r["company"] for r in dictionary.identify_companies(df, later, held=held).collect()} == want
+    assert {r["company"] for r in dictionary.identify_companies(df, table.where("order_no > 9000")).collect()} == {None}
+
+
+def test_windows_that_meet_a_dictionary_are_few(spark):
+    """A window of an entry is in hardly more texts than the entry is."""
+    from ledgerspark.operators import dictionary
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    names = [(d["doc_id"], [d["text"][39:53]], str(d["doc_id"])) for d in docs if len(d["text"]) > 60]
+    index, lengths = dictionary.company_index(spark.createDataFrame(names, "order_no long, words array<string>, short string"))
+    known = {r["hash"] for r in index.collect()}
+    met = sum(len({h for _, _, hashes in dictionary.windows([d["text"]], lengths, lambda h: [True] * len(h)) for h in hashes.view("int64").tolist()} & known) for d in docs)
+    true = sum(len({w for _, (w,), _ in names if w in d["text"]}) for d in docs)
+    assert lengths == [14] and met == true
